@@ -53,15 +53,15 @@ def text_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * powers(len(sums), inverse=True)[start])
 
 
-def text_groups(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Groups of about GROUP_BYTES of texts of a string column: row numbers, offsets (one more) and bytes. Null is empty."""
+def text_groups(column: pa.Array, size: int = GROUP_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Groups of texts of about `size` bytes of a string column: row numbers, offsets (one more) and bytes. Null is empty."""
     column = column.cast(pa.large_binary()) if column.type != pa.large_binary() else column
     column = column.fill_null(b"") if column.null_count else column
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.empty(0, np.uint8)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + GROUP_BYTES, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
         j = min(j, len(column))
         yield np.arange(i, j), offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]
         i = j
@@ -116,3 +116,14 @@ def run_starts(*keys: np.ndarray) -> np.ndarray:
         for k in keys:
             new[1:] |= k[1:] != k[:-1]
     return new
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` consecutive values."""
+    if len(x) < width:
+        return x[:0]
+    n, out = 1, x
+    while 2 * n <= width:
+        out = np.minimum(out[:-n], out[n:])
+        n *= 2
+    return out if n == width else np.minimum(out[: len(x) - width + 1], out[width - n :])
