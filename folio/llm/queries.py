@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, near_dedup, packing, substring_dedup, suffix_dedup, tokens, topk
+from . import exact_dedup, language_id, license_scan, mixing, near_dedup, packing, substring_dedup, suffix_dedup, tokens, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "group_id", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_suffix_dedup, op5_token_counts, op6_language_id, op7_mixing, op8_exact_top_k, op9_best_fit_packing, op10_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_suffix_dedup, op4_license_scan, op5_token_counts, op6_language_id, op7_mixing, op8_exact_top_k, op9_best_fit_packing, op10_near_dedup)}
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": r"""
