@@ -25,6 +25,9 @@ LAST = np.iinfo(np.int64).max
 
 Entries = list[np.ndarray]
 
+#: How rows of a megabyte are written: a page for each, no second compression, and small row groups.
+LARGE_ROWS = {"compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "4", "parquet.page.row.count.limit": "1", "parquet.block.size": str(16 << 20)}
+
 
 def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK_BYTES) -> DataFrame:
     """block, ids, none, offsets and text (compressed), materialized so that block numbers stand. A text of more bytes
@@ -41,7 +44,7 @@ def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 number += 1
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return materialize(chosen.mapInArrow(cut, "block long, ids binary, none binary, offsets binary, text binary"), "blocks")
+    return materialize(chosen.mapInArrow(cut, "block long, ids binary, none binary, offsets binary, text binary"), "blocks", **LARGE_ROWS)
 
 
 class Block:
