@@ -49,8 +49,9 @@ RANKED = 4
 LEAST_GAIN = 0.2
 #: Words that may differ, as a part of the template's.
 DIFFERENT = 0.2
-#: Words of a block on each side of a cue.
+#: Words of a block on each side of a cue, and of the stretches that are compressed alone.
 REACH = 48
+NEAR = 10
 
 
 def tokens(text: str) -> list[str]:
@@ -80,12 +81,17 @@ def compressors() -> tuple[zstandard.ZstdCompressor, tuple[zstandard.ZstdCompres
 
 def ranked(block: list[str]) -> list[tuple[float, int]]:
     """Templates by how much smaller the block is when compressed behind them, as a part of the smaller of its own
-    size and the template's, so that a short notice in a long block counts by the notice."""
+    size and the template's. The few words around a cue are compressed alone too, as in a long block other words
+    cover the gain of a short notice; the better gain counts."""
     plain, with_each = compressors()
-    text = " ".join(block).encode()
-    size = len(plain.compress(text))
-    gains = [((size - len(c.compress(text))) / min(size, len(t.text)), -i) for i, (c, t) in enumerate(zip(with_each, templates(), strict=True))]
-    return [(g, -i) for g, i in sorted(gains, reverse=True)[:RANKED] if g >= LEAST_GAIN]
+    near = [block[max(0, i - NEAR) : i + NEAR + 1] for i in range(len(block)) if is_cue(block, i)]
+    best = [0.0] * len(with_each)
+    for part in {" ".join(x) for x in (block, *near)}:
+        text = part.encode()
+        size = len(plain.compress(text))
+        for i, (c, t) in enumerate(zip(with_each, templates(), strict=True)):
+            best[i] = max(best[i], (size - len(c.compress(text))) / min(size, len(t.text)))
+    return [(g, -i) for g, i in sorted(((g, -i) for i, g in enumerate(best)), reverse=True)[:RANKED] if g >= LEAST_GAIN]
 
 
 def aligned(template: tuple[str, ...], block: list[str]) -> tuple[int, int, int, list[str], set[str]]:
