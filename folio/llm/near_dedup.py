@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import hot_join, materialize
+from .prefix_join import candidates
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 24
 ROWS = 4
-#: All pairs of a bucket of so many members or fewer are candidates; a larger one is compared with its first member.
+#: All pairs of a bucket of so many members or fewer are candidates; a larger one is compared with its most central member.
 SMALL_BUCKET = 8
 
 
@@ -116,17 +117,26 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def first_candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of nodes to verify, and the members of large buckets (key, node, n_words)."""
+    """Pairs (a, b) of nodes to verify, and the members of large buckets (key, node, leader).
+
+    The leader of a large bucket is the member whose own buckets are largest in sum, as copies are most like what
+    they were copied from; of equals the smallest.
+    """
     members = nodes.select("node", "n_words", F.posexplode("bands").alias("band", "key")).drop("band")
-    buckets = materialize(members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader"), F.min("n_words").alias("least")).filter("n > 1"), "buckets")
+    buckets = materialize(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     total = buckets.agg(F.sum("n")).first()[0] or 0
     kept = materialize(hot_join(members, buckets, ["key"], "n", total), "members")
     small = kept.filter(F.col("n") <= SMALL_BUCKET).select("key", "node", "n_words")
     other = small.select("key", F.col("node").alias("b"), F.col("n_words").alias("b_words"))
     pairs = small.join(other, "key").filter((F.col("node") < F.col("b")) & alike("n_words", "b_words")).select(F.col("node").alias("a"), "b")
-    large = kept.filter(F.col("n") > SMALL_BUCKET)
-    stars = large.filter(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    return pairs.unionByName(stars).distinct(), large.select("key", "node", "n_words", "leader")
+    large = kept.filter(F.col("n") > SMALL_BUCKET).select("key", "node", "n")
+    weight = large.groupBy("node").agg(F.sum("n").alias("weight"))
+    ranked = large.join(weight, "node")
+    leaders = materialize(ranked.groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), "node")).alias("best"), F.first("n").alias("n")).select("key", F.col("best.node").alias("leader"), "n"), "leaders")
+    total = leaders.agg(F.sum("n")).first()[0] or 0
+    large = materialize(hot_join(large.select("key", "node"), leaders, ["key"], "n", total).select("key", "node", "leader"), "large")
+    stars = large.filter(F.col("node") != F.col("leader")).select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
+    return pairs.unionByName(stars).distinct(), large
 
 
 def alike(x: str, y: str, similarity: float = SIMILARITY):
@@ -213,9 +223,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that links lead to, and one row of each group, of the smallest doc_id, is kept.
 
     Classes that share a band of their signatures meet in a bucket. Small buckets give all their pairs. In a
-    larger one every member is compared with its first member; members that this leaves in another component than
-    the first are then compared with all members of other components, so that no link is lost for the size of a
-    bucket. Every candidate is verified on the whole texts. A link of exactly 0.8 is missed by all bands with a
+    larger one every member is compared with the most central member. Members that this leaves in another component
+    than that one are then joined with all members of such buckets by an exact prefix filter (prefix_join.py), so
+    that no link is lost for the size of a bucket. Every candidate is verified on the whole texts. A link of exactly 0.8 is missed by all bands with a
     chance of 3 in a million.
 
     Words are runs of other characters than the six ASCII white spaces, case and punctuation included. Documents
@@ -228,26 +238,26 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = rows.filter("words IS NOT NULL").groupBy("words").agg(F.min(order).alias("first"), F.count("*").alias("n"))
     nodes = materialize(classes.select("words", "n", F.col("first.row_no").alias("node"), F.col("first.doc_id").alias("doc_id"), F.col("first.none").alias("none"), F.col("first.n_words").alias("n_words"), F.col("first.bands").alias("bands")), "nodes")
 
-    def bags_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return materialize(bags(docs, nodes.join(wanted, "node").select("node", "doc_id", "words"), id_col, text_col), "bags")
-
     pairs, large = first_candidates(nodes)
     pairs = materialize(pairs, "pairs")
-    bag = bags_of(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    bag = materialize(bags(docs, nodes.join(wanted, "node").select("node", "doc_id", "words"), id_col, text_col), "bags")
     links = materialize(verified(pairs, bag, similarity), "links")
     roots = components(links)
 
-    tagged = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = roots.select(F.col("node").alias("leader"), F.col("root").alias("head"))
-    tagged = materialize(tagged.join(heads, "leader", "left").withColumn("head", F.coalesce("head", "leader")), "tagged")
-    stray = tagged.filter("root <> head").select("key", F.col("node").alias("s"), F.col("root").alias("s_root"), F.col("n_words").alias("s_words"))
-    met = tagged.join(stray, "key").filter((F.col("root") != F.col("s_root")) & alike("n_words", "s_words", similarity) & (F.col("node") != F.col("leader")))
-    more = met.select(F.least("node", "s").alias("a"), F.greatest("node", "s").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = materialize(more, "more")
-    if not more.isEmpty():
-        links = materialize(links.unionByName(verified(more, bags_of(more), similarity)), "links")
-        roots = components(links)
+    tagged = large.join(roots, "node", "left").join(heads, "leader", "left").select("key", "node", F.coalesce("root", "node").alias("root"), (F.coalesce("root", "node") != F.coalesce("head", "leader")).alias("stray"))
+    tagged = materialize(tagged, "tagged")
+    torn = tagged.groupBy("key").agg(F.max("stray").alias("torn"), F.count("*").alias("n")).filter("torn")
+    torn = materialize(torn.select("key", "n"), "torn")
+    if not torn.isEmpty():
+        total = torn.agg(F.sum("n")).first()[0] or 0
+        members = hot_join(tagged, torn, ["key"], "n", total).groupBy("node").agg(F.first("root").alias("root"), F.max("stray").alias("probe"))
+        members = materialize(members.join(bag, "node"), "rest")
+        more = materialize(candidates(members, similarity).join(pairs, ["a", "b"], "left_anti"), "more")
+        if not more.isEmpty():
+            links = materialize(links.unionByName(verified(more, members.select("node", "bag"), similarity)), "links")
+            roots = components(links)
 
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = named.groupBy("root").agg(F.min(F.struct("none", "doc_id", "node")).alias("keep"))
