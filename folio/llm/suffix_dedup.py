@@ -165,22 +165,29 @@ def copied(right: np.ndarray, lefts: Sequence[bytes], several: np.ndarray, least
     low, high = int(least.min()), int(most.max())
     cuts = np.unique(np.concatenate([[low], left + 1, length - right]))
     cuts = cuts[(cuts >= low) & (cuts <= high)]
-    copies, by_left = np.empty((len(cuts), g), bool), np.zeros(g, np.int64)
-    for i, d in enumerate(cuts.tolist()):
+    # `since` holds where a member's current run of copied distances began; a run is given out when it ends.
+    by_left, was, since, out = np.zeros(g, np.int64), np.zeros(g, bool), np.zeros(g, np.int64), []
+
+    def close(ended: np.ndarray, last: int) -> None:
+        who = np.flatnonzero(ended)
+        lo, hi = np.maximum(since[who], least[who]), np.minimum(last, most[who])
+        on = lo <= hi
+        out.append(np.stack([who[on], lo[on], hi[on]]))
+
+    for d in cuts.tolist():
         by_left[order[1:]] = np.cumsum(left < d)
-        by_left[order[0]] = 0
         both = by_left.copy()
         both[1:] += np.cumsum(right < length - d) * g
-        _, where, times = np.unique(both, return_inverse=True, return_counts=True)
-        copies[i] = times[where] > 1
-    copies |= several
-    ends = np.r_[cuts[1:] - 1, high]
-    edge = np.diff(np.pad(copies, ((1, 1), (0, 0))).astype(np.int8), axis=0)
-    who, up = np.nonzero(edge.T == 1)
-    _, down = np.nonzero(edge.T == -1)
-    lo, hi = np.maximum(cuts[up], least[who]), np.minimum(ends[down - 1], most[who])
-    on = lo <= hi
-    return who[on], lo[on], hi[on]
+        place = np.argsort(both, kind="stable")
+        first = np.flatnonzero(K.run_starts(both[place]))
+        times = np.diff(np.r_[first, g])
+        now = several.copy()
+        now[place[np.repeat(times > 1, times)]] = True
+        close(was & ~now, d - 1)
+        since[now & ~was] = d
+        was = now
+    close(was, high)
+    return tuple(np.concatenate(out, axis=1))
 
 
 RUN = "part int, block long, shared binary, size binary, rest binary, before binary, before_size binary, times binary, places binary"
@@ -214,31 +221,32 @@ def suffix_runs(block: Block, keys: np.ndarray, total: np.ndarray, length: int,
 def merge_part(table: pa.Table, length: int) -> pa.Table:
     """Merges the runs of a part; for each block the starts and ends of copied bytes."""
     runs = []
-    for row in table.to_pylist():
+    for k in range(table.num_rows):
+        row = {name: table.column(name)[k].as_py() for name in table.column_names}
         get = lambda name, t=np.int32, row=row: np.frombuffer(row[name], t)
         before, times = np.r_[0, np.cumsum(get("before_size"))].tolist(), np.r_[0, np.cumsum(get("times"))].tolist()
         runs.append(Run(get("shared"), get("size"), row["rest"], (row["block"], row["before"], before, get("places", np.int64), times)))
     found: dict[int, list[np.ndarray]] = {}
 
-    def close(members: list[tuple[bytes, int, Run, int]]) -> None:
-        owners = [(r.owner, i) for _, _, r, i in members]
-        lefts = [o[1][o[2][i] : o[2][i + 1]] for o, i in owners]
+    def close(members: list[tuple[int, int, object, int]]) -> None:
+        owners = [(o, i) for _, _, o, i in members]
         several = np.array([o[4][i + 1] - o[4][i] > 1 for o, i in owners])
         if len(members) == 1 and not several[0]:
             return
-        least = np.array([length - (len(s) - 8) for s, *_ in members], np.int64)
+        lefts = [o[1][o[2][i] : o[2][i + 1]] for o, i in owners]
+        least = np.array([length - (n - 8) for n, *_ in members], np.int64)
         right = np.array([h - 8 for _, h, *_ in members[1:]], np.int64)
         for m, lo, hi in zip(*(x.tolist() for x in copied(right, lefts, several, least, np.array([len(x) for x in lefts], np.int64), length)), strict=True):
             o, i = owners[m]
             at = o[3][o[4][i] : o[4][i + 1]]
             found.setdefault(o[0], []).append(np.stack([at - hi, at - lo + length]))
 
-    group: list[tuple[bytes, int, Run, int]] = []
-    for x in merged(runs):
-        if group and x[1] < 8:
+    group: list[tuple[int, int, object, int]] = []
+    for suffix, h, run, i in merged(runs):
+        if group and h < 8:
             close(group)
             group = []
-        group.append(x)
+        group.append((len(suffix), h, run.owner, i))
     if group:
         close(group)
     spans = {b: np.concatenate(x, axis=1) for b, x in found.items()}
