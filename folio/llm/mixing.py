@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BUCKET_ROWS, WORD, hot_join, materialize, unit
+from .common import BUCKET_ROWS, WORD, hot_join, materialize
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -74,7 +74,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
         "plan",
     )
     total = plan.agg(F.sum("n_rows")).first()[0] or 0
-    order = unit(F.col("doc_id"), F.lit(seed))
+    # A seeded order that any engine can compute: 52 bits of an MD5.
+    order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") * F.lit(2.0**-52)
     joined = hot_join(rows.drop("source"), plan, ["key"], "n_rows", total).withColumn("u", order).withColumn("bucket", F.floor(F.col("u") * F.col("buckets")))
     joined = materialize(joined, "mixrows")
     upto = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -67,6 +67,47 @@ SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM d""",
+    "op2_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             p AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+             g AS (SELECT p.doc_id, i, array_to_string(w[i:i + 12], ' ') AS t FROM p JOIN d USING (doc_id)),
+             f AS (SELECT t, min(doc_id) AS first FROM g GROUP BY 1),
+             c AS (SELECT doc_id, i FROM g JOIN f USING (t) WHERE first < doc_id),
+             r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM c),
+             l AS (SELECT doc_id, list(k) AS gone FROM r GROUP BY 1),
+             e AS (SELECT doc_id, i, CASE WHEN lag(i) OVER v = i - 1 AND lag(first) OVER v = first THEN 0 ELSE 1 END AS new FROM g JOIN f USING (t) WHERE first < doc_id WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+             n AS (SELECT doc_id, CAST(sum(new) AS BIGINT) AS n_factors FROM e GROUP BY 1),
+             k AS (SELECT d.doc_id, string_agg(w[k], ' ' ORDER BY k) AS kept FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d) d LEFT JOIN r USING (doc_id, k) WHERE r.k IS NULL GROUP BY 1)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_factors, 0) AS n_factors
+        FROM d LEFT JOIN l USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op3_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+             p AS (SELECT doc_id, h, unnest(range(CAST(length(h) // 2 - 399 AS BIGINT))) AS i FROM d WHERE length(h) >= 800),
+             g AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS m FROM p),
+             c AS (SELECT m FROM g GROUP BY 1 HAVING count(*) > 1),
+             x AS (SELECT doc_id, i, max(i + 400) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM g SEMI JOIN c USING (m)),
+             y AS (SELECT doc_id, i, sum(CASE WHEN upto IS NULL OR i > upto THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM x),
+             s AS (SELECT doc_id, k, min(i) AS a, max(i) + 400 AS b FROM y GROUP BY 1, 2),
+             t AS (SELECT doc_id, a, b, coalesce(lag(b) OVER v, 0) AS from_byte, row_number() OVER v = count(*) OVER (PARTITION BY doc_id) AS is_last FROM s WINDOW v AS (PARTITION BY doc_id ORDER BY a)),
+             r AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed,
+                     string_agg(substr(h, 2 * from_byte + 1, 2 * (a - from_byte)) || CASE WHEN is_last THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept FROM t JOIN d USING (doc_id) GROUP BY 1)
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+        FROM d LEFT JOIN r USING (doc_id)""",
+    "op7_mixing": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                     CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) * pow(2.0, -52) AS u FROM documents),
+             s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+             w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+             o AS (SELECT *, 2 * source_size / weight AS ratio, sum(source_size) OVER () * 1.5::DOUBLE AS total, sum(weight) OVER () AS all_weight,
+                     coalesce(sum(source_size) OVER v, 0) AS held, coalesce(sum(weight) OVER v, 0) AS held_weight
+                   FROM w WINDOW v AS (ORDER BY 2 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+             -- The level is that of the first source, in order of ratio, that it leaves unclamped with all before it clamped.
+             l AS (SELECT (total - 2 * held) / (all_weight - held_weight) AS level FROM o WHERE ratio >= (total - 2 * held) / (all_weight - held_weight) ORDER BY ratio, source LIMIT 1),
+             t AS (SELECT source, source_size, least(2.0 * source_size, weight * coalesce((SELECT level FROM l), 1e300)) AS target FROM w),
+             r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
+                     sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before
+                   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN whole < 2 AND before + size / 2 < target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r""",
     "op8_exact_top_k": r"""
         WITH v AS (SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
@@ -74,4 +115,19 @@ SQL: dict[str, str] = {
                    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
              r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op10_near_dedup": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             c AS (SELECT doc_id, w, min(doc_id) OVER (PARTITION BY w) AS class_id FROM d),
+             r AS (SELECT class_id, w FROM c WHERE doc_id = class_id AND len(w) > 0),
+             g AS (SELECT class_id, unnest(CASE WHEN len(w) < 5 THEN [w] ELSE [w[i:i + 4] FOR i IN range(1, len(w) - 3)] END) AS t FROM r),
+             n AS (SELECT class_id, t, count(*) AS n FROM g GROUP BY 1, 2),
+             s AS (SELECT class_id, sum(n) AS total FROM n GROUP BY 1),
+             o AS (SELECT a.class_id AS x, b.class_id AS y, sum(least(a.n, b.n)) AS overlap FROM n a JOIN n b ON a.t = b.t AND a.class_id < b.class_id GROUP BY 1, 2),
+             l AS (SELECT x, y FROM o JOIN s a ON a.class_id = x JOIN s b ON b.class_id = y WHERE overlap >= 0.8 * (a.total + b.total - overlap) - 1e-9),
+             e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+             p AS (SELECT x, y FROM e UNION SELECT p.x, e.y FROM p JOIN e ON p.y = e.x),
+             m AS (SELECT x AS class_id, least(x, min(y)) AS group_id FROM p GROUP BY 1)
+        SELECT doc_id, CASE WHEN len(w) = 0 THEN doc_id ELSE class_id END AS class_id, CASE WHEN len(w) = 0 THEN doc_id ELSE coalesce(group_id, class_id) END AS group_id,
+               len(w) = 0 OR doc_id = coalesce(group_id, class_id) AS kept
+        FROM c LEFT JOIN m USING (class_id)""",
 }
