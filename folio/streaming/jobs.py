@@ -49,8 +49,7 @@ def late_counts(stream: DataFrame, delay: str = "10 minutes", width: str = "5 mi
     return stream.withWatermark("ts", delay).groupBy(F.window("ts", width), "status").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "status", "n")
 
 
-def run_once(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """What a streaming query gives for all that is there now, as an in-memory table."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def run_once(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Appends what a streaming query gives for all that is there now to a Parquet table, and reads that."""
+    df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -26,11 +26,11 @@ def test_late_events_are_left_out(spark, tmp_path):
     rows = [("j", 1, "done", "", i, T + datetime.timedelta(minutes=m)) for i, m in enumerate((0, 1, 30))]
     spark.createDataFrame(rows, jobs.EVENTS).coalesce(1).write.parquet(source)
     stream = jobs.late_counts(jobs.events(spark, source))
-    log = str(tmp_path / "log")
-    jobs.run_once(stream, "late_a", "append", log)
+    out, log = str(tmp_path / "out"), str(tmp_path / "log")
+    jobs.run_once(stream, out, log)
     spark.createDataFrame([("j", 1, "done", "", 9, T), ("j", 1, "done", "", 10, T + datetime.timedelta(minutes=90))], jobs.EVENTS).coalesce(1).write.mode("append").parquet(source)
-    got = {(r["start"], r["n"]) for r in jobs.run_once(stream, "late_b", "append", log).collect()}
-    assert (T, 2) not in got and (T + datetime.timedelta(minutes=30), 1) in got
+    got = {(r["start"], r["n"]) for r in jobs.run_once(stream, out, log).collect()}
+    assert (T, 2) in got and (T, 3) not in got and (T + datetime.timedelta(minutes=30), 1) in got
 
 
 def test_answers_from_chunks(spark):
