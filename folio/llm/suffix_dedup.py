@@ -45,7 +45,8 @@ class Anchors:
         new = np.flatnonzero(K.run_starts(at))
         if len(new):
             self.at, self.low, self.high = at[new], start[new], start[np.r_[new[1:], len(at)] - 1]
-            self.key = gram[self.at]
+            # The least hashes are all small; mixed again they spread over the parts.
+            self.key = K.mix(gram[self.at])
 
 
 def anchor_counts(block: Block, length: int) -> list[np.ndarray]:
