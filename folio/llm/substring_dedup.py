@@ -28,7 +28,8 @@ class Windows:
         self.doc, place = K.spread(np.maximum(self.n_words - size + 1, 0))
         self.start = self.first[:-1][self.doc] + place
         self.hash = K.grams(hashes, size)[self.start]
-        self.anchor = K.sliding_min(K.grams(hashes, ANCHOR), size - ANCHOR + 1)[self.start]
+        # The least hashes are all small; mixed again they spread over the parts.
+        self.anchor = K.mix(K.sliding_min(K.grams(hashes, ANCHOR), size - ANCHOR + 1)[self.start])
 
 
 def anchors(block: Block, size: int) -> list[np.ndarray]:
