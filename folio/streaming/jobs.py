@@ -44,6 +44,16 @@ def answers(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("request").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text"), F.max(F.col("type") == "done").alias("finished"), F.max(F.col("type") == "error").alias("failed"))
 
 
+def write_done(chunks: DataFrame, path: str, checkpoint: str, once: bool = False):
+    """Appends a history row (request, text, seq) for each finished request; a batch that is written again replaces itself."""
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.filter("type = 'done'").select("request", "text", "seq").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = chunks.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def late_counts(stream: DataFrame, delay: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
     """Events a window and status; events later than `delay` are left out, and closed windows leave the state."""
     return stream.withWatermark("ts", delay).groupBy(F.window("ts", width), "status").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "status", "n")

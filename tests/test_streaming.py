@@ -39,6 +39,14 @@ def test_answers_from_chunks(spark):
     assert got == {"a": ("ab", True, False), "b": ("", False, True)}
 
 
+def test_finished_requests_are_appended(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "history")
+    for rows in ([("a", 1, "chunk", "x"), ("a", 2, "done", "all of a")], [("b", 1, "error", "no"), ("c", 1, "done", "all of c")]):
+        spark.createDataFrame(rows, jobs.CHUNKS).coalesce(1).write.mode("append").parquet(source)
+        jobs.write_done(jobs.events(spark, source, jobs.CHUNKS), out, str(tmp_path / "log"), once=True).awaitTermination()
+    assert sorted((r["request"], r["text"]) for r in spark.read.parquet(out).collect()) == [("a", "all of a"), ("c", "all of c")]
+
+
 def test_sinks(spark, tmp_path):
     parts = spark.createDataFrame([("d", 2, "b"), ("d", 1, "a"), ("e", 1, "c")], "doc string, pos int, text string")
     files.write_text(parts, str(tmp_path / "text"))
