@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..session import scratch
 
 LISTED = ["id", "title", "subject", "grade", "chapter", "semester", "doc_type", "created_at", "updated_at"]
 
@@ -23,6 +24,19 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return current.join(incoming.select(key), key, "left_anti").unionByName(incoming)
 
 
+def numbered(rows: DataFrame, order: str, name: str, first: Column) -> DataFrame:
+    """rows with `name`, counting on from `first` in the order of a column. Rows are cut into ranges and stored, ranges
+    are counted, and each is numbered by itself, so no task has all rows."""
+    spark = rows.sparkSession
+    path = scratch(spark, "numbered")
+    rows.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    cut = spark.read.parquet(path)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__part").orderBy(order)
+    return cut.join(F.broadcast(parts), "__part").withColumn(name, first + F.col("__before") + F.row_number().over(inside)).drop("__part", "__before")
+
+
 def seed_settings(current: DataFrame, defaults: DataFrame) -> DataFrame:
     """Defaults for keys that are not set."""
     return current.unionByName(defaults.join(current, "key", "left_anti"))
@@ -35,8 +49,8 @@ def save_documents(current: DataFrame, incoming: DataFrame, now: Column) -> Data
     """
     filled = incoming.withColumns({"subject": F.coalesce("subject", F.lit("Vật lý")), "chapter": F.coalesce("chapter", F.lit("")), "semester": F.coalesce("semester", F.lit("")), "doc_type": F.coalesce("doc_type", F.lit(S.OTHER_DOCUMENT))})
     is_new = F.coalesce("id", F.lit(0)) == 0
-    top = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    new = filled.filter(is_new).crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.row_number().over(Window.orderBy("seq"))).drop("top")
+    top = current.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    new = numbered(filled.filter(is_new).drop("id"), "seq", "id", F.lit(top))
     updates = last_write_wins(filled.filter(~is_new), "id", "seq")
     old = current.select("id", F.col("created_at").alias("__created"))
     changed = updates.join(old, "id").withColumn("created_at", F.col("__created"))
@@ -86,8 +100,8 @@ def update_settings(current: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def append_history(history: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
     """history with new rows (its columns but id and created_at, and seq), numbered on."""
-    top = history.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    new = rows.crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.row_number().over(Window.orderBy("seq"))).withColumn("created_at", now)
+    top = history.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    new = numbered(rows, "seq", "id", F.lit(top)).withColumn("created_at", now)
     return history.unionByName(new.select(*history.columns))
 
 
