@@ -49,9 +49,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     """How often each document enters the mix: doc_id, size, source_size, target, repeats, taken, row_no.
 
     A source whose target is e times its size gives every document floor(e) times, and for the fraction once more
-    the documents that come first in a seeded order, up to the one whose middle passes the target, so the taken
-    words miss the target by half a document at most. The running sums of a source, which may hold a third of all
-    rows, are taken in buckets of about BUCKET_ROWS rows.
+    the documents that come first in a seeded order as long as they fit, and then the one document whose size is
+    nearest to what is left. The running sums of a source, which may hold a third of all rows, are taken in
+    buckets of about BUCKET_ROWS rows.
 
     The size is the number of words; a null or empty text has none and adds nothing. Null is a source of its own,
     last in the order. Repeated rows are rows like others. An empty table gives an empty result. Other columns
@@ -81,9 +81,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     upto = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = joined.groupBy("key", "bucket").agg(F.sum("size").alias("words")).select("key", "bucket", F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("base"))
     inside = Window.partitionBy("key", "bucket").orderBy("u", "doc_id", "row_no").rowsBetween(Window.unboundedPreceding, 0)
-    ran = joined.join(sums, ["key", "bucket"]).withColumn("before", F.col("base") + F.sum("size").over(inside) - F.col("size"))
-    more = F.col("before") + F.col("size") / 2 < F.col("target") - F.col("whole") * F.col("source_size")
-    repeats = (F.col("whole") + F.when(more & (F.col("whole") < max_epochs), 1).otherwise(0)).cast("long")
+    part = F.col("target") - F.col("whole") * F.col("source_size")
+    ran = joined.join(sums, ["key", "bucket"]).withColumn("upto", F.col("base") + F.sum("size").over(inside)).withColumn("part", part)
+    ran = materialize(ran.withColumn("more", (F.col("upto") <= F.col("part")) & (F.col("whole") < max_epochs)).drop("base", "bucket", "buckets"), "ran")
+    # What is left of the fraction goes to the one document that comes nearest to it, if that is nearer than none.
+    gaps = ran.groupBy("key").agg(F.first("n_rows").alias("n"), (F.max("part") - F.coalesce(F.max(F.when(F.col("more"), F.col("upto"))), F.lit(0))).alias("gap"))
+    left = hot_join(ran.filter(~F.col("more") & (F.col("whole") < max_epochs)), materialize(gaps, "gaps"), ["key"], "n", total)
+    miss = F.abs(F.col("size") - F.col("gap"))
+    last = left.filter(miss < F.col("gap")).groupBy("key").agg(F.min(F.struct(miss.alias("miss"), "u", "doc_id", "row_no")).alias("one")).select(F.col("one.row_no").alias("row_no"), F.lit(True).alias("last"))
+    repeats = (F.col("whole") + F.when(F.col("more") | F.coalesce("last", F.lit(False)), 1).otherwise(0)).cast("long")
+    ran = ran.join(materialize(last, "last"), "row_no", "left")
     return ran.withColumn("repeats", repeats).select("doc_id", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"), "row_no")
 
 
