@@ -14,11 +14,6 @@ DIGITAL = 0.80
 CHUNK, LARGE, SECONDS = 50, 80, 10
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    """doc, page, pos, line and norm: one row for each line of each page."""
-    return pages.select("doc", "page", F.posexplode(T.lines(F.col("text"))).alias("pos", "line")).withColumn("norm", T.norm_line(F.col("line")))
-
-
 def sampled(pages: DataFrame, sample: int | None = SAMPLE) -> DataFrame:
     """At most `sample` evenly spaced pages of each doc; pages must be numbered from 0 in `page`."""
     if sample is None:
@@ -33,24 +28,33 @@ def sampled(pages: DataFrame, sample: int | None = SAMPLE) -> DataFrame:
 def boilerplate(pages: DataFrame, fraction: float = PAGE_FRACTION, sample: int | None = None) -> DataFrame:
     """doc, norm, n_pages, need: short lines on at least max(2, round(fraction * pages)) pages, and page numbers.
 
-    A page counts once for a line: (doc, line, page) is made distinct by the aggregation, which partial sums make
-    cheap, so a line on every page of a large doc is one row a task in the shuffle.
+    A page is one row, so its lines are made distinct before they are exploded, without a shuffle; the counts are
+    combined before theirs, so a line on every page of a large doc is one row a task. Page totals read no text.
     """
     chosen = sampled(pages, sample)
-    totals = chosen.groupBy("doc").agg(F.countDistinct("page").alias("pages"))
-    short = page_lines(chosen).filter((F.col("norm") != "") & (F.length("norm") <= LINE_MAX))
-    counts = short.select("doc", "page", "norm").distinct().groupBy("doc", "norm").agg(F.count("*").alias("n_pages"))
+    totals = chosen.groupBy("doc").agg(F.count("*").alias("pages"))
+    norms = F.array_distinct(F.filter(F.transform(T.lines(F.col("text")), T.norm_line), lambda x: (x != "") & (F.length(x) <= LINE_MAX)))
+    counts = chosen.select("doc", F.explode(norms).alias("norm")).groupBy("doc", "norm").agg(F.count("*").alias("n_pages"))
     need = F.greatest(F.lit(2), F.bround(F.col("pages") * F.lit(fraction)).cast("int"))
     return counts.join(totals, "doc").withColumn("need", need).filter((F.col("n_pages") >= F.col("need")) | T.is_page_number(F.col("norm"))).select("doc", "norm", "n_pages", "need")
 
 
 def effective_text(pages: DataFrame, boiler: DataFrame) -> DataFrame:
-    """doc, page, raw and effective: a page's text, and without empty, boilerplate and page-number lines, in order."""
-    kept = page_lines(pages).filter((F.col("norm") != "") & ~T.is_page_number(F.col("norm"))).join(boiler.select("doc", "norm"), ["doc", "norm"], "left_anti")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", T.strip(F.col("line")).alias("line"))))
-    joined = kept.groupBy("doc", "page").agg(T.strip(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")).alias("effective"))
-    raw = pages.select("doc", "page", T.strip(F.coalesce("text", F.lit(""))).alias("raw"))
-    return raw.join(joined, ["doc", "page"], "left").select("doc", "page", "raw", F.coalesce("effective", F.lit("")).alias("effective"))
+    """doc, page, raw and effective: a page's text, and without empty, boilerplate and page-number lines, in order.
+
+    A doc has few repeated lines (at most its lines a page over the fraction), so they come to its pages as an array,
+    and each text is filtered where it is: one scan and one join on doc, in which no line moves by itself.
+    """
+    repeated = boiler.filter(~T.is_page_number(F.col("norm"))).groupBy("doc").agg(F.collect_set("norm").alias("repeated"))
+    none = F.array().cast("array<string>")
+
+    def keep(line: Column) -> Column:
+        norm = T.norm_line(line)
+        return (norm != "") & ~T.is_page_number(norm) & ~F.array_contains(F.coalesce("repeated", none), norm)
+
+    kept = F.transform(F.filter(T.lines(F.col("text")), keep), T.strip)
+    out = pages.join(repeated, "doc", "left")
+    return out.select("doc", "page", T.strip(F.coalesce("text", F.lit(""))).alias("raw"), T.strip(F.array_join(kept, "\n")).alias("effective"))
 
 
 def is_scan(raw: Column, effective: Column, cover: Column, images: Column, strokes: Column) -> Column:
