@@ -25,25 +25,29 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each piece of each document: doc_id, row_no, piece, start, length, ids_crc32. Each text is encoded once."""
+def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """A row for each piece of each document: doc_id, row_no, piece, start, length, ids_crc32, and ids if asked for. Each text is
+    encoded once."""
     path = vocabulary or default_vocabulary()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, tail = encoder(path), np.array([end], "<u4")
         for b in batches:
-            rows, ids, piece, start, length, crc = [], b.column(0), [], [], [], []
+            rows, ids, piece, start, length, crc, own = [], b.column(0), [], [], [], [], []
             for i, text in enumerate(b.column(2)):
                 got = np.concatenate([enc.encode(text.as_py() or "").astype("<u4", copy=False), tail])
                 for k, (s, n) in enumerate(cut(len(got), capacity)):
                     rows.append(i), piece.append(k), start.append(s), length.append(n), crc.append(zlib.crc32(got[s : s + n]))
+                    if with_ids:
+                        own.append(got[s : s + n].astype(np.int32))
             at = pa.array(rows, pa.int64())
+            more = {"ids": pa.array(own, pa.list_(pa.int32()))} if with_ids else {}
             yield pa.record_batch(
-                {"doc_id": ids.take(at), "row_no": b.column(1).take(at), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
+                {"doc_id": ids.take(at), "row_no": b.column(1).take(at), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), **more}
             )
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(encode, "doc_id long, row_no long, piece int, start long, length long, ids_crc32 long")
+    return chosen.mapInArrow(encode, "doc_id long, row_no long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
@@ -104,8 +108,8 @@ def ranked(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
     return rows.join(firsts, ["length", "bucket"]).withColumn("rank", F.col("first") + F.row_number().over(inside) - 1).drop("first", "bucket")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document's pieces with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Every document's pieces with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids if asked for.
 
     A document is its ids and the end id; one longer than capacity is cut so that only its first piece is
     shorter. The driver gets the number of pieces of each length (capacity rows at most), plans slots on it, and
@@ -115,7 +119,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary:
     A null or empty text is the end id alone. Repeated rows are packed each. An empty table gives an empty
     result. Other columns are not read.
     """
-    table = materialize(pieces(docs, capacity, end, vocabulary, id_col, text_col), "pieces")
+    table = materialize(pieces(docs, capacity, end, vocabulary, id_col, text_col, with_ids), "pieces")
     counts = {r["length"]: r["count"] for r in table.groupBy("length").count().collect()}
     plan = best_fit_plan(counts, capacity)
     by = {int(n): plan[plan[:, 0] == n, 1:] for n in np.unique(plan[:, 0])}
@@ -128,6 +132,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary:
                 at, slots = length == n, by[int(n)]
                 k = np.searchsorted(slots[:, 0], rank[at], "right") - 1
                 sequence[at], offset[at] = slots[k, 1] + rank[at] - slots[k, 0], slots[k, 2]
-            yield f[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=sequence, offset=offset)
+            yield f[["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]].assign(sequence_id=sequence, offset=offset)
 
-    return ranked(table, counts).mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked(table, counts).mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids array<int>, " * with_ids + "sequence_id long, offset long")
+
+
+def sequences(docs: DataFrame, **how) -> DataFrame:
+    """The packed sequences: sequence_id, n_pieces, ids. A sequence has capacity ids at most, so a group is small."""
+    places = pack(docs, **how, with_ids=True)
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    return places.groupBy("sequence_id").agg(F.count("*").alias("n_pieces"), F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from itertools import compress
 
 import numpy as np
@@ -10,12 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernels as K
-from .blocks import Block, answered, dealt, emitted, found_in, met, part_bits, text_blocks
+from .blocks import LAST, Block, answered, dealt, emitted, found_in, met, part_bits, text_blocks
 
 #: Words of a window, and of the grams whose least hash in a window is its anchor.
 WINDOW = 13
 ANCHOR = 4
-EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
 
 class Windows:
@@ -66,7 +64,7 @@ def removed_words(w: Windows, ids: np.ndarray, keys: np.ndarray, holder: np.ndar
     edge = np.zeros(w.first[-1] + 1, np.int64)
     np.add.at(edge, w.start[copy], 1)
     np.add.at(edge, w.start[copy] + size, -1)
-    return np.cumsum(edge)[:-1] > 0, np.where(copy, holder[at] if len(holder) else 0, np.iinfo(np.int64).max)
+    return np.cumsum(edge)[:-1] > 0, np.where(copy, holder[at] if len(holder) else 0, LAST)
 
 
 def found_copies(docs: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame]:
@@ -89,16 +87,20 @@ def found_copies(docs: DataFrame, id_col: str, text_col: str, size: int) -> tupl
     return blocks, met(entries, "ll", first_holders, "l")
 
 
+SPANS = "doc_id long, n_words long, n_removed long, factors array<struct<start:long,n_words:long,reference:long>>, kept string"
+
+
 def substring_dedup(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Removes words in windows of `size` words that also start in an earlier document: doc_id, n_words, n_removed,
-    kept_sha256 (of the kept words joined by one blank), n_factors.
+    """Removes words in windows of `size` words that also start in an earlier document: doc_id, n_words, n_removed, factors
+    (first word, words, the earlier document) and kept, the words that stay with one blank between.
 
     The reference of a document is all documents with smaller identifiers, in blocks that are indexed by anchors:
     of the grams of four words in a window the one with the least hash, so equal windows have equal anchors. A
     block's windows whose anchor another document has too are looked up in all blocks' indexes, and each gets the
     first document that has its words. A document is then factored from left to right: a factor goes on as long as
-    windows point to the same reference. Factors are at least a window long, and windows over the boundary of two
-    factors are checked like others, so the result is that of comparing all windows. Equality is by 64-bit hashes.
+    windows point to the same reference. Factors are at least a window long and may overlap, as windows over the
+    boundary of two are checked like others; the result is that of comparing all windows. Equality is by 64-bit
+    hashes.
 
     A null text has no words; texts of fewer words than a window lose none. Null identifiers come after all
     others. Rows that repeat an identifier are not earlier than each other and keep their words. A very long text
@@ -109,18 +111,20 @@ def substring_dedup(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
     def finish(block: Block, keys: np.ndarray, holder: np.ndarray) -> pa.Table:
         w = Windows(block, size)
         gone, reference = removed_words(w, block.ids, keys, holder, size)
-        is_copy = reference != np.iinfo(np.int64).max
-        factor = is_copy & K.run_starts(w.doc, reference)
-        count = lambda at, x: np.bincount(at, x, len(block.ids)).astype(np.int64)
+        begin = np.flatnonzero(K.run_starts(w.doc, reference))
+        end = np.r_[begin[1:], len(reference)][: len(begin)] - 1
+        copied = reference[begin] != LAST
+        begin, end = begin[copied], end[copied]
+        of = w.doc[begin]
+        factors = pa.StructArray.from_arrays([pa.array(w.start[begin] - w.first[:-1][of]), pa.array(w.start[end] - w.start[begin] + size), pa.array(reference[begin])], names=["start", "n_words", "reference"])
+        per_doc = np.bincount(of, minlength=len(block.ids))
         word_doc, _ = K.spread(w.n_words)
-        n_removed, sha = count(word_doc, gone), []
+        n_removed, kept = np.bincount(word_doc, gone, len(block.ids)).astype(np.int64), []
         o, f = block.offsets.tolist(), w.first.tolist()
         for i, n in enumerate(n_removed.tolist()):
-            if n == f[i + 1] - f[i]:
-                sha.append(EMPTY_SHA256)
-                continue
-            of = block.raw[o[i] : o[i + 1]].split()
-            sha.append(hashlib.sha256(b" ".join(compress(of, (~gone[f[i] : f[i + 1]]).tolist()) if n else of)).hexdigest())
-        return pa.table({"doc_id": block.id_column(), "n_words": pa.array(w.n_words, pa.int64()), "n_removed": pa.array(n_removed), "kept_sha256": pa.array(sha, pa.string()), "n_factors": pa.array(count(w.doc, factor))})
-
-    return answered(blocks, copies, "l", finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long")
+            words = [] if n == f[i + 1] - f[i] else block.raw[o[i] : o[i + 1]].split()
+            kept.append(b" ".join(compress(words, (~gone[f[i] : f[i + 1]]).tolist()) if n else words))
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per_doc)], pa.int32()), factors)
+        return pa.table({"doc_id": block.id_column(), "n_words": pa.array(w.n_words, pa.int64()), "n_removed": pa.array(n_removed), "factors": lists, "kept": pa.array(kept, pa.binary()).cast(pa.string())})
+
+    return answered(blocks, copies, "l", finish, SPANS)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -265,8 +264,8 @@ def strings_of(block: Block, keys: np.ndarray, total: np.ndarray, length: int, m
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most: int = SORTED) -> DataFrame:
-    """Removes every byte in a string of `length` bytes that also starts anywhere else: doc_id, n_bytes, n_removed,
-    n_spans, kept_sha256 (of the bytes that stay).
+    """Removes every byte in a string of `length` bytes that also starts anywhere else: doc_id, n_bytes, spans (first byte,
+    bytes; those removed, as long as they go) and kept, the bytes that stay, in which characters may be cut.
 
     Every string has an anchor, its 32-byte gram of the least hash, so equal strings are equal around equal anchors.
     Blocks first learn which of their anchors occur more than once. They sort the suffixes at those, with the
@@ -293,15 +292,20 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         np.add.at(edge, start.astype(np.int64), 1)
         np.add.at(edge, end, -1)
         gone = np.cumsum(edge)[:-1] > 0
-        n_bytes, n_removed, n_spans, sha = np.diff(block.offsets), [], [], []
-        for s, e in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True):
-            off = gone[s:e]
-            n_removed.append(int(off.sum()))
-            n_spans.append(int((off[1:] & ~off[:-1]).sum() + off[0]) if n_removed[-1] else 0)
-            sha.append(hashlib.sha256(block.data[s:e][~off].tobytes() if n_removed[-1] else block.raw[s:e]).hexdigest())
-        return pa.table({"doc_id": block.id_column(), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
-
-    return answered(blocks, spans, "l", finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        inner = np.zeros(len(gone) + 1, bool)
+        inner[block.offsets[:-1]] = True
+        up = np.flatnonzero(gone & (inner[:-1] | ~np.r_[False, gone[:-1]])) if len(gone) else np.empty(0, np.int64)
+        down = np.flatnonzero(gone & (inner[1:] | ~np.r_[gone[1:], False])) + 1 if len(gone) else up
+        of = np.searchsorted(block.offsets, up, "right") - 1
+        spans = pa.StructArray.from_arrays([pa.array(up - block.offsets[of]), pa.array(down - up)], names=["start", "length"])
+        per_doc = np.bincount(of, minlength=len(block.ids))
+        ends = np.r_[0, np.cumsum(per_doc)]
+        kept = []
+        for i, (s, e) in enumerate(zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True)):
+            kept.append(block.data[s:e][~gone[s:e]].tobytes() if per_doc[i] else block.raw[s:e])
+        return pa.table({"doc_id": block.id_column(), "n_bytes": pa.array(np.diff(block.offsets)), "spans": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans), "kept": pa.array(kept, pa.binary())})
+
+    return answered(blocks, spans, "l", finish, "doc_id long, n_bytes long, spans array<struct<start:long,length:long>>, kept binary")
 
 
 def has_more(hits: DataFrame, most: int) -> bool:

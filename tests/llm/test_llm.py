@@ -134,8 +134,16 @@ def test_substring_dedup(docs, rows, empty):
     texts = {i: words(t) for i, t, *_ in rows}
     gone = windows_removed(texts, 13)
     got = by_id(substring_dedup.substring_dedup(docs))
-    want = {i: (len(w), sum(gone[i]), hashlib.sha256(b" ".join(x for x, g in zip(w, gone[i], strict=True) if not g)).hexdigest()) for i, w in texts.items()}
-    assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in got.items()} == want
+    want = {i: (len(w), sum(gone[i]), b" ".join(x for x, g in zip(w, gone[i], strict=True) if not g).decode()) for i, w in texts.items()}
+    assert {i: (r["n_words"], r["n_removed"], r["kept"]) for i, r in got.items()} == want
+    for i, r in got.items():
+        covered = [False] * r["n_words"]
+        for f in r["factors"]:
+            covered[f["start"] : f["start"] + f["n_words"]] = [True] * f["n_words"]
+            factor, source = texts[i][f["start"] : f["start"] + f["n_words"]], texts[f["reference"]]
+            assert f["reference"] < i and f["n_words"] >= 13
+            assert all(any(source[p : p + 13] == factor[k : k + 13] for p in range(len(source) - 12)) for k in range(len(factor) - 12))
+        assert covered == gone[i]
     assert sum(r["n_removed"] for r in got.values()) > 500
     assert substring_dedup.substring_dedup(empty).count() == 0
 
@@ -163,15 +171,19 @@ def bytes_removed(texts: dict[int, bytes], size: int) -> dict[int, np.ndarray]:
 def test_suffix_dedup(docs, rows, length, most):
     texts = {i: (t or "").encode() for i, t, *_ in rows}
     gone = bytes_removed(texts, length)
-    runs = lambda g: int((g[1:] & ~g[:-1]).sum() + g[0]) if len(g) else 0
-    want = {i: (len(t), int(gone[i].sum()), runs(gone[i]), hashlib.sha256(np.frombuffer(t, np.uint8)[~gone[i]].tobytes()).hexdigest()) for i, t in texts.items()}
+
+    def spans(g: np.ndarray) -> list[tuple[int, int]]:
+        edge = np.flatnonzero(np.diff(np.r_[0, g.astype(int), 0]))
+        return list(zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist(), strict=True))
+
+    want = {i: (len(t), spans(gone[i]), np.frombuffer(t, np.uint8)[~gone[i]].tobytes()) for i, t in texts.items()}
     got = by_id(suffix_dedup.suffix_dedup(docs, length, most=most))
-    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == want
+    assert {i: (r["n_bytes"], [tuple(s) for s in r["spans"]], bytes(r["kept"])) for i, r in got.items()} == want
 
 
 def test_suffix_dedup_odd_cases(spark, empty):
     df = spark.createDataFrame([(1, "a" * 1000), (2, "ab" * 250), (3, None), (None, "x" * 399), (5, "y" * 400), (6, "y" * 400)], "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.suffix_dedup(df).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], sum(s["length"] for s in r["spans"]), len(r["spans"])) for r in suffix_dedup.suffix_dedup(df).collect()}
     assert got == {1: (1000, 1000, 1), 2: (500, 500, 1), 3: (0, 0, 0), None: (399, 0, 0), 5: (400, 400, 1), 6: (400, 400, 1)}
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
@@ -261,6 +273,15 @@ def test_packing(docs, rows, library, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_sequences_round_trip(docs, rows, library):
+    places = packing.pack(docs, 128).toPandas()
+    ids = {i: [*library.encode(t or "", add_special_tokens=False).ids, 2] for i, t, *_ in rows}
+    whole = {r["sequence_id"]: list(r["ids"]) for r in packing.sequences(docs, capacity=128).collect()}
+    assert set(whole) == set(places["sequence_id"])
+    for r in places.itertuples():
+        assert whole[r.sequence_id][r.offset : r.offset + r.length] == ids[r.doc_id][r.start : r.start + r.length]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plan_is_best_fit(seed):
     rng = random.Random(seed)
