@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import materialize, shuffle_partitions
 
-BLOCK_BYTES = 2 << 20
+#: Bytes of text in a block, at least and at most, and parts of the hash range at most.
+BLOCK_BYTES, LARGE_BLOCK, PART_BITS = 2 << 20, 32 << 20, 17
 #: The place of a null identifier in the order: after all others.
 LAST = np.iinfo(np.int64).max
 
@@ -29,9 +30,14 @@ Entries = list[np.ndarray]
 LARGE_ROWS = {"compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "4", "parquet.page.row.count.limit": "1", "parquet.block.size": str(16 << 20)}
 
 
-def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK_BYTES) -> DataFrame:
+def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int | None = None) -> DataFrame:
     """block, ids, none, offsets and text (compressed), materialized so that block numbers stand. A text of more bytes
-    than a block is a block of its own."""
+    than a block is a block of its own.
+
+    A block sends a row to each part, so blocks grow with the number of parts: rows keep several entries, and what a
+    row costs besides them stays small for any corpus.
+    """
+    size = size or min(LARGE_BLOCK, max(BLOCK_BYTES, 256 << part_bits(docs)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, pack = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1).compress
@@ -62,7 +68,8 @@ class Block:
 
 
 def part_bits(df: DataFrame) -> int:
-    return int(4 * shuffle_partitions(df.sparkSession) - 1).bit_length()
+    """The parts of the hash range, as a power of two: some for each shuffle partition, so that partitions are even."""
+    return min(PART_BITS, int(4 * shuffle_partitions(df.sparkSession) - 1).bit_length())
 
 
 def entries_schema(widths: str) -> str:
