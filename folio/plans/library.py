@@ -15,9 +15,9 @@ from ..operators import library as L
 from .registry import Inline, query, table
 
 T0, T1, T2 = (datetime.datetime(2026, 1, d) for d in (1, 2, 3))
-SETTINGS = Inline("settings", "key string, value string", [("gemini_api_key", "abc"), ("school_name", "A"), ("claude_key", ""), ("note", None)])
-DEFAULTS = Inline("defaults", "key string, value string", [("school_name", "default"), ("teacher", "T"), ("claude_key", "x")])
-INCOMING = Inline("incoming", "key string, value string", [("gemini_api_key", "***"), ("claude_key", "new"), ("school_name", ""), ("theme", "dark")])
+SETTINGS = Inline("settings", "key string, value string", [("model_api_key", "abc"), ("school_name", "A"), ("router_key", ""), ("note", None)])
+DEFAULTS = Inline("defaults", "key string, value string", [("school_name", "default"), ("teacher", "T"), ("router_key", "x")])
+INCOMING = Inline("incoming", "key string, value string", [("model_api_key", "***"), ("router_key", "new"), ("school_name", ""), ("theme", "dark")])
 DOCS = Inline("store", S.LIBRARY, [
     (1, "Dao động", "Vật lý", 11, "Chương 1", "1", "de_thi", "{}", T0, T1), (2, "Sóng cơ", "Vật lý", 11, "dao dong", "1", "khac", None, T0, T2),
     (3, "Nhiệt học", "Vật lý", 12, "", "2", "de_thi", '{"title":"N","sections":[{"type":"dung_sai","questions":[{"number":1},{"number":2}]}]}', T0, T1)])

@@ -164,7 +164,6 @@ def pipe_table_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.groupBy("doc_id", "island").agg(F.min("pos").cast("long").alias("first_line"), F.count("*").alias("n_lines"), (F.count("*") >= 2).alias("is_table")).drop("island")
 
 
-MATH = "𝑥𝜔"
 SYMBOLS = "√∑∫∞≤≥≠≈±×÷πλμαβγθωφΔΩ"
 
 
