@@ -111,10 +111,10 @@ def history_topk_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history(spark, sf_dir).select("id", "document_id", "created_at", rank.alias("r")).filter("r <= 2").drop("r")
 
 
-@query(f"""WITH h AS ({HISTORY}), a AS (SELECT * FROM h UNION ALL SELECT 7, (SELECT max(id) FROM h) + row_number() OVER (ORDER BY doc_id), 'm', text, TIMESTAMP '2026-02-01' FROM documents WHERE doc_id % 100 = 0)
+@query(f"""WITH h AS ({HISTORY}), a AS (SELECT * FROM h UNION ALL SELECT 7, (SELECT max(id) FROM h) + row_number() OVER (ORDER BY doc_id), 'm', text, TIMESTAMP '2026-02-01' FROM documents)
     SELECT count(*) AS n, max(id) AS top, count(*) FILTER (model_used = 'm') AS added, count(*) FILTER (id <> 1) AS without_one FROM a""")
 def history_append_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = table(spark, sf_dir, "documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("seq"), F.lit(7).cast("long").alias("document_id"), F.lit("").alias("question_id"), F.lit("").alias("question_text"), F.col("text").alias("solution_text"), F.lit("m").alias("model_used"), F.lit(0).alias("tokens_used"))
+    new = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.lit(7).cast("long").alias("document_id"), F.lit("").alias("question_id"), F.lit("").alias("question_text"), F.col("text").alias("solution_text"), F.lit("m").alias("model_used"), F.lit(0).alias("tokens_used"))
     grown = L.append_history(history(spark, sf_dir), new, F.lit(datetime.datetime(2026, 2, 1)).cast("timestamp"))
     one = L.delete_history(grown, 1).agg(F.count("*").alias("without_one"))
     return grown.agg(F.count("*").alias("n"), F.max("id").alias("top"), F.count_if(F.col("model_used") == "m").alias("added")).crossJoin(one)

@@ -169,7 +169,8 @@ def heights_and_leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def anchor_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", A.anchor_keys(F.element_at(T.lines(F.col("text")), 1)).alias("keys"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "line"))
+    return lines.select("doc_id", "pos", A.anchor_keys(F.col("line")).alias("keys"))
 
 
 @query()
@@ -178,7 +179,7 @@ def placed_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.place_figures(figures, MD.df(spark))
 
 
-@query("SELECT doc_id, md5('a ' || substr(coalesce(text, ''), 1, 50)) AS h FROM documents")
+@query("SELECT doc_id, md5('a ' || coalesce(text, '')) AS h FROM documents")
 def tool_images_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.concat(F.lit("a ![x](<d_images/imageFile3.png>)"), F.substring(F.coalesce("text", F.lit("")), 1, 50))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.regexp_replace(T.strip_tool_images(body), "^a ", "a ")).alias("h"))
+    body = F.concat(F.lit("a ![x](<d_images/imageFile3.png>)"), F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.strip_tool_images(body)).alias("h"))

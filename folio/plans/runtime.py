@@ -159,9 +159,9 @@ def docx_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.parse(S.docx_items(S.read_docx(files)))
 
 
-@query("SELECT doc_id, 'x' || doc_id AS title, 'khac' AS doc_type FROM documents WHERE doc_id < 20")
+@query("SELECT doc_id, 'x' || doc_id AS title, 'khac' AS doc_type FROM documents")
 def image_placeholders_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("doc_id < 20").select("doc_id", F.concat(F.lit("up/x"), F.col("doc_id").cast("string"), F.lit(".png")).alias("path"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("up/x"), F.col("doc_id").cast("string"), F.lit(".png")).alias("path"))
     return S.placeholder(d).join(d, "path").select("doc_id", "title", "doc_type")
 
 
@@ -171,8 +171,8 @@ def model_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_with_model(table(spark, sf_dir, "documents").select("doc_id"), readers).select("doc_id", "step")
 
 
-@query("SELECT source AS doc, md5('<html><body>' || string_agg('<p><b>Câu ' || doc_id || '.</b> ' || replace(replace(replace(replace(substr(regexp_replace(text, '[$\\n]', ' ', 'g'), 1, 40), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</p>', chr(10) ORDER BY doc_id) || '</body></html>') AS h FROM documents GROUP BY 1")
+@query("SELECT source AS doc, md5('<html><body>' || string_agg('<p><b>Câu ' || doc_id || '.</b> ' || replace(replace(replace(replace(regexp_replace(text, '[$\\n]', ' ', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</p>', chr(10) ORDER BY doc_id) || '</body></html>') AS h FROM documents GROUP BY 1")
 def print_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("gnum"), F.substring(F.regexp_replace("text", "[$\n]", " "), 1, 40).alias("text"), F.lit(None).cast("array<string>").alias("options"), F.lit(None).cast("string").alias("solution"))
+    q = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("gnum"), F.regexp_replace("text", "[$\n]", " ").alias("text"), F.lit(None).cast("array<string>").alias("options"), F.lit(None).cast("string").alias("solution"))
     return S.print_html(q).select("doc", F.md5("html").alias("h"))
 

@@ -228,9 +228,9 @@ def shape_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STYLES.df(spark).select("i", I.style_cm(F.col("t"), "width").alias("w"), I.style_cm(F.col("t"), "height").alias("h"), I.emu_cm(F.col("emu")).alias("cm"))
 
 
-@query("""SELECT doc_id % 7 AS question, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS files, row_number() OVER (ORDER BY CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 7 END NULLS LAST) AS place FROM documents WHERE doc_id < 70 GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY doc_id % 7"))
+@query("""SELECT doc_id % 7 AS question, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS files, row_number() OVER (ORDER BY CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 7 END NULLS LAST) AS place FROM documents GROUP BY doc_id % 7""")
 def images_by_question(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("doc_id < 70").select(F.lit("d").alias("doc"), F.nullif(F.col("doc_id") % 7, F.lit(0)).alias("question"), F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("file"))
+    d = table(spark, sf_dir, "documents").select(F.lit("d").alias("doc"), F.nullif(F.col("doc_id") % 7, F.lit(0)).alias("question"), F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("file"))
     groups = I.grouped(d)
     place = F.row_number().over(Window.partitionBy("doc").orderBy(F.col("question").asc_nulls_last()))
     return groups.select(F.coalesce("question", F.lit(0)).alias("question"), "n", F.array_join("files", ",").alias("files"), place.alias("place"))
