@@ -20,7 +20,7 @@ from . import kernels as K
 from .common import materialize, shuffle_partitions
 
 #: Bytes of text in a block, at least and at most, and parts of the hash range at most.
-BLOCK_BYTES, LARGE_BLOCK, PART_BITS = 2 << 20, 32 << 20, 17
+BLOCK_BYTES, LARGE_BLOCK, PART_BITS = 2 << 20, 16 << 20, 17
 #: The place of a null identifier in the order: after all others.
 LAST = np.iinfo(np.int64).max
 
