@@ -19,8 +19,8 @@ def session(app: str = "folio", **conf: str) -> SparkSession:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the folder that all machines share (spark.checkpoint.dir), or a temporary one for a local master."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if base is None:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="folio-")
