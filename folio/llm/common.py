@@ -18,6 +18,9 @@ BUCKET_ROWS = 4096
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: The number of a row in a table of numbered().
+ROW = "__row_no"
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -60,6 +63,16 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row in column ROW, written once, so that all that read it see the same numbers."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def row_number(row_col: str | None) -> Column:
+    """The given numbers of rows, or new ones, which hold only within one reading of the table."""
+    return F.col(row_col) if row_col else F.monotonically_increasing_id()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

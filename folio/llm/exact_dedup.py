@@ -7,18 +7,18 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, hot_join, materialize, shuffle_partitions
+from .common import ROW, SPACE, hot_join, materialize, numbered, row_number, shuffle_partitions
 
 #: Runs that one merge of the tree takes in.
 FAN_IN_BITS = 3
 KEYS = ("sha", "n_bytes", "check")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """row_no, the identifier, and of the normalised text the SHA-256, the length in bytes and a second hash."""
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ")
     return docs.select(
-        F.monotonically_increasing_id().alias("row_no"), F.col(id_col).cast("long").alias("id"), text.alias("norm")
+        row_number(row_col).alias("row_no"), F.col(id_col).cast("long").alias("id"), text.alias("norm")
     ).select("row_no", "id", F.sha2(F.col("norm"), 256).alias("sha"), F.octet_length("norm").cast("long").alias("n_bytes"), F.xxhash64("norm").alias("check"))
 
 
@@ -59,7 +59,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     that repeat with the same identifier are a tie: one of them is kept. Long texts are hashed as they are. An
     empty table gives an empty result. Other columns are not read.
     """
-    leaves = materialize(digests(docs, id_col, text_col), "digests")
+    return marked(docs, id_col, text_col).drop("row_no")
+
+
+def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """What exact_dedup() returns, and row_no, which is row_col if that is given."""
+    leaves = materialize(digests(docs, id_col, text_col, row_col), "digests")
     texts = materialize(tree_merge(leaves), "texts")
     total = texts.agg(F.sum("group_size")).first()[0] or 0
     return hot_join(leaves, texts, KEYS, "group_size", total).select(
@@ -68,10 +73,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "group_size",
         (F.col("row_no") == F.col("keep.row_no")).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        "row_no",
     )
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup() drops; all columns stay. Identifiers must be unique and not null."""
-    dropped = exact_dedup(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__dropped"))
-    return docs.join(dropped, docs[id_col] == F.col("__dropped"), "left_anti")
+    """docs without the rows that exact_dedup() drops; all columns stay. Rows go by number, so identifiers may repeat or be null."""
+    docs = numbered(docs)
+    dropped = marked(docs, id_col, text_col, ROW).filter(~F.col("kept")).select(F.col("row_no").alias(ROW))
+    return docs.join(dropped, ROW, "left_anti").drop(ROW)

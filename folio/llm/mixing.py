@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BUCKET_ROWS, WORD, hot_join, materialize
+from .common import BUCKET_ROWS, ROW, WORD, hot_join, materialize, numbered, row_number
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -45,8 +45,8 @@ def water_fill(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: fl
     return table.withColumn("target", F.least(cap, F.col("weight") * F.lit(level)) if free else cap)
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """How often each document enters the mix: doc_id, size, source_size, target, repeats, taken, row_no.
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """How often each document enters the mix: doc_id, size, source_size, target, repeats, taken, row_no, which is row_col if that is given.
 
     A source whose target is e times its size gives every document floor(e) times, and for the fraction once more
     the documents that come first in a seeded order as long as they fit, and then the one document whose size is
@@ -59,7 +59,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     """
     rows = materialize(
         docs.select(
-            F.monotonically_increasing_id().alias("row_no"),
+            row_number(row_col).alias("row_no"),
             F.col(id_col).cast("long").alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -95,7 +95,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as mix() says. Identifiers must be unique and not null."""
-    times = mix(docs, **how).filter("repeats > 0").select(F.col("doc_id").alias("__id"), F.col("repeats").alias("__times"))
-    id_col = how.get("id_col", "doc_id")
-    return docs.join(times, docs[id_col] == F.col("__id")).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*[docs[c] for c in docs.columns])
+    """The mix itself: the rows of docs, each as often as mix() says. Rows go by number, so identifiers may repeat or be null."""
+    columns, docs = docs.columns, numbered(docs)
+    times = mix(docs, row_col=ROW, **how).filter("repeats > 0").select(F.col("row_no").alias(ROW), F.col("repeats").alias("__times"))
+    return docs.join(times, ROW).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*[docs[c] for c in columns])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import hot_join, materialize
+from .common import ROW, hot_join, materialize, numbered, row_number
 from .prefix_join import candidates
 
 SHINGLE = 5
@@ -98,7 +98,7 @@ def _digest(text: bytes) -> bytes:
     return hashlib.blake2b(b" ".join(text.split()), digest_size=16).digest()
 
 
-def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def signed(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
     """row_no, doc_id, n_words, words (a digest of the word sequence, null without words) and bands."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +112,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 at = pa.array(rows)
                 yield pa.record_batch({"row_no": b.column(0).take(at), "doc_id": b.column(1).take(at), "n_words": pa.array(n_words, pa.int64()), "words": pa.array(digest, pa.binary()), "bands": lists})
 
-    chosen = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    chosen = docs.select(row_number(row_col).alias("row_no"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(sign, "row_no long, doc_id long, n_words long, words binary, bands array<long>")
 
 
@@ -145,10 +145,11 @@ def alike(x: str, y: str, similarity: float = SIMILARITY):
     return F.least(x, y) >= F.greatest(x, y) * F.lit(similarity) - F.lit(1e-9)
 
 
-def bags(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def bags(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
     """The shingles of the given nodes (node, doc_id, words): node and bag, hashes sorted, the kth repetition of one a value of its own.
 
-    The texts are read again and met by identifier; of rows that repeat an identifier the digest tells which is meant.
+    The texts are read again and met by row number (a node is one) if the rows have numbers, or else by identifier; of rows
+    that repeat an identifier the digest tells which is meant.
     """
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,8 +168,8 @@ def bags(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataF
                         nodes.append(b.column(0)[i].as_py()), out.append(value[ends[k] : ends[k + 1]].tobytes())
                 yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "bag": pa.array(out, pa.binary())})
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    met = nodes.join(texts, nodes["doc_id"].eqNullSafe(texts["doc_id"])).select("node", "words", "text")
+    texts = docs.select(F.col(row_col or id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
+    met = nodes.join(texts, nodes["node" if row_col else "doc_id"].eqNullSafe(texts["key"])).select("node", "words", "text")
     return met.mapInArrow(collect, "node long, bag binary").dropDuplicates(["node"])
 
 
@@ -215,8 +216,8 @@ def components(links: DataFrame) -> DataFrame:
     return roots
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """A row for each document: doc_id, class_id, group_id, kept, row_no.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, row_col: str | None = None) -> DataFrame:
+    """A row for each document: doc_id, class_id, group_id, kept, row_no, which is row_col if that is given.
 
     Documents of the same words are one class, class_id its smallest doc_id. Two classes are linked if the multiset
     Jaccard similarity of their shingles of five words is `similarity` or more; group_id is the smallest doc_id
@@ -233,7 +234,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     equal or unlike. A null doc_id comes after all others; of rows that repeat one, one is kept. Very long texts
     are held one at a time. An empty table gives an empty result. Other columns are not read.
     """
-    rows = materialize(signed(docs, id_col, text_col), "signed")
+    rows = materialize(signed(docs, id_col, text_col, row_col), "signed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no", "n_words", "bands")
     classes = rows.filter("words IS NOT NULL").groupBy("words").agg(F.min(order).alias("first"), F.count("*").alias("n"))
     nodes = materialize(classes.select("words", "n", F.col("first.row_no").alias("node"), F.col("first.doc_id").alias("doc_id"), F.col("first.none").alias("none"), F.col("first.n_words").alias("n_words"), F.col("first.bands").alias("bands")), "nodes")
@@ -241,7 +242,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs, large = first_candidates(nodes)
     pairs = materialize(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    bag = materialize(bags(docs, nodes.join(wanted, "node").select("node", "doc_id", "words"), id_col, text_col), "bags")
+    bag = materialize(bags(docs, nodes.join(wanted, "node").select("node", "doc_id", "words"), id_col, text_col, row_col), "bags")
     links = materialize(verified(pairs, bag, similarity), "links")
     roots = components(links)
 
@@ -269,6 +270,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that near_dedup() doesn't keep; all columns stay. Identifiers must be unique and not null."""
-    dropped = near_dedup(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__dropped"))
-    return docs.join(dropped, docs[id_col] == F.col("__dropped"), "left_anti")
+    """docs without the rows that near_dedup() doesn't keep; all columns stay. Rows go by number, so identifiers may repeat or be null."""
+    docs = numbered(docs)
+    dropped = near_dedup(docs, id_col, text_col, row_col=ROW).filter(~F.col("kept")).select(F.col("row_no").alias(ROW))
+    return docs.join(dropped, ROW, "left_anti").drop(ROW)

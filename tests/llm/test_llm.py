@@ -578,6 +578,25 @@ def test_registered_queries_keep_their_contracts(spark):
         assert df.dtypes == f(spark, sf).dtypes
 
 
+def test_stages_go_by_row(spark):
+    """Repeated rows, one identifier for different texts, and null identifiers: no text is lost and no row multiplied."""
+    long = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+    rows = [(1, "twice the same row", "a"), (1, "twice the same row", "a"), (2, "copy", "a"), (3, "copy", "a"), (3, "good text of a repeated id", "a")]
+    rows += [(None, "null one", "b"), (None, "null one", "b"), (None, "null two", "b"), (4, long, "b"), (5, long + " more", "b"), (5, "another text of five", "b"), (None, long + " less", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    exact = corpus_pipeline.drop_exact_copies(spark, df, "")
+    kept = [r for i, r in enumerate(rows) if r not in rows[:i] and r != (3, "copy", "a")]
+    assert Counter(map(tuple, exact.collect())) == Counter(kept)
+    near = corpus_pipeline.drop_near_copies(spark, df, "")
+    kept = [r for r in kept if r not in ((5, long + " more", "b"), (None, long + " less", "b"))]
+    assert near.columns == df.columns and Counter(map(tuple, near.collect())) == Counter(kept)
+    mixed = Counter(map(tuple, corpus_pipeline.mix_sources(spark, df, "").collect()))
+    want: Counter = Counter()
+    for r in mixing.mix(df.withColumn("n", mixing.row_number(None)), row_col="n").join(df.withColumn("row_no", mixing.row_number(None)).drop("doc_id"), "row_no").collect():
+        want[r["doc_id"], r["text"], r["source"]] += r["repeats"]
+    assert mixed == +want and any(i is None for i, *_ in mixed)
+
+
 def test_held_out_accuracy(spark):
     got = queries.op6_language_id(spark, "/root/testdata/sf0.01")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
