@@ -24,6 +24,7 @@ TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", ("gnu", "general", "public", "2")),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ("gnu", "general", "public", "2")),
     ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1.", ("gnu", "lesser", "general", "public", "2.1")),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", ("gnu", "lesser", "general", "public", "2.1")),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3.", ("gnu", "lesser", "general", "public", "3")),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3.", ("gnu", "affero", "general", "public", "3")),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla", "public", "license", "2.0")),
@@ -37,6 +38,7 @@ TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", ("cc", "by-nc", "4.0")),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0.", ("cc", "by-nd", "4.0")),
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0.", ("cc", "by-nc-sa", "4.0")),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0.", ("cc", "by-nc-nd", "4.0")),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ("creative", "commons", "attribution", "4.0")),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ("creative", "commons", "attribution-sharealike", "4.0")),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", ("extent", "law", "waived", "copyright", "rights")),
@@ -44,8 +46,7 @@ TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
 )
 #: Words without which no template can match: a block is a candidate if it has one of them.
 CUES = r"(?i)licen[cs]e|copyright|permission|redistribution|redistribute|public domain|creative commons|mozilla|eclipse|\bCC\b"
-#: Templates that are confirmed, by rank, and the least part of its size that a block must lose.
-RANKED = 4
+#: The least part of its size that a block must lose.
 LEAST_GAIN = 0.2
 #: Words that may differ, as a part of the template's.
 DIFFERENT = 0.2
@@ -91,7 +92,7 @@ def ranked(block: list[str]) -> list[tuple[float, int]]:
         size = len(plain.compress(text))
         for i, (c, t) in enumerate(zip(with_each, templates(), strict=True)):
             best[i] = max(best[i], (size - len(c.compress(text))) / min(size, len(t.text)))
-    return [(g, -i) for g, i in sorted(((g, -i) for i, g in enumerate(best)), reverse=True)[:RANKED] if g >= LEAST_GAIN]
+    return [(g, -i) for g, i in sorted(((g, -i) for i, g in enumerate(best)), reverse=True) if g >= LEAST_GAIN]
 
 
 def aligned(template: tuple[str, ...], block: list[str]) -> tuple[int, int, int, list[str], set[str]]:
@@ -140,9 +141,11 @@ def blocks(words: list[str]) -> list[tuple[int, int]]:
 
 def confirmed(block: list[str]) -> tuple[str, float, int, str, int, int] | None:
     """The notice in a block: licence, gain, differing words, differences, start and end; the one with most equal words."""
-    best = None
+    best, there = None, set(block)
     for gain, i in ranked(block):
         t = templates()[i]
+        if not there.issuperset(t.must):
+            continue
         cost, start, end, changes, same = aligned(t.words, block)
         if cost <= DIFFERENT * len(t.words) and all(w in same for w in t.must):
             key = (cost - len(t.words), -gain, i)
@@ -174,7 +177,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The licence notices in every whole text: doc_id, word (the number of its first word, from 0), license, gain, n_different, differences.
 
     Texts without a cue word are left out before Python. Around each cue, the block of words is compressed with
-    each template as a raw dictionary; those that save most are aligned with the block word by word. A notice
+    each template as a raw dictionary; all that save enough are aligned with the block word by word. A notice
     counts if at most a fifth of the template's words differ and all that tell the licence apart are there. What
     stands beside a notice in the block is looked at again. No shuffle.
 

@@ -220,6 +220,16 @@ def test_license_findings(text, want):
     assert [f[1] for f in license_scan.findings(text)] == want
 
 
+def test_license_behind_better_ranked_templates():
+    filler = [f"filler{i}" for i in range(15)]
+    bsd = "Redistribution and use in source and binary forms, changed or without modification, changed permitted provided that the following conditions changed met".split()
+    unlisted = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 9 of the License, or (at your option) any later version."
+    listed = unlisted.replace("version 9", "version 2.1")
+    assert [f[1] for f in license_scan.findings(" ".join([*filler, *bsd, *filler, unlisted]))] == ["BSD"]
+    assert [f[1] for f in license_scan.findings(" ".join([*filler, *bsd, *filler, listed]))] == ["BSD", "LGPL-2.1"]
+    assert [f[1] for f in license_scan.findings("Licensed under CC BY-NC-ND 4.0.")] == ["CC-BY-NC-ND-4.0"]
+
+
 def test_license_differences(spark, empty):
     got = license_scan.findings('Permission is hereby granted, free of charge, to any person getting a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction')
     assert [(f[1], f[3], f[4]) for f in got] == [("MIT", 1, "obtaining>getting")]
