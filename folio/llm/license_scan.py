@@ -45,7 +45,11 @@ TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain.", ("unencumbered", "public", "domain")),
 )
 #: Words without which no template can match: a block is a candidate if it has one of them.
-CUES = r"(?i)licen[cs]e|copyright|permission|redistribution|redistribute|public domain|creative commons|mozilla|eclipse|\bCC\b"
+CUES = r"(?i)licen[cs]e|copyright|permission|redistribution|redistribute|public domain|creative commons|unencumbered|mozilla|eclipse|\bCC\b"
+#: What tokens() drops between two words: white space, also that of Unicode, and marks.
+BETWEEN = r"""[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000.,;:()"'!?\[\]{}<>*#|]+"""
+#: The cues for whole texts as they are, where two words may be wrapped: all that is_cue() can find in them, or more.
+RAW_CUES = CUES.replace(" ", BETWEEN).replace("(?i)", "(?iu)")
 #: The least part of its size that a block must lose.
 LEAST_GAIN = 0.2
 #: Words that may differ, as a part of the template's.
@@ -194,5 +198,5 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             word, name, gain, cost, changes = zip(*out, strict=True) if out else ((),) * 5
             yield pa.record_batch({"doc_id": b.column(0).take(pa.array(rows, pa.int64())), "word": pa.array(word, pa.int32()), "license": pa.array(name, pa.string()), "gain": pa.array(gain, pa.float64()), "n_different": pa.array(cost, pa.int32()), "differences": pa.array(changes, pa.string())})
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike(CUES))
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike(RAW_CUES))
     return chosen.mapInArrow(scan, "doc_id long, word int, license string, gain double, n_different int, differences string")

@@ -222,7 +222,7 @@ def test_license_findings(text, want):
 
 def test_license_behind_better_ranked_templates():
     filler = [f"filler{i}" for i in range(15)]
-    bsd = "Redistribution and use in source and binary forms, changed or without modification, changed permitted provided that the following conditions changed met".split()
+    bsd = "Redistribution and use in source and binary changed with or without changed are permitted provided that the following conditions changed met".split()
     unlisted = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 9 of the License, or (at your option) any later version."
     listed = unlisted.replace("version 9", "version 2.1")
     assert [f[1] for f in license_scan.findings(" ".join([*filler, *bsd, *filler, unlisted]))] == ["BSD"]
@@ -230,6 +230,16 @@ def test_license_behind_better_ranked_templates():
     assert [f[1] for f in license_scan.findings("Licensed under CC BY-NC-ND 4.0.")] == ["CC-BY-NC-ND-4.0"]
 
 
+def test_license_notices_may_be_wrapped(spark):
+    between = ("\n", "  ", "\n# ", "\xa0", "\u2003", "\x1f")
+    rows = [(i, f"This is free and unlimited software released into the public{x}domain.".replace("unlimited", "unencumbered")) for i, x in enumerate(between)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["license"]) for r in license_scan.license_scan(df).collect()) == [(i, "Unlicense") for i in range(len(between))]
+    two = [f"{a}{x}{b}" for a, b in (("public", "domain"), ("Creative", "Commons")) for x in between]
+    found = spark.createDataFrame([(t,) for t in two], "t string").filter(license_scan.F.col("t").rlike(license_scan.RAW_CUES))
+    assert found.count() == len(two) and all(license_scan.is_cue(license_scan.tokens(t), 0) for t in two)
+
+
 def test_license_differences(spark, empty):
     got = license_scan.findings('Permission is hereby granted, free of charge, to any person getting a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction')
     assert [(f[1], f[3], f[4]) for f in got] == [("MIT", 1, "obtaining>getting")]
