@@ -122,39 +122,47 @@ def is_held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
+def has_letter(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+
+
+def answers(model: Model, texts: pa.Array, letters: pa.Array) -> tuple[list[str], list[float], list[bool]]:
+    """lang_pred, score and ambiguous of each text, of which it is known whether it has a letter."""
+    langs, scores, unsure = [], [], []
+    for t, has in zip(texts, letters.to_pylist(), strict=True):
+        if has and model.languages:
+            k, score, odd = model.decode(features(np.frombuffer(t.as_buffer(), np.uint8)))
+            langs.append(model.languages[k]), scores.append(score), unsure.append(odd)
+        else:
+            langs.append(UNDETERMINED), scores.append(0.0), unsure.append(True)
+    return langs, scores, unsure
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The language of every whole text: doc_id, lang_pred, score (0 to 1), ambiguous. Only the text is looked at.
 
     A text that is null or has no letter, or any text if nothing was learned, is `und` with score 0 and ambiguous.
     Repeated rows get the same answer each; long texts are read in chunks; other columns are not read.
     """
-    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores, unsure = [], [], []
-            for t, has in zip(b.column(1), b.column(2).to_pylist(), strict=True):
-                if has and model.languages:
-                    k, score, odd = model.decode(features(np.frombuffer(t.as_buffer(), np.uint8)))
-                    langs.append(model.languages[k]), scores.append(score), unsure.append(odd)
-                else:
-                    langs.append(UNDETERMINED), scores.append(0.0), unsure.append(True)
+            langs, scores, unsure = answers(model, b.column(1), b.column(2))
             yield pa.record_batch({"doc_id": b.column(0), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64()), "ambiguous": pa.array(unsure, pa.bool_())})
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), letter.alias("has"))
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), has_letter(text_col).alias("has"))
     return chosen.mapInArrow(predict, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that are `und`; all columns stay. One pass: the answer is put beside each row."""
+    """docs without the rows that identify() calls `und`; all columns stay. One pass: the answer is put beside each row."""
     if not model.languages:
         return docs.limit(0)
     schema = docs.schema
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            has = b.column(b.num_columns - 1).to_pylist()
-            keep = [h and model.decode(features(np.frombuffer(t.as_buffer(), np.uint8)))[0] >= 0 for t, h in zip(b.column(text_col), has, strict=True)]
-            yield b.select(schema.names).filter(pa.array(keep, pa.bool_()))
+            langs, _, _ = answers(model, b.column(text_col), b.column("__letter"))
+            yield b.select(schema.names).filter(pa.array([x != UNDETERMINED for x in langs], pa.bool_()))
 
-    return docs.withColumn("__letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))).mapInArrow(predict, schema)
+    return docs.withColumn("__letter", has_letter(text_col)).mapInArrow(predict, schema)

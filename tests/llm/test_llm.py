@@ -351,6 +351,14 @@ def test_language_id(spark, empty):
     assert language_id.identify(empty, model).count() == 0
 
 
+def test_kept_rows_are_those_identified(spark):
+    rows = [(i, x * 30, lang) for i, (x, lang) in enumerate([("abc abd ", "aa"), ("xyz xzz ", "und")] * 40)] + [(900, "12", "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df)
+    named = {i for i, r in by_id(language_id.identify(df, model)).items() if r["lang_pred"] != "und"}
+    assert set(by_id(language_id.keep_identified(df, model))) == named == set(range(0, 80, 2))
+
+
 def test_codewords_differ():
     for k in (2, 3, 5, 7, 8, 40):
         c = language_id.codewords(k).astype(int)
