@@ -27,8 +27,8 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    total = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    return out.select("doc_id", "n_bytes", total("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), total("passages").alias("n_repeated"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,9 +93,13 @@ SQL: dict[str, str] = {
              s AS (SELECT doc_id, k, min(i) AS a, max(i) + 400 AS b FROM y GROUP BY 1, 2),
              t AS (SELECT doc_id, a, b, coalesce(lag(b) OVER v, 0) AS from_byte, row_number() OVER v = count(*) OVER (PARTITION BY doc_id) AS is_last FROM s WINDOW v AS (PARTITION BY doc_id ORDER BY a)),
              r AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed,
-                     string_agg(substr(h, 2 * from_byte + 1, 2 * (a - from_byte)) || CASE WHEN is_last THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept FROM t JOIN d USING (doc_id) GROUP BY 1)
-        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
-        FROM d LEFT JOIN r USING (doc_id)""",
+                     string_agg(substr(h, 2 * from_byte + 1, 2 * (a - from_byte)) || CASE WHEN is_last THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept FROM t JOIN d USING (doc_id) GROUP BY 1),
+             p2 AS (SELECT doc_id, h, unnest(range(CAST(length(h) // 2 - 249 AS BIGINT))) AS i FROM d WHERE length(h) >= 500),
+             g2 AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 500)) AS m FROM p2),
+             x2 AS (SELECT doc_id, i, max(i + 250) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM g2 SEMI JOIN (SELECT m FROM g2 GROUP BY 1 HAVING count(*) > 1) c2 USING (m)),
+             r2 AS (SELECT doc_id, CAST(sum(i + 250 - greatest(i, coalesce(upto, 0))) AS BIGINT) AS n_repeated FROM x2 GROUP BY 1)
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256, coalesce(n_repeated, 0) AS n_repeated
+        FROM d LEFT JOIN r USING (doc_id) LEFT JOIN r2 USING (doc_id)""",
     "op7_mixing": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
                      CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) * pow(2.0, -52) AS u FROM documents),

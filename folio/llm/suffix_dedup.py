@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernels as K
-from .blocks import Block, answered, dealt, emitted, found_in, met, part_bits, text_blocks
+from .blocks import Block, answered, emitted, found_in, met, part_bits, text_blocks
 from .common import materialize
 
 LENGTH = 400
-#: Bytes of the grams whose least hash in a string of LENGTH bytes is the string's anchor.
+#: Bytes of the strings whose copies are told but not removed: those of passages of some 50 words.
+PASSAGE = 250
+#: Bytes of the grams whose least hash in a string is the string's anchor.
 GRAM = 32
-#: Suffixes of one anchor that one task sorts; an anchor of more gives its strings one by one instead.
+#: Suffixes of one anchor that are sorted together; those of a more frequent one are dealt by what is around it.
 SORTED = 200_000
 #: Low bits of a value that hold a position, so that of equal grams the leftmost is the anchor.
 PLACE = np.uint64(30)
@@ -150,23 +152,27 @@ def merged(runs: Sequence[Run]) -> Iterator[tuple[bytes, int, Run, int]]:
             at //= 2
 
 
-def copied(right: np.ndarray, lefts: Sequence[bytes], several: np.ndarray, least: np.ndarray, most: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def by_left(lefts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of what stands before the members' anchors, backwards, and the common prefixes of neighbours in it."""
+    order = sorted(range(len(lefts)), key=lefts.__getitem__)
+    return np.array(order, np.int64), np.array([common(lefts[a], lefts[b]) for a, b in zip(order[:-1], order[1:], strict=True)], np.int64)
+
+
+def copied(right: np.ndarray, order: np.ndarray, left: np.ndarray, several: np.ndarray, least: np.ndarray, most: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which strings through one anchor also occur elsewhere: member, and the least and greatest distance from the
     string's start to the anchor.
 
-    Members are in the order of the suffixes at the anchor; `right` has the common prefixes of neighbours and `lefts`
-    what stands before the anchor, backwards. Members have the same string with the anchor at distance d if
-    they are neighbours by length - d bytes to the right and also, in the order of lefts, by d bytes to the left.
-    That changes at few distances, and between them one comparison holds for all.
+    Members are in the order of the suffixes at the anchor; `right` has the common prefixes of neighbours, `order` and
+    `left` are by_left()'s. Members have the same string with the anchor at distance d if they are neighbours by
+    length - d bytes to the right and also, in the order to the left, by d bytes. That changes at few distances, and
+    between them one comparison holds for all.
     """
-    g = len(lefts)
-    order = np.array(sorted(range(g), key=lefts.__getitem__), np.int64)
-    left = np.array([common(lefts[a], lefts[b]) for a, b in zip(order[:-1], order[1:], strict=True)], np.int64)
+    g = len(order)
     low, high = int(least.min()), int(most.max())
     cuts = np.unique(np.concatenate([[low], left + 1, length - right]))
     cuts = cuts[(cuts >= low) & (cuts <= high)]
     # `since` holds where a member's current run of copied distances began; a run is given out when it ends.
-    by_left, was, since, out = np.zeros(g, np.int64), np.zeros(g, bool), np.zeros(g, np.int64), []
+    groups, was, since, out = np.zeros(g, np.int64), np.zeros(g, bool), np.zeros(g, np.int64), [np.empty((3, 0), np.int64)]
 
     def close(ended: np.ndarray, last: int) -> None:
         who = np.flatnonzero(ended)
@@ -175,8 +181,9 @@ def copied(right: np.ndarray, lefts: Sequence[bytes], several: np.ndarray, least
         out.append(np.stack([who[on], lo[on], hi[on]]))
 
     for d in cuts.tolist():
-        by_left[order[1:]] = np.cumsum(left < d)
-        both = by_left.copy()
+        groups[order[0]] = 0
+        groups[order[1:]] = np.cumsum(left < d)
+        both = groups.copy()
         both[1:] += np.cumsum(right < length - d) * g
         place = np.argsort(both, kind="stable")
         first = np.flatnonzero(K.run_starts(both[place]))
@@ -193,17 +200,30 @@ def copied(right: np.ndarray, lefts: Sequence[bytes], several: np.ndarray, least
 RUN = "part int, block long, shared binary, size binary, rest binary, before binary, before_size binary, times binary, places binary"
 
 
-def suffix_runs(block: Block, keys: np.ndarray, total: np.ndarray, length: int, bits: int, most: int) -> pa.Table:
-    """The block's run for each part: suffixes at repeated anchors, after the anchor's hash, with what is before them.
+def suffix_runs(block: Block, keys: np.ndarray, total: np.ndarray, short: int, length: int, bits: int, most: int) -> pa.Table:
+    """The block's run for each part: suffixes at repeated anchors, after a group's hash, with what is before them.
 
-    Places with the same bytes on both sides are one suffix with several places.
+    An anchor is a group. One of more than `most` occurrences is a group for each range of distances from a string's
+    start to it, the narrower the more frequent it is, and for each content of what all strings of such distances
+    have in common; a group sorts no more bytes than its strings have. Places with the same bytes on both sides are
+    one suffix with several places.
     """
-    a = Anchors(block, length)
+    a = Anchors(block, short)
     hit, where = found_in(keys, a.key.astype(np.uint64))
-    hit[hit] = total[where[hit]] <= most
+    at, key, far, near = a.at[hit], a.key[hit], (a.at - a.low)[hit], (a.at - a.high)[hit]
+    width = np.maximum(1, short // -(-total[where[hit]] // most))
+    which, k = K.spread(far // width - near // width + 1)
+    from_d = ((near // width)[which] + k) * width[which]
+    to_d = from_d + width[which] - 1
+    at, key, dealt_out = at[which], key[which], width[which] < short
+    if dealt_out.any():
+        core = K.text_hash(K.prefix(block.data), (at - from_d)[dealt_out], (at + short - to_d)[dealt_out])
+        key[dealt_out] = K.mix(core + from_d[dealt_out].astype(np.uint64) * K.GOLDEN)
+    near, far = np.maximum(from_d, near[which]), np.minimum(to_d, far[which])
+    ends = np.minimum(at - near + length, block.offsets[np.searchsorted(block.offsets, at, "right")])
     raw, suffixes = block.raw, {}
-    for key, at, low, high in zip(a.key[hit].tolist(), a.at[hit].tolist(), a.low[hit].tolist(), a.high[hit].tolist(), strict=True):
-        suffixes.setdefault((key.to_bytes(8, "big") + raw[at : high + length], raw[low:at][::-1]), []).append(at)
+    for group, place, end, back in zip(key.tolist(), at.tolist(), ends.tolist(), far.tolist(), strict=True):
+        suffixes.setdefault((group.to_bytes(8, "big") + raw[place:end], raw[place - back : place][::-1]), []).append(place)
     order = sorted(suffixes)
     part = np.array([int.from_bytes(s[:8], "big") >> (64 - bits) for s, _ in order], np.int64)
     rows: dict[str, list] = {c.split()[0]: [] for c in RUN.split(", ")}
@@ -218,8 +238,9 @@ def suffix_runs(block: Block, keys: np.ndarray, total: np.ndarray, length: int,
     return pa.table({k: pa.array(v, {"part": pa.int32(), "block": pa.int64()}.get(k, pa.binary())) for k, v in rows.items()})
 
 
-def merge_part(table: pa.Table, length: int) -> pa.Table:
-    """Merges the runs of a part; for each block the starts and ends of copied bytes."""
+def merge_part(table: pa.Table, lengths: Sequence[int]) -> pa.Table:
+    """Merges the runs of a part; for each block the starts and ends of bytes in copied strings of each of the lengths,
+    and which of them it is."""
     runs = []
     for k in range(table.num_rows):
         row = {name: table.column(name)[k].as_py() for name in table.column_names}
@@ -234,12 +255,15 @@ def merge_part(table: pa.Table, length: int) -> pa.Table:
         if len(members) == 1 and not several[0]:
             return
         lefts = [o[1][o[2][i] : o[2][i + 1]] for o, i in owners]
-        least = np.array([length - (n - 8) for n, *_ in members], np.int64)
+        size = np.array([n - 8 for n, *_ in members], np.int64)
         right = np.array([h - 8 for _, h, *_ in members[1:]], np.int64)
-        for m, lo, hi in zip(*(x.tolist() for x in copied(right, lefts, several, least, np.array([len(x) for x in lefts], np.int64), length)), strict=True):
-            o, i = owners[m]
-            at = o[3][o[4][i] : o[4][i + 1]]
-            found.setdefault(o[0], []).append(np.stack([at - hi, at - lo + length]))
+        order, left = by_left(lefts)
+        back = np.array([len(x) for x in lefts], np.int64)
+        for kind, length in enumerate(lengths):
+            for m, lo, hi in zip(*(x.tolist() for x in copied(right, order, left, several, np.maximum(length - size, 0), back, length)), strict=True):
+                o, i = owners[m]
+                at = o[3][o[4][i] : o[4][i + 1]]
+                found.setdefault(o[0], []).append(np.stack([at - hi, at - lo + length, np.full(len(at), kind)]))
 
     group: list[tuple[int, int, object, int]] = []
     for suffix, h, run, i in merged(runs):
@@ -250,100 +274,57 @@ def merge_part(table: pa.Table, length: int) -> pa.Table:
     if group:
         close(group)
     spans = {b: np.concatenate(x, axis=1) for b, x in found.items()}
-    return pa.table({"block": pa.array(list(spans), pa.int64()), "e0": pa.array([x[0].astype(np.uint64).tobytes() for x in spans.values()], pa.binary()), "e1": pa.array([x[1].tobytes() for x in spans.values()], pa.binary())})
+    e = [pa.array([x[k].astype(t).tobytes() for x in spans.values()], pa.binary()) for k, t in enumerate(("u8", "i8", "u1"))]
+    return pa.table({"block": pa.array(list(spans), pa.int64()), "e0": e[0], "e1": e[1], "e2": e[2]})
 
 
-def strings_of(block: Block, keys: np.ndarray, total: np.ndarray, length: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of all strings whose anchor occurs more than `most` times."""
-    a = Anchors(block, length)
-    hit, where = found_in(keys, a.key.astype(np.uint64))
-    hit[hit] = total[where[hit]] > most
-    which, place = K.spread((a.high - a.low + 1)[hit])
-    start = a.low[hit][which] + place
-    return K.text_hash(K.prefix(block.data), start, start + length), start
+def covered(block: Block, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """Which bytes are in [start, end) of any, and the documents' maximal runs of them."""
+    edge = np.zeros(len(block.data) + 1, np.int64)
+    np.add.at(edge, start.astype(np.int64), 1)
+    np.add.at(edge, end, -1)
+    on = np.cumsum(edge)[:-1] > 0
+    inner = np.zeros(len(on) + 1, bool)
+    inner[block.offsets[:-1]] = True
+    up = np.flatnonzero(on & (inner[:-1] | ~np.r_[False, on[:-1]])) if len(on) else np.empty(0, np.int64)
+    down = np.flatnonzero(on & (inner[1:] | ~np.r_[on[1:], False])) + 1 if len(on) else up
+    of = np.searchsorted(block.offsets, up, "right") - 1
+    spans = pa.StructArray.from_arrays([pa.array(up - block.offsets[of]), pa.array(down - up)], names=["start", "length"])
+    return on, pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(of, minlength=len(block.ids)))], pa.int32()), spans)
+
 
+SPANS = "array<struct<start:long,length:long>>"
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most: int = SORTED) -> DataFrame:
+
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most: int = SORTED, passage: int = PASSAGE) -> DataFrame:
     """Removes every byte in a string of `length` bytes that also starts anywhere else: doc_id, n_bytes, spans (first byte,
-    bytes; those removed, as long as they go) and kept, the bytes that stay, in which characters may be cut.
+    bytes; those removed, as long as they go), kept, the bytes that stay, in which characters may be cut, and passages,
+    the spans of bytes in strings of `passage` bytes that also start elsewhere, which are told and not removed.
 
-    Every string has an anchor, its 32-byte gram of the least hash, so equal strings are equal around equal anchors.
-    Blocks first learn which of their anchors occur more than once. They sort the suffixes at those, with the
-    anchor's hash in front, and send the runs front-coded in parts of the hash range. A part merges its runs with
-    a loser tree that never compares a known common prefix again; neighbours' common prefixes and those of what
-    stands before the anchors tell, to the byte, which strings have copies. Suffixes are as long as the strings at
-    an anchor reach. An anchor of more than `most` occurrences is not sorted in one task: its strings are exchanged
-    by 64-bit hashes, each once a block.
+    Every string has an anchor, its 32-byte gram of the least hash (of its first bytes, if it is the longer of the two
+    lengths), so equal strings are equal around equal anchors. Blocks first learn which of their anchors occur more
+    than once. They sort the suffixes at those, with a group's hash in front, and send the runs front-coded in parts
+    of the hash range. A part merges its runs with a loser tree that never compares a known common prefix again;
+    neighbours' common prefixes and those of what stands before the anchors tell, to the byte, which strings have
+    copies. Suffixes are as long as the strings at an anchor reach. A group is an anchor; one of more than `most`
+    occurrences is dealt to many groups by the bytes around it, which are sorted and merged like others.
 
     A null text is empty; shorter texts lose nothing. Texts may repeat within themselves. A document of more than a
     gigabyte fails. Rows that repeat are copies of each other. An empty table gives an empty result. Other columns
     are not read.
     """
     blocks = text_blocks(docs, id_col, text_col)
-    bits = part_bits(docs)
-    hits = materialize(met(emitted(blocks, "l", bits, lambda b: anchor_counts(b, length)), "l", repeated, "l"), "anchors")
-    runs = answered(blocks, hits, "l", lambda b, keys, total: suffix_runs(b, keys, total, length, bits, most), RUN)
-    spans = runs.groupBy("part").applyInArrow(lambda t: merge_part(t, length), "block long, e0 binary, e1 binary")
-    if has_more(hits, most):
-        spans = spans.unionByName(hot_spans(blocks, hits, bits, length, most))
-
-    def finish(block: Block, start: np.ndarray, end: np.ndarray) -> pa.Table:
-        edge = np.zeros(len(block.data) + 1, np.int64)
-        np.add.at(edge, start.astype(np.int64), 1)
-        np.add.at(edge, end, -1)
-        gone = np.cumsum(edge)[:-1] > 0
-        inner = np.zeros(len(gone) + 1, bool)
-        inner[block.offsets[:-1]] = True
-        up = np.flatnonzero(gone & (inner[:-1] | ~np.r_[False, gone[:-1]])) if len(gone) else np.empty(0, np.int64)
-        down = np.flatnonzero(gone & (inner[1:] | ~np.r_[gone[1:], False])) + 1 if len(gone) else up
-        of = np.searchsorted(block.offsets, up, "right") - 1
-        spans = pa.StructArray.from_arrays([pa.array(up - block.offsets[of]), pa.array(down - up)], names=["start", "length"])
-        per_doc = np.bincount(of, minlength=len(block.ids))
-        ends = np.r_[0, np.cumsum(per_doc)]
+    bits, short, lengths = part_bits(docs), min(passage, length), (passage, length)
+    hits = materialize(met(emitted(blocks, "l", bits, lambda b: anchor_counts(b, short)), "l", repeated, "l"), "anchors")
+    runs = answered(blocks, hits, "l", lambda b, keys, total: suffix_runs(b, keys, total, short, max(lengths), bits, most), RUN)
+    spans = runs.groupBy("part").applyInArrow(lambda t: merge_part(t, lengths), "block long, e0 binary, e1 binary, e2 binary")
+
+    def finish(block: Block, start: np.ndarray, end: np.ndarray, kind: np.ndarray) -> pa.Table:
+        gone, removed = covered(block, start[kind == 1], end[kind == 1])
+        _, told = covered(block, start[kind == 0], end[kind == 0])
         kept = []
-        for i, (s, e) in enumerate(zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True)):
-            kept.append(block.data[s:e][~gone[s:e]].tobytes() if per_doc[i] else block.raw[s:e])
-        return pa.table({"doc_id": block.id_column(), "n_bytes": pa.array(np.diff(block.offsets)), "spans": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans), "kept": pa.array(kept, pa.binary())})
-
-    return answered(blocks, spans, "l", finish, "doc_id long, n_bytes long, spans array<struct<start:long,length:long>>, kept binary")
-
-
-def has_more(hits: DataFrame, most: int) -> bool:
-    """Whether any anchor occurs more than `most` times."""
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            over = [bool((np.frombuffer(x.as_py(), np.int64) > most).any()) for x in b.column(0)]
-            yield pa.record_batch({"over": pa.array([True] if any(over) else [], pa.bool_())})
-
-    return not hits.select("e1").mapInArrow(look, "over boolean").isEmpty()
-
-
-def hot_spans(blocks: DataFrame, hits: DataFrame, bits: int, length: int, most: int) -> DataFrame:
-    """The copied strings through anchors of more than `most` occurrences, by an exchange of their hashes."""
-
-    def send(block: Block, keys: np.ndarray, total: np.ndarray) -> pa.Table:
-        value, counts = np.unique(strings_of(block, keys, total, length, most)[0], return_counts=True)
-        return pa.Table.from_batches([dealt(block.number, bits, value, counts.astype(np.int64))])
-
-    entries = answered(blocks, hits, "l", send, "part int, block long, e0 binary, e1 binary")
-    copies = met(entries, "l", lambda f, g, c: (repeated(f, g, c)[0], []), "")
-    # The block finds its strings again: its anchors' keys come first in an answer of one table, marked by a count.
-    both = hits.select("block", "e0", "e1").unionByName(copies.selectExpr("block", "e0", "CAST(NULL AS BINARY) AS e1"))
-
-    def back(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"block": [], "e0": [], "e1": []}
-        join = lambda xs, t: np.concatenate([np.frombuffer(x, t) for x in xs] or [np.empty(0, t)])
-        rows = right.to_pylist()
-        known = [r for r in rows if r["e1"] is not None]
-        keys, total = join([r["e0"] for r in known], np.uint64), join([r["e1"] for r in known], np.int64)
-        order = np.argsort(keys, kind="stable")
-        wanted = np.sort(join([r["e0"] for r in rows if r["e1"] is None], np.uint64))
-        for i in range(left.num_rows):
-            block = Block(left, i)
-            value, start = strings_of(block, keys[order], total[order], length, most)
-            start = start[found_in(wanted, value)[0]]
-            out["block"].append(block.number), out["e0"].append(start.astype(np.uint64).tobytes()), out["e1"].append((start + length).tobytes())
-        return pa.table({"block": pa.array(out["block"], pa.int64()), "e0": pa.array(out["e0"], pa.binary()), "e1": pa.array(out["e1"], pa.binary())})
+        for s, e, n in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), removed.value_lengths().to_pylist(), strict=True):
+            kept.append(block.data[s:e][~gone[s:e]].tobytes() if n else block.raw[s:e])
+        return pa.table({"doc_id": block.id_column(), "n_bytes": pa.array(np.diff(block.offsets)), "spans": removed, "kept": pa.array(kept, pa.binary()), "passages": told})
 
-    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(back, "block long, e0 binary, e1 binary")
+    return answered(blocks, spans, "lb", finish, f"doc_id long, n_bytes long, spans {SPANS}, kept binary, passages {SPANS}")

@@ -177,8 +177,21 @@ def test_suffix_dedup(docs, rows, length, most):
         return list(zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist(), strict=True))
 
     want = {i: (len(t), spans(gone[i]), np.frombuffer(t, np.uint8)[~gone[i]].tobytes()) for i, t in texts.items()}
-    got = by_id(suffix_dedup.suffix_dedup(docs, length, most=most))
+    got = by_id(suffix_dedup.suffix_dedup(docs, length, most=most, passage=100))
     assert {i: (r["n_bytes"], [tuple(s) for s in r["spans"]], bytes(r["kept"])) for i, r in got.items()} == want
+    assert {i: [tuple(s) for s in r["passages"]] for i, r in got.items()} == {i: spans(g) for i, g in bytes_removed(texts, 100).items()}
+
+
+def test_suffix_dedup_deals_hot_anchors(spark):
+    """One passage in every document, so each of its anchors occurs as often as there are documents."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    passage = " ".join(word() for _ in range(90))
+    texts = {i: f"{' '.join(word() for _ in range(rng.randint(0, 9)))} {passage} {' '.join(word() for _ in range(rng.randint(0, 9)))}".encode() for i in range(60)}
+    df = spark.createDataFrame([(i, t.decode()) for i, t in texts.items()], "doc_id long, text string").repartition(5)
+    want = {i: np.frombuffer(t, np.uint8)[~g].tobytes() for (i, t), g in zip(texts.items(), bytes_removed(texts, 400).values(), strict=True)}
+    for most in (suffix_dedup.SORTED, 20, 1):
+        assert {i: bytes(r["kept"]) for i, r in by_id(suffix_dedup.suffix_dedup(df, most=most)).items()} == want
 
 
 def test_suffix_dedup_odd_cases(spark, empty):
