@@ -76,7 +76,7 @@ LAYOUT = [
 @query()
 def layout_bold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(list(enumerate(LAYOUT)), "i int, s string")
-    return rows.select("i", L.strip_answer_bullets(F.col("s")).alias("bullets"), L.bold_labels(F.col("s")).alias("bold"), N.columns(L.format_exam_text)(F.col("s")).alias("question"))
+    return rows.select("i", N.columns(L.strip_answer_bullets)(F.col("s")).alias("bullets"), N.columns(L.bold_labels)(F.col("s")).alias("bold"), N.columns(L.format_exam_text)(F.col("s")).alias("question"))
 
 
 @query("SELECT doc_id, md5('![x](b.png) ' || coalesce(text, '')) AS h FROM documents")
