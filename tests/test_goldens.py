@@ -97,8 +97,14 @@ def test_overlap(spark):
     got = {r["doc"]: r["text"] for r in plans.overlap_fuzzy_dedupe(spark, "").collect()}
     assert got["a"] == "\n".join(plans.BOTTOM.split("\n")[4:])
     assert got["b"] == plans.BOTTOM
-    top, bottom = "**Minh họa 1.** Hình nào đúng?\n### 2. Cảm ứng từ\n- Kí hiệu: $\\vec{B}$.", "## 2. Cảm ứng từ\n- Kí hiệu: $\\vec{B}$.\n+ Phương: trùng với phương nam châm thử."
-    assert reconcile.drop_overlap(spark.createDataFrame([("x", top, bottom)], "doc string, top string, bottom string")).first()["text"] == "+ Phương: trùng với phương nam châm thử."
+    top, bottom = "Ví dụ mở đầu của bài.\n# 4. Giao thoa\n> Hiệu đường đi bằng số nguyên lần bước sóng.", "### 4. Giao thoa\n> Hiệu đường đi bằng số nguyên lần bước sóng.\n> Vân sáng bậc hai nằm xa vân trung tâm hơn."
+    assert reconcile.drop_overlap(spark.createDataFrame([("x", top, bottom)], "doc string, top string, bottom string")).first()["text"] == "> Vân sáng bậc hai nằm xa vân trung tâm hơn."
+
+
+def test_overlap_of_short_lines_goes_by_neighbours(spark):
+    rows = [("chain", "x\nmột hai\nba\nbốn dòng dài hơn mười hai chữ", "ba\nmột hai\nbốn dòng dài hơn mười hai chữ\nmột hai\nmới\nba\n8"), ("alone", "x\nba\ny", "ba\nmới\nnữa\n4\n5"), ("none", None, None), ("empty", "", "")]
+    got = dict(map(tuple, reconcile.drop_overlap(spark.createDataFrame(rows, "doc string, top string, bottom string")).collect()))
+    assert got == {"chain": "mới\nba\n8", "alone": "ba\nmới\nnữa\n4\n5", "none": None, "empty": ""}
 
 
 def test_merge_sections(spark):
