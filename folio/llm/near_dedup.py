@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import ROW, hot_join, materialize, numbered, row_number
+from .common import ROW, hot_join, materialize, numbered
 from .prefix_join import candidates
 
 SHINGLE = 5
@@ -98,7 +98,7 @@ def _digest(text: bytes) -> bytes:
     return hashlib.blake2b(b" ".join(text.split()), digest_size=16).digest()
 
 
-def signed(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+def signed(docs: DataFrame, id_col: str, text_col: str, row_col: str) -> DataFrame:
     """row_no, doc_id, n_words, words (a digest of the word sequence, null without words) and bands."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +112,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = No
                 at = pa.array(rows)
                 yield pa.record_batch({"row_no": b.column(0).take(at), "doc_id": b.column(1).take(at), "n_words": pa.array(n_words, pa.int64()), "words": pa.array(digest, pa.binary()), "bands": lists})
 
-    chosen = docs.select(row_number(row_col).alias("row_no"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    chosen = docs.select(F.col(row_col).alias("row_no"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(sign, "row_no long, doc_id long, n_words long, words binary, bands array<long>")
 
 
@@ -145,32 +145,25 @@ def alike(x: str, y: str, similarity: float = SIMILARITY):
     return F.least(x, y) >= F.greatest(x, y) * F.lit(similarity) - F.lit(1e-9)
 
 
-def bags(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
-    """The shingles of the given nodes (node, doc_id, words): node and bag, hashes sorted, the kth repetition of one a value of its own.
+def bags(docs: DataFrame, nodes: DataFrame, text_col: str, row_col: str) -> DataFrame:
+    """The shingles of the given nodes: node and bag, hashes sorted, the kth repetition of one a value of its own.
 
-    The texts are read again and met by row number (a node is one) if the rows have numbers, or else by identifier; of rows
-    that repeat an identifier the digest tells which is meant.
+    A node is a row's number, so a text is met by one node at most, whatever identifiers are null or repeat.
     """
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rows, offsets, data in K.text_groups(b.column(2)):
-                doc, shingle, n_words = shingles(data, offsets)
+            for rows, offsets, data in K.text_groups(b.column(1)):
+                doc, shingle, _ = shingles(data, offsets)
                 first = np.flatnonzero(K.run_starts(doc, shingle))
                 again = np.arange(len(doc)) - np.repeat(first, np.diff(np.r_[first, len(doc)]))
                 value = K.mix(shingle + again.astype(np.uint64) * K.GOLDEN)
-                order = np.lexsort((value, doc))
-                value, ends = value[order], np.searchsorted(doc, np.arange(len(rows) + 1))
-                raw = data.tobytes()
-                nodes, out = [], []
-                for k, i in enumerate(rows.tolist()):
-                    if n_words[k] and _digest(raw[offsets[k] : offsets[k + 1]]) == b.column(1)[i].as_py():
-                        nodes.append(b.column(0)[i].as_py()), out.append(value[ends[k] : ends[k + 1]].tobytes())
-                yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "bag": pa.array(out, pa.binary())})
+                value, ends = value[np.lexsort((value, doc))], np.searchsorted(doc, np.arange(len(rows) + 1))
+                out = [value[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.record_batch({"node": b.column(0).take(pa.array(rows)), "bag": pa.array(out, pa.binary())})
 
-    texts = docs.select(F.col(row_col or id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
-    met = nodes.join(texts, nodes["node" if row_col else "doc_id"].eqNullSafe(texts["key"])).select("node", "words", "text")
-    return met.mapInArrow(collect, "node long, bag binary").dropDuplicates(["node"])
+    texts = docs.select(F.col(row_col).alias("node"), F.col(text_col).cast("string").alias("text"))
+    return nodes.select("node").join(texts, "node").select("node", "text").mapInArrow(collect, "node long, bag binary")
 
 
 def verified(pairs: DataFrame, bag: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -196,23 +189,30 @@ def verified(pairs: DataFrame, bag: DataFrame, similarity: float = SIMILARITY) -
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and root, the smallest node that links lead to, for nodes that have links (a, b).
+    """node and root, one node of all that links lead to, for nodes that have links (a, b).
 
-    Each round every node points to its smallest neighbour or itself, and to where that points; links then join
-    the targets, and links within one target vanish. Nothing but whether links are left reaches the driver.
+    Each round orders the nodes by a seeded hash; every node points to the first of its neighbours and itself, and to
+    where that points. Links then join the targets, and links within one target vanish. In a random order at least a
+    quarter of the nodes with links is expected to go in a round, whatever the links and identifiers are, so rounds
+    grow with the logarithm of the longest chain. Two rounds share an order, as a star then ends in two. Nothing but
+    whether links are left reaches the driver.
     """
     edges = materialize(links.select("a", "b"), "edges")
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     roots = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
+    turn = 0
     while not edges.isEmpty():
+        place = lambda c, seed=turn // 2: F.struct(F.xxhash64(c, F.lit(seed)).alias("order"), F.col(c).alias("node"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialize(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")), "least")
-        jump = least.select(F.col("node").alias("to"), F.col("to").alias("then"))
-        point = materialize(least.join(jump, "to").select("node", F.col("then").alias("to")), "point")
+        best = both.groupBy("a").agg(F.min(place("b")).alias("best"))
+        first = materialize(best.select(F.col("a").alias("node"), F.least("best", place("a"))["node"].alias("to")), "first")
+        jump = first.select(F.col("node").alias("to"), F.col("to").alias("then"))
+        point = materialize(first.join(jump, "to").select("node", F.col("then").alias("to")), "point")
         of_a, of_b = (point.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in "ab")
         moved = edges.join(of_a, "a").join(of_b, "b").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b"))
         edges = materialize(moved.filter("a <> b").distinct(), "edges")
         roots = materialize(roots.join(point.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+        turn += 1
     return roots
 
 
@@ -226,14 +226,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Classes that share a band of their signatures meet in a bucket. Small buckets give all their pairs. In a
     larger one every member is compared with the most central member. Members that this leaves in another component
     than that one are then joined with all members of such buckets by an exact prefix filter (prefix_join.py), so
-    that no link is lost for the size of a bucket. Every candidate is verified on the whole texts. A link of exactly 0.8 is missed by all bands with a
-    chance of 3 in a million.
+    that no link is lost for the size of a bucket. Every candidate is verified on the whole texts. A link of exactly
+    0.8 is missed by all bands with a chance of 3 in a million.
 
     Words are runs of other characters than the six ASCII white spaces, case and punctuation included. Documents
     without words, null texts included, form no group and stay. Texts of fewer than five words are only ever
-    equal or unlike. A null doc_id comes after all others; of rows that repeat one, one is kept. Very long texts
+    equal or unlike. A null doc_id comes after all others; rows go by number, so identifiers may repeat. Very long texts
     are held one at a time. An empty table gives an empty result. Other columns are not read.
     """
+    if row_col is None:
+        docs, row_col = numbered(docs.select(F.col(id_col), F.col(text_col))), ROW
     rows = materialize(signed(docs, id_col, text_col, row_col), "signed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no", "n_words", "bands")
     classes = rows.filter("words IS NOT NULL").groupBy("words").agg(F.min(order).alias("first"), F.count("*").alias("n"))
@@ -242,7 +244,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs, large = first_candidates(nodes)
     pairs = materialize(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    bag = materialize(bags(docs, nodes.join(wanted, "node").select("node", "doc_id", "words"), id_col, text_col, row_col), "bags")
+    bag = materialize(bags(docs, wanted, text_col, row_col), "bags")
     links = materialize(verified(pairs, bag, similarity), "links")
     roots = components(links)
 
