@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BUCKET_ROWS, ROW, WORD, hot_join, materialize, numbered, row_number
+from .common import BUCKET_ROWS, HOT_SHARE, ROW, WORD, hot_join, materialize, numbered, row_number, unit
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2.0
+#: How often what is left of a fraction is filled in order; after that one document may come nearest.
+FILLS = 2
 
 
 def _numbered(sources: DataFrame, n: int) -> DataFrame:
@@ -45,17 +47,49 @@ def water_fill(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: fl
     return table.withColumn("target", F.least(cap, F.col("weight") * F.lit(level)) if free else cap)
 
 
+def _bucketed(rows: DataFrame, total: int) -> DataFrame:
+    """rows with `bucket`, of about BUCKET_ROWS rows and rising with (u, v).
+
+    u follows the identifier, so one that is null or repeats in a great part of a source would fill one bucket. Such
+    identifiers, of more than a thousandth of all rows and so HOT_SHARE at most, have buckets of their own by v.
+    """
+    least = max(BUCKET_ROWS, -(-total // HOT_SHARE))
+    often = rows.groupBy("key", "u").agg(F.count("*").alias("often")).filter(F.col("often") > least)
+    often = often.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("u", "often"))).alias("often"))
+    marked = rows.join(F.broadcast(often), "key", "left").withColumn("often", F.coalesce("often", F.array().cast("array<struct<u:double,often:bigint>>")))
+    mine = F.filter("often", lambda h: h["u"] == F.col("u"))
+    before = F.size(F.filter("often", lambda h: h["u"] < F.col("u")))
+    part = F.struct(F.floor(F.col("u") * F.col("buckets")).alias("wide"), (2 * before + F.size(mine)).alias("side"), F.floor(F.col("v") * F.ceil(F.coalesce(F.get(mine, F.lit(0))["often"], F.lit(1)) / BUCKET_ROWS)).alias("own"))
+    return marked.withColumn("bucket", part).drop("often", "buckets")
+
+
+def _filled(rows: DataFrame, total: int) -> DataFrame:
+    """rows (more, gap) with `more` set for those that come first and fit in what is left of their source's fraction, and
+    `gap`, what is left then. A row larger than the whole gap is passed over and doesn't end the filling."""
+    fits = ~F.col("more") & (F.col("size") <= F.col("gap"))
+    rows = rows.withColumn("fit", F.when(fits, F.col("size")).otherwise(0))
+    before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("key", "bucket").agg(F.sum("fit").alias("words")).select("key", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("key", "bucket").orderBy("u", "doc_id", "v", "row_no").rowsBetween(Window.unboundedPreceding, 0)
+    ran = rows.join(sums, ["key", "bucket"]).withColumn("upto", F.col("base") + F.sum("fit").over(inside)).withColumn("now", fits & (F.col("upto") <= F.col("gap")))
+    ran = materialize(ran.drop("base", "fit"), "ran")
+    left = ran.groupBy("key").agg(F.first("n_rows").alias("n"), (F.first("gap") - F.coalesce(F.max(F.when(F.col("now"), F.col("upto"))), F.lit(0))).alias("left"))
+    out = hot_join(ran, materialize(left, "left"), ["key"], "n", total)
+    return out.withColumn("more", F.col("more") | F.col("now")).withColumn("gap", F.col("left")).drop("n", "left", "upto", "now")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """How often each document enters the mix: doc_id, size, source_size, target, repeats, taken, row_no, which is row_col if that is given.
 
-    A source whose target is e times its size gives every document floor(e) times, and for the fraction once more
-    the documents that come first in a seeded order as long as they fit, and then the one document whose size is
-    nearest to what is left. The running sums of a source, which may hold a third of all rows, are taken in
-    buckets of about BUCKET_ROWS rows.
+    A source whose target is e times its size gives every document floor(e) times. The fraction is filled in a seeded
+    order: documents come once more as long as they fit, those larger than the whole fraction being passed over; what
+    is left is filled in the same way once again, with the documents that fit there; and at last the one document
+    whose size is nearest to what is left comes, if that is nearer than none. The running sums of a source, which may
+    hold a third of all rows, are taken in buckets of about BUCKET_ROWS rows.
 
     The size is the number of words; a null or empty text has none and adds nothing. Null is a source of its own,
-    last in the order. Repeated rows are rows like others. An empty table gives an empty result. Other columns
-    are not read.
+    last in the order. Repeated rows are rows like others, also if they are a great part of a source, as are null
+    identifiers. An empty table gives an empty result. Other columns are not read.
     """
     rows = materialize(
         docs.select(
@@ -74,21 +108,18 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
         "plan",
     )
     total = plan.agg(F.sum("n_rows")).first()[0] or 0
-    # A seeded order that any engine can compute: 52 bits of an MD5.
+    # A seeded order that any engine can compute: 52 bits of an MD5; v orders rows of one identifier.
     order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") * F.lit(2.0**-52)
-    joined = hot_join(rows.drop("source"), plan, ["key"], "n_rows", total).withColumn("u", order).withColumn("bucket", F.floor(F.col("u") * F.col("buckets")))
-    joined = materialize(joined, "mixrows")
-    upto = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = joined.groupBy("key", "bucket").agg(F.sum("size").alias("words")).select("key", "bucket", F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("key", "bucket").orderBy("u", "doc_id", "row_no").rowsBetween(Window.unboundedPreceding, 0)
-    part = F.col("target") - F.col("whole") * F.col("source_size")
-    ran = joined.join(sums, ["key", "bucket"]).withColumn("upto", F.col("base") + F.sum("size").over(inside)).withColumn("part", part)
-    ran = materialize(ran.withColumn("more", (F.col("upto") <= F.col("part")) & (F.col("whole") < max_epochs)).drop("base", "bucket", "buckets"), "ran")
-    # What is left of the fraction goes to the one document that comes nearest to it, if that is nearer than none.
-    gaps = ran.groupBy("key").agg(F.first("n_rows").alias("n"), (F.max("part") - F.coalesce(F.max(F.when(F.col("more"), F.col("upto"))), F.lit(0))).alias("gap"))
-    left = hot_join(ran.filter(~F.col("more") & (F.col("whole") < max_epochs)), materialize(gaps, "gaps"), ["key"], "n", total)
+    joined = hot_join(rows.drop("source"), plan, ["key"], "n_rows", total).withColumn("u", order).withColumn("v", unit(F.col("row_no")))
+    # A source at its cap has no fraction, and nothing fits in a gap below nothing.
+    gap = F.when(F.col("whole") < max_epochs, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(-1.0)
+    joined = materialize(joined.withColumn("more", F.lit(False)).withColumn("gap", gap), "mixrows")
+    ran = materialize(_bucketed(joined, total), "bucketed")
+    for _ in range(FILLS):
+        ran = materialize(_filled(ran, total), "filled")
     miss = F.abs(F.col("size") - F.col("gap"))
-    last = left.filter(miss < F.col("gap")).groupBy("key").agg(F.min(F.struct(miss.alias("miss"), "u", "doc_id", "row_no")).alias("one")).select(F.col("one.row_no").alias("row_no"), F.lit(True).alias("last"))
+    nearest = ran.filter(~F.col("more") & (miss < F.col("gap"))).groupBy("key").agg(F.min(F.struct(miss.alias("miss"), "u", "doc_id", "v", "row_no")).alias("one"))
+    last = nearest.select(F.col("one.row_no").alias("row_no"), F.lit(True).alias("last"))
     repeats = (F.col("whole") + F.when(F.col("more") | F.coalesce("last", F.lit(False)), 1).otherwise(0)).cast("long")
     ran = ran.join(materialize(last, "last"), "row_no", "left")
     return ran.withColumn("repeats", repeats).select("doc_id", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"), "row_no")

@@ -111,12 +111,16 @@ SQL: dict[str, str] = {
              -- The level is that of the first source, in order of ratio, that it leaves unclamped with all before it clamped.
              l AS (SELECT (total - 2 * held) / (all_weight - held_weight) AS level FROM o WHERE ratio >= (total - 2 * held) / (all_weight - held_weight) ORDER BY ratio, source LIMIT 1),
              t AS (SELECT source, source_size, least(2.0 * source_size, weight * coalesce((SELECT level FROM l), 1e300)) AS target FROM w),
-             r AS (SELECT doc_id, t.source, u, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
-                     sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-                   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-             m AS (SELECT *, target - whole * source_size AS part, upto <= target - whole * source_size AND whole < 2 AS more FROM r),
-             q AS (SELECT *, part - coalesce(max(upto) FILTER (more) OVER (PARTITION BY source), 0) AS gap FROM m),
-             x AS (SELECT *, row_number() OVER (PARTITION BY source, NOT more AND whole < 2 AND abs(size - gap) < gap ORDER BY abs(size - gap), u, doc_id) = 1 AND NOT more AND whole < 2 AND abs(size - gap) < gap AS last FROM q)
+             r AS (SELECT doc_id, t.source, u, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+             g AS (SELECT *, CASE WHEN whole < 2 THEN target - whole * source_size ELSE -1 END AS part FROM r),
+             -- The fraction is filled in order twice; a document larger than what is to be filled is passed over.
+             a AS (SELECT *, sum(CASE WHEN size <= part THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM g),
+             a1 AS (SELECT *, size <= part AND upto <= part AS one FROM a),
+             a2 AS (SELECT *, part - coalesce(max(upto) FILTER (one) OVER (PARTITION BY source), 0) AS gap1 FROM a1),
+             b AS (SELECT *, sum(CASE WHEN NOT one AND size <= gap1 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto2 FROM a2),
+             b1 AS (SELECT *, NOT one AND size <= gap1 AND upto2 <= gap1 AS two FROM b),
+             q AS (SELECT *, one OR two AS more, gap1 - coalesce(max(upto2) FILTER (two) OVER (PARTITION BY source), 0) AS gap FROM b1),
+             x AS (SELECT *, row_number() OVER (PARTITION BY source, NOT more AND abs(size - gap) < gap ORDER BY abs(size - gap), u, doc_id) = 1 AND NOT more AND abs(size - gap) < gap AS last FROM q)
         SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN more OR last THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM x""",
     "op8_exact_top_k": r"""
         WITH v AS (SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT) FOR x IN embedding] AS v FROM embeddings

@@ -435,6 +435,35 @@ def test_mixing_without_words(spark):
     assert {(r["taken"], r["target"]) for r in mixing.mix(df).collect()} == {(0, 0.0)}
 
 
+def test_mixing_passes_over_long_documents(spark):
+    """Documents longer than the fraction, or than what is left of it, don't end it."""
+    rows = [(i, "w " * 300, "a") for i in range(400)] + [(1000, "w " * 80_000, "a")] + [(2000 + i, "w " * 9000, "b") for i in range(4)] + [(3000 + i, "w " * 100, "b") for i in range(400)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(25, 9), share=1.1).collect()
+    for size in {r["source_size"] for r in got}:
+        mine = [r for r in got if r["source_size"] == size]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 150
+
+
+@pytest.mark.parametrize("least", [40, 100_000])
+def test_mixing_deals_null_and_repeated_ids(spark, monkeypatch, least):
+    """A third of the rows without identifier and a third with one: their buckets are split, and the sums still are right."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", least)
+    sizes, real = [], mixing._bucketed
+
+    def seen(rows, total):
+        out = real(rows, total)
+        sizes.append(out.groupBy("key", "bucket").count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(mixing, "_bucketed", seen)
+    rows = [([None, 5, i][i % 3], "w " * (1 + i % 7), "a" if i % 2 else "b") for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=1.3).collect()
+    assert len(got) == 3000 and sizes[0] <= 5 * least
+    for size in {r["source_size"] for r in got}:
+        mine = [r for r in got if r["source_size"] == size]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 4
+
+
 # --- 8 -----------------------------------------------------------------------------------------------------------
 
 
@@ -530,6 +559,28 @@ def test_near_dedup_short_null_and_repeated(spark):
     )
 
 
+def test_components_of_a_long_chain(spark, monkeypatch):
+    """A chain of 10,000 nodes in rising order, a star and a ring; rounds are counted by the tables they write."""
+    written, real = [], near_dedup.materialize
+    monkeypatch.setattr(near_dedup, "materialize", lambda df, name, **how: (written.append(name), real(df, name, **how))[1])
+    chain, star, ring = [(i, i + 1) for i in range(9999)], [(20_000, 20_001 + i) for i in range(500)], [(30_000 + i, 30_000 + (i + 1) % 7) for i in range(7)]
+    got = near_dedup.components(spark.createDataFrame([(min(e), max(e)) for e in chain + star + ring], "a long, b long")).collect()
+    roots = defaultdict(set)
+    for r in got:
+        roots[r["root"]].add(r["node"])
+    assert sorted(map(len, roots.values())) == [7, 501, 10_000] and len(got) == 10_508
+    assert written.count("point") < 20
+
+
+def test_near_dedup_many_null_ids(spark):
+    """A third of the rows without identifier; they are rows like others and meet nothing but their own texts."""
+    rng = random.Random(8)
+    rows = [(None if i % 3 else i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(12))) for i in range(6000)]
+    rows += [(None, rows[1][1]), (None, rows[1][1] + " more")]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 6002 and sum(not r["kept"] for r in got) == 2
+
+
 def test_bag_minhash_is_unbiased():
     rng, errors = random.Random(3), []
     for _ in range(25):
