@@ -1,4 +1,4 @@
-"""Exact top-k by inner product over vector-approximation cells."""
+"""Exact top-k by inner product over a vector-approximation table."""
 
 from __future__ import annotations
 
@@ -9,14 +9,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import hot_join, materialize, shuffle_partitions
 
-#: Queries that go to the executors at once, and vectors that are scanned at once.
-QUERY_BLOCK = 2048
-SCAN_BLOCK = 4096
-CELLS = 16
+#: Vectors in a row of the approximation table, and cells of a component, which a byte numbers.
+BLOCK, CELLS = 1024, 256
+#: Bytes of cells, and of queries, that one task holds.
+SCAN_BYTES, QUERY_BYTES = 64 << 20, 16 << 20
+#: Bounds that are computed at once.
+STEP = 1 << 21
 SCALE = 256
 
+BLOCKS = "d int, low double, width double, block long, rows binary, cells binary"
+QUERIES = "d int, block long, rows binary, queries binary"
+BOUNDS = "query_row long, row_no long, least double, most double"
+
 
 def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = SCALE) -> DataFrame:
     """row_no, vec_id and v, the components as floor(scale * x); rows null or with null or non-finite components go."""
@@ -27,133 +33,137 @@ def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     )
 
 
-class Cells:
-    """Vectors as one byte a component: the cell, of equal width between the least and the greatest of the block."""
-
-    def __init__(self, exact: np.ndarray) -> None:
-        self.low = exact.min(0) if len(exact) else np.zeros(exact.shape[1])
-        high = exact.max(0) if len(exact) else self.low
-        self.width = np.maximum((high - self.low) / CELLS, 1e-9)
-        self.cell = np.clip(((exact - self.low) / self.width).astype(np.int16), 0, CELLS - 1).astype(np.uint8)
-
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For queries by vectors, the score of the cell's middle, and by how much the true score may differ from it."""
-        middle = queries @ ((self.cell + 0.5) * self.width).T + (queries @ self.low)[:, None]
-        slack = np.abs(queries) @ (self.width / 2)
-        return middle, slack * (1 + 1e-9) + np.abs(middle).max(initial=0) * 1e-9
-
-
-def best(query_ids: np.ndarray, vector_ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of each query, ties to the smaller identifier."""
-    order = np.lexsort((vector_ids, -scores, query_ids))
-    q = query_ids[order]
-    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, int)
-    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
-    return order[rank < k]
-
-
-class Search:
-    """The running k best of a block of queries over the blocks of vectors that one task scans."""
-
-    def __init__(self, query_rows: np.ndarray, queries: np.ndarray, k: int) -> None:
-        self.rows, self.q, self.f, self.k = query_rows, queries, queries.astype(float), k
-        self.kth = np.full(len(queries), -np.inf)
-        self.found = [np.empty(0, np.int64)] * 3
-
-    def scan(self, row_no: np.ndarray, vec_id: np.ndarray, exact: np.ndarray) -> None:
-        middle, slack = Cells(exact.astype(float)).bounds(self.f)
-        middle[self.rows[:, None] == row_no[None, :]] = -np.inf
-        upper = middle + slack[:, None]
-        if len(row_no) > self.k:  # k lower bounds are that high, so the kth result is
-            low = np.partition(middle, len(row_no) - self.k, axis=1)[:, len(row_no) - self.k] - slack
-            floor = np.maximum(self.kth, low)
-        else:
-            floor = self.kth
-        live = (upper >= floor[:, None]) & (middle > -np.inf)
-        # Exact vectors in the order of their bounds, a few for each query at a time, until no bound reaches the kth result.
-        q, v = np.nonzero(live)
-        order = np.lexsort((-upper[q, v], q))
-        q, v = q[order], v[order]
-        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, int)
-        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
-        step, lo = 4 * self.k, 0
-        while len(q):
-            now = rank < lo + step
-            self.take(q[now], vec_id[v[now]], np.einsum("ij,ij->i", self.q[q[now]], exact[v[now]]))
-            q, v, rank, lo = q[~now], v[~now], rank[~now], lo + step
-            more = upper[q, v] >= self.kth[q]
-            q, v, rank = q[more], v[more], rank[more]
-            step *= 4
-
-    def take(self, q: np.ndarray, vec_id: np.ndarray, score: np.ndarray) -> None:
-        q, vec_id, score = (np.concatenate(x) for x in zip(self.found, (q, vec_id, score), strict=True))
-        at = best(q, vec_id, score, self.k)
-        self.found = [q[at], vec_id[at], score[at]]
-        n = np.bincount(self.found[0], minlength=len(self.q))
-        ends = np.cumsum(n) - 1
-        full = n >= self.k
-        self.kth[full] = self.found[2][ends[full]]
+def matrices(b: pa.RecordBatch, at: int, d: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """A batch's vectors (column `at`) by length: the length, places in the batch and a matrix, BLOCK rows at most."""
+    lists = b.column(at)
+    flat, starts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()[:-1]
+    for n in np.unique(d).tolist():
+        mine = np.flatnonzero(d == n)
+        for i in range(0, len(mine), BLOCK):
+            part = mine[i : i + BLOCK]
+            yield n, part, flat[starts[part][:, None] + np.arange(n)]
+
+
+def approximation(vectors: DataFrame, grid: DataFrame, total: int) -> DataFrame:
+    """The vector-approximation table: blocks of vectors of one length, a byte a component, the cell's number in the grid."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d, low, width, row = (b.column(k).to_numpy() for k in range(4))
+            for n, at, v in matrices(b, 4, d):
+                i = at[0]
+                cell = np.clip((v - low[i]) / width[i], 0, CELLS - 1).astype(np.uint8)
+                yield pa.record_batch([pa.array([x], t) for x, t in zip((n, low[i], width[i], row[i], row[at].tobytes(), cell.tobytes()), (pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["d", "low", "width", "block", "rows", "cells"])
+
+    known = hot_join(vectors, grid, ["d"], "n", total).select("d", "low", "width", "row_no", "v")
+    return known.mapInArrow(pack, BLOCKS)
+
+
+def packed_queries(queries: DataFrame) -> DataFrame:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row = b.column(1).to_numpy()
+            for n, at, v in matrices(b, 2, b.column(0).to_numpy()):
+                yield pa.record_batch([pa.array([x], t) for x, t in zip((n, row[at[0]], row[at].tobytes(), v.astype(float).tobytes()), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["d", "block", "rows", "queries"])
+
+    return queries.select("d", "row_no", "v").mapInArrow(pack, QUERIES)
+
+
+def cell_bounds(cells: np.ndarray, low: float, width: float, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For queries by vectors, the score of the cell's middle, and for each query by how much the true score may differ."""
+    middle = queries @ ((cells + 0.5) * width + low).T
+    size = np.abs(queries).sum(1)
+    return middle, size * (width / 2 * (1 + 1e-9) + (abs(low) + CELLS * width) * 1e-9)
+
+
+def scan(blocks: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """The vectors whose cells allow them to be among the k best of a query, as far as the blocks of one task tell.
+
+    k vectors surely score the kth greatest lower bound or more, so one whose upper bound is less is none of the k.
+    """
+    out: list[tuple[np.ndarray, ...]] = []
+    if blocks.num_rows and asked.num_rows:
+        d = blocks.column("d")[0].as_py()
+        q = np.concatenate([np.frombuffer(x.as_py(), float) for x in asked.column("queries")]).reshape(-1, d)
+        q_rows = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in asked.column("rows")])
+        best = np.full((len(q), k), -np.inf)
+        step = max(1, STEP // BLOCK)
+        for i in range(blocks.num_rows):
+            rows = np.frombuffer(blocks.column("rows")[i].as_py(), np.int64)
+            cells = np.frombuffer(blocks.column("cells")[i].as_py(), np.uint8).reshape(-1, d)
+            for s in range(0, len(q), step):
+                middle, slack = cell_bounds(cells, blocks.column("low")[i].as_py(), blocks.column("width")[i].as_py(), q[s : s + step])
+                middle[q_rows[s : s + step, None] == rows[None, :]] = -np.inf
+                lower = np.concatenate([best[s : s + step], middle - slack[:, None]], axis=1)
+                best[s : s + step] = np.partition(lower, lower.shape[1] - k, axis=1)[:, -k:]
+                upper = middle + slack[:, None]
+                who, which = np.nonzero((upper >= best[s : s + step].min(1)[:, None]) & (middle > -np.inf))
+                out.append((who + s, rows[which], middle[who, which] - slack[who], upper[who, which]))
+        who, row, least, most = (np.concatenate(x) for x in zip(*out, strict=True))
+        on = most >= best.min(1)[who]
+        out = [(q_rows[who[on]], row[on], least[on], most[on])]
+    columns = out[0] if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0))
+    return pa.table(dict(zip(("query_row", "row_no", "least", "most"), map(pa.array, columns), strict=True)))
+
+
+def candidates(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_row, row_no, least, most: the vectors whose upper bound reaches the kth greatest lower bound of the query.
+
+    The grid of a length is CELLS steps between its least and greatest component. Blocks of the approximation table
+    meet blocks of queries in groups of bounded size: each group of queries is sent to each group of blocks.
+    """
+    sized = materialize(vectors.withColumn("d", F.size("v")).filter("d > 0"), "sized")
+    asked = materialize(queries.withColumn("d", F.size("v")).filter("d > 0"), "asked")
+    low, high = F.min(F.array_min("v")).cast("double"), F.max(F.array_max("v")).cast("double")
+    grid = materialize(sized.groupBy("d").agg(low.alias("low"), F.greatest((high - low) / CELLS, F.lit(1e-9)).alias("width"), F.count("*").alias("n")), "grid")
+    asking = asked.groupBy("d").agg(F.count("*").alias("m"))
+    total = grid.agg(F.sum("n")).first()[0] or 0
+    blocks = materialize(approximation(sized, grid, total), "cells")
+
+    spread = F.least(F.lit(shuffle_partitions(vectors.sparkSession)).cast("long"), F.ceil(F.col("n") / BLOCK))
+    vector_groups = F.greatest(F.ceil(F.col("n") * F.col("d") / SCAN_BYTES), spread, F.lit(1).cast("long"))
+    query_groups = F.greatest(F.ceil(F.col("m") * F.col("d") * 8 / QUERY_BYTES), F.lit(1).cast("long"))
+    plan = materialize(grid.join(asking, "d").select("d", vector_groups.alias("vgs"), query_groups.alias("qgs"), F.col("n").alias("of")), "plan")
+
+    def sides(df: DataFrame, mine: str, own: str, others: str, other: str) -> DataFrame:
+        dealt = hot_join(df, plan, ["d"], "of", total).withColumn(mine, F.pmod(F.xxhash64("block"), F.col(own)))
+        return dealt.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1))).drop("vgs", "qgs", "of")
+
+    left = sides(blocks, "vg", "vgs", "qgs", "qg").groupBy("d", "vg", "qg")
+    right = sides(materialize(packed_queries(asked), "queries"), "qg", "qgs", "vgs", "vg").groupBy("d", "vg", "qg")
+    bounds = materialize(left.cogroup(right).applyInArrow(lambda a, b: scan(a, b, k), BOUNDS), "bounds")
+    kth = F.nth_value("least", k).over(Window.partitionBy("query_row").orderBy(F.desc("least")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return bounds.withColumn("kth", kth).filter(F.col("kth").isNull() | (F.col("most") >= F.col("kth"))).drop("kth")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The k best vectors of each query: query_id, rank, vec_id, score, ties to the smaller vec_id.
 
-    vectors and queries have row_no, vec_id and v as integer_vectors() makes them; a query finds every vector but
-    its own row. Queries go to the executors in blocks of QUERY_BLOCK, so what is sent is bounded. A task scans
-    its vectors' cells, and computes the exact score only of those whose upper bound reaches the k best so far.
-    Integers are exact up to 64 bits. Vectors of another length than the query's are no candidates.
+    vectors and queries have row_no, vec_id and v as integer_vectors() makes them and should be materialized; a query
+    finds every vector but its own row. The approximation table is scanned for bounds (candidates()). Exact vectors
+    are then read by row number in the order of their upper bounds: first the k that may be best, then those whose
+    bound reaches the kth score found, so that the kth result is certain; others are never read. What one task holds is
+    bounded, and nothing goes through the driver but a count.
 
-    Fewer than k candidates give as many ranks. Equal vectors tie. An empty table gives an empty result.
+    Scores are exact; one that needs more than 64 bits is null and comes last. Vectors of another length than the query's are no candidates, and
+    empty ones find and are found by none. Fewer than k candidates give as many ranks. Equal vectors tie. An empty table
+    gives an empty result.
     """
-    spark = vectors.sparkSession
-    schema = "query_row long, query_id long, vec_id long, score long"
-    found: DataFrame | None = None
-    for block in query_blocks(queries):
-        sent = spark.sparkContext.broadcast(block)
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            mine = sent.value
-            runs = {d: Search(mine[d][0], mine[d][2], k) for d in mine}
-            for b in batches:
-                size = np.diff(b.column(2).offsets.to_numpy())
-                flat = b.column(2).flatten().to_numpy(zero_copy_only=False)
-                row_no, vec_id = b.column(0).to_numpy(), b.column(1).to_numpy()
-                starts = np.cumsum(size) - size
-                for d, run in runs.items():
-                    at = np.flatnonzero(size == d)
-                    for i in range(0, len(at), SCAN_BLOCK):
-                        part = at[i : i + SCAN_BLOCK]
-                        run.scan(row_no[part], vec_id[part], flat[starts[part][:, None] + np.arange(d)])
-            for d, run in runs.items():
-                q, v, s = run.found
-                yield pa.RecordBatch.from_arrays([pa.array(mine[d][0][q]), pa.array(mine[d][1][q]), pa.array(v), pa.array(s)], names=["query_row", "query_id", "vec_id", "score"])
-
-        out = vectors.select("row_no", "vec_id", "v").mapInArrow(scan, schema)
-        found = out if found is None else found.unionByName(out)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def query_blocks(queries: DataFrame) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Blocks of QUERY_BLOCK queries, by vector length: row numbers, identifiers and vectors. One block is held at a time."""
-    held: list = []
-
-    def block(rows: list) -> dict:
-        out = {}
-        for d in {len(r["v"]) for r in rows}:
-            mine = [r for r in rows if len(r["v"]) == d]
-            out[d] = (np.array([r["row_no"] for r in mine], np.int64), np.array([r["vec_id"] for r in mine], np.int64), np.array([r["v"] for r in mine], np.int64).reshape(len(mine), d))
-        return out
-
-    for r in queries.select("row_no", "vec_id", "v").toLocalIterator():
-        held.append(r)
-        if len(held) == QUERY_BLOCK:
-            yield block(held)
-            held = []
-    if held:
-        yield block(held)
+    seen = materialize(candidates(vectors, queries, k), "candidates")
+    order = Window.partitionBy("query_row").orderBy(F.desc("most"), "row_no")
+    seen = seen.withColumn("turn", F.row_number().over(order))
+    asked = queries.select(F.col("row_no").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = pairs.select("query_row", "row_no").join(vectors, "row_no").join(asked, "query_row")
+        score = F.aggregate(F.zip_with("q", "v", F.try_multiply), F.lit(0).cast("long"), F.try_add)
+        return both.select("query_row", "query_id", "vec_id", "row_no", score.alias("score"))
+
+    first = materialize(scored(seen.filter(F.col("turn") <= k)), "first")
+    kth = first.groupBy("query_row").agg(F.min("score").alias("kth"))
+    more = seen.filter(F.col("turn") > k).join(kth, "query_row").filter(F.col("kth").isNull() | (F.col("most") >= F.col("kth")))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row_no"))
+    return first.unionByName(scored(more)).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def top_k_of_every(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -497,10 +497,31 @@ def test_top_k_few_and_none(spark):
 def test_bounds_hold():
     rng = np.random.default_rng(3)
     v, q = rng.integers(-300, 300, (500, 16)).astype(float), rng.integers(-300, 300, (20, 16)).astype(float)
-    middle, slack = topk.Cells(v).bounds(q)
+    width = (v.max() - v.min()) / topk.CELLS
+    cells = np.clip((v - v.min()) / width, 0, topk.CELLS - 1).astype(np.uint8)
+    middle, slack = topk.cell_bounds(cells, v.min(), width, q)
     assert (np.abs(q @ v.T - middle) <= slack[:, None]).all()
 
 
+def test_top_k_in_many_groups_reads_few_exact_vectors(spark, monkeypatch):
+    """Queries and vectors of two lengths in many groups; the candidates are a small part of all pairs."""
+    monkeypatch.setattr(topk, "QUERY_BYTES", 256)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=12 if i % 3 else 6).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k_of_every(df, 50, 5).collect())
+    assert got == brute_top(rows, 50, 5)
+    table = topk.materialize(topk.integer_vectors(df), "vectors")
+    assert topk.candidates(table, table.filter("vec_id % 50 = 0"), 5).count() < 60 * 30
+
+
+def test_top_k_repeated_ids_and_huge_components(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (50, [1e13, 1.0]), (3, [1e13, 0.0]), (4, [])]
+    got = topk.top_k_of_every(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got if r["query_id"] == 0) == [(0, 1, 3), (0, 1, 3), (0, 2, 50), (0, 2, 50), (0, 3, 0), (0, 3, 0)]
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 50][-1] == (3, None)
+
+
 # --- 10 ----------------------------------------------------------------------------------------------------------
 
 
