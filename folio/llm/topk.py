@@ -136,19 +136,27 @@ def candidates(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return bounds.withColumn("kth", kth).filter(F.col("kth").isNull() | (F.col("most") >= F.col("kth"))).drop("kth")
 
 
+def few_of_each(vectors: DataFrame, k: int) -> DataFrame:
+    """Of equal vectors the k + 1 of smallest identifiers: no query has another among its k best, its own row left out.
+    The limit is applied before rows are sent, so a vector that a third of all rows have isn't sorted in one task."""
+    place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id", "row_no"))
+    return vectors.withColumn("place", place).filter(F.col("place") <= k + 1).drop("place")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The k best vectors of each query: query_id, rank, vec_id, score, ties to the smaller vec_id.
 
     vectors and queries have row_no, vec_id and v as integer_vectors() makes them and should be materialized; a query
-    finds every vector but its own row. The approximation table is scanned for bounds (candidates()). Exact vectors
+    finds every vector but its own row. Of equal vectors a few are searched (few_of_each()). The approximation table
     are then read by row number in the order of their upper bounds: first the k that may be best, then those whose
     bound reaches the kth score found, so that the kth result is certain; others are never read. What one task holds is
     bounded, and nothing goes through the driver but a count.
 
-    Scores are exact; one that needs more than 64 bits is null and comes last. Vectors of another length than the query's are no candidates, and
-    empty ones find and are found by none. Fewer than k candidates give as many ranks. Equal vectors tie. An empty table
-    gives an empty result.
+    Scores are exact; one that needs more than 64 bits is null and comes last. Vectors of another length than the query's
+    are no candidates, and empty ones find and are found by none. Fewer than k candidates give as many ranks. Equal
+    vectors tie. An empty table gives an empty result.
     """
+    vectors = materialize(few_of_each(vectors, k), "few")
     seen = materialize(candidates(vectors, queries, k), "candidates")
     order = Window.partitionBy("query_row").orderBy(F.desc("most"), "row_no")
     seen = seen.withColumn("turn", F.row_number().over(order))

@@ -515,10 +515,21 @@ def test_top_k_in_many_groups_reads_few_exact_vectors(spark, monkeypatch):
     assert topk.candidates(table, table.filter("vec_id % 50 = 0"), 5).count() < 60 * 30
 
 
+def test_top_k_of_many_equal_vectors(spark):
+    """A third of the rows are one vector, the best for many queries: ties go by identifier, and only some are candidates."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [3.0] * 6 if i % 3 == 0 else rng.normal(size=6).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k_of_every(df, 50, 5).collect())
+    assert got == brute_top(rows, 50, 5)
+    table = topk.materialize(topk.integer_vectors(df), "vectors")
+    assert topk.few_of_each(table, 5).count() == 606
+
+
 def test_top_k_repeated_ids_and_huge_components(spark):
     rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (50, [1e13, 1.0]), (3, [1e13, 0.0]), (4, [])]
     got = topk.top_k_of_every(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got if r["query_id"] == 0) == [(0, 1, 3), (0, 1, 3), (0, 2, 50), (0, 2, 50), (0, 3, 0), (0, 3, 0)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got if r["query_id"] == 0) == [(0, 1, 50), (0, 1, 50), (0, 2, 3), (0, 2, 3), (0, 3, 0), (0, 3, 0)]
     assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 50][-1] == (3, None)
 
 
