@@ -99,11 +99,12 @@ def emitted(blocks: DataFrame, widths: str, bits: int, entries: Callable[[Block]
     return blocks.mapInArrow(emit, entries_schema(widths))
 
 
-def met(entries: DataFrame, widths: str, answer: Callable[..., tuple[np.ndarray, Entries]], out_widths: str) -> DataFrame:
+def met(entries: DataFrame, widths: str, answer: Callable[..., tuple[np.ndarray, Entries]], out_widths: str, with_block: bool = False) -> DataFrame:
     """What the parts answer: block and e0, e1, ...
 
     answer(first, group, *values) gets all entries of a part sorted by key: where each key's run begins, each
-    entry's run, and the values; it returns which entries are answered and with what besides the key.
+    entry's run, the values, and the blocks they are from if asked for; it returns which entries are answered and with
+    what besides the key.
     """
 
     def meet(table: pa.Table) -> pa.Table:
@@ -113,7 +114,7 @@ def met(entries: DataFrame, widths: str, answer: Callable[..., tuple[np.ndarray,
         order = np.argsort(keys, kind="stable")
         keys, block, values = keys[order], block[order], [v[order] for v in values]
         new = K.run_starts(keys)
-        chosen, extra = answer(np.flatnonzero(new), np.cumsum(new) - 1, *values)
+        chosen, extra = answer(np.flatnonzero(new), np.cumsum(new) - 1, *values, *[block] * with_block)
         block, out = block[chosen], [keys[chosen], *extra]
         order = np.argsort(block, kind="stable")
         block, out = block[order], [x[order] for x in out]
@@ -129,7 +130,7 @@ def met(entries: DataFrame, widths: str, answer: Callable[..., tuple[np.ndarray,
 
 
 def widths_of(widths: str) -> list[str]:
-    return [{"b": "u1", "l": "i8", "u": "u8"}[w] for w in widths]
+    return [{"b": "u1", "i": "i4", "l": "i8", "u": "u8"}[w] for w in widths]
 
 
 def answered(blocks: DataFrame, answers: DataFrame, out_widths: str, work: Callable[..., Iterator[pa.Table] | pa.Table], schema: str) -> DataFrame:

@@ -127,3 +127,21 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
         out = np.minimum(out[:-n], out[n:])
         n *= 2
     return out if n == width else np.minimum(out[: len(x) - width + 1], out[width - n :])
+
+
+def common(a: bytes, b: bytes, known: int = 0) -> int:
+    """The length of the common prefix, of which `known` bytes are not compared again."""
+    end = min(len(a), len(b))
+    low, step = known, 8
+    while low < end:
+        high = min(end, low + step)
+        if a[low:high] != b[low:high]:
+            while high - low > 1:
+                mid = (low + high) // 2
+                if a[low:mid] == b[low:mid]:
+                    low = mid
+                else:
+                    high = mid
+            return low
+        low, step = high, 2 * step
+    return end

@@ -61,24 +61,6 @@ def repeated(first: np.ndarray, group: np.ndarray, counts: np.ndarray) -> tuple[
     return total > 1, [total[total > 1]]
 
 
-def common(a: bytes, b: bytes, known: int = 0) -> int:
-    """The length of the common prefix, of which `known` bytes are not compared again."""
-    end = min(len(a), len(b))
-    low, step = known, 8
-    while low < end:
-        high = min(end, low + step)
-        if a[low:high] != b[low:high]:
-            while high - low > 1:
-                mid = (low + high) // 2
-                if a[low:mid] == b[low:mid]:
-                    low = mid
-                else:
-                    high = mid
-            return low
-        low, step = high, 2 * step
-    return end
-
-
 class Run:
     """A sorted run of suffixes, front-coded: bytes in common with the one before, and the rest."""
 
@@ -99,7 +81,7 @@ class Run:
 def front_coded(sorted_suffixes: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
     shared, rest, last = [], [], b""
     for s in sorted_suffixes:
-        h = common(last, s)
+        h = K.common(last, s)
         shared.append(h), rest.append(s[h:])
         last = s
     return np.array(shared, np.int32), np.array([len(x) for x in rest], np.int32), b"".join(rest)
@@ -123,7 +105,7 @@ def merged(runs: Sequence[Run]) -> Iterator[tuple[bytes, int, Run, int]]:
         if ha < 0:
             return a, b
         x, y = runs[a].now, runs[b].now
-        h = common(x, y, ha)
+        h = K.common(x, y, ha)
         if x[h : h + 1] <= y[h : h + 1]:
             depth[b] = h
             return a, b
@@ -155,7 +137,7 @@ def merged(runs: Sequence[Run]) -> Iterator[tuple[bytes, int, Run, int]]:
 def by_left(lefts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The order of what stands before the members' anchors, backwards, and the common prefixes of neighbours in it."""
     order = sorted(range(len(lefts)), key=lefts.__getitem__)
-    return np.array(order, np.int64), np.array([common(lefts[a], lefts[b]) for a, b in zip(order[:-1], order[1:], strict=True)], np.int64)
+    return np.array(order, np.int64), np.array([K.common(lefts[a], lefts[b]) for a, b in zip(order[:-1], order[1:], strict=True)], np.int64)
 
 
 def copied(right: np.ndarray, order: np.ndarray, left: np.ndarray, several: np.ndarray, least: np.ndarray, most: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -130,10 +130,14 @@ def windows_removed(texts: dict[int, list[bytes]], size: int) -> dict[int, list[
     return out
 
 
-def test_substring_dedup(docs, rows, empty):
+@pytest.mark.parametrize("hash_bits", [64, 9])
+def test_substring_dedup(docs, rows, empty, monkeypatch, hash_bits):
+    """Nine bits make windows of unequal words share hashes; what goes is the same."""
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(blocks, "LARGE_BLOCK", 20_000)
     texts = {i: words(t) for i, t, *_ in rows}
     gone = windows_removed(texts, 13)
-    got = by_id(substring_dedup.substring_dedup(docs))
+    got = by_id(substring_dedup.substring_dedup(docs, hash_bits=hash_bits))
     want = {i: (len(w), sum(gone[i]), b" ".join(x for x, g in zip(w, gone[i], strict=True) if not g).decode()) for i, w in texts.items()}
     assert {i: (r["n_words"], r["n_removed"], r["kept"]) for i, r in got.items()} == want
     for i, r in got.items():
@@ -144,6 +148,8 @@ def test_substring_dedup(docs, rows, empty):
             assert f["reference"] < i and f["n_words"] >= 13
             assert all(any(source[p : p + 13] == factor[k : k + 13] for p in range(len(source) - 12)) for k in range(len(factor) - 12))
         assert covered == gone[i]
+        if hash_bits == 64:
+            assert all(a["start"] + a["n_words"] < b["start"] + b["n_words"] for a, b in zip(r["factors"], r["factors"][1:], strict=False))
     assert sum(r["n_removed"] for r in got.values()) > 500
     assert substring_dedup.substring_dedup(empty).count() == 0
 
@@ -210,7 +216,7 @@ def test_merge_gives_sorted_suffixes_and_prefixes():
         runs.append(suffix_dedup.Run(*suffix_dedup.front_coded(mine), k))
     got = [(s, h) for s, h, *_ in suffix_dedup.merged(runs)]
     assert [s for s, _ in got] == sorted(everything)
-    assert all(h == suffix_dedup.common(a, b) for (a, _), (b, h) in zip(got, got[1:], strict=False))
+    assert all(h == kernels.common(a, b) for (a, _), (b, h) in zip(got, got[1:], strict=False))
 
 
 # --- 4 -----------------------------------------------------------------------------------------------------------
