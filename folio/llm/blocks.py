@@ -40,7 +40,7 @@ def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = size or min(LARGE_BLOCK, max(BLOCK_BYTES, 256 << part_bits(docs)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, pack = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1).compress
+        number, pack = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             for rows, offsets, data in K.text_groups(b.column(1), size):
                 ids = b.column(0).take(pa.array(rows))
@@ -72,6 +72,15 @@ def part_bits(df: DataFrame) -> int:
     return min(PART_BITS, int(4 * shuffle_partitions(df.sparkSession) - 1).bit_length())
 
 
+def coded(x: np.ndarray) -> bytes:
+    """Values byte by byte, first all lowest bytes and so on: those of small or sorted values then compress to little."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def decoded(x: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
 def entries_schema(widths: str) -> str:
     return "part int, block long, " + ", ".join(f"e{i} binary" for i in range(len(widths) + 1))
 
@@ -83,7 +92,7 @@ def dealt(block: int, bits: int, keys: np.ndarray, *values: np.ndarray) -> pa.Re
     ends = np.r_[at[1:], len(part)][: len(at)]
     columns = {"part": pa.array(part[at]), "block": pa.array(np.full(len(at), block, np.int64))}
     for i, x in enumerate((keys, *values)):
-        columns[f"e{i}"] = pa.array([x[s:e].tobytes() for s, e in zip(at, ends, strict=True)], pa.binary())
+        columns[f"e{i}"] = pa.array([coded(x[s:e]) for s, e in zip(at, ends, strict=True)], pa.binary())
     return pa.record_batch(columns)
 
 
@@ -110,7 +119,7 @@ def met(entries: DataFrame, widths: str, answer: Callable[..., tuple[np.ndarray,
     def meet(table: pa.Table) -> pa.Table:
         sizes = np.array([len(x.as_py()) // 8 for x in table.column("e0")], np.int64)
         block = np.repeat(table.column("block").to_numpy(), sizes)
-        keys, *values = (np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(f"e{i}")]) for i, t in enumerate(["u8", *widths_of(widths)]))
+        keys, *values = (np.concatenate([decoded(x.as_py(), t) for x in table.column(f"e{i}")]) for i, t in enumerate(["u8", *widths_of(widths)]))
         order = np.argsort(keys, kind="stable")
         keys, block, values = keys[order], block[order], [v[order] for v in values]
         new = K.run_starts(keys)
@@ -122,7 +131,7 @@ def met(entries: DataFrame, widths: str, answer: Callable[..., tuple[np.ndarray,
         ends = np.r_[at[1:], len(block)][: len(at)]
         columns = {"block": pa.array(block[at], pa.int64())}
         for i, (x, t) in enumerate(zip(out, ["u8", *widths_of(out_widths)], strict=True)):
-            columns[f"e{i}"] = pa.array([x[s:e].astype(t, copy=False).tobytes() for s, e in zip(at, ends, strict=True)], pa.binary())
+            columns[f"e{i}"] = pa.array([coded(x[s:e].astype(t, copy=False)) for s, e in zip(at, ends, strict=True)], pa.binary())
         return pa.table(columns)
 
     schema = "block long, " + ", ".join(f"e{i} binary" for i in range(len(out_widths) + 1))
@@ -140,7 +149,7 @@ def answered(blocks: DataFrame, answers: DataFrame, out_widths: str, work: Calla
         empty = pa.schema([])
         outs = []
         for i in range(left.num_rows):
-            parts = [np.concatenate([np.frombuffer(x.as_py(), t) for x in right.column(f"e{k}")] or [np.empty(0, t)]) for k, t in enumerate(["u8", *widths_of(out_widths)])]
+            parts = [np.concatenate([decoded(x.as_py(), t) for x in right.column(f"e{k}")] or [np.empty(0, t)]) for k, t in enumerate(["u8", *widths_of(out_widths)])]
             order = np.argsort(parts[0], kind="stable")
             outs.append(work(Block(left, i), *(p[order] for p in parts)))
         return pa.concat_tables(outs) if outs else pa.table({}, schema=empty)

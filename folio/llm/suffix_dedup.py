@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernels as K
-from .blocks import Block, answered, emitted, found_in, met, part_bits, text_blocks
+from .blocks import Block, answered, coded, emitted, found_in, met, part_bits, text_blocks
 from .common import materialize
 
 LENGTH = 400
@@ -256,7 +256,7 @@ def merge_part(table: pa.Table, lengths: Sequence[int]) -> pa.Table:
     if group:
         close(group)
     spans = {b: np.concatenate(x, axis=1) for b, x in found.items()}
-    e = [pa.array([x[k].astype(t).tobytes() for x in spans.values()], pa.binary()) for k, t in enumerate(("u8", "i8", "u1"))]
+    e = [pa.array([coded(x[k].astype(t)) for x in spans.values()], pa.binary()) for k, t in enumerate(("u8", "i8", "u1"))]
     return pa.table({"block": pa.array(list(spans), pa.int64()), "e0": e[0], "e1": e[1], "e2": e[2]})
 
 
