@@ -18,9 +18,6 @@ BUCKET_ROWS = 4096
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: The number of a row in a table of numbered().
-ROW = "__row_no"
-
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -63,9 +60,18 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row in column ROW, written once, so that all that read it see the same numbers."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind as it takes to differ from all columns of df, case aside."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, written once, so that all that read it see the same numbers, and that column's name."""
+    row = unused(docs, "row_no")
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 def row_number(row_col: str | None) -> Column:

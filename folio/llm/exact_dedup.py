@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, SPACE, hot_join, materialize, numbered, row_number, shuffle_partitions
+from .common import SPACE, hot_join, materialize, numbered, row_number, shuffle_partitions
 
 #: Runs that one merge of the tree takes in.
 FAN_IN_BITS = 3
@@ -26,11 +26,11 @@ def tree_merge(leaves: DataFrame, fan_in_bits: int = FAN_IN_BITS) -> DataFrame:
     """One row for each text: KEYS, keep (struct with the smallest identifier) and group_size.
 
     Every input partition is a leaf run. In round r the runs whose numbers agree but for their last r * fan_in_bits
-    bits are merged: each task sorts its run by digest, folds equal digests, and sends the run in digest ranges;
-    the receiver merges the runs it gets in digest order and keeps, for each digest whose length and second hash
-    agree too, the smallest identifier and the number of rows. A digest that a third of all rows share is one row
-    a run after the first fold. The minimum of a struct is kept by Spark's sort aggregate, so all of it is
-    sorting and merging that spills.
+    bits are merged: each task sorts what it has by run and digest and folds equal digests; rows are sent by the hash
+    of run and digest, and the receiver sorts them again and keeps, for each digest whose length and second hash agree
+    too, the smallest identifier and the number of rows. A digest that a third of all rows share is one row a task
+    after the first fold. The minimum of a struct is kept by Spark's sort aggregate, so all of it is sorting that
+    spills.
     """
     spark = leaves.sparkSession
     bits = max(fan_in_bits, math.ceil(math.log2(max(2, shuffle_partitions(spark)))))
@@ -79,6 +79,6 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup() drops; all columns stay. Rows go by number, so identifiers may repeat or be null."""
-    docs = numbered(docs)
-    dropped = marked(docs, id_col, text_col, ROW).filter(~F.col("kept")).select(F.col("row_no").alias(ROW))
-    return docs.join(dropped, ROW, "left_anti").drop(ROW)
+    docs, row = numbered(docs)
+    dropped = marked(docs, id_col, text_col, row).filter(~F.col("kept")).select(F.col("row_no").alias(row))
+    return docs.join(dropped, row, "left_anti").drop(row)

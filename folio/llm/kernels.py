@@ -34,7 +34,7 @@ def multiple(k: int) -> np.uint64:
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """BASE ** i, or its inverse, modulo 2 ** 64, for i < n."""
     key = "inverse" if inverse else "power"
-    if len(_powers.get(key, ())) < n:
+    if len(_powers.get(key, ())) < max(n, 1):
         base = pow(BASE, -1, 1 << 64) if inverse else BASE
         p = np.full(max(n, 1 << 16), base, np.uint64)
         p[0] = 1

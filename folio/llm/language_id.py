@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit
+from .common import unit, unused
 
 #: Hashed features: byte pairs, triples and quadruples share 2 ** FEATURE_BITS weights.
 FEATURE_BITS = 14
 GRAMS = (2, 3, 4)
-#: Rows of a language that training may use, on average; the sample is drawn by a hash of the identifier.
+#: Rows of a language that training may use, on average; the sample is drawn by a hash of the identifier and the row's number.
 TRAIN_ROWS = 2000
+#: Languages that may be learned; the driver gets 2 ** FEATURE_BITS counts of each at most.
+LANGUAGES = 1000
 UNDETERMINED = "und"
 #: A text is ambiguous when the two nearest codewords are closer than this, as a part of the loss.
 AMBIGUOUS = 0.02
@@ -83,11 +85,14 @@ class Model:
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Model:
     """Fits the bits on a bounded sample: about train_rows rows of each language, or all if it has fewer.
 
-    Executors count the sample's n-grams; the driver gets a count for each language and feature. A bit's
-    classifier is a log-odds weight for each feature between the languages with a one and those with a minus one.
+    Executors count the sample's n-grams; the driver gets a count for each language and feature, so more than LANGUAGES
+    different labels are refused. A bit's classifier is a log-odds weight for each feature between the languages with a
+    one and those with a minus one.
     """
     labelled = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).filter("l IS NOT NULL AND t IS NOT NULL")
-    sizes = {r["l"]: r["count"] for r in labelled.groupBy("l").count().collect()}
+    sizes = {r["l"]: r["count"] for r in labelled.groupBy("l").count().limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {LANGUAGES} different labels")
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, 1), np.int8), np.zeros((1 << FEATURE_BITS, 1)), np.zeros(1))
@@ -103,7 +108,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             at = np.flatnonzero(x)
             yield pa.record_batch({"l": pa.array([lang] * len(at), pa.string()), "f": pa.array(at, pa.int64()), "n": pa.array(x[at], pa.int64())})
 
-    sample = labelled.filter(unit(F.col("i"), F.lit(11)) < shares[F.col("l")]).select("t", "l")
+    sample = labelled.filter(unit(F.col("i"), F.monotonically_increasing_id(), F.lit(11)) < shares[F.col("l")]).select("t", "l")
     total = np.zeros((len(languages), 1 << FEATURE_BITS))
     place = {x: i for i, x in enumerate(languages)}
     got = sample.mapInArrow(count, "l string, f long, n long").groupBy("l", "f").agg(F.sum("n").alias("n")).toPandas()
@@ -158,11 +163,11 @@ def keep_identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     """docs without the rows that identify() calls `und`; all columns stay. One pass: the answer is put beside each row."""
     if not model.languages:
         return docs.limit(0)
-    schema = docs.schema
+    schema, letter = docs.schema, unused(docs, "letter")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, _, _ = answers(model, b.column(text_col), b.column("__letter"))
+            langs, _, _ = answers(model, b.column(text_col), b.column(letter))
             yield b.select(schema.names).filter(pa.array([x != UNDETERMINED for x in langs], pa.bool_()))
 
-    return docs.withColumn("__letter", has_letter(text_col)).mapInArrow(predict, schema)
+    return docs.withColumn(letter, has_letter(text_col)).mapInArrow(predict, schema)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BUCKET_ROWS, HOT_SHARE, ROW, WORD, hot_join, materialize, numbered, row_number, unit
+from .common import BUCKET_ROWS, HOT_SHARE, WORD, hot_join, materialize, numbered, row_number, unit, unused
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -127,6 +127,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the rows of docs, each as often as mix() says. Rows go by number, so identifiers may repeat or be null."""
-    columns, docs = docs.columns, numbered(docs)
-    times = mix(docs, row_col=ROW, **how).filter("repeats > 0").select(F.col("row_no").alias(ROW), F.col("repeats").alias("__times"))
-    return docs.join(times, ROW).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*[docs[c] for c in columns])
+    columns = docs.columns
+    docs, row = numbered(docs)
+    again = unused(docs, "times")
+    times = mix(docs, row_col=row, **how).filter("repeats > 0").select(F.col("row_no").alias(row), F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias(again))
+    return docs.join(times, row).select(*[docs[c] for c in columns])

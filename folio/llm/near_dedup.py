@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import ROW, hot_join, materialize, numbered
+from .common import hot_join, materialize, numbered
 from .prefix_join import candidates
 
 SHINGLE = 5
@@ -235,7 +235,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are held one at a time. An empty table gives an empty result. Other columns are not read.
     """
     if row_col is None:
-        docs, row_col = numbered(docs.select(F.col(id_col), F.col(text_col))), ROW
+        docs, row_col = numbered(docs.select(F.col(id_col), F.col(text_col)))
     rows = materialize(signed(docs, id_col, text_col, row_col), "signed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no", "n_words", "bands")
     classes = rows.filter("words IS NOT NULL").groupBy("words").agg(F.min(order).alias("first"), F.count("*").alias("n"))
@@ -273,6 +273,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that near_dedup() doesn't keep; all columns stay. Rows go by number, so identifiers may repeat or be null."""
-    docs = numbered(docs)
-    dropped = near_dedup(docs, id_col, text_col, row_col=ROW).filter(~F.col("kept")).select(F.col("row_no").alias(ROW))
-    return docs.join(dropped, ROW, "left_anti").drop(ROW)
+    docs, row = numbered(docs)
+    dropped = near_dedup(docs, id_col, text_col, row_col=row).filter(~F.col("kept")).select(F.col("row_no").alias(row))
+    return docs.join(dropped, row, "left_anti").drop(row)

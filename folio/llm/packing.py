@@ -109,7 +109,8 @@ def ranked(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Every document's pieces with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids if asked for.
+    """Every document's pieces with their place: doc_id, piece, start, length, ids_crc32, row_no, sequence_id, offset, and
+    ids if asked for; row_no tells the documents of one identifier apart.
 
     A document is its ids and the end id; one longer than capacity is cut so that only its first piece is
     shorter. The driver gets the number of pieces of each length (capacity rows at most), plans slots on it, and
@@ -132,9 +133,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary:
                 at, slots = length == n, by[int(n)]
                 k = np.searchsorted(slots[:, 0], rank[at], "right") - 1
                 sequence[at], offset[at] = slots[k, 1] + rank[at] - slots[k, 0], slots[k, 2]
-            yield f[["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]].assign(sequence_id=sequence, offset=offset)
+            yield f[["doc_id", "piece", "start", "length", "ids_crc32", "row_no", *["ids"] * with_ids]].assign(sequence_id=sequence, offset=offset)
 
-    return ranked(table, counts).mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids array<int>, " * with_ids + "sequence_id long, offset long")
+    return ranked(table, counts).mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, row_no long, " + "ids array<int>, " * with_ids + "sequence_id long, offset long")
 
 
 def sequences(docs: DataFrame, **how) -> DataFrame:
