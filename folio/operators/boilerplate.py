@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -92,7 +92,8 @@ def summary(pages: DataFrame, boiler: DataFrame, shown: int = 12) -> DataFrame:
     """A row for each doc of pages (doc, page, scan): pages, checked, pages_with_text, coverage, is_digital, is_scan_doc,
     scan_pages and the first boilerplate lines."""
     sums = pages.groupBy("doc").agg(F.count("*").alias("pages"), F.count_if(~F.col("scan")).alias("pages_with_text"), F.array_sort(F.collect_list(F.when(F.col("scan"), F.col("page")))).alias("scan_pages"))
-    lines = boiler.groupBy("doc").agg(F.slice(F.array_sort(F.collect_set("norm")), 1, shown).alias("boilerplate"))
+    first = boiler.select("doc", "norm").distinct().withColumn("place", F.row_number().over(Window.partitionBy("doc").orderBy("norm"))).filter(F.col("place") <= shown)
+    lines = first.groupBy("doc").agg(F.array_sort(F.collect_list("norm")).alias("boilerplate"))
     return sums.join(lines, "doc", "left").select(
         "doc", "pages", F.col("pages").alias("checked"), "pages_with_text", F.round(F.col("pages_with_text") / F.col("pages"), 3).alias("coverage"),
         (F.col("pages_with_text") / F.col("pages") >= DIGITAL).alias("is_digital"), (F.col("pages_with_text") == 0).alias("is_scan_doc"),
@@ -111,6 +112,4 @@ def size_check(pages: DataFrame) -> DataFrame:
 
 
 def _by_page():
-    from pyspark.sql import Window
-
     return Window.partitionBy("doc").orderBy("page")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import geometry as G
-from .registry import Inline, query, table
+from .registry import Inline, file_of, query, table
 
 FIG = Inline("fig", "doc string, page int, fig int, x0 double, y0 double, x1 double, y1 double, in_table double, cover double", [
     ("a", 1, 1, 100.0, 200.0, 300.0, 300.0, 0.0, 0.1), ("a", 1, 2, 320.0, 210.0, 500.0, 300.0, 0.9, 0.0), ("a", 1, 3, 100.0, 20.0, 150.0, 50.0, 0.0, 0.0), ("a", 2, 4, 50.0, 400.0, 60.0, 500.0, 0.0, 0.0),
@@ -162,10 +162,10 @@ def faint_and_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stroke_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strokes made from all line items: a page is a day of shipping."""
+    """Strokes made from all line items: a page has those of two orders."""
     li = table(spark, sf_dir, "lineitem")
     x, y = F.col("l_quantity") * 10, F.col("l_discount") * 5000
-    s = li.select(F.lit("d").alias("doc"), F.datediff("l_shipdate", F.lit("1990-01-01")).alias("page"), F.xxhash64("l_orderkey", "l_linenumber").alias("ord"), x.alias("x0"), y.alias("y0"), (x + 50).alias("x1"), (y + 60).alias("y1"), F.lit(2).alias("n_paths"), F.lit(0).alias("tiny"))
+    s = li.select(F.lit("d").alias("doc"), F.expr("l_orderkey DIV 2").cast("int").alias("page"), F.xxhash64("l_orderkey", "l_linenumber").alias("ord"), x.alias("x0"), y.alias("y0"), (x + 50).alias("x1"), (y + 60).alias("y1"), F.lit(2).alias("n_paths"), F.lit(0).alias("tiny"))
     return G.vector_figures(G.clustered(s), F.lit(600.0), F.lit(800.0))
 
 
@@ -207,9 +207,9 @@ def symbol_font(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", G.symbol_font(private).alias("t"))
 
 
-@query("SELECT source, doc_id, lead(doc_id) OVER w AS next_page, CAST(n_chars * 0.22 AS BIGINT) AS tail FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)".replace("CAST(n_chars * 0.22 AS BIGINT)", "CAST(floor(lead(n_chars) OVER w * 0.22) AS BIGINT)"))
+@query("SELECT source, doc_id, lead(doc_id) OVER w AS next_page, CAST(n_chars * 0.22 AS BIGINT) AS tail FROM documents WINDOW w AS (PARTITION BY source, doc_id // 10000 ORDER BY doc_id)".replace("CAST(n_chars * 0.22 AS BIGINT)", "CAST(floor(lead(n_chars) OVER w * 0.22) AS BIGINT)"))
 def page_with_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("source").orderBy("doc_id")
+    w = Window.partitionBy("source", file_of()).orderBy("doc_id")
     return table(spark, sf_dir, "documents").select("source", "doc_id", F.lead("doc_id").over(w).alias("next_page"), F.floor(F.lead("n_chars").over(w) * F.lit(0.22)).alias("tail"))
 
 

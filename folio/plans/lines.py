@@ -7,27 +7,27 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import boilerplate as B
-from .registry import Inline, query, table
+from .registry import FILE, Inline, file_of, query, table
 
 NORM = "replace(lower(regexp_replace(regexp_replace({0}, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g')), 'ß', 'ss')"
 STRIP = "regexp_replace({0}, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g')"
 NUMBER = "regexp_matches(norm, '^[ \\t\\-–—.|]*([0-9]{1,4}|[ivxlcdmIVXLCDM]{1,7})[ \\t\\-–—.|]*$')"
 LINES = f"""l AS (SELECT doc, page, i - 1 AS pos, parts[i] AS line, {NORM.format("parts[i]")} AS norm
     FROM (SELECT doc, page, parts, unnest(range(1, len(parts) + 1)) AS i FROM
-        (SELECT source AS doc, doc_id AS page, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)))"""
-BOILER = """t AS (SELECT source AS doc, count(*) AS pages FROM documents GROUP BY 1),
+        (SELECT {FILE} AS doc, doc_id AS page, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)))"""
+BOILER = "t AS (SELECT " + FILE + """ AS doc, count(*) AS pages FROM documents GROUP BY 1),
     c AS (SELECT doc, norm, count(DISTINCT page) AS n_pages FROM l WHERE norm <> '' AND length(norm) <= 80 GROUP BY 1, 2),
     b AS (SELECT doc, norm, n_pages, greatest(2, CAST(round_even(pages * {0}, 0) AS INTEGER)) AS need FROM c JOIN t USING (doc)
         WHERE n_pages >= greatest(2, CAST(round_even(pages * {0}, 0) AS INTEGER)) OR """ + NUMBER + ")"
 EFFECTIVE = f"""k AS (SELECT doc, page, string_agg({STRIP.format("line")}, chr(10) ORDER BY pos) AS e FROM l
         WHERE norm <> '' AND NOT {NUMBER} AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc = l.doc AND b.norm = l.norm) GROUP BY 1, 2),
-    e AS (SELECT d.source AS doc, d.doc_id AS page, {STRIP.format("coalesce(d.text, '')")} AS raw, coalesce({STRIP.format("k.e")}, '') AS effective
-        FROM documents d LEFT JOIN k ON k.doc = d.source AND k.page = d.doc_id)"""
+    e AS (SELECT d.doc, d.doc_id AS page, {STRIP.format("coalesce(d.text, '')")} AS raw, coalesce({STRIP.format("k.e")}, '') AS effective
+        FROM (SELECT {FILE} AS doc, doc_id, text FROM documents) d LEFT JOIN k ON k.doc = d.doc AND k.page = d.doc_id)"""
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as pages of a file: the source is the file, the document a page."""
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
+    """Documents as pages of files."""
+    return table(spark, sf_dir, "documents").select(file_of().alias("doc"), F.col("doc_id").alias("page"), "text")
 
 
 @query(f"WITH {LINES}, {BOILER.replace('{0}', '0.8')} SELECT doc, norm, n_pages, need FROM b")
@@ -40,7 +40,7 @@ def boilerplate_lines_20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.boilerplate(pages(spark, sf_dir), 0.20)
 
 
-@query("""WITH p AS (SELECT source AS doc, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page, count(*) OVER (PARTITION BY source) AS n FROM documents)
+@query(f"""WITH p AS (SELECT {FILE} AS doc, row_number() OVER (PARTITION BY {FILE} ORDER BY doc_id) - 1 AS page, count(*) OVER (PARTITION BY {FILE}) AS n FROM documents)
     SELECT doc, page FROM p WHERE n <= 24 OR page IN (SELECT CAST(floor(i * (n / 24.0)) AS BIGINT) FROM range(24) AS r(i))""")
 def sampled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = pages(spark, sf_dir).withColumn("page", (F.row_number().over(Window.partitionBy("doc").orderBy("page")) - 1).cast("long"))
@@ -147,10 +147,10 @@ def markers_and_rules_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.strip_rule_lines(T.strip_page_markers(marked()))).alias("h"))
 
 
-@query("""SELECT source, md5(string_agg(coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id)) AS merged FROM documents GROUP BY 1""")
+@query(f"""SELECT {FILE} AS doc, md5(string_agg(coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id)) AS merged FROM documents GROUP BY 1""")
 def merged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text"))))
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.md5(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n---\n\n")).alias("merged"))
+    return table(spark, sf_dir, "documents").groupBy(file_of().alias("doc")).agg(F.md5(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n---\n\n")).alias("merged"))
 
 
 @query("""WITH l AS (SELECT doc_id, i, parts[i] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
@@ -178,16 +178,16 @@ def page_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", is_complex(t, i % 50 == 0, i % 41 == 0, i % 53).alias("is_complex"))
 
 
-@query("""WITH c AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, doc_id % 7 < 2 AS hard FROM documents),
-    g AS (SELECT *, idx - row_number() OVER (PARTITION BY source, hard ORDER BY idx) AS island FROM c)
-    SELECT source, CASE WHEN hard THEN 'C' ELSE 'S' END AS kind, min(idx) AS first_page, max(idx) AS last_page, count(*) AS n FROM g GROUP BY source, hard, island""")
+@query(f"""WITH c AS (SELECT {FILE} AS doc, row_number() OVER (PARTITION BY {FILE} ORDER BY doc_id) - 1 AS idx, doc_id % 7 < 2 AS hard FROM documents),
+    g AS (SELECT *, idx - row_number() OVER (PARTITION BY doc, hard ORDER BY idx) AS island FROM c)
+    SELECT doc, CASE WHEN hard THEN 'C' ELSE 'S' END AS kind, min(idx) AS first_page, max(idx) AS last_page, count(*) AS n FROM g GROUP BY doc, hard, island""")
 def page_ranges_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.routing import page_ranges
 
-    numbered = table(spark, sf_dir, "documents").select("source", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("idx"), (F.col("doc_id") % 7 < 2).alias("hard"))
-    return page_ranges(numbered, "source")
+    numbered = table(spark, sf_dir, "documents").select(file_of().alias("doc"), (F.row_number().over(Window.partitionBy(file_of()).orderBy("doc_id")) - 1).cast("long").alias("idx"), (F.col("doc_id") % 7 < 2).alias("hard"))
+    return page_ranges(numbered, "doc")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which short lines of each source are boilerplate, what text is left, and which pages look empty."""
+    """Which short lines of each file are boilerplate, what text is left, and which pages look empty."""
     return source_summary(spark, sf_dir)

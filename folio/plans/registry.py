@@ -6,7 +6,8 @@ import datetime
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,6 +34,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The file that a document is a page of: 10,000 documents of a source at most, so that what is ordered or joined within a
+#: file is bounded, whatever a source has.
+FILE = "source || '/' || (doc_id // 10000)"
+
+
+def file_of() -> Column:
+    return F.concat("source", F.lit("/"), F.expr("doc_id DIV 10000").cast("string"))
+
+
 def _type(t: str) -> str:
     return f"{_type(t[6:-1])}[]" if t.startswith("array<") else _TYPES[t]
 

@@ -13,7 +13,7 @@ from ..operators import structure as P
 from ..session import scratch
 from ..sources import files as S
 from ..streaming import jobs as J
-from .registry import Inline, query, table
+from .registry import FILE, Inline, file_of, query, table
 
 EVENTS = "SELECT CAST(user_id AS VARCHAR) AS job, CAST(event_id % 5 AS INTEGER) AS file, event_type AS status, event_id AS seq, ts FROM events"
 
@@ -80,14 +80,14 @@ def expired_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.expired(e.withColumn("modified", F.col("ts")), F.lit(now), days).select("event_id")
 
 
-@query("""WITH t AS (SELECT source AS doc, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN '  ' ELSE 'm' || doc_id END AS a, CASE WHEN doc_id % 8 = 0 THEN NULL ELSE 'o' || doc_id END AS b FROM documents),
+@query("WITH t AS (SELECT " + FILE + " AS doc, row_number() OVER (PARTITION BY " + FILE + """ ORDER BY doc_id) - 1 AS page, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN '  ' ELSE 'm' || doc_id END AS a, CASE WHEN doc_id % 8 = 0 THEN NULL ELSE 'o' || doc_id END AS b FROM documents),
     c AS (SELECT doc, page, coalesce(nullif(trim(coalesce(a, '')), ''), nullif(trim(coalesce(b, '')), '')) AS x FROM t)
     SELECT doc, md5(string_agg('<!-- p2w:page=' || (page + 1) || ' -->' || chr(10) || coalesce(x, '> ⚠️ **[Trang ' || (page + 1) || ']**'), chr(10) || chr(10) ORDER BY page)) AS h, coalesce(string_agg(CASE WHEN x IS NULL THEN CAST(page + 1 AS VARCHAR) END, ',' ORDER BY page), '') AS failed FROM c GROUP BY 1""")
 def pages_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     i = F.col("doc_id")
-    p = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("page"), F.when(i % 4 == 0, None).when(i % 4 == 1, "  ").otherwise(F.concat(F.lit("m"), i.cast("string"))).alias("a"), F.when(i % 8 == 0, None).otherwise(F.concat(F.lit("o"), i.cast("string"))).alias("b"))
+    p = table(spark, sf_dir, "documents").select(file_of().alias("doc"), (F.row_number().over(Window.partitionBy(file_of()).orderBy("doc_id")) - 1).alias("page"), F.when(i % 4 == 0, None).when(i % 4 == 1, "  ").otherwise(F.concat(F.lit("m"), i.cast("string"))).alias("a"), F.when(i % 8 == 0, None).otherwise(F.concat(F.lit("o"), i.cast("string"))).alias("b"))
     return R.converted(p, ["a", "b"]).select("doc", F.md5("markdown").alias("h"), F.array_join("failed", ",").alias("failed"))
 
 
@@ -101,10 +101,18 @@ def solutions_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.solved(a.select("doc", "question_id"), pick("t"), pick("v"))
 
 
-@query()
+ASKED = Inline("asked", "doc string, gnum int, label string, text string, options array<string>, sub_items array<string>", [
+    ("d", 1, "PHẦN I", "q1", ["A. x", "B. y"], []), ("d", 2, "PHẦN I", "q2", [], ["a. m"]), ("d", 3, "PHẦN II", None, [], []), ("e", 1, None, "alone", [], []), ("e", 2, "", "none", [], [])])
+
+
+@query(f"""WITH {ASKED.cte}, p AS (SELECT *, 'all' AS part FROM asked UNION ALL SELECT *, 'some' FROM asked WHERE doc = 'd' AND gnum = 3),
+    n AS (SELECT *, lag(label) OVER w AS was, row_number() OVER w AS place FROM p WINDOW w AS (PARTITION BY part, doc ORDER BY gnum)),
+    b AS (SELECT doc, part, gnum, CASE WHEN coalesce(label, '') <> '' AND (place = 1 OR label IS DISTINCT FROM was) THEN chr(10) || '== ' || label || ' ==' || chr(10) ELSE '' END
+        || chr(10) || '[CÂU ' || gnum || ']' || chr(10) || coalesce(text, '') || CASE WHEN len(options) > 0 THEN chr(10) || '  ' || array_to_string(options, '  ') ELSE '' END
+        || CASE WHEN len(sub_items) > 0 THEN chr(10) || '  ' || array_to_string(sub_items, chr(10) || '  ') ELSE '' END AS block FROM n)
+    SELECT doc, part, string_agg(block, chr(10) ORDER BY gnum) AS prompt FROM b GROUP BY 1, 2""")
 def solver_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("d", 1, "PHẦN I", "q1", ["A. x", "B. y"], []), ("d", 2, "PHẦN I", "q2", [], ["a. m"]), ("d", 3, "PHẦN II", None, [], [])]
-    q = spark.createDataFrame(rows, "doc string, gnum int, label string, text string, options array<string>, sub_items array<string>")
+    q = ASKED.df(spark)
     return R.prompts(q).withColumn("part", F.lit("all")).unionByName(R.prompts(q, spark.createDataFrame([("d", 3)], "doc string, gnum int")).withColumn("part", F.lit("some")))
 
 
@@ -123,12 +131,12 @@ def page_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RANGES.df(spark).select("i", F.array_join(F.transform(S.page_numbers(F.col("r"), F.col("n")), lambda x: x.cast("string")), ",").alias("pages"))
 
 
-@query("WITH p AS (SELECT source AS doc, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page FROM documents) SELECT doc, page FROM p WHERE doc NOT IN ('src1', 'src2') OR (doc = 'src1' AND page IN (0, 1, 2, 5)) OR (doc = 'src2' AND page >= 3)")
+@query(f"WITH p AS (SELECT {FILE} AS doc, row_number() OVER (PARTITION BY {FILE} ORDER BY doc_id) - 1 AS page FROM documents) SELECT doc, page FROM p WHERE doc NOT IN ('src1/0', 'src2/0') OR (doc = 'src1/0' AND page IN (0, 1, 2, 5)) OR (doc = 'src2/0' AND page >= 3)")
 def selected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    p = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("page"))
-    return S.select_pages(p, spark.createDataFrame([("src1", "1-3, 6"), ("src2", "4-9999")], "doc string, pages string"))
+    p = table(spark, sf_dir, "documents").select(file_of().alias("doc"), (F.row_number().over(Window.partitionBy(file_of()).orderBy("doc_id")) - 1).cast("long").alias("page"))
+    return S.select_pages(p, spark.createDataFrame([("src1/0", "1-3, 6"), ("src2/0", "4-9999")], "doc string, pages string"))
 
 
 @query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'docx' WHEN 1 THEN CASE WHEN doc_id % 3 = 0 THEN 'text' WHEN doc_id % 2 = 0 THEN 'model' ELSE 'text' END WHEN 2 THEN CASE WHEN doc_id % 2 = 0 THEN 'model' ELSE 'placeholder' END ELSE 'error' END AS route FROM documents")
@@ -171,8 +179,8 @@ def model_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_with_model(table(spark, sf_dir, "documents").select("doc_id"), readers).select("doc_id", "step")
 
 
-@query("SELECT source AS doc, md5('<html><body>' || string_agg('<p><b>Câu ' || doc_id || '.</b> ' || replace(replace(replace(replace(regexp_replace(text, '[$\\n]', ' ', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</p>', chr(10) ORDER BY doc_id) || '</body></html>') AS h FROM documents GROUP BY 1")
+@query("SELECT " + FILE + " AS doc, md5('<html><body>' || string_agg('<p><b>Câu ' || doc_id || '.</b> ' || replace(replace(replace(replace(regexp_replace(text, '[$\\n]', ' ', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</p>', chr(10) ORDER BY doc_id) || '</body></html>') AS h FROM documents GROUP BY 1")
 def print_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("gnum"), F.regexp_replace("text", "[$\n]", " ").alias("text"), F.lit(None).cast("array<string>").alias("options"), F.lit(None).cast("string").alias("solution"))
+    q = table(spark, sf_dir, "documents").select(file_of().alias("doc"), F.col("doc_id").alias("gnum"), F.regexp_replace("text", "[$\n]", " ").alias("text"), F.lit(None).cast("array<string>").alias("options"), F.lit(None).cast("string").alias("solution"))
     return S.print_html(q).select("doc", F.md5("html").alias("h"))
 

@@ -26,18 +26,32 @@ def section_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LINES.df(spark).select("pos", E.section_type(F.col("line")).alias("kind"))
 
 
-@query()
+_question = r"(?i)^(?:c[aâ]u\s*)?([0-9]+)\s*[.):\s]\s*((?s).*)"
+_strip = "regexp_replace({0}, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g')"
+
+
+@query(f"""WITH {LINES.cte}, m AS (SELECT pos, line, regexp_extract(line, '{_question}', 1) AS number, regexp_extract(line, '{_question}', 2) AS rest FROM lines),
+    q AS (SELECT *, regexp_matches(line, '(?i)^c[aâ]u\\s*[0-9]+\\s*[.):\\s]')
+        OR (regexp_matches(line, '^[0-9]+\\s*[.)]\\s*\\S') AND length(trim(ltrim(rest, '*_ '))) >= 12 AND NOT regexp_matches(ltrim(rest, '*_ '), '^\\p{{Ll}}')) AS is_question FROM m)
+    SELECT pos, is_question, CASE WHEN is_question THEN try_cast(number AS INTEGER) END AS number, CASE WHEN is_question THEN {_strip.format("rest")} END AS text FROM q""")
 def question_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("line")
     return LINES.df(spark).select("pos", E.is_question(c).alias("is_question"), E.question_number(c).alias("number"), E.question_text(c).alias("text"))
 
 
-@query()
+#: A line's marks and what is behind each, and whether the letters are two or more in a row.
+_marks = f"""p AS (SELECT pos, line, regexp_extract_all(line, '{E.MARK}', 1) AS letters, string_split(regexp_replace(line, '{E.MARK}', chr(1), 'g'), chr(1)) AS parts FROM lines),
+    o AS (SELECT pos, line, letters, parts[1] AS head, [letters[k] || '. ' || {_strip.format("parts[k + 1]")} FOR k IN range(1, len(letters) + 1)] AS options,
+        len(letters) >= 2 AND coalesce(list_bool_and([ascii(letters[k + 1]) = ascii(letters[k]) + 1 FOR k IN range(1, len(letters))]), TRUE) AS in_a_row FROM p)"""
+
+
+@query(f"WITH {LINES.cte}, {_marks} SELECT pos, CASE WHEN in_a_row THEN array_to_string(options, '|') ELSE line END AS options FROM o")
 def option_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LINES.df(spark).select("pos", F.array_join(E.split_options(F.col("line")), "|").alias("options"))
 
 
-@query()
+@query(f"""WITH {LINES.cte}, {_marks}, f AS (SELECT *, in_a_row AND letters[1] = 'A' AND regexp_matches(head, '^$|[\\s]$') AS fits FROM o)
+    SELECT pos, CASE WHEN fits THEN rtrim(head) ELSE line END AS text, CASE WHEN fits THEN array_to_string(options, '|') ELSE '' END AS options FROM f""")
 def options_rescued(spark: SparkSession, sf_dir: str) -> DataFrame:
     saved = E.rescued(F.col("line"), F.array().cast("array<string>"))
     return LINES.df(spark).select("pos", saved["text"].alias("text"), F.array_join(saved["options"], "|").alias("options"))
