@@ -173,7 +173,7 @@ def anchor_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "pos", A.anchor_keys(F.col("line")).alias("keys"))
 
 
-@query()
+@query("SELECT * FROM (VALUES ('p', 1, 4, 'anchor'), ('p', 2, 11, 'question'), ('p', 3, 16, 'height'), ('p', 4, 4, 'height')) AS t(doc, fig, line, how)")
 def placed_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     figures = spark.createDataFrame([("p", 1, 3, "Lực từ tác dụng lên cạnh", None, 0.1), ("p", 2, 3, None, "17", 0.9), ("p", 3, 5, "x", None, 0.5), ("p", 4, 3, None, None, 0.35)], "doc string, fig int, page int, anchor string, question string, part double")
     return A.place_figures(figures, MD.df(spark))

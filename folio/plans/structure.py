@@ -97,6 +97,57 @@ def documents_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.parsed_documents(rows).select("doc", "doc_type", F.size("sections").alias("n_sections"), F.aggregate("sections", F.lit(0), lambda n, s: n + F.size(s["questions"])).alias("n_questions"))
 
 
+#: Documents as exam papers: of five lines one is a question and the others its options.
+PAPERS = r"""WITH p AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents), l AS (SELECT doc_id, unnest(range(len(parts))) AS i, parts FROM p),
+    t AS (SELECT doc_id, i, trim(regexp_replace(parts[i + 1], '[^\p{L}]+', ' ', 'g')) AS t FROM l), q AS (SELECT doc_id, i // 5 AS k, 'Hỏi ' || t AS text FROM t WHERE i % 5 = 0),
+    o AS (SELECT doc_id, i // 5 AS k, string_agg(chr(CAST(64 + i % 5 AS INTEGER)) || '. ý ' || t, '|' ORDER BY i) AS options FROM t WHERE i % 5 > 0 GROUP BY 1, 2)"""
+_by_question = PAPERS + r"""
+    SELECT CAST(doc_id AS VARCHAR) AS doc, CAST(k + 1 AS INTEGER) AS number, trim(text) AS text, coalesce(regexp_replace(options, ' (\||$)', '\1', 'g'), '') AS options FROM q LEFT JOIN o USING (doc_id, k)"""
+
+
+def paper_lines(spark: SparkSession, sf_dir: str, bold: str = "") -> DataFrame:
+    """doc, pos, text: the lines of the papers, with what is before and after a mark in `bold`."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.posexplode(T.lines(F.col("text"))).alias("pos", "line"))
+    words, part, b = F.trim(F.regexp_replace("line", r"[^\p{L}]+", " ")), F.col("pos") % 5, F.lit(bold)
+    question = F.concat(b, F.lit("Câu "), F.floor(F.col("pos") / 5 + 1).cast("string"), F.lit("."), b, F.lit(" Hỏi "))
+    return lines.select("doc", "pos", F.concat(F.when(part == 0, question).otherwise(F.concat(b, F.chr(part + 64), F.lit("."), b, F.lit(" ý "))), words).alias("text"))
+
+
+def paper_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = F.lit(None).cast("array<struct<letter:string,text:string,images:array<string>>>")
+    return paper_lines(spark, sf_dir).withColumns({"images": F.array().cast("array<string>"), "option_cells": cells})
+
+
+@query(_by_question)
+def papers_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.parse(paper_items(spark, sf_dir)).select("doc", "number", "text", F.array_join("options", "|").alias("options"))
+
+
+@query(_by_question)
+def papers_from_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    md = paper_lines(spark, sf_dir, "**").groupBy("doc").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))
+    return P.parse_markdown(md).select("doc", "number", "text", F.array_join("options", "|").alias("options"))
+
+
+@query(PAPERS + """, n AS (SELECT doc_id, count(*) AS n_questions, string_agg(trim(text), '|' ORDER BY k) AS texts FROM q GROUP BY 1)
+    SELECT CAST(doc_id AS VARCHAR) AS doc, 1 AS n_sections, CAST(n_questions AS INTEGER) AS n_questions, texts FROM n""")
+def paper_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions = F.flatten(F.transform("sections", lambda s: s["questions"]))
+    tree = P.parsed_documents(paper_items(spark, sf_dir))
+    return tree.select("doc", F.size("sections").alias("n_sections"), F.size(questions).alias("n_questions"), F.array_join(F.transform(questions, lambda q: q["text"]), "|").alias("texts"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc, 'Hỏi ' || doc_id || ' tiếp theo' AS text, 'A. m|B. n' AS options FROM documents")
+def continued_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question that goes on in the next line, in each document, behind a line before the first question."""
+    i = F.col("doc_id").cast("string")
+    texts = F.array(F.lit("lời dẫn"), F.concat(F.lit("Câu 1. Hỏi "), i), F.lit("tiếp theo"), F.lit("A. m B. n"))
+    cells = F.lit(None).cast("array<struct<letter:string,text:string,images:array<string>>>")
+    rows = table(spark, sf_dir, "documents").select(i.alias("doc"), F.posexplode(texts).alias("pos", "text")).withColumns({"images": F.array().cast("array<string>"), "option_cells": cells})
+    return P.parse(rows).select("doc", "text", F.array_join("options", "|").alias("options"))
+
+
 MD = "\n".join(["# PHẦN I. TRẮC NGHIỆM", "**Câu 1.** Vật rơi", "tự do.", "> **A.** 1 s **B.** 2 s", "- **C.** 3 s", "D\\. 4 s", "![](x.png)", "2.  Hãy tìm gia tốc", "| A. 1 | B. 2 |", "|---|---|", "| C. 3 | D. 4 |",
     "## ĐÚNG SAI", "Câu 3: Xét các phát biểu", "a\\) đúng", "b) sai", "| t | 1 |", "| x | 2 |", "hết"])
 
