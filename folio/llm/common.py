@@ -51,6 +51,19 @@ def release() -> None:
         _drop(*_made.pop())
 
 
+def made() -> list[str]:
+    """The folders that materialize() has written and that are still there."""
+    return [path for _, path in _made]
+
+
+def discard(paths: Sequence[str]) -> None:
+    """Deletes some of made(); results that read them must have been consumed."""
+    gone = set(paths)
+    for session, path in [m for m in _made if m[1] in gone]:
+        _made.remove((session, path))
+        _drop(session, path)
+
+
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -87,7 +87,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     whose size is nearest to what is left comes, if that is nearer than none. The running sums of a source, which may
     hold a third of all rows, are taken in buckets of about BUCKET_ROWS rows.
 
-    The size is the number of words; a null or empty text has none and adds nothing. Null is a source of its own,
+    The size is the number of words; a null or empty text has none, adds nothing and fits in any rest. Null is a source of its own,
     last in the order. Repeated rows are rows like others, also if they are a great part of a source, as are null
     identifiers. An empty table gives an empty result. Other columns are not read.
     """

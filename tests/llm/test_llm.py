@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from folio.llm import (
     blocks,
+    common,
     exact_dedup,
     kernels,
     language_id,
@@ -813,7 +814,20 @@ def test_stages_with_clashing_columns_and_without_rows(spark):
         assert {r["doc_id"] for r in out.collect()} == ({1, 2} if left else set())
         assert corpus_pipeline.pack_sequences(spark, out, "").select("doc_id").distinct().count() == left
     for stage in (corpus_pipeline.drop_exact_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.mix_sources, corpus_pipeline.pack_sequences):
-        assert stage(spark, spark.createDataFrame(nothing, f"{DOCS}, {clash}"), "").count() == {"drop_exact_copies": 1, "mix_sources": 0}.get(stage.__name__, 3)
+        assert stage(spark, spark.createDataFrame(nothing, f"{DOCS}, {clash}"), "").count() == {"drop_exact_copies": 1}.get(stage.__name__, 3)
+
+
+def test_stages_leave_only_what_is_read(spark, tmp_path):
+    rows = [(1, "some plain words", "xx", "a", 3), (1, "some plain words", "xx", "a", 3), (2, "other plain text", "yy", "b", 3)]
+    docs = spark.createDataFrame(rows, DOCS)
+    begun = set(common.made())
+    one = corpus_pipeline.drop_exact_copies(spark, docs, "")
+    mine = set(common.made()) - begun
+    two = corpus_pipeline.drop_near_copies(spark, one, "")
+    assert mine and mine <= set(common.made()) and two.count() == 2
+    two.write.parquet(f"{tmp_path}/two")
+    three = corpus_pipeline.mix_sources(spark, spark.read.parquet(f"{tmp_path}/two"), "")
+    assert not mine & set(common.made()) and three.count() > 0
 
 
 def test_null_and_repeated_ids(spark):
