@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import hot_join, materialize, numbered
+from .components import components, looked_up
 from .prefix_join import candidates
 
 SHINGLE = 5
@@ -188,34 +189,6 @@ def verified(pairs: DataFrame, bag: DataFrame, similarity: float = SIMILARITY) -
     return both.select("a", "b", "bag_a", "bag_b").mapInArrow(compare, "a long, b long, overlap long, union long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node and root, one node of all that links lead to, for nodes that have links (a, b).
-
-    Each round orders the nodes by a seeded hash; every node points to the first of its neighbours and itself, and to
-    where that points. Links then join the targets, and links within one target vanish. In a random order at least a
-    quarter of the nodes with links is expected to go in a round, whatever the links and identifiers are, so rounds
-    grow with the logarithm of the longest chain. Two rounds share an order, as a star then ends in two. Nothing but
-    whether links are left reaches the driver.
-    """
-    edges = materialize(links.select("a", "b"), "edges")
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    roots = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
-    turn = 0
-    while not edges.isEmpty():
-        place = lambda c, seed=turn // 2: F.struct(F.xxhash64(c, F.lit(seed)).alias("order"), F.col(c).alias("node"))
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        best = both.groupBy("a").agg(F.min(place("b")).alias("best"))
-        first = materialize(best.select(F.col("a").alias("node"), F.least("best", place("a"))["node"].alias("to")), "first")
-        jump = first.select(F.col("node").alias("to"), F.col("to").alias("then"))
-        point = materialize(first.join(jump, "to").select("node", F.col("then").alias("to")), "point")
-        of_a, of_b = (point.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in "ab")
-        moved = edges.join(of_a, "a").join(of_b, "b").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b"))
-        edges = materialize(moved.filter("a <> b").distinct(), "edges")
-        roots = materialize(roots.join(point.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
-        turn += 1
-    return roots
-
-
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, row_col: str | None = None) -> DataFrame:
     """A row for each document: doc_id, class_id, group_id, kept, row_no, which is row_col if that is given.
 
@@ -249,7 +222,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = components(links)
 
     heads = roots.select(F.col("node").alias("leader"), F.col("root").alias("head"))
-    tagged = large.join(roots, "node", "left").join(heads, "leader", "left").select("key", "node", F.coalesce("root", "node").alias("root"), (F.coalesce("root", "node") != F.coalesce("head", "leader")).alias("stray"))
+    heads = large.select("leader").distinct().join(heads, "leader", "left").select("leader", F.coalesce("head", "leader").alias("head"))
+    rooted = materialize(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    tagged = looked_up(rooted, "leader", heads, rooted.count()).select("key", "node", "root", (F.col("root") != F.col("head")).alias("stray"))
     tagged = materialize(tagged, "tagged")
     torn = tagged.groupBy("key").agg(F.max("stray").alias("torn"), F.count("*").alias("n")).filter("torn")
     torn = materialize(torn.select("key", "n"), "torn")

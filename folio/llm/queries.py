@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, license_scan, mixing, near_dedup, packing, substring_dedup, suffix_dedup, tokens, topk
+from . import (
+    conversation_repair,
+    conversation_trie,
+    exact_dedup,
+    language_id,
+    license_scan,
+    mixing,
+    near_dedup,
+    packing,
+    simhash,
+    substring_dedup,
+    suffix_dedup,
+    tokens,
+    topk,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,7 +76,29 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "group_id", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_suffix_dedup, op4_license_scan, op5_token_counts, op6_language_id, op7_mixing, op8_exact_top_k, op9_best_fit_packing, op10_near_dedup)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_substring_dedup, op3_suffix_dedup, op4_license_scan, op5_token_counts, op6_language_id, op7_mixing, op8_exact_top_k,
+        op9_best_fit_packing, op10_near_dedup, op11_prefix_trie, op12_simhash, op13_conversation_repair,
+    )
+}
+
+#: The CRC-32 of an ASCII string in DuckDB, bit by bit.
+CRC = """xor(list_reduce(list_concat([4294967295], [ascii(substr({0}, i, 1)) FOR i IN range(1, length({0}) + 1)]),
+            lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": r"""
@@ -144,4 +180,52 @@ SQL: dict[str, str] = {
         SELECT doc_id, CASE WHEN len(w) = 0 THEN doc_id ELSE class_id END AS class_id, CASE WHEN len(w) = 0 THEN doc_id ELSE coalesce(group_id, class_id) END AS group_id,
                len(w) = 0 OR doc_id = coalesce(group_id, class_id) AS kept
         FROM c LEFT JOIN m USING (class_id)""",
+    "op11_prefix_trie": rf"""
+        WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+             c AS (SELECT conv_id, {CRC.format("CAST(conv_id AS VARCHAR)")} % 6 AS h,
+                     list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, sha256(concat(strlen(role), ':', role, text))) AS ts FROM m GROUP BY 1),
+             r AS (SELECT c.conv_id, list_concat(coalesce(b.ts[1:c.h], []), c.ts[c.h + 1:]) AS ts FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 100),
+             e AS (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS depth FROM r),
+             n AS (SELECT ts[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                     coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(ts) = depth), '') AS ends FROM e GROUP BY 1, 2),
+             k AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+             f AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * CASE WHEN depth = 0 THEN 0 ELSE length(path[depth].text) END AS saved FROM n LEFT JOIN k USING (path, depth)),
+             a AS (SELECT path[1:up] AS path, up AS depth, CASE WHEN n_children = 0 THEN 1 ELSE 0 END AS leaf, saved FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM f)),
+             s AS (SELECT path, depth, CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM a GROUP BY 1, 2)
+        SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, sha256(f.ends) AS ends_sha256
+        FROM f JOIN s ON s.path = f.path AND s.depth = f.depth LEFT JOIN n p ON f.depth > 0 AND p.depth = f.depth - 1 AND p.path = f.path[1:f.depth - 1]""",
+    "op13_conversation_repair": rf"""
+        WITH RECURSIVE
+             o AS (SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') AS name, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                     coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+             c AS (SELECT *, {CRC.format("key")} % 20 AS code, sha256(concat(strlen(role), ':', role, text)) AS mark FROM o),
+             d AS (SELECT name, turn, mark, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+                     CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS again
+                   FROM c WHERE code <> 0),
+             p AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY turn NULLS FIRST, mark, again) AS i FROM d),
+             q AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY name, role, text ORDER BY i) > 1 AS met,
+                     substr(role, 1, 1) AS ini, lag(substr(role, 1, 1)) OVER (PARTITION BY name ORDER BY i) AS before,
+                     NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS open FROM p),
+             r AS (SELECT *, blank OR met AS must_go, open AND NOT blank AND NOT met AS truncated FROM q),
+             g AS (SELECT name, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (met AND NOT blank) AS duplicate,
+                     count(*) FILTER (truncated) AS truncated, count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY 1),
+             steps(s, ini, t) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+             puts AS (SELECT s, t, 2 AS cost, 'I' AS letters FROM steps WHERE ini <> 's'),
+             gap AS (SELECT s, s AS t, 0 AS cost, '' AS letters FROM range(4) AS x(s) UNION ALL SELECT * FROM puts
+                     UNION ALL SELECT a.s, b.t, 4, 'II' FROM puts a JOIN puts b ON a.t = b.s UNION ALL SELECT a.s, c.t, 6, 'III' FROM puts a JOIN puts b ON a.t = b.s JOIN puts c ON b.t = c.s),
+             moves AS (SELECT s, NULL AS ini, s AS t, 3 AS cost, 'D' AS letter FROM range(4) AS x(s) UNION ALL SELECT s, ini, t, 0, 'K' FROM steps UNION ALL SELECT s, NULL, t, 2, 'R' FROM steps WHERE ini <> 's'),
+             edits AS (SELECT gap.s, m.t, m.ini, letter <> 'D' AS stays, CAST(gap.cost + m.cost AS BIGINT) AS cost, letters || letter AS letters FROM gap JOIN moves m ON gap.t = m.s),
+             walk AS (SELECT name, CAST(0 AS BIGINT) AS i, 0 AS state, {{'cost': CAST(0 AS BIGINT), 'audit': ''}} AS best FROM g
+                      UNION ALL
+                      SELECT w.name, r.i, e.t, min({{'cost': w.best.cost + e.cost + CASE WHEN stays AND truncated THEN 1 ELSE 0 END, 'audit': w.best.audit || e.letters}})
+                      FROM walk w JOIN r ON r.name = w.name AND r.i = w.i + 1 JOIN edits e ON e.s = w.state WHERE (e.ini IS NULL OR e.ini = r.ini) AND NOT (stays AND must_go) GROUP BY ALL),
+             ends AS (SELECT w.name, min({{'cost': best.cost + gap.cost, 'audit': best.audit || letters}}) AS best FROM walk w JOIN g ON g.name = w.name AND g.n = w.i JOIN gap ON gap.s = w.state WHERE gap.t IN (0, 3) GROUP BY 1),
+             l AS (SELECT name, best.audit AS audit, unnest(range(1, length(best.audit) + 1)) AS j FROM ends),
+             v AS (SELECT *, substr(audit, j, 1) AS letter, j - length(replace(substr(audit, 1, j), 'D', '')) AS gone, length(replace(substr(audit, 1, j), 'I', '')) AS i FROM l),
+             y AS (SELECT v.name, j, letter, r.role, r.text, j - gone AS place, first(r.ini = 's' AND letter = 'K') OVER (PARTITION BY v.name ORDER BY j) AS system FROM v LEFT JOIN r ON r.name = v.name AND r.i = v.i WHERE letter <> 'D'),
+             z AS (SELECT name, string_agg(CASE letter WHEN 'K' THEN role || ':' || text ELSE CASE WHEN (place - CASE WHEN coalesce(system, false) THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                     || ':' || CASE letter WHEN 'R' THEN text ELSE '' END END, chr(10) ORDER BY j) AS said FROM y GROUP BY 1)
+        SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), ' ') AS name FROM conversations) k LEFT JOIN g USING (name) LEFT JOIN ends USING (name) LEFT JOIN z USING (name)""",
 }
