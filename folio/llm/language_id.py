@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +24,8 @@ UNDETERMINED = "und"
 #: A text is ambiguous when the two nearest codewords are closer than this, as a part of the loss.
 AMBIGUOUS = 0.02
 CHUNK = 1 << 20
+#: A document stays in a corpus if the nearest codeword has at least this share among all; less is no language's majority.
+LEAST_SCORE = 0.5
 #: By how much a mean log-odds counts in the loss and in the score.
 SCALE = 2.5
 
@@ -159,15 +161,16 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return chosen.mapInArrow(predict, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
-def keep_identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that identify() calls `und`; all columns stay. One pass: the answer is put beside each row."""
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", languages: Sequence[str] | None = None, least_score: float = LEAST_SCORE) -> DataFrame:
+    """docs without the rows that identify() calls `und`, gives a lower score than least_score, or finds in another language
+    than the wanted ones (None: all that were learned); all columns stay. One pass: the answer is put beside each row."""
     if not model.languages:
         return docs.limit(0)
-    schema, letter = docs.schema, unused(docs, "letter")
+    schema, letter, wanted = docs.schema, unused(docs, "letter"), set(model.languages if languages is None else languages)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, _, _ = answers(model, b.column(text_col), b.column(letter))
-            yield b.select(schema.names).filter(pa.array([x != UNDETERMINED for x in langs], pa.bool_()))
+            langs, scores, _ = answers(model, b.column(text_col), b.column(letter))
+            yield b.select(schema.names).filter(pa.array([x in wanted and s >= least_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 
     return docs.withColumn(letter, has_letter(text_col)).mapInArrow(predict, schema)

@@ -69,7 +69,8 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    out = packing.pack(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "row_no")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

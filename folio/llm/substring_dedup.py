@@ -200,11 +200,14 @@ def equal_words(words: Words, ref: Reference, p: np.ndarray, q: np.ndarray, size
     return out
 
 
-def factors(words: Words, ref: Reference, p: np.ndarray, q: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
+def factors(words: Words, ref: Reference, p: np.ndarray, q: np.ndarray, earlier: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
     """A greedy parse: (window, first word, words) of each factor, the longest stretch of words from a window on that stands
-    so in the reference. The next factor begins with the first window that isn't whole within the one before, so windows
-    over a boundary are looked at too."""
+    so in the passage it was paired with. Where that passage isn't of an earlier document (earlier), although an earlier one
+    has the window, a factor ends with the last of the windows in a row of which that is known. The next factor begins with
+    the first window that isn't whole within the one before, so windows over a boundary are looked at too."""
     stops = words.first.tolist()
+    breaks = np.flatnonzero(np.r_[(np.diff(p) != 1) | (np.diff(np.searchsorted(words.first, p, "right")) != 0), True][: len(p)])
+    last = p[breaks[np.searchsorted(breaks, np.arange(len(p)))]].tolist()
     stop_of = (np.searchsorted(words.first, p, "right")).tolist()
     starts, refs, k = p.tolist(), q.tolist(), 0
     while k < len(starts):
@@ -212,6 +215,8 @@ def factors(words: Words, ref: Reference, p: np.ndarray, q: np.ndarray, size: in
         a, b = int(words.at[x]), int(ref.at[y])
         n = K.common(words.raw[a : words.at[stops[stop_of[k]]]], ref.raw[b : ref.at[ref.end[y]]], known)
         length = int(np.searchsorted(words.at, a + n, "right")) - 1 - x
+        if not earlier[k]:
+            length = min(length, last[k] + size - x)
         yield k, x, length
         k = int(np.searchsorted(p, x + length - size + 1, "left"))
 
@@ -239,7 +244,8 @@ def parse(block: Block, sent: pa.Table, size: int, hash_bits: int) -> pa.Table:
     alike &= of < block.ids[doc_of(p)]
     p, q, of = p[alike], q[alike], of[alike]
 
-    got = [(x, n, int(ref.owner[q[k]]) if ref.owner[q[k]] < block.ids[doc_of(x)] else int(of[k])) for k, x, n in factors(words, ref, p, q, size)]
+    earlier = ref.owner[q] < block.ids[doc_of(p)]
+    got = [(x, n, int(ref.owner[q[k]] if earlier[k] else of[k])) for k, x, n in factors(words, ref, p, q, earlier, size)]
     copy = settled_of < block.ids[doc_of(settled)] if len(settled) else np.empty(0, bool)
     got = sorted([*got, *((x, size, y) for x, y in zip(settled[copy].tolist(), settled_of[copy].tolist(), strict=True))])
     begin, length, reference = (np.array([g[k] for g in got], np.int64) for k in range(3))

@@ -118,7 +118,11 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         if self.library_only(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.ranked.encode_to_numpy(text, disallowed_special=())
+        try:
+            return self.ranked.encode_to_numpy(text, disallowed_special=())
+        except ValueError:
+            # Its regex engine backtracks over white space and gives up on runs of some hundred thousand.
+            return np.frombuffer(b"".join(self.pieces(text) or ()), np.uint32)
 
 
 _encoders: dict[str, Encoder] = {}
