@@ -37,7 +37,8 @@ def stage(f: Stage) -> Stage:
 
 @stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose text is in a language that was learned; those without a letter are rejected."""
+    """Keeps the documents that the classifier finds in a language that was learned; those without a letter and those of which
+    no language has the larger share are rejected."""
     model = language_id.train(docs.filter(~language_id.is_held_out()))
     return language_id.keep_identified(docs, model)
 
