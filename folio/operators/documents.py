@@ -87,3 +87,43 @@ def attach_images(target: DataFrame, source: DataFrame) -> DataFrame:
     by_order = last(["id", "type", "q_ord"], source).withColumnRenamed("found", "by_order")
     out = target.withColumn("number", F.col("q.number")).join(by_key, ["id", "type", "number"], "left").join(by_number, ["id", "number"], "left").join(by_order, ["id", "type", "q_ord"], "left")
     return out.withColumn("attached", F.coalesce("by_key", "by_number", "by_order", F.array().cast(f"array<{S.IMAGE}>"))).drop("by_key", "by_number", "by_order")
+
+
+def export_blocks(documents: DataFrame, show_solutions: bool = True) -> DataFrame:
+    """doc, pos, kind, text, cells, right: the blocks that a document (doc: its name; tree: the document) is written as.
+
+    The title, each section's label and introduction, and each question with its number, its options, its statements and its
+    solution; a line of a text is a block of its own. `right` tells the options and statements that are right, where solutions
+    are shown. All is made within the row, so blocks keep their order without a shuffle.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    block = lambda kind, said, right=None: F.struct(F.lit(kind).alias("kind"), said.alias("text"), (F.lit(False) if right is None else F.coalesce(right, F.lit(False))).alias("right"))
+    filled = lambda c: F.filter(F.split(text(c), "\n"), lambda l: F.trim(l) != "")
+    some = lambda on, blocks: F.when(on, blocks).otherwise(F.slice(blocks, 1, 0))
+    letter = lambda c: F.regexp_extract(c, r"^\s*\*{0,2}([A-Da-d])[.)]", 1)
+
+    def asked(q: Column) -> Column:
+        shown = F.lit(show_solutions) & F.coalesce(q["show_solution"], F.lit(True)) & ((text(q["ai_solution"]) != "") | (text(q["correct_answer"]) != ""))
+        one, several = answer_letter(q["correct_answer"], q["ai_solution"]), true_statements(q["ai_solution"])
+        lines, told = filled(q["text"]), filled(q["ai_solution"])
+        first = F.concat(F.lit("Câu "), F.coalesce(q["number"].cast("string"), F.lit("")), F.lit(". "), F.coalesce(F.get(lines, F.lit(0)), F.lit("")))
+        rest = lambda ls: F.slice(ls, 2, F.greatest(F.size(ls) - 1, F.lit(0)))
+        options = F.coalesce(q["options"], F.array().cast("array<string>"))
+        subs = F.coalesce(q["sub_items"], F.array().cast("array<string>"))
+        solution = F.transform(told, lambda l, i: block("solution", F.when(i == 0, F.concat(F.lit("Lời giải: "), l)).otherwise(l)))
+        return F.concat(
+            F.array(block("question", first)), F.transform(rest(lines), lambda l: block("para", l)),
+            F.transform(options, lambda o: block("option", text(o), shown & (letter(text(o)) == one))),
+            F.transform(subs, lambda o: block("sub", text(o), shown & F.array_contains(several, letter(text(o))))),
+            some(shown, solution),
+        )
+
+    def section(s: Column) -> Column:
+        label = F.array(block("heading", text(s["label"])))
+        intro = F.transform(filled(s["intro"]), lambda l: block("para", l))
+        return F.concat(some(text(s["label"]) != "", label), intro, F.flatten(F.transform(F.coalesce(s["questions"], F.array().cast(f"array<{S.QUESTION}>")), asked)))
+
+    sections = F.coalesce("tree.sections", F.array().cast(f"array<{S.SECTION}>"))
+    whole = F.concat(F.array(block("title", text(F.col("tree.title")))), F.flatten(F.transform(sections, section)))
+    rows = documents.select("doc", F.posexplode(whole).alias("pos", "b"))
+    return rows.select("doc", F.col("pos").cast("long").alias("pos"), "b.kind", "b.text", F.lit(None).cast("array<array<string>>").alias("cells"), "b.right")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.office_math import OFFICE, latex_of
 from ..operators import tables as G
 
 # What may be read.
@@ -19,6 +20,7 @@ DOCUMENTS, IMAGES = ("pdf", "docx", "doc"), ("png", "jpg", "jpeg", "gif", "bmp",
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 DRAWING = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+MATH = f"{{{OFFICE}}}"
 BLOCKS = "path string, pos int, kind string, text string, images array<string>, num string, cells array<struct<text:string,images:array<string>>>, n_rows int, n_cols int"
 
 
@@ -54,7 +56,20 @@ def select_pages(pages: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def _text(p: ElementTree.Element) -> str:
-    return "".join({f"{WORD}t": e.text or "", f"{WORD}tab": "\t", f"{WORD}br": "\n"}.get(e.tag, "") for e in p.iter()).strip()
+    """A paragraph's text; Office math as LaTeX between dollars."""
+    out: list[str] = []
+
+    def walk(e: ElementTree.Element) -> None:
+        for c in e:
+            if c.tag in (f"{MATH}oMath", f"{MATH}oMathPara"):
+                mark = "$" * (1 + c.tag.endswith("Para"))
+                out.append(f"{mark}{latex_of(c)}{mark}")
+            elif c.tag != f"{WORD}pPr":
+                out.append({f"{WORD}t": c.text or "", f"{WORD}tab": "\t", f"{WORD}br": "\n"}.get(c.tag, ""))
+                walk(c)
+
+    walk(p)
+    return "".join(out).strip()
 
 
 def _images(e: ElementTree.Element, targets: dict[str, str]) -> list[str]:

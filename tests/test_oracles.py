@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from compare import DATA, connection, same_rows
 
-from folio.plans import geometry, library, lines, notation, reconcile, registry, replies, runtime, structure  # noqa: F401
+from folio.plans import geometry, library, lines, notation, office, reconcile, registry, replies, runtime, structure  # noqa: F401
 
 SF = "sf0.001"
 
