@@ -184,3 +184,27 @@ def print_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "documents").select(file_of().alias("doc"), F.col("doc_id").alias("gnum"), F.regexp_replace("text", "[$\n]", " ").alias("text"), F.lit(None).cast("array<string>").alias("options"), F.lit(None).cast("string").alias("solution"))
     return S.print_html(q).select("doc", F.md5("html").alias("h"))
 
+
+
+@query("""WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS request, conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, text, TIMESTAMP '2026-01-01' + INTERVAL 1 HOUR * conv_id + INTERVAL 1 SECOND * turn AS ts FROM conversations),
+    c AS (SELECT request, conv_id % 7 AS kind, count(*) AS n, string_agg(text, '' ORDER BY seq) AS said, max(ts) AS last FROM t GROUP BY 1, 2),
+    w AS (SELECT max(last) - INTERVAL 1 MINUTE AS mark FROM c)
+    SELECT request, 'chunk' AS event, seq, md5(text) AS h FROM t
+    UNION ALL SELECT request, CASE kind WHEN 3 THEN 'failed' WHEN 5 THEN 'stale' ELSE 'finished' END, n, md5(CASE kind WHEN 3 THEN 'no' ELSE said END) FROM c, w WHERE kind <> 5 OR last + INTERVAL 10 MINUTE <= mark""")
+def solver_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as requests, an hour apart: turns are chunks, read in reverse; some end with an error and some never."""
+    from ..streaming import solver
+
+    schema = table(spark, sf_dir, "conversations").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parquet*")
+    # A turn's number is the chunk's; the first turn tells how many there are, by a table that is small as a column of numbers.
+    sizes = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    named = rows.join(sizes, "conv_id")
+    ts = F.timestamp_seconds(F.lit(1767225600) + F.col("conv_id") * 3600 + F.col("turn"))
+    end = F.struct((F.col("turn") + 1).alias("seq"), F.when(F.col("conv_id") % 7 == 3, "error").otherwise("done").alias("type"), F.when(F.col("conv_id") % 7 == 3, "no").alias("text"))
+    chunk = F.struct(F.col("turn").alias("seq"), F.lit("chunk").alias("type"), "text")
+    last = (F.col("turn") == F.col("n") - 1) & (F.col("conv_id") % 7 != 5)
+    events = named.select(F.col("conv_id").cast("string").alias("request"), ts.alias("ts"), F.explode(F.when(last, F.array(end, chunk)).otherwise(F.array(chunk))).alias("e"))
+    path = scratch(spark, "solver")
+    solver.write_events(solver.solver_events(events.select("request", "e.*", "ts")), path, scratch(spark, "solver-log"), once=True).awaitTermination()
+    return spark.read.schema(solver.EVENTS).parquet(path).select("request", "event", "seq", F.md5("text").alias("h"))

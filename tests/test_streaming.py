@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from folio.sources import files
-from folio.streaming import jobs
+from folio.streaming import jobs, solver
 
 T = datetime.datetime(2026, 1, 1)
 
@@ -57,3 +57,32 @@ def test_sinks(spark, tmp_path):
     (tmp_path / "up").mkdir()
     (tmp_path / "up" / "x.docx").write_bytes(b"1")
     assert files.files(spark, str(tmp_path / "up")).select(files.allowed(F.col("path"))).first()[0]
+
+
+def solver_run(spark, tmp_path, rows):
+    """What the solver tells after one more batch, from the checkpoint of those before."""
+    source, out, log = (str(tmp_path / x) for x in ("chunks", "events", "log"))
+    spark.createDataFrame([(r, s, k, t, T + datetime.timedelta(minutes=m)) for r, s, k, t, m in rows], solver.CHUNKS).coalesce(1).write.mode("append").parquet(source)
+    before = set(map(tuple, spark.read.schema(solver.EVENTS).parquet(out).collect())) if (tmp_path / "events").exists() else set()
+    stream = solver.solver_events(jobs.events(spark, source, solver.CHUNKS))
+    solver.write_events(stream, out, log, once=True).awaitTermination()
+    got = [tuple(r) for r in spark.read.schema(solver.EVENTS).parquet(out).collect()]
+    assert len(got) == len(set(got)) or "late" in {g[1] for g in got}
+    return sorted(set(got) - before)
+
+
+def test_solver_over_restarts(spark, tmp_path):
+    """Each call starts the query anew; chunks come out of order, twice, after the end and never."""
+    first = [("a", 1, "chunk", "B", 0), ("a", 0, "chunk", "A", 0), ("b", 1, "chunk", "late", 0), ("c", 0, "chunk", "half", 0), ("d", 0, "chunk", "x", 0), ("d", 1, "error", "broken", 0), ("e", 0, "done", None, 0), (None, 0, "chunk", "lost", 0)]
+    assert solver_run(spark, tmp_path, first) == [("a", "chunk", 0, "A"), ("a", "chunk", 1, "B"), ("c", "chunk", 0, "half"), ("d", "chunk", 0, "x"), ("d", "failed", 1, "broken"), ("e", "finished", 0, "")]
+    second = [("a", 3, "done", "", 1), ("a", 1, "chunk", "again", 1), ("b", 0, "chunk", "not ", 1), ("d", 5, "chunk", "after", 1)]
+    assert solver_run(spark, tmp_path, second) == [("b", "chunk", 0, "not "), ("b", "chunk", 1, "late"), ("d", "late", 5, "after")]
+    third = [("a", 2, "chunk", "C", 2), ("clock", 0, "chunk", "", 8)]
+    assert solver_run(spark, tmp_path, third) == [("a", "chunk", 2, "C"), ("a", "finished", 3, "ABC"), ("clock", "chunk", 0, "")]
+    # c had its last chunk at 0 and b at 1; the watermark goes to 12, so both are stale, and d and e leave the state.
+    fourth = [("clock", 1, "chunk", "tick", 13)]
+    assert solver_run(spark, tmp_path, fourth) == [("b", "stale", 2, "not late"), ("c", "stale", 1, "half"), ("clock", "chunk", 1, "tick")]
+    # What a stale request says later begins anew; rows behind the watermark are left out.
+    fifth = [("c", 0, "chunk", "new", 13), ("c", 1, "done", "", 13), ("f", 0, "chunk", "too late", 3)]
+    assert solver_run(spark, tmp_path, fifth) == [("c", "chunk", 0, "new"), ("c", "finished", 1, "new")]
+    assert [r["text"] for r in solver.history(spark.read.parquet(str(tmp_path / "events"))).orderBy("text").collect()] == ["", "ABC", "new"]
