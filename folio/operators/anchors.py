@@ -14,10 +14,15 @@ from ..functions import text as T
 # How blocks, questions, options and page marks begin in exam Markdown.
 BLOCK_START = r"(?iu)^\s*(?:\*\*)?\s*(?:Câu\s*[0-9]|Bài\s*[0-9]|PHẦN|Phần\s|[A-D][.)]|[a-d][.)]|\||!\[|#|-{3,})"
 QUESTION_START = r"(?iu)^\s*(?:\*\*)?\s*(?:Câu|Bài|Ví\s*dụ|Minh\s*họa)\s*[0-9]+"
+NUMBERED = r"(?iu)^\s*(?:\*\*)?\s*(?:Câu|Bài)\s*([0-9]+)"
 OPTION_START = r"^\s*(?:\*\*)?\s*(?:[A-D]|[a-d])\s*(?:\*\*)?\s*[.)]"
 LEFTOVER = r"^\s*\*\[Hình(?::[^\]]*| trong trang gốc)\]\*\s*$"
 PAGE_MARK = r"^\s*<!--\s*p2w:page=([0-9]+)\s*-->\s*$"
 KEY_MIN = 12
+#: Characters of the runs by which keys of one or two words are looked up.
+GRAM = 6
+#: Figures among which runs begin that are swept together.
+SWEEP = 4096
 
 
 def _wrapped(pos: Column, cursor: Column, lo: Column, hi: Column) -> Column:
@@ -26,34 +31,78 @@ def _wrapped(pos: Column, cursor: Column, lo: Column, hi: Column) -> Column:
     return F.pmod(pos - at, F.greatest(hi - lo, F.lit(1)))
 
 
+def key_hits(keys: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc, key, pos: the lines (doc, pos, norm) that have a key (doc, key) of their document.
+
+    Lines are indexed by their words. A key of three words or more can only stand where its inner words stand as words, so
+    it is looked up by the inner word that the fewest lines of its document have; shorter keys go by their rarest run of
+    GRAM characters. Only lines that come so are compared with the whole key, so a document's keys are never paired with
+    all its lines. (Keys of fewer characters than that are, as they say nothing.)
+    """
+    words = F.split("key", " ")
+    inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.concat(F.lit("w"), w))
+    runs = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - GRAM + 1), lambda i: F.concat(F.lit("c"), F.substring(c, i, F.lit(GRAM))))
+    grams = F.when(F.size(words) > 2, inner).when(F.length("key") >= GRAM, runs(F.col("key"))).otherwise(F.array(F.lit("a")))
+    keys = keys.filter("key <> ''").select("doc", "key").distinct().select("doc", "key", F.explode(F.array_distinct(grams)).alias("gram"))
+    asked = keys.select("doc", "gram").distinct()
+    few = asked.filter(F.col("gram").rlike("^[ca]")).select("doc").distinct()
+    texts = lines.select("doc", "pos", "norm")
+    by_word = texts.select("doc", "pos", F.explode(F.array_distinct(F.transform(F.split("norm", " "), lambda w: F.concat(F.lit("w"), w)))).alias("gram"))
+    by_run = texts.join(few, "doc", "left_semi").select("doc", "pos", F.explode(F.array_union(F.array(F.lit("a")), F.when(F.length("norm") >= GRAM, runs(F.col("norm"))).otherwise(F.array().cast("array<string>")))).alias("gram"))
+    index = by_word.unionByName(by_run).join(asked, ["doc", "gram"], "left_semi")
+    counts = index.groupBy("doc", "gram").agg(F.count("*").alias("n"))
+    rarest = keys.join(counts, ["doc", "gram"], "left").groupBy("doc", "key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best"))
+    rarest = rarest.filter("best.n > 0").select("doc", "key", F.col("best.gram").alias("gram"))
+    near = rarest.join(index, ["doc", "gram"]).drop("gram")
+    return near.join(texts, ["doc", "pos"]).filter(F.contains("norm", "key")).select("doc", "key", "pos")
+
+
+def next_hits(asked: DataFrame, hits: DataFrame) -> DataFrame:
+    """asked (doc, key, at, ...) with `hit`, the first of hits (doc, key, pos) at or behind `at`, and `after`, the one behind
+    that: hits and questions in one order, from the last, the hit carried on. No question meets more than one hit."""
+    own = [c for c in asked.columns if c not in ("doc", "key", "at")]
+    by_pos = hits.select("doc", "key", F.col("pos").alias("at"), F.struct(F.col("pos").alias("hit"), F.lead("pos").over(Window.partitionBy("doc", "key").orderBy("pos")).alias("after")).alias("h"))
+    both = by_pos.unionByName(asked.select("doc", "key", "at", F.struct(*own).alias("own")), allowMissingColumns=True)
+    back = Window.partitionBy("doc", "key").orderBy(F.desc("at"), F.col("own").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("h", F.last("h", True).over(back)).filter("own IS NOT NULL").select("doc", "key", "at", "own.*", "h.hit", "h.after")
+
+
 def find_lines(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     """wanted (doc, id, keys, lo, hi, cursor) with `found`: the first line (doc, pos, norm) in [lo, hi) that has a key, the
-    keys in turn, going around from the cursor; null if none. Every wanted row looks at its document's lines."""
+    keys in turn, going around from the cursor; null if none."""
     keys = wanted.select("doc", "id", "lo", "hi", "cursor", F.posexplode("keys").alias("rank", "key")).filter("key <> ''")
-    met = keys.join(lines.select("doc", "pos", "norm"), "doc").filter((F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi")) & F.contains("norm", "key"))
-    best = met.groupBy("doc", "id").agg(F.min_by("pos", F.struct("rank", _wrapped(F.col("pos"), F.col("cursor"), F.col("lo"), F.col("hi")))).alias("found"))
+    start = F.least(F.greatest("cursor", "lo"), "hi")
+    tries = keys.select("doc", "key", "id", "rank", "hi", F.explode(F.array(F.struct(F.lit(0).alias("turn"), start.alias("at")), F.struct(F.lit(1).alias("turn"), F.col("lo").alias("at")))).alias("t"))
+    met = next_hits(tries.select("doc", "key", "t.at", "id", "rank", "hi", "t.turn"), key_hits(keys, lines)).filter("hit < hi")
+    best = met.groupBy("doc", "id").agg(F.min_by("hit", F.struct("rank", "turn")).alias("found"))
     return wanted.join(best, ["doc", "id"], "left")
 
 
 def find_questions(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     """wanted (doc, id, number, lo, hi, cursor) with `found`: the first line that opens question `number`, in the same order.
     Lines are met by number, so the join is on equal keys."""
-    number = F.regexp_extract("line", r"(?iu)^\s*(?:\*\*)?\s*(?:Câu|Bài)\s*([0-9]+)", 1)
+    number = F.regexp_extract("line", NUMBERED, 1)
     opened = lines.select("doc", "pos", number.alias("number")).filter("number <> ''")
     met = wanted.join(opened, ["doc", "number"]).filter((F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi")))
     best = met.groupBy("doc", "id").agg(F.min_by("pos", _wrapped(F.col("pos"), F.col("cursor"), F.col("lo"), F.col("hi"))).alias("found"))
     return wanted.join(best, ["doc", "id"], "left")
 
 
+def _marks(line: Column) -> tuple[Column, Column, Column]:
+    """Whether a line ends a paragraph, whether it ends a question's stem, and whether it has content."""
+    bare = T.strip(F.coalesce(line, F.lit("")))
+    content = (bare != "") & (bare != "---") & ~bare.startswith("<!--")
+    return (bare == "") | line.rlike(BLOCK_START), line.rlike(OPTION_START) | line.rlike(QUESTION_START) | (bare == "---") | bare.startswith("<!--"), content
+
+
 def block_ends(lines: DataFrame) -> DataFrame:
     """lines (doc, pos, line) with para_end, the next blank line or block start behind each, and stem_end, the next option,
-    question, rule or comment; one past the last line if there is none."""
-    after = Window.partitionBy("doc").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    whole = Window.partitionBy("doc")
-    line, n = T.strip(F.coalesce("line", F.lit(""))), F.max("pos").over(whole) + 1
-    para = (line == "") | F.col("line").rlike(BLOCK_START)
-    stem = F.col("line").rlike(OPTION_START) | F.col("line").rlike(QUESTION_START) | (line == "---") | line.startswith("<!--")
-    first = lambda on: F.coalesce(F.min(F.when(on, F.col("pos"))).over(after), n)
+    question, rule or comment; one past the last line if there is none. Lines are read from the last, once."""
+    back = Window.partitionBy("doc").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    last = Window.partitionBy("doc").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    para, stem, _ = _marks(F.col("line"))
+    n = F.max("pos").over(last) + 1
+    first = lambda on: F.coalesce(F.min(F.when(on, F.col("pos"))).over(back), n)
     return lines.withColumn("para_end", first(para)).withColumn("stem_end", first(stem))
 
 
@@ -66,31 +115,55 @@ def page_ranges(lines: DataFrame) -> DataFrame:
 
 
 def range_of(pages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """pages (doc, page) with the range of the last mark whose number is not greater: a union in order, the mark carried on."""
+    """pages (doc, page) with the range of the last mark in the text whose number is not greater: a union in order of numbers,
+    the furthest mark carried on."""
     both = ranges.select("doc", "page", F.struct("lo", "hi").alias("r"), F.lit(0).alias("asked")).unionByName(pages.select("doc", "page", F.lit(None).cast(ranges.select(F.struct("lo", "hi").alias("r")).schema["r"].dataType).alias("r"), F.lit(1).alias("asked")))
     w = Window.partitionBy("doc").orderBy("page", "asked", F.col("r.lo")).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("r", F.last("r", True).over(w)).filter("asked = 1").select("doc", "page", "r.lo", "r.hi")
+    return both.withColumn("r", F.max("r").over(w)).filter("asked = 1").select("doc", "page", "r.lo", "r.hi")
+
+
+def counted(lines: DataFrame) -> DataFrame:
+    """lines (doc, pos, line) with para_end, stem_end, content, `opens` (begins a block, whatever the range), `before` (how many
+    such lines are before) and asked (the last question's line up to here), and one row more behind each document's last line."""
+    order = Window.partitionBy("doc").orderBy("pos")
+    upto, strictly = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    bare = T.strip(F.coalesce(F.col("line"), F.lit("")))
+    prev = F.lag(bare, 1, "").over(order)
+    breaks = (prev == "") | (prev == "---") | prev.startswith("<!--") | F.coalesce(F.col("line").rlike(BLOCK_START), F.lit(False))
+    rows = block_ends(lines.select("doc", "pos", "line")).withColumns({"content": F.coalesce(_marks(F.col("line"))[2], F.lit(False)), "breaks": breaks})
+    rows = rows.withColumn("opens", F.col("content") & F.col("breaks"))
+    rows = rows.withColumns({"before": F.coalesce(F.count_if("opens").over(strictly), F.lit(0)), "asked": F.max(F.when(F.col("line").rlike(QUESTION_START), F.col("pos"))).over(upto)}).drop("breaks")
+    ends = rows.groupBy("doc").agg((F.max("pos") + 1).alias("pos"), F.count_if("opens").alias("before"), F.max("asked").alias("asked"))
+    more = ends.withColumns({"opens": F.lit(False), "content": F.lit(False)})
+    return rows.unionByName(more, allowMissingColumns=True)
 
 
 def by_height(figures: DataFrame, lines: DataFrame) -> DataFrame:
     """figures (doc, id, lo, hi, part) with `found`: the block of the range at that part of its height, drawn back to behind
-    the stem of the question it is in. lines: doc, pos, line."""
-    ends = block_ends(lines)
-    line = T.strip(F.coalesce("line", F.lit("")))
-    met = figures.join(ends, "doc").filter((F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi"))).withColumn("s", line)
-    prev = F.lag("s", 1, "").over(Window.partitionBy("doc", "id").orderBy("pos"))
-    breaks = (prev == "") | (prev == "---") | prev.startswith("<!--") | F.col("line").rlike(BLOCK_START)
-    met = met.withColumn("opens", (F.col("s") != "") & (F.col("s") != "---") & ~F.col("s").startswith("<!--") & ((F.col("pos") == F.col("lo")) | breaks))
-    blocks = met.groupBy("doc", "id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("opens"), F.struct("pos", F.least("para_end", "hi").alias("end"))))).alias("blocks"),
-        F.array_sort(F.collect_list(F.when(F.col("line").rlike(QUESTION_START), F.struct("pos", F.least("stem_end", "hi").alias("end"))))).alias("asked"),
-    )
-    out = figures.join(blocks, ["doc", "id"], "left")
-    n = F.coalesce(F.size("blocks"), F.lit(0))
-    k = F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("part"))) * n).cast("int")
-    at = F.when(n == 0, F.col("lo")).when(k >= n, F.try_element_at("blocks", F.lit(-1))["end"]).otherwise(F.get("blocks", k)["pos"])
-    question = F.try_element_at(F.filter("asked", lambda q: q["pos"] < F.least(at, F.col("hi"))), F.lit(-1))
-    return out.withColumn("found", F.when(n == 0, F.col("lo")).otherwise(F.coalesce(question["end"], at))).drop("blocks", "asked")
+    the stem of the question it is in. lines: doc, pos, line.
+
+    Blocks are numbered through a document, so a figure meets its range's ends, its block and the line before that by equal
+    keys, and not all lines of its page. The range's first line begins a block though none may end there.
+    """
+    rows = counted(lines)
+    at = lambda pos, **names: rows.select("doc", F.col("pos").alias(pos), *[F.col(c).alias(n) for n, c in names.items()])
+    out = figures.join(at("lo", first="before", lo_content="content", lo_opens="opens", lo_para="para_end"), ["doc", "lo"], "left").join(at("hi", upto="before"), ["doc", "hi"], "left")
+    own = F.when((F.col("lo") < F.col("hi")) & F.col("lo_content") & ~F.col("lo_opens"), 1).otherwise(0)
+    n = F.greatest(F.coalesce(F.col("upto") - F.col("first"), F.lit(0)), F.lit(0)) + own
+    out = out.withColumns({"own": own, "n": n})
+    k = F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("part"))) * F.col("n"))
+    # The number, in the document, of the block to stand before, or of the last one to stand behind.
+    out = out.withColumn("behind", k >= F.col("n")).withColumn("block", F.col("first") + F.least(k, F.col("n") - 1) - F.col("own"))
+    blocks = rows.filter("opens").select("doc", F.col("before").alias("block"), F.col("pos").alias("block_pos"), F.col("para_end").alias("block_end"))
+    out = out.withColumn("block", F.col("block").cast("long")).join(blocks, ["doc", "block"], "left")
+    whole = F.col("block") < F.col("first")
+    pos, end = F.when(whole, F.col("lo")).otherwise(F.col("block_pos")), F.when(whole, F.col("lo_para")).otherwise(F.col("block_end"))
+    out = out.withColumn("at", F.when(F.col("n") == 0, F.col("lo")).when(F.col("behind"), F.least(end, F.col("hi"))).otherwise(pos))
+    before = at("before_at", asked_at="asked")
+    out = out.withColumn("before_at", F.least("at", "hi") - 1).join(before, ["doc", "before_at"], "left").join(at("asked_at", stem="stem_end"), ["doc", "asked_at"], "left")
+    drawn = (F.col("n") > 0) & (F.col("asked_at") >= F.col("lo"))
+    found = F.when(drawn, F.least("stem", "hi")).otherwise(F.col("at"))
+    return out.withColumn("found", found.cast("int")).select(*figures.columns, "found")
 
 
 def leftovers(wanted: DataFrame, lines: DataFrame, radius: int = 6) -> DataFrame:
@@ -137,46 +210,72 @@ def anchor_keys(c: Column) -> Column:
     return f(c)
 
 
+def choices(figures: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How figures are placed and the lines they may go by. figures: doc, fig, page, anchor, question, part; lines: doc, pos, line.
+
+    The first table has a row for each figure: doc, fig, lo, hi, how, key, place (if it is known whatever is before) and fixed,
+    whether that is so. The second has doc, key, pos and place, the place behind each line that has a key. Which kind of hit counts, and
+    which of the keys, is the same wherever the search starts, so it is settled here: the first key that any line of the
+    figure's range has, else the question's number, else the height.
+    """
+    lines = lines.select("doc", F.col("pos").cast("int").alias("pos"), F.coalesce("line", F.lit("")).alias("line"))
+    size = lines.groupBy("doc").agg((F.max("pos") + 1).alias("n_lines"))
+    pages = range_of(figures.select("doc", "page").distinct(), page_ranges(lines))
+    figs = figures.join(size, "doc").join(pages, ["doc", "page"], "left")
+    figs = figs.select("doc", "fig", "anchor", F.col("question").cast("string").alias("number"), "part", F.coalesce("lo", F.lit(0)).alias("lo"), F.coalesce("hi", "n_lines").alias("hi"))
+
+    texts = figs.select("doc", "fig", "lo", "hi", F.posexplode(anchor_keys(F.col("anchor"))).alias("rank", "key"))
+    numbers = figs.filter("number IS NOT NULL").select("doc", "fig", "lo", "hi", F.lit(9).alias("rank"), F.concat(F.lit("#"), F.col("number")).alias("key"))
+    by_key = key_hits(texts, lines.withColumn("norm", plain_lines(F.col("line"))))
+    opened = lines.select("doc", F.concat(F.lit("#"), F.regexp_extract("line", NUMBERED, 1)).alias("key"), "pos").filter("key <> '#'").join(numbers.select("doc", "key").distinct(), ["doc", "key"], "left_semi")
+    ends = block_ends(lines).select("doc", "pos", "para_end", "stem_end")
+    hits = by_key.unionByName(opened).join(ends, ["doc", "pos"]).select("doc", "key", "pos", F.when(F.col("key").startswith("#"), F.col("stem_end")).otherwise(F.col("para_end")).alias("place"))
+
+    asked = texts.unionByName(numbers).withColumn("at", F.col("lo"))
+    met = next_hits(asked.select("doc", "key", "at", "fig", "rank", "hi"), hits).filter("hit < hi")
+    best = met.groupBy("doc", "fig").agg(F.min_by(F.struct("key", "rank", (F.col("after").isNull() | (F.col("after") >= F.col("hi"))).alias("fixed")), "rank").alias("b"))
+    told = figs.join(best, ["doc", "fig"], "left")
+    high = by_height(told.filter("b IS NULL").withColumn("id", F.col("fig")).select("doc", "id", "fig", "lo", "hi", "part"), lines)
+    high = high.select("doc", "fig", "lo", "hi", F.lit("height").alias("how"), F.lit(None).cast("string").alias("key"), F.col("found").alias("place"), F.lit(True).alias("fixed"))
+    near = told.filter("b IS NOT NULL").select("doc", "fig", "lo", "hi", F.when(F.col("b.rank") == 9, "question").otherwise("anchor").alias("how"), "b.key", F.lit(None).cast("int").alias("place"), "b.fixed")
+    return near.unionByName(high), hits
+
+
 def place_figures(figures: DataFrame, lines: DataFrame) -> DataFrame:
-    """doc, fig, line, how: where each figure goes. figures: doc, fig (in order), page, anchor, question, part; lines: doc,
-    pos, line.
+    """doc, fig, line, how: where each figure goes. figures: doc, fig (in order, unique), page, anchor, question, part; lines:
+    doc, pos (from 0), line.
+
+    In its page's range a figure goes behind the paragraph of its anchor, else behind the stem of its question, else by
+    height; of several lines the first one counts from the place of the figure before on, going around at the range's end.
 
-    In its page's range a figure goes behind the paragraph of its anchor, else behind the stem of its question,
-    else by height; the search starts at the figure before and goes around, as numbers repeat from part to part.
-    That cursor makes a document one group.
+    So a figure is a step function of the place before; one with a single line, or placed by height, is constant. A document
+    falls into runs that begin with a constant figure and don't depend on what is before. Runs that begin among the same
+    SWEEP figures are a group, which is swept in order with one number carried on, the place before; the lines that have a
+    key come to a group once, whatever figures ask for it.
     """
-    block, question, option, mark = (re.compile(p.replace("(?iu)", ""), re.IGNORECASE if p.startswith("(?iu)") else 0) for p in (BLOCK_START, QUESTION_START, OPTION_START, PAGE_MARK))
-
-    def one(figs: pd.DataFrame, text: list[str]) -> list[tuple]:
-        norm, marks, cursor, out = [plain(x) for x in text], [(i, int(m[1])) for i, x in enumerate(text) if (m := mark.match(x))], 0, []
-        until = lambda i, hi, stop: next((j for j in range(i + 1, hi) if stop(text[j])), hi)
-        ends = lambda s: not s.strip() or bool(block.match(s))
-        stems = lambda s: bool(option.match(s) or question.match(s)) or s.strip() == "---" or s.lstrip().startswith("<!--")
-        for f in figs.itertuples():
-            at = max((k for k, (_, page) in enumerate(marks) if page <= f.page), default=None)
-            lo, hi = (0, len(text)) if at is None else (marks[at][0] + 1, marks[at + 1][0] if at + 1 < len(marks) else len(text))
-            start = min(max(cursor, lo), hi)
-            order = [*range(start, hi), *range(lo, start)]
-            hit = next((i for key in keys_of(f.anchor) for i in order if key in norm[i]), None)
-            if hit is not None:
-                place, how = until(hit, hi, ends), "anchor"
+    each, hits = choices(figures, lines)
+    order = Window.partitionBy("doc").orderBy("fig")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("k", F.row_number().over(order) - 1)
+    each = each.withColumn("part", F.floor(F.coalesce(F.max(F.when(F.col("fixed"), F.col("k"))).over(upto), F.lit(0)) / SWEEP))
+    wanted = each.filter("key IS NOT NULL").groupBy("doc", "part", "key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    near = wanted.join(hits, ["doc", "key"]).filter("pos >= lo AND pos < hi").select("doc", "part", "key", "pos", "place").toDF("doc", "part", "key", "pos", "place")
+
+    def sweep(name: tuple, figs: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        at = {key: (g["pos"].to_numpy(), g["place"].to_numpy()) for key, g in met.sort_values("pos").groupby("key", sort=False)}
+        cursor, out = 0, []
+        for f in figs.sort_values("fig").itertuples(index=False):
+            if f.key is None:
+                cursor = int(f.place)
             else:
-                asked = f.question and re.compile(rf"\s*(?:\*\*)?\s*(?:Câu|Bài)\s*{re.escape(str(f.question))}(?!\d)", re.IGNORECASE)
-                hit = next((i for i in order if asked.match(text[i])), None) if asked else None
-                if hit is not None:
-                    place, how = until(hit, hi, stems), "question"
-                else:
-                    starts = [i for i in range(lo, hi) if text[i].strip() and text[i].strip() != "---" and not text[i].strip().startswith("<!--") and (i == lo or not text[i - 1].strip() or block.match(text[i]))]
-                    k = round(min(1.0, max(0.0, f.part)) * len(starts))
-                    place = lo if not starts else starts[k] if k < len(starts) else until(starts[-1], hi, ends)
-                    above = next((i for i in range(min(place, hi) - 1, lo - 1, -1) if question.match(text[i])), None)
-                    place, how = (place if above is None else until(above, hi, stems)), "height"
-            cursor = place
-            out.append((f.fig, place, how))
-        return out
-
-    def group(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = one(left.sort_values("fig"), right.sort_values("pos")["line"].fillna("").tolist())
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=["doc", "fig", "line", "how"])
-
-    return figures.groupBy("doc").cogroup(lines.groupBy("doc")).applyInPandas(group, "doc string, fig int, line int, how string")
+                pos, place = at[f.key]
+                k = pos.searchsorted(min(max(cursor, f.lo), f.hi))
+                if k == len(pos) or pos[k] >= f.hi:
+                    k = pos.searchsorted(f.lo)
+                cursor = min(int(place[k]), f.hi)
+            out.append((name[0], f.fig, cursor, f.how))
+        return pd.DataFrame(out, columns=["doc", "fig", "line", "how"])
+
+    names = ["doc", "part", "fig", "lo", "hi", "how", "key", "place"]
+    figs = each.select(*names).toDF(*names)
+    return figs.groupBy("doc", "part").cogroup(near.groupBy("doc", "part")).applyInPandas(sweep, "doc string, fig int, line int, how string")

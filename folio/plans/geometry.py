@@ -160,26 +160,48 @@ def faint_and_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return INK.df(spark).select("i", G.is_faint(F.col("stroke"), F.col("so"), F.col("fill"), F.col("fo")).alias("faint"), G.is_text_outline(F.col("n"), F.col("tiny")).alias("outline"))
 
 
-@query()
-def stroke_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strokes made from all line items: a page has those of two orders."""
+def strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as boxes: a page has those of two orders."""
     li = table(spark, sf_dir, "lineitem")
     x, y = F.col("l_quantity") * 10, F.col("l_discount") * 5000
-    s = li.select(F.lit("d").alias("doc"), F.expr("l_orderkey DIV 2").cast("int").alias("page"), F.xxhash64("l_orderkey", "l_linenumber").alias("ord"), x.alias("x0"), y.alias("y0"), (x + 50).alias("x1"), (y + 60).alias("y1"), F.lit(2).alias("n_paths"), F.lit(0).alias("tiny"))
-    return G.vector_figures(G.clustered(s), F.lit(600.0), F.lit(800.0))
+    n = F.col("l_orderkey") % 2 * 10 + F.col("l_linenumber")
+    return li.select(F.lit("d").alias("doc"), F.expr("l_orderkey DIV 2").cast("int").alias("page"), n.alias("ord"), x.alias("x0"), y.alias("y0"), (x + 20 + F.col("l_linenumber") * 30).alias("x1"), (y + 60).alias("y1"), F.lit(2).alias("n_paths"), F.lit(0).alias("tiny"))
+
+
+STROKES = """h0 AS (SELECT l_orderkey // 2 AS page, row_number() OVER () AS i, l_quantity * 10 AS x0, l_discount * 5000 AS y0, l_quantity * 10 + 20 + l_linenumber * 30 AS x1, l_discount * 5000 + 60 AS y1, 1 AS n FROM lineitem)"""
+
+
+def _round(k: int) -> str:
+    """One round of merging in SQL: what is near, what leads to what, and the hulls."""
+    return f"""e{k} AS (SELECT a.page, a.i, b.i AS j FROM h{k} a JOIN h{k} b ON a.page = b.page AND greatest(a.x0, b.x0) - least(a.x1, b.x1) <= 6 AND greatest(a.y0, b.y0) - least(a.y1, b.y1) <= 6),
+    p{k} AS (SELECT * FROM e{k} UNION SELECT p.page, p.i, e.j FROM p{k} p JOIN e{k} e ON p.j = e.i AND p.page = e.page),
+    c{k} AS (SELECT i, min(j) AS c FROM p{k} GROUP BY 1),
+    h{k + 1} AS (SELECT page, c AS i, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, sum(n) AS n FROM h{k} JOIN c{k} USING (i) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH RECURSIVE {STROKES}, {", ".join(_round(k) for k in range(4))}
+    SELECT page, x0, y0, x1, y1, CAST(2 * n AS BIGINT) AS n_paths FROM h4 WHERE 2 * n >= 4 AND x1 - x0 >= 40 AND y1 - y0 >= 40 AND (x1 - x0) * (y1 - y0) <= 0.6 * 480000""")
+def stroke_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = G.vector_figures(G.clustered(strokes(spark, sf_dir)), F.lit(600.0), F.lit(800.0))
+    return found.select(F.col("page").cast("long").alias("page"), *G.CORNERS, F.col("n_paths").cast("long").alias("n_paths"))
 
 
 @query()
 def merged_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = figs(spark).select("doc", "page", "fig", "box.*").withColumn("ord", F.col("fig"))
-    return G.row_groups(G.merged_overlaps(f))
+    """Line items as figures, overlapping ones merged and then those in a row, but for those that an order's text is between."""
+    texts = table(spark, sf_dir, "orders").select(F.lit("d").alias("doc"), F.expr("o_orderkey DIV 2").cast("int").alias("page"), F.col("o_orderpriority").alias("p"), (F.col("o_orderkey") % 500).cast("double").alias("x"), (F.col("o_custkey") % 400).cast("double").alias("y"))
+    lines = texts.select("doc", "page", F.concat(F.lit("a line of some length: "), "p").alias("text"), G.box(F.col("x"), F.col("y"), F.col("x") + 30, F.col("y") + 60).alias("box"))
+    return G.row_groups(G.merged_overlaps(strokes(spark, sf_dir)), lines)
 
 
 @query()
 def settled_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = figs(spark).select("doc", "page", F.lit("found").alias("kind"), F.col("fig").cast("string").alias("id"), "box.*", F.col("fig").alias("ord"))
-    declared = DECL.df(spark).select("doc", "page", F.lit("declared").alias("kind"), F.col("id").cast("string").alias("id"), "x0", "y0", "x1", "y1", F.col("id").alias("ord"))
-    return G.settled(found.unionByName(declared))
+    """Line items as found boxes, declared ones and tables of a page."""
+    s = strokes(spark, sf_dir)
+    kind = F.when(F.col("ord") % 4 == 0, "declared").when(F.col("ord") % 13 == 6, "table").otherwise("found")
+    grown = F.when(kind == "declared", 80.0).otherwise(0.0)
+    boxes = s.select("doc", "page", kind.alias("kind"), F.col("ord").cast("string").alias("id"), "x0", "y0", (F.col("x1") + grown).alias("x1"), (F.col("y1") + grown).alias("y1"), "ord")
+    return G.settled(boxes)
 
 
 FRAGS = Inline("frags", "doc string, page int, x0 double, y0 double, x1 double, y1 double, sz double, text string", [
