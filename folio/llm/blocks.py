@@ -30,8 +30,8 @@ Entries = list[np.ndarray]
 LARGE_ROWS = {"compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "4", "parquet.page.row.count.limit": "1", "parquet.block.size": str(16 << 20)}
 
 
-def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int | None = None) -> DataFrame:
-    """block, ids, none, offsets and text (compressed), materialized so that block numbers stand. A text of more bytes
+def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int | None = None, level: int = 3) -> DataFrame:
+    """block, ids, none, offsets and text (compressed, at the given level), materialized so that block numbers stand. A text of more bytes
     than a block is a block of its own.
 
     A block sends a row to each part, so blocks grow with the number of parts: rows keep several entries, and what a
@@ -40,7 +40,7 @@ def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = size or min(LARGE_BLOCK, max(BLOCK_BYTES, 256 << part_bits(docs)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, pack = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=3).compress
+        number, pack = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=level).compress
         for b in batches:
             for rows, offsets, data in K.text_groups(b.column(1), size):
                 ids = b.column(0).take(pa.array(rows))

@@ -327,7 +327,8 @@ def substring_dedup(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
     is a block of its own, for which a worker needs some 35 times its size. An empty table gives an empty result. Other
     columns are not read.
     """
-    blocks = text_blocks(docs, id_col, text_col)
+    # Blocks are written and sent once more, so that what the level saves counts twice.
+    blocks = text_blocks(docs, id_col, text_col, level=9)
     bits = part_bits(docs)
     hits = met(emitted(blocks, "b", bits, lambda b: anchors(b, size)), "b", shared, "")
     entries = answered(blocks, hits, "", lambda b, keys: block_windows(b, keys, size, hash_bits, bits), "part int, block long, e0 binary, e1 binary, e2 binary, e3 binary")
@@ -338,7 +339,7 @@ def substring_dedup(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
         return blocks.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(run, schema)
 
     served = joined(claimed, serve, MESSAGE)
-    parsed = lambda rows: materialize(joined(rows, lambda b, sent: parse(b, sent, size, hash_bits), SPANS + ", disputed array<long>"), "parsed", compression="zstd")
+    parsed = lambda rows: materialize(joined(rows, lambda b, sent: parse(b, sent, size, hash_bits), SPANS + ", disputed array<long>"), "parsed", compression="zstd", **{"parquet.compression.codec.zstd.level": "9"})
     out = parsed(served)
     disputed = out.filter("disputed IS NOT NULL").select(F.explode("disputed").alias("hash")).distinct()
     if not disputed.isEmpty():
