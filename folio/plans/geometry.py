@@ -179,8 +179,8 @@ def _round(k: int) -> str:
     h{k + 1} AS (SELECT page, c AS i, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, sum(n) AS n FROM h{k} JOIN c{k} USING (i) GROUP BY 1, 2)"""
 
 
-@query(f"""WITH RECURSIVE {STROKES}, {", ".join(_round(k) for k in range(4))}
-    SELECT page, x0, y0, x1, y1, CAST(2 * n AS BIGINT) AS n_paths FROM h4 WHERE 2 * n >= 4 AND x1 - x0 >= 40 AND y1 - y0 >= 40 AND (x1 - x0) * (y1 - y0) <= 0.6 * 480000""")
+@query(f"""WITH RECURSIVE {STROKES}, {", ".join(_round(k) for k in range(12))}
+    SELECT page, x0, y0, x1, y1, CAST(2 * n AS BIGINT) AS n_paths FROM h12 WHERE 2 * n >= 4 AND x1 - x0 >= 40 AND y1 - y0 >= 40 AND (x1 - x0) * (y1 - y0) <= 0.6 * 480000""")
 def stroke_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = G.vector_figures(G.clustered(strokes(spark, sf_dir)), F.lit(600.0), F.lit(800.0))
     return found.select(F.col("page").cast("long").alias("page"), *G.CORNERS, F.col("n_paths").cast("long").alias("n_paths"))
