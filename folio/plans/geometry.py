@@ -6,25 +6,30 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import geometry as G
-from .registry import Inline, file_of, query, table
+from .registry import Derived, Inline, file_of, query, table
 
-FIG = Inline("fig", "doc string, page int, fig int, x0 double, y0 double, x1 double, y1 double, in_table double, cover double", [
-    ("a", 1, 1, 100.0, 200.0, 300.0, 300.0, 0.0, 0.1), ("a", 1, 2, 320.0, 210.0, 500.0, 300.0, 0.9, 0.0), ("a", 1, 3, 100.0, 20.0, 150.0, 50.0, 0.0, 0.0), ("a", 2, 4, 50.0, 400.0, 60.0, 500.0, 0.0, 0.0),
-    ("a", 2, 5, 100.2, 400.0, 250.0, 480.0, 0.0, 0.5), ("a", 2, 6, 100.4, 400.1, 250.1, 480.2, 0.0, 0.0), ("b", 1, 7, 0.0, 0.0, 600.0, 800.0, 0.0, 0.0), ("b", 1, 8, 200.0, 100.0, 100.0, 180.0, 0.0, 0.0)])
-LINE = Inline("ln", "doc string, page int, line int, text string, x0 double, y0 double, x1 double, y1 double", [
-    ("a", 1, 1, "Câu 1. Một vật dao động điều hoà", 50.0, 150.0, 400.0, 165.0), ("a", 1, 2, "nhãn", 110.0, 220.0, 140.0, 230.0), ("a", 1, 3, "Dòng chữ bên hông của hình", 310.0, 240.0, 318.0, 250.0),
-    ("a", 1, 4, "Câu 2. Một vật khác chuyển động", 510.0, 280.0, 590.0, 295.0), ("a", 1, 5, "dòng cuối trang rất dài", 50.0, 780.0, 300.0, 795.0), ("a", 2, 6, "Bài 7. Dưới đây là hình vẽ", 90.0, 520.0, 300.0, 535.0),
-    ("a", 2, 7, "O", 90.0, 300.0, 95.0, 310.0), ("b", 1, 8, "một dòng dài ở trên cùng", 150.0, 90.0, 160.0, 95.0)])
-DECL = Inline("decl", "doc string, page int, id int, placed boolean, x0 double, y0 double, x1 double, y1 double", [
-    ("a", 1, 101, True, 110.0, 210.0, 290.0, 310.0), ("a", 1, 102, True, 90.0, 190.0, 510.0, 320.0), ("a", 2, 103, False, 300.0, 300.0, 310.0, 310.0), ("a", 2, 104, True, 100.0, 400.0, 250.0, 430.0)])
+#: Line numbers repeat within an order.
+_id = "(l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey"
+_x, _y = "(l_partkey * 7 + l_linenumber * 90) % 520", "(l_suppkey * 13 + l_orderkey * 5 + l_linenumber * 140) % 760"
+#: Line items as figures of an order, which is a page; some have their corners the other way round.
+FIG = Derived("fig", "lineitem", "doc string, page int, fig long, x0 double, y0 double, x1 double, y1 double, in_table double, cover double", [
+    "concat('d', l_orderkey % 3)", "l_orderkey", _id, f"{_x} + CASE WHEN l_partkey % 11 = 0 THEN 60 ELSE 0 END", _y, f"{_x} + CASE WHEN l_partkey % 11 = 0 THEN 0 ELSE 15 + l_quantity * 5 END", f"{_y} + 8 + (l_suppkey * 3 + l_linenumber * 17) % 120",
+    "(l_partkey % 10) / 10", "(l_suppkey % 8) / 10"])
+#: Six lines of each order.
+LINE = Derived("ln", "orders", "doc string, page int, line long, text string, x0 double, y0 double, x1 double, y1 double", [
+    "concat('d', o_orderkey % 3)", "o_orderkey", "o_orderkey * 10 + i", "CASE WHEN i = 2 THEN 'O' WHEN i % 3 = 0 THEN concat('Câu ', o_orderkey % 9 + i, '. ', o_orderpriority) WHEN i = 4 THEN concat('dòng chữ dài ở giữa hai hình: ', o_orderstatus) ELSE concat('dòng ', o_orderpriority) END",
+    "(o_custkey * (i + 1) * 31) % 560", "(o_orderkey * 17 + i * 131) % 780", "(o_custkey * (i + 1) * 31) % 560 + 6 + (o_custkey + i) % 60", "(o_orderkey * 17 + i * 131) % 780 + 11"], times=6)
+#: Boxes that a reader declared, near the first three line items of an order.
+DECL = Derived("decl", "lineitem", "doc string, page int, id long, placed boolean, x0 double, y0 double, x1 double, y1 double", [
+    "concat('d', l_orderkey % 3)", "l_orderkey", _id, "l_suppkey % 4 > 0", f"{_x} + l_partkey % 9", f"{_y} - l_suppkey % 7", f"{_x} + 30 + l_quantity * 4", f"{_y} + 20 + l_partkey % 80"], "l_linenumber <= 3")
 
 
-def figs(spark: SparkSession) -> DataFrame:
-    return FIG.df(spark).withColumn("box", G.box("x0", "y0", "x1", "y1"))
+def figs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FIG.df(spark, sf_dir).withColumn("box", G.box("x0", "y0", "x1", "y1"))
 
 
-def lines(spark: SparkSession) -> DataFrame:
-    return LINE.df(spark).withColumn("box", G.box("x0", "y0", "x1", "y1"))
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return LINE.df(spark, sf_dir).withColumn("box", G.box("x0", "y0", "x1", "y1"))
 
 
 NF = "f AS (SELECT doc, page, fig, least(x0, x1) AS x0, least(y0, y1) AS y0, greatest(x0, x1) AS x1, greatest(y0, y1) AS y1, in_table, cover FROM fig)"
@@ -50,114 +55,132 @@ def box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {FIG.cte}, {LINE.cte}, {NF}, s AS (SELECT f.doc, f.page, f.fig, sum({SHARE.format("f", "l")}) AS s FROM f JOIN ln l USING (doc, page) WHERE length(l.text) >= 3 GROUP BY 1, 2, 3)
     SELECT fig, round(CASE WHEN {AREA.format("f")} <= 0 THEN 1 ELSE coalesce(s, 0) / {AREA.format("f")} END, 9)::DOUBLE AS cover FROM f LEFT JOIN s USING (doc, page, fig)""")
 def text_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.text_cover(figs(spark).drop("cover"), lines(spark)).select("fig", F.round("cover", 9).alias("cover"))
+    return G.text_cover(figs(spark, sf_dir).drop("cover"), lines(spark, sf_dir)).select("fig", F.round("cover", 9).alias("cover"))
 
 
 @query(f"""WITH {FIG.cte}, {LINE.cte}, {NF}, m AS (SELECT f.fig, l.line, (l.y0 + l.y1) / 2 AS y, f.y0, f.y1, f.x0, f.x1, l.x0 AS lx0, l.x1 AS lx1 FROM f JOIN ln l USING (doc, page)),
     t AS (SELECT fig, line, CASE WHEN y <= y0 AND lx1 > x0 AND lx0 < x1 THEN 0 WHEN y <= y0 THEN 1 ELSE 2 END AS tier, CASE WHEN y <= y0 THEN y0 - y ELSE abs(y - (y0 + y1) / 2) END AS far FROM m)
     SELECT fig, line FROM t QUALIFY row_number() OVER (PARTITION BY fig ORDER BY tier, far, line) = 1""")
 def anchor_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = lines(spark).select("doc", "page", "line", ((F.col("y0") + F.col("y1")) / 2).alias("y"), F.col("x0").alias("x"), "x1")
-    return G.anchor_line(figs(spark).select("doc", "page", "fig", "box"), l).select("fig", "line")
+    l = lines(spark, sf_dir).select("doc", "page", "line", ((F.col("y0") + F.col("y1")) / 2).alias("y"), F.col("x0").alias("x"), "x1")
+    return G.anchor_line(figs(spark, sf_dir).select("doc", "page", "fig", "box"), l).select("fig", "line")
 
 
 @query(f"""WITH {FIG.cte}, {LINE.cte}, {NF} SELECT fig, line FROM f JOIN ln l USING (doc, page) QUALIFY row_number() OVER (PARTITION BY fig ORDER BY CASE WHEN (l.y0 + l.y1) / 2 <= f.y0 THEN 0 ELSE 1 END, abs(f.y0 - (l.y0 + l.y1) / 2), line) = 1""")
 def attached_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = lines(spark).select("doc", "page", "line", ((F.col("y0") + F.col("y1")) / 2).alias("y"))
-    return G.attach_to_lines(figs(spark).select("doc", "page", F.col("fig").alias("thing"), F.col("box.y0").alias("top")), l).select(F.col("thing").alias("fig"), "line")
+    l = lines(spark, sf_dir).select("doc", "page", "line", ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    return G.attach_to_lines(figs(spark, sf_dir).select("doc", "page", F.col("fig").alias("thing"), F.col("box.y0").alias("top")), l).select(F.col("thing").alias("fig"), "line")
 
 
 @query(f"""WITH {FIG.cte}, {LINE.cte}, {NF}, m AS (SELECT f.*, l.line, l.text, (l.y0 + l.y1) / 2 AS y, greatest(0, least(l.x1, f.x1) - greatest(l.x0, f.x0)) < 0.5 * (l.x1 - l.x0) AS outside FROM f JOIN ln l USING (doc, page) WHERE length(l.text) >= 12),
     t AS (SELECT *, CASE WHEN y BETWEEN y0 - 2 AND y1 + 2 AND outside AND regexp_matches(text, '(?i)^\\s*(\\*\\*)?\\s*(Câu|Bài)\\s*[0-9]+') THEN 0 WHEN y BETWEEN y0 - 2 AND y1 + 2 AND outside THEN 1 WHEN y < y0 THEN 2 WHEN y > y1 THEN 3 END AS tier FROM m)
     SELECT fig, line FROM t WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fig ORDER BY tier, CASE WHEN tier = 2 THEN -y ELSE y END, line) = 1""")
 def chosen_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.choose_anchor(figs(spark).select("doc", "page", "fig", "box"), lines(spark).select("doc", "page", "line", "text", "box")).select("fig", "line")
+    return G.choose_anchor(figs(spark, sf_dir).select("doc", "page", "fig", "box"), lines(spark, sf_dir).select("doc", "page", "line", "text", "box")).select("fig", "line")
 
 
 @query(f"""WITH {FIG.cte}, {LINE.cte}, {NF} SELECT fig, arg_max(regexp_extract(l.text, '(?i)^\\s*(?:\\*\\*)?\\s*(?:Câu|Bài)\\s*([0-9]+)', 1), (l.y0 + l.y1) / 2) AS question FROM f JOIN ln l USING (doc, page)
     WHERE regexp_matches(l.text, '(?i)^\\s*(\\*\\*)?\\s*(Câu|Bài)\\s*[0-9]+') AND (l.y0 + l.y1) / 2 <= f.y1 GROUP BY fig""")
 def question_above(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.question_above(figs(spark).select("doc", "page", "fig", "box"), lines(spark).select("doc", "page", "line", "text", "box")).select("fig", "question")
+    return G.question_above(figs(spark, sf_dir).select("doc", "page", "fig", "box"), lines(spark, sf_dir).select("doc", "page", "line", "text", "box")).select("fig", "question")
 
 
-PAIRS = Inline("pairs", "doc string, page int, pair int, a int, b int", [("a", 1, 1, 1, 2), ("a", 1, 2, 3, 2), ("a", 2, 3, 4, 5)])
+#: The first figures of an order, side by side.
+#: A figure and the one of its order with the next number.
+PAIRS = """pairs AS (SELECT doc, page, fig AS a, lead(fig) OVER (PARTITION BY doc, page ORDER BY fig) AS b, fig AS pair FROM fig)"""
 
 
-@query(f"""WITH {FIG.cte}, {LINE.cte}, {NF}, {PAIRS.cte} SELECT pair FROM pairs p JOIN f a ON a.fig = p.a JOIN f b ON b.fig = p.b WHERE EXISTS (SELECT 1 FROM ln l WHERE l.doc = p.doc AND l.page = p.page AND length(l.text) >= 20
+@query(f"""WITH {FIG.cte}, {LINE.cte}, {NF}, {PAIRS} SELECT pair FROM pairs p JOIN f a ON a.fig = p.a JOIN f b ON b.fig = p.b WHERE EXISTS (SELECT 1 FROM ln l WHERE l.doc = p.doc AND l.page = p.page AND length(l.text) >= 20
     AND l.y1 >= least(a.y0, b.y0) AND l.y0 <= greatest(a.y1, b.y1) AND l.x0 >= a.x1 - 2 AND l.x1 <= b.x0 + 2)""")
 def long_text_between(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = figs(spark)
-    p = PAIRS.df(spark).withColumnRenamed("a", "ia").withColumnRenamed("b", "ib").join(f.select(F.col("fig").alias("ia"), F.col("box").alias("a")), "ia").join(f.select(F.col("fig").alias("ib"), F.col("box").alias("b")), "ib")
-    return G.long_text_between(p, lines(spark)).select("pair")
+    f = figs(spark, sf_dir)
+    other = F.lead(F.struct("fig", "box")).over(Window.partitionBy("doc", "page").orderBy("fig"))
+    p = f.select("doc", "page", F.col("fig").alias("pair"), F.col("box").alias("a"), other.alias("o")).filter("o IS NOT NULL").select("doc", "page", "pair", "a", F.col("o.box").alias("b"))
+    return G.long_text_between(p, lines(spark, sf_dir)).select("pair")
 
 
-@query(f"WITH {LINE.cte} SELECT line, row_number() OVER (PARTITION BY doc, page ORDER BY (y0 + y1) / 2, x0) AS place FROM ln WHERE y1 >= 800 * 0.07 AND y0 <= 800 * 0.93")
+@query(f"WITH {LINE.cte} SELECT line, row_number() OVER (PARTITION BY doc, page ORDER BY (y0 + y1) / 2, x0) AS place FROM ln WHERE y1 >= 800 * 0.07::DOUBLE AND y0 <= 800 * 0.93::DOUBLE")
 def body_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.body_lines(lines(spark), F.lit(800.0)).select("line", "place")
+    return G.body_lines(lines(spark, sf_dir), F.lit(800.0)).select("line", "place")
 
 
 @query(f"""WITH {FIG.cte}, {NF}, k AS (SELECT *, page % 2 = 0 AS scan, least(x1 - x0, y1 - y0) AS short, greatest(x1 - x0, y1 - y0) AS long, {AREA.format("f")} AS area FROM f),
-    g AS (SELECT * FROM k WHERE y1 >= 56 AND y0 <= 744 AND CASE WHEN scan THEN area < 0.7 * 480000 AND short >= 50 AND area >= 6000 AND long / short <= 6 ELSE short >= 30 AND area <= 0.6 * 480000 AND in_table < 0.8 AND cover < 0.35 END)
+    g AS (SELECT * FROM k WHERE y1 >= 800 * 0.07::DOUBLE AND y0 <= 800 * 0.93::DOUBLE AND CASE WHEN scan THEN area < 0.7::DOUBLE * 480000 AND short >= 50 AND area >= 6000 AND long / short <= 6 ELSE short >= 30 AND area <= 0.6::DOUBLE * 480000 AND in_table < 0.8::DOUBLE AND cover < 0.35::DOUBLE END)
     SELECT min(fig) AS fig FROM g GROUP BY doc, page, round_even(x0, 0), round_even(y0, 0), round_even(x1, 0), round_even(y1, 0)""")
 def raster_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.raster_figures(figs(spark), F.lit(600.0), F.lit(800.0), F.col("page") % 2 == 0).select("fig")
+    return G.raster_figures(figs(spark, sf_dir), F.lit(600.0), F.lit(800.0), F.col("page") % 2 == 0).select("fig")
 
 
-TABLES = Inline("tabs", "t int, n_rows int, n_cols int, filled int, is_ds boolean, x0 double, y0 double, x1 double, y1 double", [
-    (1, 3, 3, 5, False, 50.0, 50.0, 200.0, 100.0), (2, 3, 3, 5, True, 50.0, 50.0, 200.0, 100.0), (3, 1, 3, 5, False, 50.0, 50.0, 200.0, 100.0), (4, 3, 3, 1, False, 50.0, 50.0, 200.0, 100.0), (5, 3, 3, 5, False, 0.0, 0.0, 600.0, 790.0), (6, 3, 3, 5, False, 50.0, 50.0, 80.0, 60.0), (7, 3, 3, 5, False, 50.0, 50.0, 200.0, 62.0)])
+TABLES = Derived("tabs", "lineitem", "t long, n_rows int, n_cols int, filled int, is_ds boolean, x0 double, y0 double, x1 double, y1 double", [
+    _id, "l_linenumber", "1 + l_partkey % 5", "l_suppkey % 7", "l_partkey % 6 = 0", _x, _y, f"{_x} + CASE WHEN l_suppkey % 9 = 0 THEN 590 ELSE 10 + l_partkey % 200 END", f"{_y} + CASE WHEN l_suppkey % 9 = 0 THEN 700 ELSE 5 + l_suppkey % 50 END"])
 
 
 @query(f"WITH {TABLES.cte} SELECT t FROM tabs WHERE n_rows >= 2 AND n_cols >= 2 AND filled >= 2 AND NOT is_ds AND (x1 - x0) * (y1 - y0) <= 0.7 * 480000 AND least(x1 + 2, 600) - greatest(x0 - 2, 0) >= 40 AND least(y1 + 2, 800) - greatest(y0 - 2, 0) >= 15")
 def data_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.data_tables(TABLES.df(spark).withColumn("box", G.box("x0", "y0", "x1", "y1")), F.lit(600.0), F.lit(800.0)).select("t")
+    return G.data_tables(TABLES.df(spark, sf_dir).withColumn("box", G.box("x0", "y0", "x1", "y1")), F.lit(600.0), F.lit(800.0)).select("t")
 
 
 @query(f"""WITH {FIG.cte}, {DECL.cte}, {NF}, m AS (SELECT fig, d.id, {SHARE.format("f", "d")} AS s, least({AREA.format("f")}, {AREA.format("d")}) AS low FROM f JOIN decl d USING (doc, page))
     SELECT fig, id, CAST(row_number() OVER (PARTITION BY fig ORDER BY s DESC, id) AS INTEGER) AS rank FROM m WHERE s > 0 AND s >= 0.15 * low""")
 def overlapping_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.overlapping(figs(spark).select("doc", "page", "fig", "box"), DECL.df(spark).withColumn("box", G.box("x0", "y0", "x1", "y1"))).select("fig", "id", "rank")
+    return G.overlapping(figs(spark, sf_dir).select("doc", "page", "fig", "box"), DECL.df(spark, sf_dir).withColumn("box", G.box("x0", "y0", "x1", "y1"))).select("fig", "id", "rank")
 
 
 @query(f"WITH {DECL.cte} SELECT id, x0 / 100 * 600 AS x0, y0 / 100 * 800 AS y0, x1 / 100 * 600 AS x1, y1 / 100 * 800 AS y1 FROM decl WHERE placed")
 def declared_to_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = G.to_points(G.box("x0", "y0", "x1", "y1"), F.lit(600.0), F.lit(800.0))
-    return DECL.df(spark).filter("placed").select("id", b.alias("b")).select("id", "b.*")
+    return DECL.df(spark, sf_dir).filter("placed").select("id", b.alias("b")).select("id", "b.*")
 
 
-HALVES = Inline("halves", "half int, id int, placed boolean, x0 double, y0 double, x1 double, y1 double", [(1, 101, True, 10.0, 50.0, 40.0, 62.0), (2, 201, True, 11.0, 51.0, 40.0, 63.0), (2, 202, True, 10.0, 80.0, 40.0, 90.0), (2, 203, False, 10.0, 50.0, 40.0, 62.0)])
+#: Figures of an order's upper and lower half; both see what lies between.
+HALVES = Derived("halves", "lineitem", "page int, half int, id long, placed boolean, x0 double, y0 double, x1 double, y1 double", [
+    "l_orderkey", "1 + l_linenumber % 2", _id, "l_suppkey % 5 > 0", "l_partkey % 4 * 10", "50 + l_suppkey % 3 * 8", "l_partkey % 4 * 10 + 30", "62 + l_suppkey % 3 * 8"])
 
 
-@query(f"WITH {HALVES.cte} SELECT id FROM halves l WHERE half = 2 AND NOT (placed AND EXISTS (SELECT 1 FROM halves u WHERE u.half = 1 AND u.placed AND {SHARE.format('l', 'u')} >= 0.5 * least({AREA.format('l')}, {AREA.format('u')})))")
+@query(f"WITH {HALVES.cte} SELECT id FROM halves l WHERE half = 2 AND NOT (placed AND EXISTS (SELECT 1 FROM halves u WHERE u.page = l.page AND u.half = 1 AND u.placed AND {SHARE.format('l', 'u')} >= 0.5 * least({AREA.format('l')}, {AREA.format('u')})))")
 def half_page_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = HALVES.df(spark).select(F.lit("d").alias("doc"), F.lit(1).alias("page"), "half", "id", "placed", G.box("x0", "y0", "x1", "y1").alias("box"))
+    h = HALVES.df(spark, sf_dir).select(F.lit("d").alias("doc"), "page", "half", "id", "placed", G.box("x0", "y0", "x1", "y1").alias("box"))
     return G.duplicates_in_lower_half(h.filter("half = 1"), h.filter("half = 2")).select("id")
 
 
-UNITS = Inline("units", "i int, raw array<double>", [(1, [74.0, 99.0, 90.0, 186.0]), (2, [76.0, 198.0, 882.0, 298.0]), (3, [655.0, 825.0, 94.0, 915.0]), (4, [732.0, 93.0, 935.0, 283.0]), (5, [79.0, 546.0, 91.0, 665.0]), (6, [10.0, 20.0, 50.0, 60.0]), (7, [50.0, 20.0, 10.0, 60.0]), (8, [10.0, 20.0]), (9, [-1.0, 0.0, 5.0, 5.0])])
+#: Declared corners in percent or thousandths, in mixed order and some out of range.
+UNITS = Derived("u", "lineitem", "i long, a double, b double, c double, d double", [
+    _id, "l_partkey * 3 % CASE WHEN l_suppkey % 2 = 0 THEN 100 ELSE 1000 END - CASE WHEN l_partkey % 31 = 0 THEN 50 ELSE 0 END", "l_suppkey * 7 % 100", "(l_partkey + l_linenumber * 9) % CASE WHEN l_linenumber % 2 = 0 THEN 104 ELSE 1010 END", "l_suppkey * 5 % 1007"])
+
+
 _ok = "CASE WHEN {1} <= 100.5 AND {1} - {0} >= 0.5 THEN [{0}, least({1}, 100.0)] END"
 _axis = "CASE WHEN {a} < 0 OR {c} < 0 THEN NULL WHEN {a} <= 100 AND {c} <= 100 THEN " + _ok.format("{a}", "{c}") + " WHEN {a} > 100 AND {c} > 100 THEN " + _ok.format("{a} / 10", "{c} / 10") + " WHEN {c} > 100 THEN coalesce(" + _ok.format("{a} / 10", "{c} / 10") + ", " + _ok.format("{a}", "{c} / 10") + ") ELSE coalesce(" + _ok.format("{a} / 10", "{c} / 10") + ", " + _ok.format("{a} / 10", "{c}") + ") END"
 
 
-@query(f"WITH {UNITS.cte}, a AS (SELECT i, {_axis.format(a='raw[1]', c='raw[3]')} AS x, {_axis.format(a='raw[2]', c='raw[4]')} AS y FROM units WHERE len(raw) = 4) SELECT i, round(x[1], 6) AS x0, round(y[1], 6) AS y0, round(x[2], 6) AS x1, round(y[2], 6) AS y1 FROM a WHERE x IS NOT NULL AND y IS NOT NULL")
+@query(f"WITH {UNITS.cte}, units AS (SELECT i, CASE WHEN i % 19 = 0 THEN [a, b] ELSE [a, b, c, d] END AS raw FROM u), a AS (SELECT i, {_axis.format(a='raw[1]', c='raw[3]')} AS x, {_axis.format(a='raw[2]', c='raw[4]')} AS y FROM units WHERE len(raw) = 4) SELECT i, round(x[1], 6) AS x0, round(y[1], 6) AS y0, round(x[2], 6) AS x1, round(y[2], 6) AS y1 FROM a WHERE x IS NOT NULL AND y IS NOT NULL")
 def bbox_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = UNITS.df(spark).select("i", G.percent_box(F.col("raw")).alias("b")).filter("b IS NOT NULL")
+    raw = F.when(F.col("i") % 19 == 0, F.array("a", "b")).otherwise(F.array("a", "b", "c", "d"))
+    out = UNITS.df(spark, sf_dir).select("i", G.percent_box(raw).alias("b")).filter("b IS NOT NULL")
     return out.select("i", *[F.round(f"b.{c}", 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
-@query("SELECT 1 AS i, 71.0::DOUBLE AS x0, 10.0::DOUBLE AS y0, 89.0::DOUBLE AS x1, 18.0::DOUBLE AS y1")
+@query(f"""WITH {UNITS.cte}, t AS (SELECT i, a * 2 AS y0, b * 10 AS x0, c * 2 AS y1, d AS x1 FROM u), p AS (SELECT i, x0 / 10 AS x0, y0 / 10 AS y0, least(x1 / 10, 100) AS x1, least(y1 / 10, 100) AS y1, least(x0, y0) >= 0 AND greatest(x1, y1) <= 1005 AS fits FROM t)
+    SELECT i, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM p WHERE fits AND x1 - x0 >= 0.5 AND y1 - y0 >= 0.5""")
 def bbox_thousandths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, [100.0, 710.0, 180.0, 890.0]), (2, [0.0, 0.0, 2000.0, 10.0]), (3, [5.0, 5.0, 6.0, 900.0])], "i int, raw array<double>")
-    return rows.select("i", G.thousandth_box(F.col("raw")).alias("b")).filter("b IS NOT NULL").select("i", "b.*")
+    raw = F.array(F.col("a") * 2, F.col("b") * 10, F.col("c") * 2, F.col("d"))
+    found = UNITS.df(spark, sf_dir).select("i", G.thousandth_box(raw).alias("b")).filter("b IS NOT NULL")
+    return found.select("i", *[F.round(f"b.{c}", 6).alias(c) for c in G.CORNERS])
 
 
-INK = Inline("ink", "i int, stroke array<double>, so double, fill array<double>, fo double, n int, tiny int", [
-    (1, [0.0, 0.0, 0.0], None, None, None, 70, 69), (2, None, None, [0.0, 0.0, 0.0], 0.1, 59, 59), (3, None, None, [0.75], 0.5, 60, 54), (4, None, None, None, None, 100, 50), (5, [1.0, 1.0, 1.0], 1.0, [0.2, 0.2, 0.2], 1.0, 60, 53)])
-_shade = "CASE WHEN {c} IS NOT NULL THEN CASE WHEN len({c}) >= 3 THEN 0.2126 * {c}[1] + 0.7152 * {c}[2] + 0.0722 * {c}[3] ELSE {c}[1] END * coalesce({o}, 1) + 1 - coalesce({o}, 1) END"
+#: Colours of strokes and fills, which may be missing or grey, and how many of a cluster's paths are tiny.
+INK = Derived("k", "lineitem", "i long, s double, f double, so double, fo double, n int, tiny int", [
+    _id, "CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_suppkey % 11 / 10.0 END", "CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE l_partkey % 11 / 10.0 END", "CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE l_suppkey % 7 / 6.0 END", "CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE l_linenumber / 7.0 END",
+    "40 + l_partkey % 60", "36 + l_partkey % 56"])
+_INK = "ink AS (SELECT i, CASE WHEN s IS NULL THEN NULL WHEN i % 5 = 0 THEN [s] ELSE [s, s / 2, 1 - s] END AS stroke, so, CASE WHEN f IS NULL THEN NULL ELSE [f, f, f] END AS fill, fo, n, tiny FROM k)"
+_shade = "CASE WHEN {c} IS NOT NULL THEN CASE WHEN len({c}) >= 3 THEN 0.2126::DOUBLE * {c}[1] + 0.7152::DOUBLE * {c}[2] + 0.0722::DOUBLE * {c}[3] ELSE {c}[1] END * greatest(0, least(1, coalesce({o}, 1))) + (1 - greatest(0, least(1, coalesce({o}, 1)))) END"
 
 
-@query(f"WITH {INK.cte} SELECT i, (stroke IS NOT NULL OR fill IS NOT NULL) AND least(1.0, {_shade.format(c='stroke', o='so')}, {_shade.format(c='fill', o='fo')}) >= 0.85 AS faint, n >= 60 AND tiny / n >= 0.9 AS outline FROM ink")
+@query(f"WITH {INK.cte}, {_INK} SELECT i, (stroke IS NOT NULL OR fill IS NOT NULL) AND least(1.0::DOUBLE, {_shade.format(c='stroke', o='so')}, {_shade.format(c='fill', o='fo')}) >= 0.85::DOUBLE AS faint, n >= 60 AND tiny / n >= 0.9::DOUBLE AS outline FROM ink")
 def faint_and_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return INK.df(spark).select("i", G.is_faint(F.col("stroke"), F.col("so"), F.col("fill"), F.col("fo")).alias("faint"), G.is_text_outline(F.col("n"), F.col("tiny")).alias("outline"))
+    c = F.col
+    stroke = F.when(c("s").isNotNull(), F.when(c("i") % 5 == 0, F.array("s")).otherwise(F.array(c("s"), c("s") / 2, 1 - c("s"))))
+    fill = F.when(c("f").isNotNull(), F.array("f", "f", "f"))
+    return INK.df(spark, sf_dir).select("i", G.is_faint(stroke, c("so"), fill, c("fo")).alias("faint"), G.is_text_outline(F.col("n"), F.col("tiny")).alias("outline"))
 
 
 def strokes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,3 +82,30 @@ class Inline:
         casts = ", ".join(f'CAST("{c}" AS {_type(t)}) AS "{c}"' for c, t in self.columns)
         rows = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in self.rows)
         return f"{self.name} AS (SELECT {casts} FROM (VALUES {rows}) AS t({names}))"
+
+
+@dataclass(frozen=True)
+class Derived:
+    """A named table made of a given one by expressions that Spark and SQL read alike; `times` makes rows i = 0, 1, ... of each."""
+
+    name: str
+    source: str
+    schema: str
+    exprs: Sequence[str]
+    where: str = "true"
+    times: int = 0
+
+    @property
+    def columns(self) -> list[tuple[str, str]]:
+        return [tuple(c.split()) for c in self.schema.split(", ")]
+
+    def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = table(spark, sf_dir, self.source)
+        if self.times:
+            rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(self.times - 1))))
+        return rows.filter(self.where).selectExpr(*[f"CAST({e} AS {t}) AS {c}" for e, (c, t) in zip(self.exprs, self.columns, strict=True)])
+
+    @property
+    def cte(self) -> str:
+        made = ", ".join(f'CAST({e} AS {_type(t)}) AS "{c}"' for e, (c, t) in zip(self.exprs, self.columns, strict=True))
+        return f"{self.name} AS (SELECT {made} FROM {self.source}{f', range({self.times}) r(i)' if self.times else ''} WHERE {self.where})"
