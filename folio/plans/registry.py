@@ -86,7 +86,8 @@ class Inline:
 
 @dataclass(frozen=True)
 class Derived:
-    """A named table made of a given one by expressions that Spark and SQL read alike; `times` makes rows i = 0, 1, ... of each."""
+    """A named table made of a given one by expressions that Spark and SQL read alike; `times` makes rows i = 0, 1, ... of each,
+    `by_line` a row for each line t (number k) of a document's text. A list is an expression of its members with ~ between."""
 
     name: str
     source: str
@@ -94,6 +95,7 @@ class Derived:
     exprs: Sequence[str]
     where: str = "true"
     times: int = 0
+    by_line: bool = False
 
     @property
     def columns(self) -> list[tuple[str, str]]:
@@ -103,9 +105,15 @@ class Derived:
         rows = table(spark, sf_dir, self.source)
         if self.times:
             rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(self.times - 1))))
-        return rows.filter(self.where).selectExpr(*[f"CAST({e} AS {t}) AS {c}" for e, (c, t) in zip(self.exprs, self.columns, strict=True)])
+        if self.by_line:
+            rows = rows.select("*", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("k", "t"))
+        listed = lambda e, t: f"split({e}, '~')" if t.startswith("array") else e
+        return rows.filter(self.where).selectExpr(*[f"CAST({listed(e, t)} AS {t}) AS {c}" for e, (c, t) in zip(self.exprs, self.columns, strict=True)])
 
     @property
     def cte(self) -> str:
-        made = ", ".join(f'CAST({e} AS {_type(t)}) AS "{c}"' for e, (c, t) in zip(self.exprs, self.columns, strict=True))
-        return f"{self.name} AS (SELECT {made} FROM {self.source}{f', range({self.times}) r(i)' if self.times else ''} WHERE {self.where})"
+        listed = lambda e, t: f"string_split({e}, '~')" if t.startswith("array") else e
+        made = ", ".join(f'CAST({listed(e, t)} AS {_type(t)}) AS "{c}"' for e, (c, t) in zip(self.exprs, self.columns, strict=True))
+        parts = "string_split(coalesce(text, ''), chr(10))"
+        source = f"(SELECT *, unnest({parts}) AS t, generate_subscripts({parts}, 1) - 1 AS k FROM {self.source})" if self.by_line else self.source
+        return f"{self.name} AS (SELECT {made} FROM {source}{f', range({self.times}) r(i)' if self.times else ''} WHERE {self.where})"

@@ -10,20 +10,24 @@ from ..functions import text as T
 from ..operators import images as I
 from ..operators import structure as P
 from ..operators import tables as G
-from .registry import Inline, query, table
+from .registry import Derived, Inline, query, table
 
 RAW = [
     "PHẦN I. CÂU TRẮC NGHIỆM NHIỀU LỰA CHỌN", "Mỗi câu chọn một phương án.", "Câu 1. Một vật dao động điều hoà với biên độ 4 cm.", "A. 2 cm B. 4 cm C. 6 cm D. 8 cm",
     "Câu 2: Đơn vị của lực là gì", "được dùng trong hệ SI?", "A. N", "B. J", "C. .", "D) W", "| t | 1 | 2 |", "| x | 3 | 4 |", "hết bảng", "2) cm.", "3. Tính quãng đường vật đi được",
     "PHẦN II - CÂU TRẮC NGHIỆM ĐÚNG SAI", "Câu 1. Xét chuyển động.", "a) Vật đứng yên.", "b. Vật chuyển động.", "PHẦN III. TRẢ LỜI NGẮN", "Câu 1. Cho biết vận tốc A. 1 B. 2 là bao nhiêu", "Tự luận", "Câu 1.", "Tóm tắt lý thuyết cơ bản"]
-LINES = Inline("lines", "pos int, line string", [*enumerate(RAW), (90, "A. x C. y"), (91, "**A.** m **B.** n"), (92, "10 m/s là vận tốc"), (93, ""), (94, "Đúng - Sai"), (95, "(A) một (B) hai (C) ba (D) bốn")])
+#: The lines of all documents, dressed as what an exam paper's lines are.
+LINES = Derived("lines", "documents", "pos long, line string", ["doc_id * 100000 + k", """CASE (doc_id + k) % 16
+    WHEN 0 THEN concat('PHẦN ', k % 4 + 1, '. TRẮC NGHIỆM ', t) WHEN 1 THEN concat('Câu ', k + 1, '. ', t) WHEN 2 THEN concat('A. ', k, ' B. ', lang, ' C. ', source, ' D. ', t) WHEN 3 THEN concat('**A.** ', t, ' **B.** n')
+    WHEN 4 THEN concat(k, ') ', t) WHEN 5 THEN concat('a) ', t) WHEN 6 THEN concat('A. x C. ', t) WHEN 7 THEN concat(k, '. ', lang) WHEN 8 THEN concat('Cho biết ', lang, ' A. ', k, ' B. ', n_chars) WHEN 9 THEN 'Tự luận'
+    WHEN 10 THEN concat('PHẦN II - CÂU TRẮC NGHIỆM ĐÚNG SAI ', lang) WHEN 11 THEN concat('Câu ', k, ':') WHEN 12 THEN concat('(A) ', lang, ' (B) hai (C) ', k, ' (D) bốn') WHEN 13 THEN concat(k, ' m/s ', t) WHEN 14 THEN 'Tóm tắt lý thuyết' ELSE t END"""], by_line=True)
 
 _when = "".join(f"WHEN regexp_matches(line, '(?i){w}') THEN '{n}' " for n, w in E.SECTION_WORDS)
 
 
 @query(f"WITH {LINES.cte} SELECT pos, CASE {_when} END AS kind FROM lines")
 def section_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return LINES.df(spark).select("pos", E.section_type(F.col("line")).alias("kind"))
+    return LINES.df(spark, sf_dir).select("pos", E.section_type(F.col("line")).alias("kind"))
 
 
 _question = r"(?i)^(?:c[aâ]u\s*)?([0-9]+)\s*[.):\s]\s*((?s).*)"
@@ -36,7 +40,7 @@ _strip = "regexp_replace({0}, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g')"
     SELECT pos, is_question, CASE WHEN is_question THEN try_cast(number AS INTEGER) END AS number, CASE WHEN is_question THEN {_strip.format("rest")} END AS text FROM q""")
 def question_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("line")
-    return LINES.df(spark).select("pos", E.is_question(c).alias("is_question"), E.question_number(c).alias("number"), E.question_text(c).alias("text"))
+    return LINES.df(spark, sf_dir).select("pos", E.is_question(c).alias("is_question"), E.question_number(c).alias("number"), E.question_text(c).alias("text"))
 
 
 #: A line's marks and what is behind each, and whether the letters are two or more in a row.
@@ -47,30 +51,30 @@ _marks = f"""p AS (SELECT pos, line, regexp_extract_all(line, '{E.MARK}', 1) AS
 
 @query(f"WITH {LINES.cte}, {_marks} SELECT pos, CASE WHEN in_a_row THEN array_to_string(options, '|') ELSE line END AS options FROM o")
 def option_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return LINES.df(spark).select("pos", F.array_join(E.split_options(F.col("line")), "|").alias("options"))
+    return LINES.df(spark, sf_dir).select("pos", F.array_join(E.split_options(F.col("line")), "|").alias("options"))
 
 
 @query(f"""WITH {LINES.cte}, {_marks}, f AS (SELECT *, in_a_row AND letters[1] = 'A' AND regexp_matches(head, '^$|[\\s]$') AS fits FROM o)
     SELECT pos, CASE WHEN fits THEN rtrim(head) ELSE line END AS text, CASE WHEN fits THEN array_to_string(options, '|') ELSE '' END AS options FROM f""")
 def options_rescued(spark: SparkSession, sf_dir: str) -> DataFrame:
     saved = E.rescued(F.col("line"), F.array().cast("array<string>"))
-    return LINES.df(spark).select("pos", saved["text"].alias("text"), F.array_join(saved["options"], "|").alias("options"))
+    return LINES.df(spark, sf_dir).select("pos", saved["text"].alias("text"), F.array_join(saved["options"], "|").alias("options"))
 
 
-LETTERS = Inline("letters", "i int, a array<string>", [(1, ["A", "B", "C"]), (2, ["A", "C"]), (3, ["B"]), (4, []), (5, ["C", "D"]), (6, ["B", "A"])])
+LETTERS = Derived("letters", "documents", "i long, a array<string>", ["doc_id", "concat(chr(65 + CAST(doc_id % 3 AS INT)), '~', chr(65 + CAST((doc_id + n_chars) % 4 AS INT)), CASE WHEN n_chars % 3 = 0 THEN '~C~D' WHEN n_chars % 3 = 1 THEN '~C' ELSE '' END)"])
 
 
 @query(f"WITH {LETTERS.cte} SELECT i, coalesce(list_bool_and([ascii(a[k + 1]) = ascii(a[k]) + 1 FOR k IN range(1, len(a))]), TRUE) AS ok FROM letters")
 def consecutive_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return LETTERS.df(spark).select("i", G.consecutive(F.col("a")).alias("ok"))
+    return LETTERS.df(spark, sf_dir).select("i", G.consecutive(F.col("a")).alias("ok"))
 
 
-TEXTS = Inline("texts", "i int, t string", [(1, " . "), (2, "x."), (3, "–_-"), (4, None), (5, ""), (6, " a b ")])
+TEXTS = Derived("texts", "documents", "i long, t string", ["doc_id * 100000 + k", "CASE k % 7 WHEN 0 THEN ' . ' WHEN 1 THEN NULL WHEN 2 THEN concat('  ', t, ' ') WHEN 3 THEN '–_-' WHEN 4 THEN concat(t, '.') WHEN 5 THEN concat('.', lang) ELSE t END"], by_line=True)
 
 
 @query(f"WITH {TEXTS.cte}, s AS (SELECT i, regexp_replace(coalesce(t, ''), '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g') AS t FROM texts) SELECT i, CASE WHEN regexp_matches(t, '^[\\s.:;,\\-–_]*$') THEN '' ELSE t END AS t FROM s")
 def clean_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TEXTS.df(spark).select("i", E.clean_option(F.col("t")).alias("t"))
+    return TEXTS.df(spark, sf_dir).select("i", E.clean_option(F.col("t")).alias("t"))
 
 
 def items(spark: SparkSession) -> DataFrame:
@@ -157,21 +161,23 @@ def markdown_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.parse_markdown(spark.createDataFrame([("m", MD), ("e", "chữ"), ("n", None)], "doc string, text string"))
 
 
-BLOCKS = Inline("blocks", "i int, lines array<string>", [
-    (1, ["| A. 1 | B. 2 |", "|---|:-:|", "| D. 4 | C. 3 |"]), (2, ["| t | 1 |", "| x | 2 |"]), (3, ["| Nội dung | Đ | S |", "|---|---|---|", "| a) đúng | | |", "| b) sai | | |"]), (4, ["| a) m |", "| b) n |"]), (5, ["| A. 1 | A. 2 |"])])
+#: Tables in Markdown, with what a document has in their cells.
+BLOCKS = Derived("blocks", "documents", "i long, lines array<string>", ["doc_id", """CASE doc_id % 7 WHEN 0 THEN concat('| A. ', lang, ' | B. ', n_chars, ' |~|---|:-:|~| D. 4 | C. ', coalesce(source, '-'), ' |') WHEN 1 THEN concat('| t | ', n_chars, ' |~| x | 2 |')
+    WHEN 2 THEN concat('| Nội dung | Đ | S |~|---|---|---|~| a) ', lang, ' | | |~| b) sai | | |') WHEN 3 THEN concat('| a) ', n_chars, ' |~| b) n |~| ', lang, ' |') WHEN 4 THEN concat('| A. ', lang, ' | A. 2 |')
+    WHEN 5 THEN concat('| B. ', lang, ' | C. ', n_chars, ' |') ELSE concat('| ', lang, ' |') END"""])
 _cells = "[regexp_replace(c, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g') FOR c IN string_split(trim(trim(x), '|'), '|')]"
 
 
 @query(f"WITH {BLOCKS.cte} SELECT i, array_to_string(flatten([{_cells} FOR x IN lines IF NOT regexp_matches(trim(trim(x), '|'), '^[ \\t:|\\-]+$')]), '/') AS cells FROM blocks")
 def markdown_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return BLOCKS.df(spark).select("i", F.array_join(G.block_cells(F.col("lines")), "/").alias("cells"))
+    return BLOCKS.df(spark, sf_dir).select("i", F.array_join(G.block_cells(F.col("lines")), "/").alias("cells"))
 
 
 @query(f"""WITH {BLOCKS.cte}, c AS (SELECT i, flatten([{_cells} FOR x IN lines IF NOT regexp_matches(trim(trim(x), '|'), '^[ \\t:|\\-]+$')]) AS cells FROM blocks), f AS (SELECT i, [x FOR x IN cells IF x <> ''] AS cells FROM c),
     l AS (SELECT i, cells, [regexp_extract(x, '^([A-D])[.]', 1) FOR x IN cells] AS letters FROM f)
     SELECT i, CASE WHEN len(cells) BETWEEN 2 AND 4 AND NOT list_contains(letters, '') AND len(list_distinct(letters)) = len(letters) AND ascii(list_sort(letters)[-1]) - ascii(list_sort(letters)[1]) = len(letters) - 1 THEN array_to_string(list_sort(cells), '/') END AS options FROM l""")
 def option_tables_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return BLOCKS.df(spark).select("i", F.array_join(G.option_lines(F.col("lines"), E.OPTION), "/").alias("options"))
+    return BLOCKS.df(spark, sf_dir).select("i", F.array_join(G.option_lines(F.col("lines"), E.OPTION), "/").alias("options"))
 
 
 _rows = f"[{_cells} FOR x IN lines IF NOT regexp_matches(replace({_cells}[1], ' ', ''), '^:?-{{2,}}:?$')]"
@@ -181,17 +187,20 @@ _rows = f"[{_cells} FOR x IN lines IF NOT regexp_matches(replace({_cells}[1], '
     OR len([r FOR r IN rows IF regexp_matches(r[1], '^[ \\t]*\\**[a-d][.)]')]) >= 2 AS is_ds FROM r""")
 def true_false_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.filter(F.transform("lines", G.pipe_cells), lambda r: ~F.replace(F.get(r, F.lit(0)), F.lit(" ")).rlike("^:?-{2,}:?$"))
-    return BLOCKS.df(spark).select("i", G.is_true_false_rows(rows).alias("is_ds"))
+    return BLOCKS.df(spark, sf_dir).select("i", G.is_true_false_rows(rows).alias("is_ds"))
 
 
 @query(f"WITH {BLOCKS.cte} SELECT i, array_to_string([c FOR c IN [{_cells}[1] FOR x IN lines] IF c <> '' AND NOT regexp_matches(replace(c, ' ', ''), '^:?-{{2,}}:?$') AND NOT regexp_matches(c, '(?i)^(Nội dung|Phát biểu|Nhận định|Phương án)[ \\t]*$')], '/') AS first_cells FROM blocks")
 def true_false_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return BLOCKS.df(spark).select("i", F.array_join(G.true_false_lines(F.col("lines")), "/").alias("first_cells"))
+    return BLOCKS.df(spark, sf_dir).select("i", F.array_join(G.true_false_lines(F.col("lines")), "/").alias("first_cells"))
 
 
-GRIDS = Inline("grids", "i int, n_rows int, n_cols int, texts array<string>, pics array<int>", [
-    (1, 2, 2, ["A. 1", "B. 2", "C. 3", "D. 4"], [0, 0, 0, 0]), (2, 2, 2, ["A. 1", "B. 2", "", ""], [0, 0, 1, 1]), (3, 2, 3, ["Nội dung", "Đ", "S", "a) x", "", ""], [0] * 6), (4, 2, 2, ["t", "1", "x", "2"], [0] * 4),
-    (5, 2, 2, ["t", "1", "x", "2"], [0, 0, 0, 1]), (6, 3, 1, ["a) m", "b) n", "k"], [0] * 3), (7, 0, 0, [], []), (8, 1, 4, ["A. 1", "A. 2", "B. 3", ""], [0] * 4)])
+#: Grids of cells with a document's language and size in them, and pictures in some.
+GRIDS = Derived("grids", "documents", "i long, n_rows int, n_cols int, texts array<string>, pics array<int>", [
+    "doc_id", "CASE doc_id % 8 WHEN 5 THEN 3 WHEN 7 THEN 1 ELSE 2 END", "CASE doc_id % 8 WHEN 2 THEN 3 WHEN 5 THEN 1 WHEN 7 THEN 4 ELSE 2 END",
+    """CASE doc_id % 8 WHEN 0 THEN concat('A. ', lang, '~B. 2~C. 3~D. ', n_chars) WHEN 1 THEN concat('A. ', n_chars, '~B. 2~~') WHEN 2 THEN concat('Nội dung~Đ~S~a) ', lang, '~~') WHEN 3 THEN concat('t~1~', lang, '~', n_chars) WHEN 4 THEN concat('t~', lang, '~x~2')
+        WHEN 5 THEN concat('a) ', lang, '~b) n~k') WHEN 6 THEN concat('B. ', lang, '~A. 2~~') ELSE concat('A. 1~A. ', n_chars, '~B. 3~') END""",
+    "CASE doc_id % 8 WHEN 1 THEN '0~0~1~1' WHEN 2 THEN '0~0~0~0~0~0' WHEN 4 THEN concat('0~0~0~', n_chars % 2) WHEN 5 THEN '0~0~0' WHEN 6 THEN concat('0~0~', n_chars % 2, '~0') ELSE '0~0~0~0' END"])
 _one = "regexp_extract(t, '^\\**[ \\t]*\\(?([A-D])\\**[ \\t]*\\\\?[.):]', 1)"
 
 
@@ -206,7 +215,7 @@ def grid_cells() -> F.Column:
         WHEN len([r FOR r IN rows[1:2] IF (list_contains(r, 'Đ') OR list_contains(r, 'Đúng')) AND (list_contains(r, 'S') OR list_contains(r, 'Sai'))]) > 0 OR len([r FOR r IN rows IF regexp_matches(r[1], '^[ \\t]*\\**\\(?[a-d][.)]')]) >= 2 THEN 'ds'
         WHEN n_rows >= 2 AND n_cols >= 2 AND len(wt) >= 2 AND np = 0 THEN 'data' ELSE 'plain' END AS kind FROM a""")
 def table_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return GRIDS.df(spark).select("i", G.table_kind(grid_cells(), F.col("n_rows"), F.col("n_cols")).alias("kind"))
+    return GRIDS.df(spark, sf_dir).select("i", G.table_kind(grid_cells(), F.col("n_rows"), F.col("n_cols")).alias("kind"))
 
 
 OPTION_GRIDS = Inline("og", "i int, texts array<string>, want string", [(1, ["B. 2", "", "A. 1", "x"], "A=1,B=2,C=,D=x"), (2, ["C) c", "A) a"], "A=a,C=c"), (3, ["p", "q", "r", "s", "t"], "A=p,B=q,C=r,D=s,=t")])
@@ -223,7 +232,7 @@ FIGURE_GRIDS = Inline("fg", "i int, cells array<string>", [(1, ["1", "", "", "",
 
 @query(f"WITH {FIGURE_GRIDS.cte} SELECT i, len(cells) > 0 AND ((len(cells) >= 12 AND len([c FOR c IN cells IF trim(c) <> '']) <= 0.25 * len(cells)) OR len([c FOR c IN cells IF length(regexp_replace(c, '[^A-Za-z0-9]', '', 'g')) >= 3]) = 0) AS figure FROM fg")
 def figure_like_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FIGURE_GRIDS.df(spark).select("i", G.is_figure_grid(F.col("cells")).alias("figure"))
+    return FIGURE_GRIDS.df(spark, sf_dir).select("i", G.is_figure_grid(F.col("cells")).alias("figure"))
 
 
 # --- images in texts -------------------------------------------------------------------------------------------
