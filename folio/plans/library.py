@@ -12,40 +12,47 @@ from .. import schema as S
 from ..operators import curriculum as C
 from ..operators import documents as D
 from ..operators import library as L
-from .registry import Inline, query, table
+from .registry import Derived, Inline, query, table
 
 T0, T1, T2 = (datetime.datetime(2026, 1, d) for d in (1, 2, 3))
-SETTINGS = Inline("settings", "key string, value string", [("model_api_key", "abc"), ("school_name", "A"), ("router_key", ""), ("note", None)])
-DEFAULTS = Inline("defaults", "key string, value string", [("school_name", "default"), ("teacher", "T"), ("router_key", "x")])
-INCOMING = Inline("incoming", "key string, value string", [("model_api_key", "***"), ("router_key", "new"), ("school_name", ""), ("theme", "dark")])
+#: Suppliers as settings: every third is a key, some are empty.
+_value = "CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('v', s_nationkey) END"
+SETTINGS = Derived("settings", "supplier", "key string, value string", ["concat('setting_', s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN '_key' ELSE '' END)", _value], "s_suppkey % 4 > 0")
+DEFAULTS = Derived("defaults", "supplier", "key string, value string", ["concat('setting_', s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN '_key' ELSE '' END)", "concat('default', s_nationkey)"], "s_suppkey % 7 <> 1")
+INCOMING = Derived("incoming", "supplier", "key string, value string", ["concat('setting_', s_suppkey + 5, CASE WHEN (s_suppkey + 5) % 3 = 0 THEN '_key' ELSE '' END)", "CASE s_suppkey % 4 WHEN 0 THEN '***' WHEN 1 THEN '' ELSE concat('new', s_nationkey) END"])
+#: Documents as the library's rows; a third holds a tree.
+LIBRARY = Derived("store", "documents", S.LIBRARY, [
+    "doc_id", "CASE doc_id % 4 WHEN 0 THEN concat('Dao động ', lang) ELSE concat('Sóng cơ ', doc_id) END", "'Vật lý'", "10 + doc_id % 3", "CASE doc_id % 5 WHEN 0 THEN 'dao dong' WHEN 1 THEN NULL ELSE concat('Chương ', doc_id % 7) END", "'1'", "CASE doc_id % 2 WHEN 0 THEN 'de_thi' ELSE 'khac' END",
+    """CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '{}' ELSE concat('{"title":"N', doc_id, '","sections":[{"type":"dung_sai","questions":[{"number":1},{"number":2}]}]}') END""",
+    "'2026-01-01'", "CASE doc_id % 2 WHEN 0 THEN '2026-01-02' ELSE '2026-01-03' END"])
 DOCS = Inline("store", S.LIBRARY, [
     (1, "Dao động", "Vật lý", 11, "Chương 1", "1", "de_thi", "{}", T0, T1), (2, "Sóng cơ", "Vật lý", 11, "dao dong", "1", "khac", None, T0, T2),
     (3, "Nhiệt học", "Vật lý", 12, "", "2", "de_thi", '{"title":"N","sections":[{"type":"dung_sai","questions":[{"number":1},{"number":2}]}]}', T0, T1)])
 SAVES = Inline("saves", "seq int, id long, title string, subject string, grade int, chapter string, semester string, doc_type string, content_json string", [
     (1, None, "Mới", None, 10, None, None, None, "{}"), (2, 2, "Sóng", "Vật lý", 11, "c", "2", "de_thi", "{}"), (3, 2, "Sóng 2", None, 11, None, None, None, '{"a":1}'), (4, 0, "Mới 2", "Toán", None, "x", "1", "khac", None)])
-UPDATES = Inline("updates", "id long, title string, content_json string", [
-    (1, "A", '{"sections":[{"type":"khac"}]}'), (2, "  ", '{"sections":[{"type":"khac"}]}'), (3, "B", '{"sections":[]}'), (4, "C", "{}"), (5, None, None)])
+UPDATES = Derived("updates", "documents", "id long, title string, content_json string", [
+    "doc_id", "CASE doc_id % 6 WHEN 0 THEN '  ' WHEN 1 THEN NULL ELSE concat(lang, ' ', doc_id) END", """CASE doc_id % 5 WHEN 0 THEN '{"sections":[]}' WHEN 1 THEN '{}' WHEN 2 THEN NULL ELSE concat('{"sections":[{"type":"khac","label":"', lang, '"}]}') END"""])
 
 
 @query(f"WITH {SETTINGS.cte}, {DEFAULTS.cte} SELECT key, value FROM settings UNION ALL SELECT key, value FROM defaults WHERE key NOT IN (SELECT key FROM settings)")
 def settings_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.seed_settings(SETTINGS.df(spark), DEFAULTS.df(spark))
+    return L.seed_settings(SETTINGS.df(spark, sf_dir), DEFAULTS.df(spark, sf_dir))
 
 
 @query(f"WITH {SETTINGS.cte} SELECT key, CASE WHEN contains(key, 'key') AND coalesce(value, '') <> '' THEN '***' ELSE value END AS value FROM settings")
 def settings_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.masked_settings(SETTINGS.df(spark))
+    return L.masked_settings(SETTINGS.df(spark, sf_dir))
 
 
 @query(f"""WITH {SETTINGS.cte}, {INCOMING.cte}, ok AS (SELECT i.key, i.value FROM incoming i LEFT JOIN settings s USING (key)
     WHERE NOT (contains(i.key, 'key') AND coalesce(s.value, '') <> '' AND i.value IN ('***', ''))) SELECT * FROM ok UNION ALL SELECT key, value FROM settings WHERE key NOT IN (SELECT key FROM ok)""")
 def settings_guarded_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.update_settings(SETTINGS.df(spark), INCOMING.df(spark))
+    return L.update_settings(SETTINGS.df(spark, sf_dir), INCOMING.df(spark, sf_dir))
 
 
 @query(f"WITH {SETTINGS.cte} SELECT key, value FROM settings")
 def settings_as_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.settings_map(SETTINGS.df(spark)).select(F.explode("settings").alias("key", "value"))
+    return L.settings_map(SETTINGS.df(spark, sf_dir)).select(F.explode("settings").alias("key", "value"))
 
 
 @query(f"""WITH {DOCS.cte}, {SAVES.cte}, f AS (SELECT seq, id, title, coalesce(subject, 'Vật lý') AS subject, grade, coalesce(chapter, '') AS chapter, coalesce(semester, '') AS semester, coalesce(doc_type, 'khac') AS doc_type, content_json FROM saves),
@@ -58,15 +65,14 @@ def library_save(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.save_documents(DOCS.df(spark), SAVES.df(spark), F.lit(datetime.datetime(2026, 2, 1)).cast("timestamp"))
 
 
-@query(f"WITH {DOCS.cte} SELECT id, title, row_number() OVER (ORDER BY updated_at DESC, id DESC) AS place FROM store WHERE grade = 11 AND (title ILIKE '%dao%' OR chapter ILIKE '%dao%')")
+@query(f"WITH {LIBRARY.cte} SELECT id, title, updated_at FROM store WHERE grade = 11 AND (title ILIKE '%dao%' OR chapter ILIKE '%dao%')")
 def library_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = L.list_documents(DOCS.df(spark), grade=11, search="dao")
-    return found.select("id", "title", F.row_number().over(Window.orderBy(F.desc("updated_at"), F.desc("id"))).alias("place"))
+    return L.list_documents(LIBRARY.df(spark, sf_dir), grade=11, search="dao").select("id", "title", "updated_at")
 
 
-@query(f"WITH {DOCS.cte} SELECT id, title, content_json->>'$.title' AS content_title, CAST(json_array_length(content_json, '$.sections') AS INTEGER) AS n_sections FROM store WHERE id = 3")
+@query(f"WITH {LIBRARY.cte} SELECT id, title, content_json->>'$.title' AS content_title, CAST(json_array_length(content_json, '$.sections') AS INTEGER) AS n_sections FROM store WHERE id = 5")
 def library_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.get_document(DOCS.df(spark), 3).select("id", "title", F.col("content.title").alias("content_title"), F.size("content.sections").alias("n_sections"))
+    return L.get_document(LIBRARY.df(spark, sf_dir), 5).select("id", "title", F.col("content.title").alias("content_title"), F.size("content.sections").alias("n_sections"))
 
 
 @query("""WITH gone AS (SELECT p_partkey FROM part WHERE p_partkey % 10 = 0) SELECT 'part' AS tbl, count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM gone)
@@ -80,7 +86,7 @@ def library_cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {UPDATES.cte} SELECT id, CASE WHEN trim(coalesce(title, '')) = '' THEN 'no title' WHEN coalesce(json_array_length(content_json, '$.sections'), 0) = 0 THEN 'no sections' ELSE 'ok' END AS reason FROM updates""")
 def library_guarded_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good, bad = L.split_updates(UPDATES.df(spark))
+    good, bad = L.split_updates(UPDATES.df(spark, sf_dir))
     return good.select("id", F.lit("ok").alias("reason")).unionByName(bad.select("id", "reason"))
 
 
@@ -129,19 +135,22 @@ def last_answer_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the document tree -------------------------------------------------------------------------------------------
 
 IMG = lambda f: {"id": f, "filename": f, "extra": 1}
-TREES = Inline("trees", "id long, content_json string", [
-    (1, json.dumps({"id": 1, "title": "A", "unknown": 5, "sections": [
+_TREES = [
+    {"title": "A @lang", "unknown": 5, "sections": [
         {"type": "trac_nghiem_lua_chon", "label": "PHẦN I", "questions": [
-            {"number": 1, "text": "q1", "options": ["A. x", "B. y"], "correct_answer": "b", "images": [IMG("a.png")]},
-            {"number": 2, "text": "t" * 90, "options": ["A. x", "B. y", "C. z"], "option_images": [[IMG("o.png")]], "ai_solution": "Vậy chọn => Chọn C. vì " + "s" * 60}]},
+            {"number": 1, "text": "q1 @lang", "options": ["A. x", "B. y"], "correct_answer": "b", "images": [IMG("a@id.png")]},
+            {"number": 2, "text": "t" * 90, "options": ["A. x", "B. y", "C. z"], "option_images": [[IMG("o@id.png")]], "ai_solution": "Vậy chọn => Chọn C. vì @id " + "s" * 60}]},
         {"type": "ly_thuyet", "label": "LT", "is_theory": True, "questions": [{"number": 1, "text": "theory"}]},
-        {"type": "dung_sai", "label": "PHẦN II", "questions": [{"number": 1, "text": "ds", "sub_items": ["a. m", "b. n"], "ai_solution": "a) Đúng, b) Sai, c) **Đúng**"}]}]}, ensure_ascii=False)),
-    (2, json.dumps({"title": "B", "sections": [{"type": "ly_thuyet", "questions": []}]})), (3, "{}"),
-    (4, json.dumps({"sections": [{"type": "tu_luan", "questions": [{"number": 3}, {"number": 4, "images": [IMG("c.png"), IMG("d.png")]}]}]}))])
+        {"type": "dung_sai", "label": "PHẦN II", "questions": [{"number": 1, "text": "ds @id", "sub_items": ["a. m", "b. n"], "ai_solution": "a) Đúng, b) Sai, c) **Đúng**"}]}]},
+    {"title": "B @id", "sections": [{"type": "ly_thuyet", "questions": []}]}, {},
+    {"sections": [{"type": "tu_luan", "questions": [{"number": 3, "text": "@lang"}, {"number": 4, "images": [IMG("c@id.png"), IMG("d.png")]}]}]}]
+_tree = " ".join(f"WHEN {k} THEN '{json.dumps(t, ensure_ascii=False)}'" for k, t in enumerate(_TREES))
+#: Documents as trees of four shapes, with their number and language in them.
+TREES = Derived("trees", "documents", "id long, content_json string", ["doc_id", f"replace(replace(CASE doc_id % 4 {_tree} END, '@id', concat('', doc_id)), '@lang', lang)"])
 
 
-def trees(spark: SparkSession) -> DataFrame:
-    return TREES.df(spark).withColumn("doc", D.parse(F.col("content_json")))
+def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TREES.df(spark, sf_dir).withColumn("doc", D.parse(F.col("content_json")))
 
 
 FLAT = f"""WITH {TREES.cte}, s AS (SELECT id, i AS sec_ord, content_json->'$.sections'->i AS s FROM trees, range(10) r(i) WHERE i < json_array_length(content_json, '$.sections')),
@@ -150,19 +159,19 @@ FLAT = f"""WITH {TREES.cte}, s AS (SELECT id, i AS sec_ord, content_json->'$.sec
 
 @query(f"WITH {TREES.cte} SELECT id, content_json->>'$.title' AS title, CAST(coalesce((SELECT sum(json_array_length(content_json, '$.sections[' || i || '].questions')) FROM range(10) r(i)), 0) AS INTEGER) AS n FROM trees")
 def count_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees(spark).select("id", F.col("doc.title").alias("title"), D.count_questions(F.col("doc")).alias("n"))
+    return trees(spark, sf_dir).select("id", F.col("doc.title").alias("title"), D.count_questions(F.col("doc")).alias("n"))
 
 
 @query(f"""{FLAT}, t AS (SELECT id, list(s->>'$.type') AS types FROM s GROUP BY 1) SELECT id, CASE WHEN list_contains(types, 'trac_nghiem_lua_chon') OR list_contains(types, 'dung_sai') THEN 'de_thi'
     WHEN list_contains(types, 'ly_thuyet') THEN 'phieu_bai_tap' ELSE 'khac' END AS doc_type FROM trees LEFT JOIN t USING (id)""")
 def document_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees(spark).select("id", D.doc_type(F.coalesce(F.transform("doc.sections", lambda s: s["type"]), F.array().cast("array<string>"))).alias("doc_type"))
+    return trees(spark, sf_dir).select("id", D.doc_type(F.coalesce(F.transform("doc.sections", lambda s: s["type"]), F.array().cast("array<string>"))).alias("doc_type"))
 
 
 @query(f"""{FLAT} SELECT id, sec_ord, q_ord, coalesce(json_array_length(q, '$.images'), 0) > 0 OR coalesce(list_sum([json_array_length(q, '$.option_images[' || k || ']') FOR k IN range(5)]), 0) > 0 AS has_images,
     CAST(coalesce(json_array_length(q, '$.options'), 0) AS INTEGER) AS n_lists, q->>'$.images[0].filename' AS first_image FROM q""")
 def question_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.questions(trees(spark))
+    rows = D.questions(trees(spark, sf_dir))
     padded = D.pad_option_images(F.col("q.option_images"), F.col("q.options"))
     return rows.select("id", F.col("sec_ord").cast("long").alias("sec_ord"), F.col("q_ord").cast("long").alias("q_ord"), D.has_images(F.col("q.images"), F.col("q.option_images")).alias("has_images"), F.size(padded).alias("n_lists"), F.get("q.images", F.lit(0))["filename"].alias("first_image"))
 
@@ -170,18 +179,18 @@ def question_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{FLAT} SELECT id, row_number() OVER (PARTITION BY id ORDER BY sec_ord, q_ord) AS stt, 'Câu ' || (q->>'$.number') AS caption, substr(coalesce(q->>'$.text', ''), 1, 80) || CASE WHEN length(coalesce(q->>'$.text', '')) > 80 THEN '...' ELSE '' END AS summary,
     coalesce(nullif(q->>'$.correct_answer', ''), substr(coalesce(q->>'$.ai_solution', ''), 1, 60)) AS answer FROM q""")
 def answer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.answer_table(D.questions(trees(spark)))
+    return D.answer_table(D.questions(trees(spark, sf_dir)))
 
 
 @query(f"""{FLAT}, n AS (SELECT id, sec_ord, q_ord, row_number() OVER (PARTITION BY id ORDER BY sec_ord, q_ord) AS gnum FROM q WHERE NOT is_theory) SELECT * FROM n WHERE q_ord > 0 OR sec_ord = 2""")
 def global_numbering_then_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.global_numbers(D.questions(trees(spark))).select("id", F.col("sec_ord").cast("long").alias("sec_ord"), F.col("q_ord").cast("long").alias("q_ord"), F.col("gnum").cast("long").alias("gnum")).filter("q_ord > 0 OR sec_ord = 2")
+    return D.global_numbers(D.questions(trees(spark, sf_dir))).select("id", F.col("sec_ord").cast("long").alias("sec_ord"), F.col("q_ord").cast("long").alias("q_ord"), F.col("gnum").cast("long").alias("gnum")).filter("q_ord > 0 OR sec_ord = 2")
 
 
 @query(f"""{FLAT} SELECT id, sec_ord, q_ord, coalesce(nullif(regexp_extract(upper(coalesce(q->>'$.correct_answer', '')), '[A-D]'), ''), nullif(regexp_extract(coalesce(q->>'$.ai_solution', ''), '(?:Ch[oọ]n|[Đđ]áp[ \\t]*án|→)[^A-Da-d\\n]{{0,10}}\\b([A-D])\\b', 1), '')) AS letter,
     array_to_string(list_sort(regexp_extract_all(coalesce(q->>'$.ai_solution', ''), '\\b([a-d])\\)[ \\t]*\\**[ \\t]*(?:Đúng|đúng)', 1)), ',') AS true_items FROM q""")
 def right_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.questions(trees(spark))
+    rows = D.questions(trees(spark, sf_dir))
     return rows.select("id", F.col("sec_ord").cast("long").alias("sec_ord"), F.col("q_ord").cast("long").alias("q_ord"), D.answer_letter(F.col("q.correct_answer"), F.col("q.ai_solution")).alias("letter"), F.array_join(D.true_statements(F.col("q.ai_solution")), ",").alias("true_items"))
 
 
@@ -190,14 +199,14 @@ def right_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     k AS (SELECT id, type, number, arg_max(coalesce(img, '-'), sec_ord * 100 + q_ord) AS img FROM p GROUP BY 1, 2, 3), u AS (SELECT id, number, arg_max(coalesce(img, '-'), sec_ord * 100 + q_ord) AS img FROM p WHERE uniq GROUP BY 1, 2), o AS (SELECT id, type, q_ord, arg_max(coalesce(img, '-'), sec_ord * 100 + q_ord) AS img FROM p GROUP BY 1, 2, 3)
     SELECT f.id, f.sec_ord, f.q_ord, nullif(coalesce(k.img, u.img, o.img, '-'), '-') AS img FROM f LEFT JOIN k ON k.id = f.id AND k.type = f.type AND k.number = f.number LEFT JOIN u ON u.id = f.id AND u.number = f.number LEFT JOIN o ON o.id = f.id AND o.type = f.type AND o.q_ord = f.q_ord""")
 def images_by_key_number_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.questions(trees(spark))
+    rows = D.questions(trees(spark, sf_dir))
     out = D.attach_images(rows, D.image_indexes(rows))
     return out.select("id", F.col("sec_ord").cast("long").alias("sec_ord"), F.col("q_ord").cast("long").alias("q_ord"), F.get("attached", F.lit(0))["filename"].alias("img"))
 
 
 @query(f"WITH {TREES.cte} SELECT id, content_json->>'$.title' AS title, coalesce(json_array_length(content_json, '$.sections'), 0)::INTEGER AS n FROM trees")
 def document_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    again = trees(spark).withColumn("doc", D.parse(F.to_json("doc")))
+    again = trees(spark, sf_dir).withColumn("doc", D.parse(F.to_json("doc")))
     return again.select("id", F.col("doc.title").alias("title"), F.greatest(F.coalesce(F.size("doc.sections"), F.lit(0)), F.lit(0)).alias("n"))
 
 
