@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import anchors as A
 from ..operators import reconcile as R
 from .lines import STRIP
-from .registry import Inline, query, table
+from .registry import Derived, Inline, query, table
 
 Q = "struct<number:string,text:string,options:array<string>,sub_items:array<string>>"
 SECTIONS = [
@@ -183,3 +183,64 @@ def placed_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tool_images_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(F.lit("a ![x](<d_images/imageFile3.png>)"), F.coalesce("text", F.lit("")))
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.strip_tool_images(body)).alias("h"))
+
+
+#: Documents as pages of an exam: page marks, questions, options and blank lines among a text's own lines.
+SHEETS = Derived("sheet", "documents", "doc string, pos int, line string", ["concat('', doc_id)", "k", """CASE (doc_id + k) % 9 WHEN 0 THEN concat('<!-- p2w:page=', k + 1, ' -->') WHEN 1 THEN concat('**Câu ', k % 4 + 1, '.** ', t) WHEN 4 THEN concat('A. ', t) WHEN 6 THEN '' ELSE t END"""], by_line=True)
+#: Five figures of each document; anchors are beginnings of its lines or of none.
+SHEET_FIGURES = Derived("figure", "documents", "doc string, fig int, page int, anchor string, question string, part double", [
+    "concat('', doc_id)", "i", "(i * 7 + doc_id) % 20", "CASE (i + doc_id) % 3 WHEN 0 THEN substr(split_part(coalesce(text, ''), chr(10), i + 1), 1, 60) WHEN 1 THEN substr(split_part(coalesce(text, ''), chr(10), 1), 10, 25) ELSE 'x' END",
+    "CASE (i + doc_id) % 4 WHEN 1 THEN concat('', 1 + i % 4) ELSE NULL END", "(i * 37 % 100) / CAST(100 AS DOUBLE)"], times=5)
+_plain = r"trim(regexp_replace(regexp_replace(replace(lower(nfc_normalize({0})), 'ß', 'ss'), '[^\p{{L}}\p{{N}}\s]+', ' ', 'g'), '\s+', ' ', 'g'))"
+_bare = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_block = r"regexp_matches({0}, '(?i)^\s*(\*\*)?\s*(Câu\s*[0-9]|Bài\s*[0-9]|PHẦN|Phần\s|[A-D][.)]|[a-d][.)]|\||!\[|#|-{{3,}})')"
+_asks = r"regexp_matches({0}, '(?i)^\s*(\*\*)?\s*(Câu|Bài|Ví\s*dụ|Minh\s*họa)\s*[0-9]+')"
+
+_PLACED = rf"""WITH RECURSIVE {SHEETS.cte}, {SHEET_FIGURES.cte},
+    b AS (SELECT *, {_bare.format("line")} AS bare, {_plain.format("line")} AS norm, {_block.format("line")} AS block, {_asks.format("line")} AS asks, regexp_extract(line, '(?i)^\s*(?:\*\*)?\s*(?:Câu|Bài)\s*([0-9]+)', 1) AS number FROM sheet),
+    l AS (SELECT *, bare = '---' OR starts_with(bare, '<!--') AS rule, lag(bare, 1, '') OVER w AS prev, count(*) OVER (PARTITION BY doc) AS n FROM b WINDOW w AS (PARTITION BY doc ORDER BY pos)),
+    e AS (SELECT *, coalesce(min(pos) FILTER (bare = '' OR block) OVER w, n) AS para_end, coalesce(min(pos) FILTER (asks OR rule OR regexp_matches(line, '^\s*(\*\*)?\s*([A-D]|[a-d])\s*(\*\*)?\s*[.)]')) OVER w, n) AS stem_end
+        FROM l WINDOW w AS (PARTITION BY doc ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+    m AS (SELECT doc, CAST(regexp_extract(line, 'page=([0-9]+)', 1) AS INTEGER) AS page, pos + 1 AS lo, lead(pos, 1, n) OVER (PARTITION BY doc ORDER BY pos) AS hi FROM e WHERE regexp_matches(line, '^\s*<!--\s*p2w:page=[0-9]+\s*-->\s*$')),
+    f AS (SELECT g.*, row_number() OVER (PARTITION BY doc ORDER BY fig) AS turn, coalesce((SELECT max(lo) FROM m WHERE m.doc = g.doc AND m.page <= g.page), 0) AS lo,
+        coalesce((SELECT max_by(hi, lo) FROM m WHERE m.doc = g.doc AND m.page <= g.page), (SELECT max(n) FROM e WHERE e.doc = g.doc)) AS hi FROM figure g),
+    k0 AS (SELECT *, regexp_extract_all(anchor, '\p{{L}}+(?:\s+\p{{L}}+)+') AS runs FROM f),
+    k1 AS (SELECT *, CASE WHEN len(runs) = 0 THEN '' ELSE {_plain.format("list_reduce(runs, lambda a, c: CASE WHEN length(c) > length(a) THEN c ELSE a END)")} END AS run, {_plain.format("anchor")} AS whole FROM k0),
+    k2 AS (SELECT *, CASE WHEN length(run) >= 12 THEN run ELSE whole END AS key FROM k1),
+    k3 AS (SELECT *, regexp_replace(substr(key, 1, 30), ' [^ ]*$', '') AS k30, regexp_replace(substr(key, 1, 18), ' [^ ]*$', '') AS k18 FROM k2),
+    tries AS (SELECT doc, fig, lo, hi, 0 AS rank, key FROM k3 WHERE length(key) >= 12 UNION ALL SELECT doc, fig, lo, hi, 1, k30 FROM k3 WHERE length(key) > 30 AND length(k30) >= 12
+        UNION ALL SELECT doc, fig, lo, hi, 2, k18 FROM k3 WHERE length(key) > 18 AND length(k18) >= 12 AND k18 <> k30),
+    hits AS (SELECT doc, fig, t.rank, pos, least(para_end, t.hi) AS place FROM tries t JOIN e USING (doc) WHERE pos >= t.lo AND pos < t.hi AND contains(norm, key)
+        UNION ALL SELECT doc, fig, 9, pos, least(stem_end, f.hi) FROM f JOIN e USING (doc) WHERE pos >= f.lo AND pos < f.hi AND e.number = f.question),
+    best AS (SELECT doc, fig, min(rank) AS rank FROM hits GROUP BY 1, 2), near AS (SELECT hits.* FROM hits JOIN best USING (doc, fig, rank)),
+    opens AS (SELECT doc, fig, pos, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY doc, fig) AS blocks, least(para_end, f.hi) AS behind FROM f JOIN e USING (doc)
+        WHERE pos >= f.lo AND pos < f.hi AND bare <> '' AND NOT rule AND (pos = f.lo OR prev = '' OR prev = '---' OR starts_with(prev, '<!--') OR block) WINDOW w AS (PARTITION BY doc, fig ORDER BY pos)),
+    high AS (SELECT f.doc, f.fig, f.lo, f.hi, CASE WHEN any_value(blocks) IS NULL THEN f.lo ELSE coalesce(max(o.pos) FILTER (k = round_even(part * blocks, 0)), max(behind) FILTER (k = blocks - 1)) END AS at, any_value(blocks) AS blocks
+        FROM f LEFT JOIN opens o ON o.doc = f.doc AND o.fig = f.fig WHERE NOT EXISTS (SELECT 1 FROM best WHERE best.doc = f.doc AND best.fig = f.fig) GROUP BY 1, 2, 3, 4),
+    drawn AS (SELECT h.doc, h.fig, coalesce(CASE WHEN blocks IS NOT NULL THEN (SELECT max_by(least(stem_end, h.hi), pos) FROM e WHERE e.doc = h.doc AND pos >= h.lo AND pos < least(h.at, h.hi) AND asks) END, h.at) AS place FROM high h),
+    walk AS (SELECT doc, 0::BIGINT AS turn, -1 AS fig, 0::BIGINT AS place, '' AS how FROM f GROUP BY 1
+        UNION ALL SELECT w.doc, f.turn, f.fig, coalesce((SELECT min_by(n.place, n.pos) FROM near n WHERE n.doc = f.doc AND n.fig = f.fig AND n.pos >= least(greatest(w.place, f.lo), f.hi)), (SELECT min_by(n.place, n.pos) FROM near n WHERE n.doc = f.doc AND n.fig = f.fig),
+            (SELECT d.place FROM drawn d WHERE d.doc = f.doc AND d.fig = f.fig)), coalesce((SELECT CASE rank WHEN 9 THEN 'question' ELSE 'anchor' END FROM best t WHERE t.doc = f.doc AND t.fig = f.fig), 'height')
+        FROM walk w JOIN f ON f.doc = w.doc AND f.turn = w.turn + 1)
+    SELECT doc, fig, CAST(place AS INTEGER) AS line, how FROM walk WHERE turn > 0"""
+
+
+@query(_PLACED)
+def placed_figures_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.place_figures(SHEET_FIGURES.df(spark, sf_dir), SHEETS.df(spark, sf_dir))
+
+
+@query(rf"""WITH {SHEETS.cte}, b AS (SELECT *, {_bare.format("line")} AS bare, count(*) OVER (PARTITION BY doc) AS n FROM sheet)
+    SELECT doc, pos, CAST(coalesce(min(pos) FILTER (bare = '' OR {_block.format("line")}) OVER w, n) AS INTEGER) AS para_end,
+        CAST(coalesce(min(pos) FILTER ({_asks.format("line")} OR bare = '---' OR starts_with(bare, '<!--') OR regexp_matches(line, '^\s*(\*\*)?\s*([A-D]|[a-d])\s*(\*\*)?\s*[.)]')) OVER w, n) AS INTEGER) AS stem_end
+    FROM b WINDOW w AS (PARTITION BY doc ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)""")
+def block_ends_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.block_ends(SHEETS.df(spark, sf_dir)).select("doc", "pos", "para_end", "stem_end")
+
+
+@query(rf"""WITH {SHEETS.cte}, w AS (SELECT doc, pos AS id, lower(substr(line, 3, 9)) AS key, 0 AS lo, 50 AS hi, pos % 7 AS cur FROM sheet WHERE pos % 5 = 2), n AS (SELECT doc, pos, lower(line) AS norm FROM sheet)
+    SELECT w.doc, w.id, (SELECT min_by(pos, (pos - cur + 50) % 50) FROM n WHERE n.doc = w.doc AND pos < 50 AND key <> '' AND contains(norm, key)) AS found FROM w""")
+def found_lines_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = SHEETS.df(spark, sf_dir)
+    wanted = lines.filter("pos % 5 = 2").select("doc", F.col("pos").alias("id"), F.array(F.lower(F.substring("line", 3, 9))).alias("keys"), F.lit(0).alias("lo"), F.lit(50).alias("hi"), (F.col("pos") % 7).alias("cursor"))
+    return A.find_lines(wanted, lines.withColumn("norm", F.lower("line"))).select("doc", "id", "found")
