@@ -117,3 +117,45 @@ def html_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cleaned_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, 5, "<think>a\nb</think> [CÂU 5]: lời giải"), (2, 3, "**[câu 9]**: x"), (3, 1, "chỉ chữ")]
     return spark.createDataFrame(rows, "i int, n int, s string").select("i", T.after_answer_marker(F.col("s"), F.col("n")).alias("s"))
+
+
+#: Formulas as documents have them, @ standing for a number of the document's, and what becomes of them, worked out by hand.
+PLANTED = {
+    "house_style": [
+        ("@,0$cm^{2}$", "$@,0\\text{cm}^2$"), ("@,0.$10^{5}$Pa", "$@,0.10^5\\text{Pa}$"), ("g = $@\\text{m/s}^2$", "$g = @\\text{m/s}^2$"), ("@°C", "$@^\\circ\\text{C}$"), ("$v = @ m/s$", "$v = @\\text{m/s}$"),
+        ("$@\\text{lít}$", "$@\\text{l}$"), ("c = @,460kJ/kg.K", "$c = @,460\\text{kJ/kg.K}$"), ("h = @ A. 2 s B. 4 s", "h = @ A. 2 s B. 4 s")],
+    "latex_to_plain": [("\\frac{v_0^2}{@g}", "v₀²/@g"), ("@^\\circ\\text{C}", "@°C"), ("\\frac{a+b}{@}", "(a+b)/@")],
+    "normalize_latex": [("nếu$x_{@}$thì", "nếu $x_{@}$ thì"), ("a \\(@y\\) b", "a $@y$ b")],
+    "unicode_to_latex": [("F⃗ và v₀ và @", "$\\vec{F}$ và $v_{0}$ và @")],
+    "plain_accents": [("$m_{đá} = @$ và chữ", "$m_{da} = @$ và chữ")],
+    "unwrap_prose": [("$$A. @. B. 30. C. 32. D. 16.$$", "A. @. B. 30. C. 32. D. 16."), ("$f(@) = g(b)$", "$f(@) = g(b)$")],
+    "balanced": [("$T_@ >$ T_0$", "$T_@ > T_0$"), ("$v_0$ = @ km/h$", "$v_0 = @ km/h$")],
+    "unit_powers": [("@ m/s2 và 3 cm3", "@ m/s² và 3 cm³")],
+    "scripts": [("p 1 V 1 = @", "p₁ V₁ = @")],
+    "export_chain": [("v = @ m/s² và 25°C", "$v = @\\text{m/s}^2$ và $25^\\circ\\text{C}$")],
+}
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_planted = ", ".join(f"({_quoted(f)}, {k}, {_quoted(want)})" for f, pairs in PLANTED.items() for k, (_, want) in enumerate(pairs))
+
+
+@query(f"SELECT doc_id, f, k, replace(want, '@', CAST(doc_id % 90 + 10 AS VARCHAR)) AS out FROM documents, (VALUES {_planted}) t(f, k, want)")
+def notation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each rewriting step over formulas with a number of each document in them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 90 + 10).cast("string").alias("number"))
+    out = None
+    for name, pairs in PLANTED.items():
+        given = F.posexplode(F.array(*[F.replace(F.lit(s), F.lit("@"), F.col("number")) for s, _ in pairs])).alias("k", "s")
+        rows = docs.select("doc_id", given).select("doc_id", F.lit(name).alias("f"), "k", N.columns(getattr(N, name))(F.col("s")).alias("out"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"""WITH b AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents), l AS (SELECT doc_id, unnest(parts) AS t, generate_subscripts(parts, 1) AS i FROM b),
+    s AS (SELECT doc_id, i, CASE i % 6 WHEN 0 THEN 'x_' || chr(123) || i || chr(125) || t WHEN 1 THEN t || '\\frac' WHEN 2 THEN '\\(' || t WHEN 3 THEN t || '^2' ELSE t END AS s FROM l)
+    SELECT doc_id, i, coalesce(regexp_matches(s, '\\\\[A-Za-z]{{2,}}|\\\\[\\[\\]()]|[\\^_]\\{{'), FALSE) AS latex FROM s""")
+def has_latex_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents, with commands and scripts in some."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("k", "t"))
+    i = (F.col("k") + 1).cast("long")
+    s = F.when(i % 6 == 0, F.concat(F.lit("x_{"), i.cast("string"), F.lit("}"), "t")).when(i % 6 == 1, F.concat("t", F.lit("\\frac"))).when(i % 6 == 2, F.concat(F.lit("\\("), "t")).when(i % 6 == 3, F.concat("t", F.lit("^2"))).otherwise(F.col("t"))
+    return lines.select("doc_id", i.alias("i"), N.columns(N.has_latex, "boolean")(s).alias("latex"))
