@@ -9,7 +9,7 @@ from ..functions import formatting as L
 from ..functions import notation as N
 from ..functions import text as T
 from .lines import STRIP
-from .registry import Inline, query, table
+from .registry import Derived, query, table
 
 EXAMPLES = [
     "1,0$cm^{2}$", "2,0.$10^{5}$Pa", "g = $10\\text{m/s}^2$", "25°C", "$v = 5 m/s$", "$2\\text{lít}$", "c = 0,460kJ/kg.K", "$$A. 15. B. 30. C. 32. D. 16.$$", "$f(a) = g(b)$", "$T_1 >$ T_0$", "F⃗ và v₀ x² α",
@@ -53,20 +53,20 @@ def documents_export_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.length("out").alias("n"), T.dollars(F.col("out")).alias("dollars"))
 
 
-MATHS = Inline("maths", "i int, s string", [(1, "a \\frac{1}{2}"), (2, "x^2"), (3, "x^{2}"), (4, "\\(a\\)"), (5, None), (6, "plain"), (7, "a_{b} $c$")])
+MATHS = Derived("maths", "documents", "i long, s string", ["doc_id", "CASE doc_id % 7 WHEN 0 THEN concat('a ', chr(92), 'frac{', n_chars, '}') WHEN 1 THEN concat('x^', n_chars) WHEN 2 THEN concat('x^{', n_chars, '}') WHEN 3 THEN concat(chr(92), '(', lang, chr(92), ')') WHEN 4 THEN NULL WHEN 5 THEN lang ELSE concat('a_{', lang, '} $c$') END"])
 
 
 @query(f"WITH {MATHS.cte} SELECT i, coalesce(regexp_matches(s, '\\\\[A-Za-z]{{2,}}|\\\\[\\[\\]()]|[\\^_]\\{{'), FALSE) AS latex FROM maths")
 def has_latex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return MATHS.df(spark).select("i", F.coalesce(F.col("s").rlike(r"\\[A-Za-z]{2,}|\\[\[\]()]|[\^_]\{"), F.lit(False)).alias("latex"))
+    return MATHS.df(spark, sf_dir).select("i", F.coalesce(F.col("s").rlike(r"\\[A-Za-z]{2,}|\\[\[\]()]|[\^_]\{"), F.lit(False)).alias("latex"))
 
 
-EXPRESSIONS = Inline("ex", "i int, s string", [(1, " a \n b "), (2, "**x** = *y*"), (3, "p   q"), (4, "")])
+EXPRESSIONS = Derived("ex", "documents", "i long, s string", ["doc_id", "CASE doc_id % 4 WHEN 0 THEN concat(' ', lang, ' ', chr(10), ' b ') WHEN 1 THEN concat('**', lang, '** = *', n_chars, '*') WHEN 2 THEN concat('p   ', n_chars) ELSE '' END"])
 
 
 @query(f"WITH {EXPRESSIONS.cte} SELECT i, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(s, '[ \\t]*\\n[ \\t]*', ' ', 'g'), '\\*\\*([^*]+?)\\*\\*', '\\1', 'g'), '\\*([^*]+?)\\*', '\\1', 'g')), '[ \\t]{{2,}}', ' ', 'g') AS s FROM ex")
 def clean_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return EXPRESSIONS.df(spark).select("i", N.columns(N.clean_expression)(F.col("s")).alias("s"))
+    return EXPRESSIONS.df(spark, sf_dir).select("i", N.columns(N.clean_expression)(F.col("s")).alias("s"))
 
 
 LAYOUT = [
@@ -85,22 +85,22 @@ def large_images_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(L.drop_large_images(md, F.array(F.lit("a.png"), F.lit("c.png")))).alias("h"))
 
 
-FENCES = Inline("fences", "i int, s string", [(1, "```markdown\n# a\nb\n```"), (2, "```\nx\n```"), (3, "no fence"), (4, None), (5, "```js\nx\n```")])
+FENCES = Derived("fences", "documents", "i long, s string", ["doc_id", "CASE doc_id % 5 WHEN 0 THEN concat('```markdown', chr(10), '# ', lang, chr(10), n_chars, chr(10), '```') WHEN 1 THEN concat('```', chr(10), lang, chr(10), '```') WHEN 2 THEN concat('no fence ', lang) WHEN 3 THEN NULL ELSE concat('```js', chr(10), lang, chr(10), '```') END"])
 
 
 @query(f"WITH {FENCES.cte}, s AS (SELECT i, {STRIP.format("coalesce(s, '')")} AS s FROM fences) SELECT i, CASE WHEN regexp_matches(s, '(?s)^```(markdown|md)?[ \\t\\n\\r\\f]*\\n.*```$') THEN trim(regexp_replace(s, '(?s)^```(markdown|md)?[ \\t\\n\\r\\f]*\\n(.*?)\\n?```$', '\\2'), chr(10)) ELSE s END AS s FROM s")
 def fences_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FENCES.df(spark).select("i", T.strip_fence(F.col("s")).alias("s"))
+    return FENCES.df(spark, sf_dir).select("i", T.strip_fence(F.col("s")).alias("s"))
 
 
-NAMES = Inline("file_names", "i int, s string", [(1, "dir/Đề thi (1).pdf"), (2, "???.docx"), (3, "a_b-c.PDF"), (4, "x" * 100 + ".pdf"), (5, "noext")])
+NAMES = Derived("file_names", "documents", "i long, s string", ["doc_id", "CASE doc_id % 5 WHEN 0 THEN concat('dir/Đề thi (', doc_id, ').pdf') WHEN 1 THEN '???.docx' WHEN 2 THEN concat(lang, '_b-', n_chars, '.PDF') WHEN 3 THEN concat(repeat('x', 100), doc_id, '.pdf') ELSE concat('noext', doc_id) END"])
 
 
 @query(f"WITH {NAMES.cte}, s AS (SELECT i, s, trim(regexp_replace(regexp_replace(string_split(s, '/')[-1], '(.)\\.[^.]*$', '\\1'), '[^A-Za-zÀ-ÖØ-öø-ɏΑ-ωḀ-ỿ0-9 _-]', '', 'g')) AS k FROM file_names) SELECT i, CASE WHEN k = '' THEN 'TaiLieu' ELSE substr(k, 1, 80) END AS stem, lower(regexp_extract(s, '\\.([^.]*)$', 1)) AS ext, lower(regexp_extract(s, '\\.([^.]*)$', 1)) IN ('pdf', 'docx', 'doc') AS allowed FROM s")
 def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.files import allowed
 
-    return NAMES.df(spark).select("i", T.safe_stem(F.col("s")).alias("stem"), T.extension(F.col("s")).alias("ext"), allowed(F.col("s")).alias("allowed"))
+    return NAMES.df(spark, sf_dir).select("i", T.safe_stem(F.col("s")).alias("stem"), T.extension(F.col("s")).alias("ext"), allowed(F.col("s")).alias("allowed"))
 
 
 @query("SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS x FROM documents")

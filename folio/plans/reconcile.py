@@ -32,12 +32,12 @@ def sections_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(R.merge_sections(sections(spark)).withColumn("mode", F.lit("none"))).select("mode", "doc", "sec", "type", "label", "intro", F.array_join(F.transform("questions", lambda q: F.concat(q["number"], F.lit("="), q["text"])), "|").alias("questions"))
 
 
-LABELS = Inline("labels_", "i int, label string", [(1, "PHẦN I - Câu trắc nghiệm"), (2, "Phần 2. Đúng sai"), (3, "phan iii"), (4, None), (5, "Tự luận"), (6, "PHẦN IV")])
+LABELS = Derived("labels_", "documents", "i long, label string", ["doc_id", "CASE doc_id % 6 WHEN 0 THEN concat('PHẦN I - Câu trắc nghiệm ', lang) WHEN 1 THEN concat('Phần ', doc_id % 10, '. Đúng sai') WHEN 2 THEN concat('phan iii ', lang) WHEN 3 THEN NULL WHEN 4 THEN concat('Tự luận ', n_chars) ELSE 'PHẦN IV' END"])
 
 
 @query(f"WITH {LABELS.cte} SELECT i, regexp_replace(lower(coalesce(label, '')), '[^0-9a-zà-ỹ]+', '', 'g') AS norm, lower(regexp_extract(coalesce(label, ''), '(?i)ph[àầa]n[ \\t]*([ivx]+|[0-9]+)\\b', 1)) AS part FROM labels_")
 def label_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return LABELS.df(spark).select("i", T.norm_label(F.col("label")).alias("norm"), T.part_id(F.col("label")).alias("part"))
+    return LABELS.df(spark, sf_dir).select("i", T.norm_label(F.col("label")).alias("norm"), T.part_id(F.col("label")).alias("part"))
 
 
 HAVE = "SELECT source AS doc, CASE doc_id % 2 WHEN 0 THEN 'dung_sai' ELSE 'tu_luan' END AS type, doc_id AS number FROM documents WHERE doc_id % 5 <> 3"

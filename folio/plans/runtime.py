@@ -13,7 +13,7 @@ from ..operators import structure as P
 from ..session import scratch
 from ..sources import files as S
 from ..streaming import jobs as J
-from .registry import FILE, Inline, file_of, query, table
+from .registry import FILE, Derived, Inline, file_of, query, table
 
 EVENTS = "SELECT CAST(user_id AS VARCHAR) AS job, CAST(event_id % 5 AS INTEGER) AS file, event_type AS status, event_id AS seq, ts FROM events"
 
@@ -91,12 +91,12 @@ def pages_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.converted(p, ["a", "b"]).select("doc", F.md5("markdown").alias("h"), F.array_join("failed", ",").alias("failed"))
 
 
-SOLVE = Inline("asked", "doc string, question_id string, t string, v string", [("d", "q1", "text", "vision"), ("d", "q2", "text", None), ("d", "q3", None, None)])
+SOLVE = Derived("asked", "documents", "doc string, question_id string, t string, v string", ["concat('d', doc_id % 9)", "concat('q', doc_id)", "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE concat('text ', lang) END", "CASE WHEN doc_id % 4 = 0 THEN concat('vision ', n_chars) ELSE NULL END"])
 
 
 @query(f"WITH {SOLVE.cte} SELECT doc, question_id, coalesce(v, t, '(chưa có lời giải)') AS solution FROM asked")
 def solutions_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = SOLVE.df(spark)
+    a = SOLVE.df(spark, sf_dir)
     pick = lambda c: a.filter(F.col(c).isNotNull()).select("doc", "question_id", F.col(c).alias("solution"))
     return R.solved(a.select("doc", "question_id"), pick("t"), pick("v"))
 

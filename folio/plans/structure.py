@@ -218,16 +218,18 @@ def table_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return GRIDS.df(spark, sf_dir).select("i", G.table_kind(grid_cells(), F.col("n_rows"), F.col("n_cols")).alias("kind"))
 
 
-OPTION_GRIDS = Inline("og", "i int, texts array<string>, want string", [(1, ["B. 2", "", "A. 1", "x"], "A=1,B=2,C=,D=x"), (2, ["C) c", "A) a"], "A=a,C=c"), (3, ["p", "q", "r", "s", "t"], "A=p,B=q,C=r,D=s,=t")])
+OPTION_GRIDS = Derived("og", "documents", "i long, texts array<string>, want string", [
+    "doc_id", "CASE doc_id % 3 WHEN 0 THEN concat('B. ', lang, '~~A. ', n_chars, '~x') WHEN 1 THEN concat('C) ', lang, '~A) a') ELSE concat(lang, '~q~r~s~t') END",
+    "CASE doc_id % 3 WHEN 0 THEN concat('A=', n_chars, ',B=', lang, ',C=,D=x') WHEN 1 THEN concat('A=a,C=', lang) ELSE concat('A=', lang, ',B=q,C=r,D=s,=t') END"])
 
 
 @query(f"WITH {OPTION_GRIDS.cte} SELECT i, want AS cells FROM og")
 def option_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = F.transform("texts", lambda t: F.struct(t.alias("text"), F.when(t == "", F.array(F.lit("x.png"))).otherwise(F.array().cast("array<string>")).alias("images")))
-    return OPTION_GRIDS.df(spark).select("i", F.array_join(F.transform(G.option_cells(cells), lambda c: F.concat(c["letter"], F.lit("="), c["text"])), ",").alias("cells"))
+    return OPTION_GRIDS.df(spark, sf_dir).select("i", F.array_join(F.transform(G.option_cells(cells), lambda c: F.concat(c["letter"], F.lit("="), c["text"])), ",").alias("cells"))
 
 
-FIGURE_GRIDS = Inline("fg", "i int, cells array<string>", [(1, ["1", "", "", "", "", "", "", "", "", "", "", ""]), (2, ["O", "x", "y"]), (3, ["abc", "d"]), (4, []), (5, ["aaa"] * 12)])
+FIGURE_GRIDS = Derived("fg", "documents", "i long, cells array<string>", ["doc_id", "CASE doc_id % 5 WHEN 0 THEN concat(doc_id, repeat('~', 11)) WHEN 1 THEN concat('O~x~', doc_id % 10) WHEN 2 THEN concat('a', lang, '~d') WHEN 3 THEN concat('abc', repeat(concat('~', lang), 11)) ELSE concat(n_chars % 100, '~ ~y') END"])
 
 
 @query(f"WITH {FIGURE_GRIDS.cte} SELECT i, len(cells) > 0 AND ((len(cells) >= 12 AND len([c FOR c IN cells IF trim(c) <> '']) <= 0.25 * len(cells)) OR len([c FOR c IN cells IF length(regexp_replace(c, '[^A-Za-z0-9]', '', 'g')) >= 3]) = 0) AS figure FROM fg")
@@ -246,22 +248,23 @@ def image_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.with_placeholders(spark.createDataFrame([("m", PIC_MD), ("n", None)], "doc string, text string"), NAMES.df(spark))
 
 
-HOLDERS = Inline("holders", "i int, t string", [(1, "a {{IMG_1}} b  {{IMG_3}}"), (2, "A. {{IMG_2}} ."), (3, "none"), (4, "{{IMG_9}}")])
+HOLDERS = Derived("holders", "documents", "i long, t string", ["doc_id", "CASE doc_id % 4 WHEN 0 THEN concat('a {{IMG_1}} ', lang, '  {{IMG_', doc_id % 12, '}}') WHEN 1 THEN concat('A. {{IMG_', n_chars % 4, '}} .') WHEN 2 THEN concat('none  ', lang) ELSE '{{IMG_9}}' END"])
 
 
 @query(f"WITH {HOLDERS.cte} SELECT i, trim(regexp_replace(regexp_replace(t, '\\{{\\{{IMG_[0-9]+\\}}\\}}', ' ', 'g'), '[ \\t]{{2,}}', ' ', 'g')) AS text, array_to_string([x FOR x IN [CASE n WHEN '1' THEN 'p' WHEN '2' THEN 'q' WHEN '3' THEN 'r' END FOR n IN regexp_extract_all(t, '\\{{\\{{IMG_([0-9]+)\\}}\\}}', 1)] IF x IS NOT NULL], ',') AS files FROM holders")
 def resolved_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.create_map(*[F.lit(x) for x in (1, "p", 2, "q", 3, "r")])
     got = I.resolved(F.col("t"), names)
-    return HOLDERS.df(spark).select("i", got["text"].alias("text"), F.array_join(got["files"], ",").alias("files"))
+    return HOLDERS.df(spark, sf_dir).select("i", got["text"].alias("text"), F.array_join(got["files"], ",").alias("files"))
 
 
-REFS = Inline("refs", "kind string, at int, name string", [("q", 10, "1"), ("q", 50, "2"), ("q", 90, "3"), ("i", 5, "w"), ("i", 60, "x"), ("i", 90, "y"), ("i", 200, "z")])
+#: A conversation's user turns as questions and the others as images, by their place.
+REFS = Derived("refs", "conversations", "doc string, kind string, at int, name string", ["concat('', conv_id)", "CASE WHEN role = 'user' THEN 'q' ELSE 'i' END", "turn * 10", "concat('n', turn)"])
 
 
-@query(f"WITH {REFS.cte} SELECT i.name AS image, coalesce((SELECT arg_max(q.name, q.at) FROM refs q WHERE q.kind = 'q' AND q.at <= i.at), (SELECT arg_min(q.name, q.at) FROM refs q WHERE q.kind = 'q')) AS question FROM refs i WHERE i.kind = 'i'")
+@query(f"WITH {REFS.cte} SELECT i.doc, i.name AS image, coalesce((SELECT arg_max(q.name, q.at) FROM refs q WHERE q.doc = i.doc AND q.kind = 'q' AND q.at <= i.at), (SELECT arg_min(q.name, q.at) FROM refs q WHERE q.doc = i.doc AND q.kind = 'q')) AS question FROM refs i WHERE i.kind = 'i'")
 def images_to_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.to_questions(REFS.df(spark).withColumn("doc", F.lit("d"))).select("image", "question")
+    return I.to_questions(REFS.df(spark, sf_dir)).select("doc", "image", "question")
 
 
 REPLIES = Inline("replies", "i int, raw string, n int", [(1, '{"1": 3, "2": "câu 12", "3": null, "9": 4}', 3), (2, '```json\n{"1": 5}\n```', 2), (3, "nothing", 2), (4, 'so: {"2": 1000, "1": 7} end', 2)])
@@ -286,12 +289,14 @@ def assigned_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.assigned(local, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"), F.col("n_chars").alias("model_question"))).select("conv_id", "turn", "question")
 
 
-SIZES = Inline("sizes", "i int, t string, want double", [(1, "72pt", 2.54), (2, "1in", 2.54), (3, " 2.5 cm ", 2.5), (4, "10mm", 1.0), (5, "96px", 2.54), (6, "6pc", 2.54), (7, "36", 1.27), (8, "3em", None), (9, "-2cm", None), (10, None, None)])
+SIZES = Derived("sizes", "documents", "i long, t string, want double", [
+    "doc_id", "CASE doc_id % 9 WHEN 0 THEN concat(n_chars, 'pt') WHEN 1 THEN concat(n_chars, 'in') WHEN 2 THEN concat(' ', n_chars, '.5 cm ') WHEN 3 THEN concat(n_chars, 'mm') WHEN 4 THEN concat(n_chars, 'px') WHEN 5 THEN concat(n_chars, 'pc') WHEN 6 THEN concat(n_chars, 'em') WHEN 7 THEN concat('-', n_chars, 'cm') ELSE NULL END",
+    "CASE doc_id % 9 WHEN 0 THEN n_chars * 2.54 / 72 WHEN 1 THEN n_chars * 2.54 WHEN 2 THEN n_chars + 0.5 WHEN 3 THEN n_chars / 10.0 WHEN 4 THEN n_chars * 2.54 / 96 WHEN 5 THEN n_chars * 2.54 / 6 ELSE NULL END"])
 
 
-@query(f"WITH {SIZES.cte} SELECT i, want AS cm FROM sizes")
+@query(f"WITH {SIZES.cte} SELECT i, round(want, 4) AS cm FROM sizes")
 def css_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SIZES.df(spark).select("i", I.css_cm(F.col("t")).alias("cm"))
+    return SIZES.df(spark, sf_dir).select("i", F.round(I.css_cm(F.col("t")), 4).alias("cm"))
 
 
 STYLES = Inline("styles", "i int, t string, emu string", [(1, "width:72pt;height: 36pt", "360000"), (2, "HEIGHT:1in", "x"), (3, "color:red", None)])
