@@ -169,7 +169,7 @@ def bbox_thousandths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Colours of strokes and fills, which may be missing or grey, and how many of a cluster's paths are tiny.
 INK = Derived("k", "lineitem", "i long, s double, f double, so double, fo double, n int, tiny int", [
-    _id, "CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_suppkey % 11 / 10.0 END", "CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE l_partkey % 11 / 10.0 END", "CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE l_suppkey % 7 / 6.0 END", "CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE l_linenumber / 7.0 END",
+    _id, "CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_suppkey % 11 / CAST(10 AS DOUBLE) END", "CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE l_partkey % 11 / CAST(10 AS DOUBLE) END", "CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE l_suppkey % 7 / CAST(6 AS DOUBLE) END", "CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE l_linenumber / CAST(7 AS DOUBLE) END",
     "40 + l_partkey % 60", "36 + l_partkey % 56"])
 _INK = "ink AS (SELECT i, CASE WHEN s IS NULL THEN NULL WHEN i % 5 = 0 THEN [s] ELSE [s, s / 2, 1 - s] END AS stroke, so, CASE WHEN f IS NULL THEN NULL ELSE [f, f, f] END AS fill, fo, n, tiny FROM k)"
 _shade = "CASE WHEN {c} IS NOT NULL THEN CASE WHEN len({c}) >= 3 THEN 0.2126::DOUBLE * {c}[1] + 0.7152::DOUBLE * {c}[2] + 0.0722::DOUBLE * {c}[3] ELSE {c}[1] END * greatest(0, least(1, coalesce({o}, 1))) + (1 - greatest(0, least(1, coalesce({o}, 1)))) END"

@@ -291,7 +291,7 @@ def assigned_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SIZES = Derived("sizes", "documents", "i long, t string, want double", [
     "doc_id", "CASE doc_id % 9 WHEN 0 THEN concat(n_chars, 'pt') WHEN 1 THEN concat(n_chars, 'in') WHEN 2 THEN concat(' ', n_chars, '.5 cm ') WHEN 3 THEN concat(n_chars, 'mm') WHEN 4 THEN concat(n_chars, 'px') WHEN 5 THEN concat(n_chars, 'pc') WHEN 6 THEN concat(n_chars, 'em') WHEN 7 THEN concat('-', n_chars, 'cm') ELSE NULL END",
-    "CASE doc_id % 9 WHEN 0 THEN n_chars * 2.54 / 72 WHEN 1 THEN n_chars * 2.54 WHEN 2 THEN n_chars + 0.5 WHEN 3 THEN n_chars / 10.0 WHEN 4 THEN n_chars * 2.54 / 96 WHEN 5 THEN n_chars * 2.54 / 6 ELSE NULL END"])
+    "CASE doc_id % 9 WHEN 0 THEN n_chars * CAST(2.54 AS DOUBLE) / 72 WHEN 1 THEN n_chars * CAST(2.54 AS DOUBLE) WHEN 2 THEN n_chars + CAST(0.5 AS DOUBLE) WHEN 3 THEN n_chars / CAST(10 AS DOUBLE) WHEN 4 THEN n_chars * CAST(2.54 AS DOUBLE) / 96 WHEN 5 THEN n_chars * CAST(2.54 AS DOUBLE) / 6 ELSE NULL END"])
 
 
 @query(f"WITH {SIZES.cte} SELECT i, round(want, 4) AS cm FROM sizes")
