@@ -166,7 +166,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", langu
     than the wanted ones (None: all that were learned); all columns stay. One pass: the answer is put beside each row."""
     if not model.languages:
         return docs.limit(0)
-    schema, letter, wanted = docs.schema, unused(docs, "letter"), set(model.languages if languages is None else languages)
+    schema, letter, wanted = docs.schema, unused(docs, "letter"), set(model.languages if languages is None else languages) - {UNDETERMINED}
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
