@@ -164,7 +164,8 @@ def bags(docs: DataFrame, nodes: DataFrame, text_col: str, row_col: str) -> Data
                 yield pa.record_batch({"node": b.column(0).take(pa.array(rows)), "bag": pa.array(out, pa.binary())})
 
     texts = docs.select(F.col(row_col).alias("node"), F.col(text_col).cast("string").alias("text"))
-    return nodes.select("node").join(texts, "node").select("node", "text").mapInArrow(collect, "node long, bag binary")
+    # Joined alike at every size: a table of nodes that just fits a broadcast doesn't foretell what the next larger one takes.
+    return nodes.select("node").hint("shuffle_merge").join(texts, "node").select("node", "text").mapInArrow(collect, "node long, bag binary")
 
 
 def verified(pairs: DataFrame, bag: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
