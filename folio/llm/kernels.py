@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,25 @@ def text_groups(column: pa.Array, size: int = GROUP_BYTES) -> Iterator[tuple[np.
         i = j
 
 
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work() over batches, that gives the system back what Arrow keeps of batches that are done: workers outlive their tasks, and
+    an idle one would hold that beside those at work."""
+    release = lambda: pa.default_memory_pool().release_unused()
+
+    @wraps(work)
+    def run(batches: Iterator) -> Iterator:
+        def each() -> Iterator:
+            for b in batches:
+                yield b
+                del b
+                release()
+
+        yield from work(each())
+        release()
+
+    return run
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of the documents that offsets cut data into, and the documents' first words (one more)."""
     space = (data == 32) | ((data >= 9) & (data <= 13))

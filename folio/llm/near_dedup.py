@@ -102,6 +102,7 @@ def _digest(text: bytes) -> bytes:
 def signed(docs: DataFrame, id_col: str, text_col: str, row_col: str) -> DataFrame:
     """row_no, doc_id, n_words, words (a digest of the word sequence, null without words) and bands."""
 
+    @K.tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rows, offsets, data in K.text_groups(b.column(2)):
@@ -152,6 +153,7 @@ def bags(docs: DataFrame, nodes: DataFrame, text_col: str, row_col: str) -> Data
     A node is a row's number, so a text is met by one node at most, whatever identifiers are null or repeat.
     """
 
+    @K.tidy
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rows, offsets, data in K.text_groups(b.column(1)):
@@ -172,6 +174,7 @@ def verified(pairs: DataFrame, bag: DataFrame, similarity: float = SIMILARITY) -
     """The pairs whose multiset Jaccard similarity is as high as asked for: a, b, overlap, union. The member's bag travels
     to its leader's; a leader of many members is a skewed join key, which adaptive execution splits."""
 
+    @K.tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             overlap, union = [], []
