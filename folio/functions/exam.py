@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,25 +72,37 @@ def _ascending(pieces: Column) -> Column:
     return consecutive(F.transform(pieces, lambda p: p["letter"]))
 
 
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f has it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _named(pieces: Column) -> Column:
+    return F.transform(pieces, lambda x: F.concat(x["letter"], F.lit(". "), x["text"]))
+
+
 def split_options(line: Column) -> Column:
     """'A. x B. y' as ['A. x', 'B. y'] if there are two marks or more with letters in a row; else the line alone."""
-    p = _pieces(line)
-    return F.when((F.size(p) >= 2) & _ascending(p), F.transform(p, lambda x: F.concat(x["letter"], F.lit(". "), x["text"]))).otherwise(F.array(line))
+    return F.when(line.rlike(MARK), _once(_pieces(line), lambda p: F.when((F.size(p) >= 2) & _ascending(p), _named(p)).otherwise(F.array(line)))).otherwise(F.array(line))
 
 
 def rescued(text: Column, options: Column) -> Column:
     """struct(text, options): options that a text without options has swallowed, from an A at its start or behind a blank on."""
-    p = _pieces(text)
+    kept = F.struct(text.alias("text"), F.coalesce(options, F.array().cast("array<string>")).alias("options"))
     head = F.element_at(F.split(F.regexp_replace(text, "^((?s).*?)" + MARK, f"$1{CUT}$2"), CUT, 2), 1)
-    fits = (F.coalesce(F.size(options), F.lit(0)) < 2) & (F.size(p) >= 2) & (F.get(p, F.lit(0))["letter"] == "A") & _ascending(p) & ((head == "") | head.rlike(r"\s$"))
-    kept = F.coalesce(options, F.array().cast("array<string>"))
-    return F.when(
-        F.coalesce(fits, F.lit(False)), F.struct(F.regexp_replace(head, r"\s+$", "").alias("text"), F.transform(p, lambda x: F.concat(x["letter"], F.lit(". "), x["text"])).alias("options"))
-    ).otherwise(F.struct(text.alias("text"), kept.alias("options")))
+
+    def saved(p: Column, h: Column) -> Column:
+        fits = (F.size(p) >= 2) & (F.get(p, F.lit(0))["letter"] == "A") & _ascending(p) & ((h == "") | h.rlike(r"\s$"))
+        return F.when(F.coalesce(fits, F.lit(False)), F.struct(F.regexp_replace(h, r"\s+$", "").alias("text"), _named(p).alias("options"))).otherwise(kept)
+
+    may = (F.coalesce(F.size(options), F.lit(0)) < 2) & text.rlike(MARK)
+    return F.when(may, _once(F.struct(_pieces(text).alias("p"), head.alias("h")), lambda x: saved(x["p"], x["h"]))).otherwise(kept)
 
 
 def option_texts(line: Column) -> Column:
     """The options of an option line with their texts cleaned, or null for other lines."""
-    parts = split_options(line)
-    parts = F.when((F.size(parts) >= 2) & F.forall(parts, lambda x: x.rlike(OPTION)), parts).when(line.rlike(OPTION), F.array(line))
-    return F.transform(parts, lambda x: F.regexp_replace(F.concat(F.regexp_extract(x, OPTION, 1), F.lit(". "), clean_option(F.regexp_extract(x, OPTION, 2))), r"\s+$", ""))
+    def cleaned(parts: Column) -> Column:
+        parts = F.when((F.size(parts) >= 2) & F.forall(parts, lambda x: x.rlike(OPTION)), parts).when(line.rlike(OPTION), F.array(line))
+        return F.transform(parts, lambda x: F.regexp_replace(F.concat(F.regexp_extract(x, OPTION, 1), F.lit(". "), clean_option(F.regexp_extract(x, OPTION, 2))), r"\s+$", ""))
+
+    return F.when(line.rlike(MARK), _once(split_options(line), cleaned))

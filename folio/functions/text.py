@@ -13,7 +13,7 @@ LETTER = "A-Za-zÀ-ÖØ-öø-ɏΑ-ωḀ-ỿ"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(c, F.lit(" \t\n\r\f"))
 
 
 def lines(text: Column) -> Column:
