@@ -78,10 +78,11 @@ def missing_questions(have: DataFrame, others: DataFrame) -> DataFrame:
     lost = typed.join(have, ["doc", "type", "number"], "left_anti").unionByName(untyped.join(have, ["doc", "number"], "left_anti").select(*target.columns))
     lost = lost.groupBy("doc", "type", "number").agg(F.min_by("text", F.length("text")).alias("text"))
     both = have.select("doc", "type", "number", F.lit("").alias("text"), F.lit(False).alias("is_lost")).unionByName(lost.withColumn("is_lost", F.lit(True)))
+    # Both ways what is known is carried on; a frame that reaches to the end would be gone through anew for each row.
     up = Window.partitionBy("doc", "type").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy("doc", "type").orderBy("number").rowsBetween(1, Window.unboundedFollowing)
+    down = Window.partitionBy("doc", "type").orderBy(F.desc("number")).rowsBetween(Window.unboundedPreceding, -1)
     known = F.when(~F.col("is_lost"), F.col("number"))
-    return both.withColumn("after", F.last(known, True).over(up)).withColumn("before", F.first(known, True).over(down)).filter("is_lost").select("doc", "type", "number", "text", "after", "before")
+    return both.withColumn("after", F.last(known, True).over(up)).withColumn("before", F.last(known, True).over(down)).filter("is_lost").select("doc", "type", "number", "text", "after", "before")
 
 
 def chosen_boxes(boxes: DataFrame, keep: DataFrame) -> DataFrame:

@@ -186,3 +186,12 @@ def test_same_for_any_partitions(spark):
     rows = spark.createDataFrame([(i, f"v₀ = {i} m/s2") for i in range(40)], "i int, s string")
     one, many = (sorted(map(tuple, rows.repartition(n).select("i", f(F.col("s"))).collect())) for n in (1, 7))
     assert one == many
+
+
+def test_places_of_missing_questions_read_a_section_once(spark):
+    """What is known is carried on both ways; no frame reaches to the section's end, which is quadratic."""
+    have = spark.range(0, 20, 4).selectExpr("'d' AS doc", "'t' AS type", "id AS number")
+    others = spark.range(0, 20, 3).selectExpr("'d' AS doc", "'t' AS type", "id AS number", "repeat('x', 20) AS text")
+    out = reconcile.missing_questions(have, others)
+    assert "UnboundedFollowing" not in out._jdf.queryExecution().toString() and "unboundedfollowing" not in out._jdf.queryExecution().toString()
+    assert sorted((r["number"], r["after"], r["before"]) for r in out.collect()) == [(3, 0, 4), (6, 4, 8), (9, 8, 12), (15, 12, 16), (18, 16, None)]
