@@ -62,11 +62,11 @@ def roles(rows: DataFrame) -> DataFrame:
 def image_targets(rows: DataFrame) -> DataFrame:
     """doc, sec, q, images: where each image goes. Images before a question wait for the next question of the document,
     whatever its section; those after the last go to the last; each question's are in order."""
-    later = Window.partitionBy("doc").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
+    later = Window.partitionBy("doc").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
     all_rows = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     here = F.when(F.col("is_question"), F.struct("sec", "q"))
     own_list = (F.col("role") == "table") | ((F.col("role") == "option") & ((F.size("parts") == F.size("images")) | (F.size("parts") == 1)))
-    target = F.when((F.col("q") > 0) & ~F.col("is_header"), F.struct("sec", "q")).otherwise(F.coalesce(F.first(here, True).over(later), F.last(F.when(F.col("q") > 0, F.struct("sec", "q")), True).over(all_rows)))
+    target = F.when((F.col("q") > 0) & ~F.col("is_header"), F.struct("sec", "q")).otherwise(F.coalesce(F.last(here, True).over(later), F.last(F.when(F.col("q") > 0, F.struct("sec", "q")), True).over(all_rows)))
     loose = rows.withColumn("target", target).filter((F.size("images") > 0) & ~own_list & F.col("target").isNotNull())
     ordered = F.array_sort(F.collect_list(F.struct("pos", "images")))
     return loose.groupBy("doc", F.col("target.sec").alias("sec"), F.col("target.q").alias("q")).agg(F.flatten(F.transform(ordered, lambda x: x["images"])).alias("images"))
