@@ -30,9 +30,10 @@ def docx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = blocks.select("doc", F.col("pos").cast("long").alias("pos"), F.when(F.col("pos") == 0, "title").otherwise("para").alias("kind"), "text", F.lit(None).cast("array<array<string>>").alias("cells"), F.lit(False).alias("right"))
     path = scratch(spark, "docx")
     office.write_docx(blocks, path, teacher="a & b", school="<c>")
-    read = files.read_docx(files.files(spark, path).filter(F.col("path").endswith(".docx")))
-    named = read.filter("pos = 0").select("path", F.substring("text", 2, 30).cast("long").alias("doc_id"))
-    return read.join(named, "path").select("doc_id", "pos", "text")
+    # A file's name has the document's number and which part of a long one it is.
+    doc, part = (F.regexp_extract("path", r"/(-?\d+)-[0-9a-f]{12}(?:\.part-(\d+))?\.docx$", g) for g in (1, 2))
+    before = F.coalesce(F.nullif(part, F.lit("")).cast("int"), F.lit(0)) * office.DOCX_BLOCKS
+    return files.read_docx(office.written(spark, path)).select(doc.cast("long").alias("doc_id"), (F.col("pos") + before).alias("pos"), "text")
 
 
 @query("""SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS pos, [CAST(turn AS VARCHAR), role, regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), CAST(length(text) AS VARCHAR)] AS cells FROM conversations
@@ -42,7 +43,7 @@ def xlsx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc"), F.col("turn").alias("pos"), "turn", "role", "text", F.length("text").alias("n"))
     path = scratch(spark, "xlsx")
     office.write_xlsx(rows, path, sheet="turns")
-    read = office.read_xlsx(files.files(spark, path).filter(F.col("path").endswith(".xlsx")))
+    read = office.read_xlsx(office.written(spark, path))
     return read.select(F.regexp_extract("path", r"/(\d+)-[0-9a-f]{12}\.xlsx$", 1).cast("long").alias("conv_id"), "pos", "cells")
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,15 @@ WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 DRAWING = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 MATH = f"{{{OFFICE}}}"
+FORMULAS = {f"{MATH}oMath": "$", f"{MATH}oMathPara": "$$"}
+RELATIONS = "word/_rels/document.xml.rels"
+SIGNS = {f"{WORD}tab": "\t", f"{WORD}br": "\n"}
+SAID, PARAGRAPH, TABLE, NUMBER = (f"{WORD}{t}" for t in ("t", "p", "tbl", "numPr"))
+STYLE = f"{WORD}pPr"
+STYLES = (STYLE, f"{WORD}rPr")
+BLIP, VML = f"{DRAWING}blip", "{urn:schemas-microsoft-com:vml}imagedata"
+#: Blocks of DOCX files that a reader gives at once, but for those of one file.
+BATCH = 4096
 BLOCKS = "path string, pos int, kind string, text string, images array<string>, num string, cells array<struct<text:string,images:array<string>>>, n_rows int, n_cols int"
 
 
@@ -61,12 +71,14 @@ def _text(p: ElementTree.Element) -> str:
 
     def walk(e: ElementTree.Element) -> None:
         for c in e:
-            if c.tag in (f"{MATH}oMath", f"{MATH}oMathPara"):
-                mark = "$" * (1 + c.tag.endswith("Para"))
+            tag = c.tag
+            if mark := FORMULAS.get(tag):
                 out.append(f"{mark}{latex_of(c)}{mark}")
-            elif c.tag != f"{WORD}pPr":
-                out.append({f"{WORD}t": c.text or "", f"{WORD}tab": "\t", f"{WORD}br": "\n"}.get(c.tag, ""))
-                walk(c)
+            elif tag not in STYLES:
+                if said := c.text if tag == SAID else SIGNS.get(tag):
+                    out.append(said)
+                if len(c):
+                    walk(c)
 
     walk(p)
     return "".join(out).strip()
@@ -74,14 +86,16 @@ def _text(p: ElementTree.Element) -> str:
 
 def _images(e: ElementTree.Element, targets: dict[str, str]) -> list[str]:
     """Files of the pictures below an element, each relation once."""
-    ids = [b.get(f"{RELATION}embed") or b.get(f"{RELATION}link") for b in e.iter(f"{DRAWING}blip")] + [x.get(f"{RELATION}id") for x in e.iter("{urn:schemas-microsoft-com:vml}imagedata")]
+    if not targets:
+        return []
+    ids = [b.get(f"{RELATION}embed") or b.get(f"{RELATION}link") for b in e.iter(BLIP)] + [x.get(f"{RELATION}id") for x in e.iter(VML)]
     return [targets[i] for i in dict.fromkeys(ids) if i in targets]
 
 
 def _walk(parent: ElementTree.Element) -> Iterator[ElementTree.Element]:
     """Paragraphs and tables in document order, through content controls and the like."""
     for e in parent:
-        if e.tag in (f"{WORD}p", f"{WORD}tbl"):
+        if e.tag in (PARAGRAPH, TABLE):
             yield e
         elif e.tag not in (f"{WORD}sectPr",):
             yield from _walk(e)
@@ -92,13 +106,14 @@ def docx_blocks(content: bytes) -> list[tuple]:
     counts those of its list and level so far."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{WORD}body")
-        names = set(z.namelist())
-        rels = ElementTree.fromstring(z.read("word/_rels/document.xml.rels")) if "word/_rels/document.xml.rels" in names else []
+        pictures = body is not None and any(next(body.iter(t), None) is not None for t in (BLIP, VML))
+        rels = ElementTree.fromstring(z.read(RELATIONS)) if pictures and RELATIONS in z.namelist() else []
     targets = {r.get("Id"): (r.get("Target") or "").rpartition("/")[2] for r in rels}
     out, counts = [], {}
     for pos, e in enumerate(_walk(body) if body is not None else ()):
-        if e.tag == f"{WORD}p":
-            num = e.find(f"{WORD}pPr/{WORD}numPr")
+        if e.tag == PARAGRAPH:
+            style = e.find(STYLE)
+            num = style.find(NUMBER) if style is not None else None
             label = None
             if num is not None:
                 get = lambda tag, num=num: (x.get(f"{WORD}val") if (x := num.find(f"{WORD}{tag}")) is not None else "0")
@@ -115,17 +130,29 @@ def docx_blocks(content: bytes) -> list[tuple]:
 def read_docx(contents: DataFrame) -> DataFrame:
     """BLOCKS of DOCX files (path, content); a file that can't be read gives one row of kind error."""
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for path, content in zip(f["path"], f["content"], strict=True):
+    texts = pa.list_(pa.string())
+    cells = pa.list_(pa.struct([("text", pa.string()), ("images", texts)]))
+    schema = pa.schema([("path", pa.string()), ("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("images", texts), ("num", pa.string()), ("cells", cells), ("n_rows", pa.int32()), ("n_cols", pa.int32())])
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                path = path.as_py()
                 try:
-                    rows += [(path, *b) for b in docx_blocks(bytes(content))]
+                    rows += [(path, *x) for x in docx_blocks(content.as_py())]
                 except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
                     rows.append((path, 0, "error", str(e), [], None, None, None, None))
-            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in ("path", "pos", "kind", "text", "images", "num", "cells", "n_rows", "n_cols")]).astype({"n_rows": "Int32", "n_cols": "Int32"})
+                if len(rows) > BATCH:
+                    yield batch(rows)
+                    rows = []
+        if rows:
+            yield batch(rows)
 
-    return contents.select("path", "content").mapInPandas(read, BLOCKS)
+    return contents.select("path", "content").mapInArrow(read, BLOCKS)
 
 
 def docx_items(blocks: DataFrame) -> DataFrame:

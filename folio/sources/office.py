@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import hashlib
 import io
 import re
@@ -16,9 +17,9 @@ from xml.sax.saxutils import escape, quoteattr
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from ..functions.office_math import OFFICE, formula, office_math
@@ -26,6 +27,8 @@ from ..functions.office_math import OFFICE, formula, office_math
 #: Blocks that one DOCX file holds, and rows that one XLSX file holds; a longer document goes to several files.
 DOCX_BLOCKS = 20_000
 XLSX_ROWS = 1_000_000
+#: Bytes or characters that a file's writer gathers, and about the bytes of files that a reader gives at once.
+BUFFER, BATCH = 1 << 16, 4 << 20
 BLOCKS = "doc string, pos long, kind string, text string, cells array<array<string>>, right boolean"
 #: Kinds of blocks: font size in half points, bold, colour, indent in twentieths of a point, shade, alignment.
 LOOKS = {
@@ -52,7 +55,8 @@ KINDS = "application/vnd.openxmlformats-officedocument"
 def run(text: str, size: int, bold: bool = False, italic: bool = False, underline: bool = False, colour: str | None = None) -> str:
     """A run of text; tabs and line ends are elements of their own, characters that XML can't hold are left out."""
     style = "<w:b/>" * bold + "<w:i/>" * italic + (f'<w:color w:val="{colour}"/>' if colour else "") + f'<w:sz w:val="{size}"/>' + '<w:u w:val="single"/>' * underline
-    parts = re.split(r"(\n|\t)", NOT_XML.sub("", text.replace("\r\n", "\n")))
+    text = NOT_XML.sub("", text.replace("\r\n", "\n"))
+    parts = re.split(r"(\n|\t)", text) if "\n" in text or "\t" in text else [text]
     inner = "".join({"\n": "<w:br/>", "\t": "<w:tab/>"}.get(p) or f'<w:t xml:space="preserve">{escape(p)}</w:t>' for p in parts if p)
     return f"<w:r><w:rPr>{style}</w:rPr>{inner}</w:r>" if inner else ""
 
@@ -60,7 +64,7 @@ def run(text: str, size: int, bold: bool = False, italic: bool = False, underlin
 def inline(text: str, size: int, bold: bool = False, colour: str | None = None) -> str:
     """Runs of a text: formulas as Office math, or as they stand if they aren't understood; **bold** and *italic*."""
     out = []
-    for part in MATH.split(text):
+    for part in MATH.split(text) if "$" in text else [text]:
         if len(part) > 2 and part[0] == part[-1] == "$":
             wide = part.startswith("$$") and len(part) > 4
             tree = formula(part.strip("$"))
@@ -70,7 +74,7 @@ def inline(text: str, size: int, bold: bool = False, colour: str | None = None)
                 continue
             out.append(run(part, size, bold, colour=colour))
             continue
-        for piece in MARKED.split(part):
+        for piece in MARKED.split(part) if "*" in part else [part]:
             strong, slanted = len(piece) > 4 and piece[:2] == piece[-2:] == "**", len(piece) > 2 and piece[:1] == piece[-1:] == "*"
             out.append(run(piece[2:-2] if strong else piece[1:-1] if slanted else piece, size, bold or strong, slanted and not strong, colour=colour))
     return "".join(out)
@@ -105,16 +109,29 @@ def _types(*of: tuple[str, str]) -> str:
     return f'{HEAD}<Types xmlns="{PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{rows}</Types>'
 
 
+class Package:
+    """What all files of a job share: parts that are zipped once and stand at the front of each file, and what is around the
+    rows in the part of their own."""
+
+    def __init__(self, parts: dict[str, str], last: str, head: str, tail: str) -> None:
+        self.last, self.head, self.tail, out = last, head, tail, io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, text in parts.items():
+                z.writestr(Zip.info(name), text)
+            self.entries, size = z.infolist(), out.tell()
+        self.front = out.getvalue()[:size]
+
+
 class Zip:
     """A zip whose last part is written piece by piece, so that a document is never held whole. Dates are fixed: the same rows
     give the same bytes, whichever attempt writes them."""
 
-    def __init__(self, out, parts: dict[str, str], last: str, head: str, tail: str) -> None:
-        self.zip, self.tail = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED), tail
-        for name, text in parts.items():
-            self.zip.writestr(self.info(name), text)
-        self.last = self.zip.open(self.info(last), "w", force_zip64=True)
-        self.write(head)
+    def __init__(self, out, package: Package) -> None:
+        out.write(package.front)
+        self.zip, self.tail = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED), package.tail
+        self.zip.filelist.extend(package.entries)
+        self.last = self.zip.open(self.info(package.last), "w", force_zip64=True)
+        self.texts, self.size = [package.head], 0
 
     @staticmethod
     def info(name: str) -> zipfile.ZipInfo:
@@ -123,16 +140,25 @@ class Zip:
         return i
 
     def write(self, text: str) -> None:
-        self.last.write(text.encode("utf-8", "replace"))
+        self.texts.append(text)
+        self.size += len(text)
+        if self.size > BUFFER:
+            self.flush()
+
+    def flush(self) -> None:
+        self.last.write("".join(self.texts).encode("utf-8", "replace"))
+        self.texts, self.size = [], 0
 
     def close(self) -> None:
         self.write(self.tail)
+        self.flush()
         self.last.close()
         self.zip.close()
 
 
-def docx_file(out, options: dict[str, str]) -> Zip:
-    left, right = (NOT_XML.sub("", options.get(k, "")) for k in ("teacher", "school"))
+@functools.lru_cache(8)
+def docx_package(teacher: str, school: str) -> Package:
+    left, right = NOT_XML.sub("", teacher), NOT_XML.sub("", school)
     header = f"{HEAD}<w:hdr {WORD_NAMES}><w:p>{run(left, 22, True)}<w:r><w:tab/><w:tab/></w:r>{run(right, 22, True)}</w:p></w:hdr>"
     page = '<w:r><w:fldChar w:fldCharType="begin"/></w:r><w:r><w:instrText xml:space="preserve"> PAGE </w:instrText></w:r><w:r><w:fldChar w:fldCharType="end"/></w:r>'
     footer = f'{HEAD}<w:ftr {WORD_NAMES}><w:p><w:pPr><w:jc w:val="center"/></w:pPr>{page}</w:p></w:ftr>'
@@ -147,22 +173,31 @@ def docx_file(out, options: dict[str, str]) -> Zip:
     }
     margins = '<w:pgMar w:top="850" w:right="850" w:bottom="850" w:left="1134" w:header="500" w:footer="500" w:gutter="0"/>'
     end = f'<w:sectPr><w:headerReference w:type="default" r:id="rId2"/><w:footerReference w:type="default" r:id="rId3"/>{margins}</w:sectPr></w:body></w:document>'
-    return Zip(out, parts, "word/document.xml", f"{HEAD}<w:document {WORD_NAMES}><w:body>", end)
+    return Package(parts, "word/document.xml", f"{HEAD}<w:document {WORD_NAMES}><w:body>", end)
+
+
+def docx_file(out, options: dict[str, str]) -> Zip:
+    return Zip(out, docx_package(options.get("teacher", ""), options.get("school", "")))
 
 
 def docx_block(b: dict) -> str:
     return table(b["cells"]) + "<w:p/>" if b["kind"] == "table" and b["cells"] else paragraph(b["kind"] or "", b["text"] or "", bool(b["right"]))
 
 
-def xlsx_file(out, options: dict[str, str]) -> Zip:
-    main, name = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", NOT_XML.sub("", options.get("sheet") or "Sheet1")[:31]
+@functools.lru_cache(8)
+def xlsx_package(sheet: str, columns: str) -> Package:
+    main, name = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", NOT_XML.sub("", sheet)[:31]
     parts = {
         "[Content_Types].xml": _types(("/xl/workbook.xml", "spreadsheetml.sheet.main"), ("/xl/worksheets/sheet1.xml", "spreadsheetml.worksheet")),
         "_rels/.rels": _relations(("rId1", "officeDocument", "xl/workbook.xml")),
         "xl/_rels/workbook.xml.rels": _relations(("rId1", "worksheet", "worksheets/sheet1.xml")),
         "xl/workbook.xml": f'{HEAD}<workbook xmlns="{main}" xmlns:r="{RELATION}"><sheets><sheet name={quoteattr(name)} sheetId="1" r:id="rId1"/></sheets></workbook>',
     }
-    return Zip(out, parts, "xl/worksheets/sheet1.xml", f'{HEAD}<worksheet xmlns="{main}"><sheetData>' + xlsx_row(options["columns"].split("\x1f"), ()), "</sheetData></worksheet>")
+    return Package(parts, "xl/worksheets/sheet1.xml", f'{HEAD}<worksheet xmlns="{main}"><sheetData>' + xlsx_row(columns.split("\x1f"), ()), "</sheetData></worksheet>")
+
+
+def xlsx_file(out, options: dict[str, str]) -> Zip:
+    return Zip(out, xlsx_package(options.get("sheet") or "Sheet1", options["columns"]))
 
 
 def xlsx_row(cells: list[str | None], numbers: tuple[int, ...]) -> str:
@@ -223,7 +258,7 @@ class OfficeWriter(DataSourceArrowWriter):
                         elif not n:
                             store.create_dir(base, recursive=True)
                         last, n = (r["doc"], r["part"]), n + 1
-                        stream = store.open_output_stream(f"{base}/{file_name(r['doc'], r['part'], kind)}")
+                        stream = store.open_output_stream(f"{base}/{file_name(r['doc'], r['part'], kind)}", buffer_size=BUFFER)
                         zipped = begin(stream, self.options)
                     zipped.write(row(r))
             if zipped:
@@ -257,13 +292,54 @@ class OfficeWriter(DataSourceArrowWriter):
             store.delete_dir(base)
 
 
+class OfficeReader(DataSourceReader):
+    """Committed files, a task for each folder that a task wrote. The driver lists these folders and not their files, of which
+    there is one for each document."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.path = options["path"].rstrip("/")
+
+    def partitions(self) -> list[InputPartition]:
+        store, base = file_system(self.path)
+        found = store.get_file_info(fs.FileSelector(base))
+        return [InputPartition(i.base_name) for i in found if i.type == fs.FileType.Directory and not i.base_name.startswith("_")]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's way to ask for a folder without any
+            return
+        store, base = file_system(f"{self.path}/{partition.value}")
+        paths, contents, size = [], [], 0
+        for i in store.get_file_info(fs.FileSelector(base)):
+            with store.open_input_file(i.path) as f:
+                content = f.read()
+            paths.append(i.path)
+            contents.append(content)
+            size += len(content)
+            if size > BATCH:
+                yield self.batch(paths, contents)
+                paths, contents, size = [], [], 0
+        if paths:
+            yield self.batch(paths, contents)
+
+    @staticmethod
+    def batch(paths: list[str], contents: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+
+
 class OfficeFiles(DataSource):
-    """Format "folio_office": rows (doc, part, ...) of each document and part together and in order, as files of kind docx or xlsx."""
+    """Format "folio_office": rows (doc, part, ...) of each document and part together and in order, as files of kind docx or xlsx;
+    read, path and content of the files."""
 
     @classmethod
     def name(cls) -> str:
         return "folio_office"
 
+    def schema(self) -> str:
+        return "path string, content binary"
+
+    def reader(self, schema: StructType) -> OfficeReader:
+        return OfficeReader(dict(self.options))
+
     def writer(self, schema: StructType, overwrite: bool) -> OfficeWriter:
         return OfficeWriter(dict(self.options), overwrite)
 
@@ -272,7 +348,9 @@ def _write(rows: DataFrame, path: str, mode: str, size: int, **options: str) ->
     """rows (doc, pos from 0, ...): files of up to `size` rows, so that no task holds or orders more than that of a document."""
     rows.sparkSession.dataSource.register(OfficeFiles)
     parts = rows.filter("doc IS NOT NULL").withColumn("part", F.floor(F.col("pos") / size).cast("int"))
-    dealt = parts.repartition("doc", "part").sortWithinPartitions("doc", "part", "pos")
+    # A number that is given isn't lowered to what few bytes need: a file costs time whatever its size, and a reader's task is a writer's.
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = parts.repartition(n, "doc", "part").sortWithinPartitions("doc", "part", "pos")
     dealt.write.format("folio_office").mode(mode).options(**{k: v for k, v in options.items() if v}).save(path)
 
 
@@ -296,6 +374,12 @@ def write_xlsx(rows: DataFrame, path: str, mode: str = "append", sheet: str = "S
     _write(cells, path, mode, size, kind="xlsx", sheet=sheet, columns="\x1f".join(names), numbers=",".join(str(i) for i, c in enumerate(names) if number(c)))
 
 
+def written(spark: SparkSession, path: str) -> DataFrame:
+    """path, content of the files that write_docx() or write_xlsx() left below a folder."""
+    spark.dataSource.register(OfficeFiles)
+    return spark.read.format("folio_office").load(path)
+
+
 def xlsx_cells(content: bytes) -> list[list[str | None]]:
     """The cells of an XLSX file's first sheet as text, as write_xlsx() puts them."""
     out, tag = [], lambda e: e.tag.rpartition("}")[2]

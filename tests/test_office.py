@@ -188,3 +188,30 @@ def test_text_that_xml_cannot_hold():
     z.write(office.paragraph("para", "a\x00b\x0bc￾ <tag> \ud800"))
     z.close()
     assert [b[2] for b in files.docx_blocks(out.getvalue())] == ["abc <tag>"]
+
+
+def test_files_are_read_a_folder_a_task(spark, tmp_path):
+    """A task reads what a task wrote, however many files that are; folders of jobs that aren't committed are left out."""
+    path = str(tmp_path / "out")
+    rows = spark.range(900).selectExpr("CAST(id % 300 AS STRING) AS doc", "id DIV 300 AS pos", "'para' AS kind", "CONCAT('p', id) AS text", "CAST(NULL AS ARRAY<ARRAY<STRING>>) AS cells", "FALSE AS right")
+    office.write_docx(rows, path)
+    folders = [f for f in (tmp_path / "out").iterdir() if f.is_dir()]
+    (tmp_path / "out" / "_staging-x" / "part-0").mkdir(parents=True)
+    (tmp_path / "out" / "_staging-x" / "part-0" / "a.docx").write_bytes(b"no")
+    found = office.written(spark, path)
+    assert found.rdd.getNumPartitions() == len(folders) <= 4
+    assert sorted(r["text"] for r in files.read_docx(found).collect()) == sorted(f"p{i}" for i in range(900))
+    assert found.count() == 300
+    office.write_docx(rows.limit(0), str(tmp_path / "none"))
+    assert office.written(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_document_of_several_files_comes_back(spark, tmp_path):
+    from folio.plans.office import docx_round_trip
+
+    n = office.DOCX_BLOCKS + 5
+    rows = [(-7, "\n".join(f"l{i}" for i in range(n)), 9), (8, "one", 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["pos"]): r["text"] for r in docx_round_trip(spark, str(tmp_path)).collect()}
+    assert len(got) == n + 2 + 3 and got[-7, 0] == "D-7" and got[8, 1] == "one"
+    assert all(got[-7, i + 1] == f"l{i}" for i in range(n)) and got[-7, n + 1].startswith("$\\frac{-7}")
