@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 CHUNKS = "request string, seq long, type string, text string, ts timestamp"
 EVENTS = "request string, event string, seq long, text string"
+TOLD = Row("request", "event", "seq", "text")
+#: Rows of a request that are put in order at once.
+FRAME = 10_000
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -32,51 +36,54 @@ class Solver(StatefulProcessor):
         self.chunks = handle.getMapState("chunks", "seq long", "text string")
         self.about = handle.getValueState("about", "next long, last long, kind string, note string, ended boolean, timer long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        known = self.about.exists()
-        next_, last, kind, note, ended, timer = self.about.get() if known else (0, None, None, None, False, None)
-        out, latest = [], None
-        for frame in rows:
-            for r in frame.sort_values("seq", kind="stable").itertuples():
-                seen = int(r.ts.timestamp() * 1000)
-                latest = seen if latest is None else max(latest, seen)
-                text = r.text if isinstance(r.text, str) else ""
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        about = self.about.get()
+        next_, last, kind, note, ended, timer = about or (0, None, None, None, False, None)
+        # Chunks that come now go to the state at the end, and only if the request doesn't end: each look there is a call to Spark.
+        stored, came, latest = about is not None and not ended, {}, None
+        while frame := sorted(islice(rows, FRAME), key=lambda r: r.seq):
+            for r in frame:
+                latest = r.ms if latest is None else max(latest, r.ms)
+                text = r.text or ""
                 if ended:
-                    out.append(("late", r.seq, text))
+                    yield TOLD(key[0], "late", r.seq, text)
                 elif r.type in ("done", "error"):
                     if last is None:
                         last, kind, note = r.seq, r.type, text
-                elif r.seq < next_ or self.chunks.containsKey((r.seq,)):
-                    continue
-                else:
-                    self.chunks.updateValue((r.seq,), (text,))
-            while not ended and self.chunks.containsKey((next_,)) and (last is None or next_ < last):
-                out.append(("chunk", next_, self.chunks.getValue((next_,))[0]))
+                elif r.seq >= next_ and r.seq not in came and not (stored and self.chunks.containsKey((r.seq,))):
+                    came[r.seq] = text
+            while not ended and (last is None or next_ < last):
+                text = came.get(next_)
+                if text is None and stored and (found := self.chunks.getValue((next_,))) is not None:
+                    text = found[0]
+                if text is None:
+                    break
+                yield TOLD(key[0], "chunk", next_, text)
                 next_ += 1
             if not ended and last is not None and (kind == "error" or next_ == last):
-                out.append(("failed", last, note) if kind == "error" else ("finished", last, self.whole(next_)))
-                self.chunks.clear()
-                ended = True
+                yield TOLD(key[0], "failed", last, note) if kind == "error" else TOLD(key[0], "finished", last, self.whole(next_, came, stored))
+                if stored:
+                    self.chunks.clear()
+                ended, stored, came = True, False, {}
+        for seq, text in came.items():
+            self.chunks.updateValue((seq,), (text,))
         if timer is None or (latest is not None and not ended and latest + self.timeout_ms > timer):
             if timer is not None:
                 self.handle.deleteTimer(timer)
             timer = (latest or timerValues.getCurrentWatermarkInMs()) + self.timeout_ms
             self.handle.registerTimer(timer)
         self.about.update((next_, last, kind, note, ended, timer))
-        yield self.told(key, out)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         next_, _, _, _, ended, _ = self.about.get()
-        yield self.told(key, [] if ended else [("stale", next_, self.whole(next_))])
-        self.chunks.clear()
+        if not ended:
+            yield TOLD(key[0], "stale", next_, self.whole(next_, {}, True))
+            self.chunks.clear()
         self.about.clear()
 
-    def whole(self, n: int) -> str:
-        return "".join(self.chunks.getValue((i,))[0] for i in range(n))
-
-    @staticmethod
-    def told(key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=["request", "event", "seq", "text"]).astype({"seq": "int64"})
+    def whole(self, n: int, came: dict[int, str], stored: bool) -> str:
+        texts = {seq: text for (seq,), (text,) in self.chunks.iterator()} | came if stored else came
+        return "".join(texts[i] for i in range(n))
 
     def close(self) -> None:
         pass
@@ -90,8 +97,8 @@ def solver_events(chunks: DataFrame, timeout: str = "10 minutes", delay: str = "
     request or a number are left out. State is one request's chunks, so a key is bounded by one answer.
     """
     ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
-    rows = chunks.filter("request IS NOT NULL AND seq IS NOT NULL AND ts IS NOT NULL").select("request", F.col("seq").cast("long").alias("seq"), "type", "text", "ts")
-    return rows.withWatermark("ts", delay).groupBy("request").transformWithStateInPandas(Solver(ms), EVENTS, "Append", "EventTime")
+    rows = chunks.filter("request IS NOT NULL AND seq IS NOT NULL AND ts IS NOT NULL").select("request", F.col("seq").cast("long").alias("seq"), "type", "text", "ts", F.unix_millis("ts").alias("ms"))
+    return rows.withWatermark("ts", delay).groupBy("request").transformWithState(Solver(ms), EVENTS, "Append", "EventTime")
 
 
 def write_events(events: DataFrame, path: str, checkpoint: str, once: bool = False):

@@ -86,3 +86,54 @@ def test_solver_over_restarts(spark, tmp_path):
     fifth = [("c", 0, "chunk", "new", 13), ("c", 1, "done", "", 13), ("f", 0, "chunk", "too late", 3)]
     assert solver_run(spark, tmp_path, fifth) == [("c", "chunk", 0, "new"), ("c", "finished", 1, "new")]
     assert [r["text"] for r in solver.history(spark.read.parquet(str(tmp_path / "events"))).orderBy("text").collect()] == ["", "ABC", "new"]
+
+
+class Kept(dict):
+    """What stands for a map's or a value's state, and counts the calls."""
+
+    calls = 0
+
+    def __getattribute__(self, name):
+        if name in ("containsKey", "getValue", "updateValue", "iterator", "clear", "update", "get"):
+            Kept.calls += 1
+        return dict.__getattribute__(self, name)
+
+    containsKey, getValue, updateValue, iterator = dict.__contains__, dict.get, dict.__setitem__, dict.items  # noqa: N815
+
+
+class Handle:
+    def __init__(self):
+        self.maps, self.timers = Kept(), []
+
+    def getMapState(self, *_):  # noqa: N802
+        return self.maps
+
+    def getValueState(self, *_):  # noqa: N802
+        values = Kept()
+        return type("Value", (), {"get": lambda _: values.get(0), "update": lambda _, v: values.__setitem__(0, v), "clear": lambda _: values.clear()})()
+
+    registerTimer, deleteTimer = lambda self, t: self.timers.append(t), lambda self, t: self.timers.remove(t)  # noqa: N815
+
+
+def test_solver_asks_the_state_only_for_what_is_open(monkeypatch):
+    """A request that comes and ends in one batch puts no chunk into the state; what stays open is there whole in the next."""
+    monkeypatch.setattr(solver, "FRAME", 3)
+    row = solver.Row("request", "seq", "type", "text", "ts", "ms")
+    handle, s = Handle(), solver.Solver(1000)
+    s.init(handle)
+    say = lambda *rows: [tuple(r)[1:] for r in s.handleInputRows(("a",), iter([row("a", i, k, t, None, 5) for i, k, t in rows]), None)]
+    n, Kept.calls = 50, 0
+    got = say((n, "done", None), *[(i, "chunk", f"{i};") for i in reversed(range(n))])
+    assert got == [*[("chunk", i, f"{i};") for i in range(n)], ("finished", n, "".join(f"{i};" for i in range(n)))]
+    assert Kept.calls <= 3 and not handle.maps and handle.timers == [1005]
+    assert say((7, "chunk", "again")) == [("late", 7, "again")]
+
+    s.init(handle)
+    assert say((3, "chunk", "D"), (0, "chunk", "A"), (1, "chunk", None), (1, "chunk", "twice"), (4, "chunk", "E")) == [("chunk", 0, "A"), ("chunk", 1, "")]
+    assert handle.maps == {(0,): ("A",), (1,): ("",), (3,): ("D",), (4,): ("E",)}
+    assert say((4, "chunk", "no"), (2, "chunk", "C"), (5, "done", "")) == [("chunk", 2, "C"), ("chunk", 3, "D"), ("chunk", 4, "E"), ("finished", 5, "ACDE")]
+    assert not handle.maps
+
+    s.init(handle)
+    say((0, "chunk", "x"), (2, "chunk", "z"))
+    assert [tuple(r)[1:] for r in s.handleExpiredTimer(("a",), None, None)] == [("stale", 1, "x")] and not handle.maps and s.about.get() is None
