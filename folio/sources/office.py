@@ -45,7 +45,8 @@ NUMBERED = re.compile(r"(Câu \d+\. |Lời giải: )")
 MATH = re.compile(r"(\$\$[^$]+?\$\$|\$[^$\n]+?\$)")
 MARKED = re.compile(r"(\*\*[^*\n]+?\*\*|\*[^*\n]+?\*)")
 NOT_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff\ud800-\udfff]")
-WORD_NAMES = f'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:m="{OFFICE}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+WORD_NAME = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+WORD_NAMES = f'{WORD_NAME} xmlns:m="{OFFICE}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 PACKAGE = "http://schemas.openxmlformats.org/package/2006"
 RELATION = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -159,11 +160,11 @@ class Zip:
 @functools.lru_cache(8)
 def docx_package(teacher: str, school: str) -> Package:
     left, right = NOT_XML.sub("", teacher), NOT_XML.sub("", school)
-    header = f"{HEAD}<w:hdr {WORD_NAMES}><w:p>{run(left, 22, True)}<w:r><w:tab/><w:tab/></w:r>{run(right, 22, True)}</w:p></w:hdr>"
+    header = f"{HEAD}<w:hdr {WORD_NAME}><w:p>{run(left, 22, True)}<w:r><w:tab/><w:tab/></w:r>{run(right, 22, True)}</w:p></w:hdr>"
     page = '<w:r><w:fldChar w:fldCharType="begin"/></w:r><w:r><w:instrText xml:space="preserve"> PAGE </w:instrText></w:r><w:r><w:fldChar w:fldCharType="end"/></w:r>'
-    footer = f'{HEAD}<w:ftr {WORD_NAMES}><w:p><w:pPr><w:jc w:val="center"/></w:pPr>{page}</w:p></w:ftr>'
+    footer = f'{HEAD}<w:ftr {WORD_NAME}><w:p><w:pPr><w:jc w:val="center"/></w:pPr>{page}</w:p></w:ftr>'
     font = '<w:rFonts w:ascii="Times New Roman" w:hAnsi="Times New Roman" w:cs="Times New Roman"/><w:sz w:val="24"/>'
-    styles = f'{HEAD}<w:styles {WORD_NAMES}><w:docDefaults><w:rPrDefault><w:rPr>{font}</w:rPr></w:rPrDefault><w:pPrDefault><w:pPr><w:spacing w:before="0" w:after="40" w:line="240" w:lineRule="auto"/></w:pPr></w:pPrDefault></w:docDefaults></w:styles>'
+    styles = f'{HEAD}<w:styles {WORD_NAME}><w:docDefaults><w:rPrDefault><w:rPr>{font}</w:rPr></w:rPrDefault><w:pPrDefault><w:pPr><w:spacing w:before="0" w:after="40" w:line="240" w:lineRule="auto"/></w:pPr></w:pPrDefault></w:docDefaults></w:styles>'
     word = "wordprocessingml"
     parts = {
         "[Content_Types].xml": _types(*[(f"/word/{p}.xml", f"{word}.{t}") for p, t in (("document", "document.main"), ("styles", "styles"), ("header1", "header"), ("footer1", "footer"))]),
