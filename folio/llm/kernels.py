@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import wraps
 
 import numpy as np
@@ -165,3 +165,18 @@ def common(a: bytes, b: bytes, known: int = 0) -> int:
             return low
         low, step = high, 2 * step
     return end
+
+
+def commons(strings: Sequence[bytes], rows: int = 4096) -> np.ndarray:
+    """The lengths of the common prefixes of neighbours, `rows` of them compared at once."""
+    size = np.array([len(s) for s in strings], np.int64)
+    out = np.minimum(size[1:], size[:-1])
+    for i in range(0, len(out), rows):
+        some = strings[i : i + rows + 1]
+        width = max(1, int(size[i : i + rows + 1].max()))
+        # Shorter strings are filled up with zeros, which tell nothing as no prefix is longer than its string.
+        padded = np.array(some, f"S{width}").view(np.uint8).reshape(len(some), width)
+        differ = padded[1:] != padded[:-1]
+        at = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+        out[i : i + rows] = np.minimum(out[i : i + rows], at)
+    return out

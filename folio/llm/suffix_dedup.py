@@ -1,8 +1,8 @@
-"""Suffix-array dedup: a distributed merge sort of suffixes that carries common prefixes along."""
+"""Suffix-array dedup: a distributed merge sort of suffixes, whose neighbours' common prefixes tell what is copied."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,10 @@ PASSAGE = 250
 GRAM = 32
 #: Suffixes of one anchor that are sorted together; those of a more frequent one are dealt by what is around it.
 SORTED = 200_000
+#: Suffixes that a member is compared with in each direction before its group is gone through by distances.
+STEPS = 256
+#: Bytes of suffixes that are merged at once.
+MERGED_BYTES = 16 << 20
 #: Low bits of a value that hold a position, so that of equal grams the leftmost is the anchor.
 PLACE = np.uint64(30)
 
@@ -62,20 +66,21 @@ def repeated(first: np.ndarray, group: np.ndarray, counts: np.ndarray) -> tuple[
 
 
 class Run:
-    """A sorted run of suffixes, front-coded: bytes in common with the one before, and the rest."""
+    """A sorted run of suffixes, front-coded: bytes in common with the one before, and the rest. `lefts` is what stands
+    before them, if it is to order equal ones."""
 
-    def __init__(self, shared: np.ndarray, size: np.ndarray, rest: bytes, owner: object) -> None:
-        self.shared, self.size, self.rest, self.owner, self.i, self.pos, self.now = shared.tolist(), size.tolist(), rest, owner, -1, 0, b""
+    def __init__(self, shared: np.ndarray, size: np.ndarray, rest: bytes, owner: object, lefts: Sequence[bytes] = ()) -> None:
+        self.shared, self.size, self.rest, self.owner, self.lefts, self.i, self.pos, self.now = shared.tolist(), size.tolist(), rest, owner, lefts, 0, 0, b""
 
-    def next(self) -> int:
-        """Moves on and returns the common prefix with the suffix before, or -1 at the end."""
-        self.i += 1
-        if self.i == len(self.shared):
-            return -1
-        h, n = self.shared[self.i], self.size[self.i]
-        self.now = self.now[:h] + self.rest[self.pos : self.pos + n]
-        self.pos += n
-        return h
+    def until(self, end: bytes | None) -> Iterator[tuple[bytes, int]]:
+        """The suffixes before `end` (None: all) from where the last call stopped, and their places in the run."""
+        while self.i < len(self.shared):
+            h, n = self.shared[self.i], self.size[self.i]
+            suffix = self.now[:h] + self.rest[self.pos : self.pos + n]
+            if end is not None and suffix >= end:
+                return
+            yield suffix, self.i
+            self.now, self.pos, self.i = suffix, self.pos + n, self.i + 1
 
 
 def front_coded(sorted_suffixes: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -87,57 +92,22 @@ def front_coded(sorted_suffixes: Sequence[bytes]) -> tuple[np.ndarray, np.ndarra
     return np.array(shared, np.int32), np.array([len(x) for x in rest], np.int32), b"".join(rest)
 
 
-def merged(runs: Sequence[Run]) -> Iterator[tuple[bytes, int, Run, int]]:
-    """All suffixes in order, each with the prefix it has in common with the one before, its run and its place there.
+def merged(runs: Sequence[Run], end: bytes | None = None) -> Iterator[tuple[bytes, int, Run, int]]:
+    """The suffixes before `end` that are left, in order, each with the prefix it has in common with the one before, its
+    run and its place there. The sort finds the runs in order and only merges them; prefixes are compared all at once."""
+    order = sorted((s, r.lefts[i] if r.lefts else b"", k, i) for k, r in enumerate(runs) for s, i in r.until(end))
+    shared = K.commons([s for s, *_ in order]).tolist()
+    return ((s, h, runs[k], i) for (s, _, k, i), h in zip(order, [0, *shared], strict=False))
 
-    A loser tree: a node keeps the run that lost there and how long a prefix its suffix has in common with the
-    winner. The next suffix of the winner's run brings the same number for the same suffix, so where two numbers
-    differ the longer prefix wins unread, and where they are equal comparing begins behind them.
-    """
-    size = 1 << max(0, len(runs) - 1).bit_length()
-    depth = [r.next() for r in runs] + [-1] * (size - len(runs))
-
-    def beats(a: int, b: int) -> tuple[int, int]:
-        """The winner and the loser, whose depth then is that against the winner."""
-        ha, hb = depth[a], depth[b]
-        if ha != hb:
-            return (a, b) if ha > hb else (b, a)
-        if ha < 0:
-            return a, b
-        x, y = runs[a].now, runs[b].now
-        h = K.common(x, y, ha)
-        if x[h : h + 1] <= y[h : h + 1]:
-            depth[b] = h
-            return a, b
-        depth[a] = h
-        return b, a
-
-    loser = [0] * size
-    level = list(range(size))
-    node = size
-    while len(level) > 1:
-        node //= 2
-        up = []
-        for i in range(node):
-            w, lost = beats(level[2 * i], level[2 * i + 1])
-            loser[node + i] = lost
-            up.append(w)
-        level = up
-    w = level[0]
-    while depth[w] >= 0:
-        run = runs[w]
-        yield run.now, depth[w], run, run.i
-        depth[w] = run.next()
-        at = (size + w) // 2
-        while at:
-            w, loser[at] = beats(w, loser[at])
-            at //= 2
-
-
-def by_left(lefts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The order of what stands before the members' anchors, backwards, and the common prefixes of neighbours in it."""
-    order = sorted(range(len(lefts)), key=lefts.__getitem__)
-    return np.array(order, np.int64), np.array([K.common(lefts[a], lefts[b]) for a, b in zip(order[:-1], order[1:], strict=True)], np.int64)
+
+def by_left(lefts: Sequence[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order, in each group, of what stands before the members' anchors, backwards, and the prefix each has in
+    common with the one before it in that order (-1: none of its group is)."""
+    keys = list(zip(group.tolist(), lefts, strict=True))
+    order = np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)
+    shared = np.r_[-1, K.commons([lefts[i] for i in order.tolist()])]
+    shared[K.run_starts(group[order])] = -1
+    return order, shared
 
 
 def copied(right: np.ndarray, order: np.ndarray, left: np.ndarray, several: np.ndarray, least: np.ndarray, most: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,7 +115,7 @@ def copied(right: np.ndarray, order: np.ndarray, left: np.ndarray, several: np.n
     string's start to the anchor.
 
     Members are in the order of the suffixes at the anchor; `right` has the common prefixes of neighbours, `order` and
-    `left` are by_left()'s. Members have the same string with the anchor at distance d if they are neighbours by
+    `left` those of what is before it, backwards, and their order. Members have the same string with the anchor at distance d if they are neighbours by
     length - d bytes to the right and also, in the order to the left, by d bytes. That changes at few distances, and
     between them one comparison holds for all.
     """
@@ -179,6 +149,78 @@ def copied(right: np.ndarray, order: np.ndarray, left: np.ndarray, several: np.n
     return tuple(np.concatenate(out, axis=1))
 
 
+def least_in_ranges(x: np.ndarray, most: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function that gives the least of x[first..last], for ranges of up to `most` values."""
+    levels = [x]
+    while 2 << (len(levels) - 1) <= min(most, len(x)):
+        half, last = 1 << (len(levels) - 1), levels[-1]
+        levels.append(np.r_[np.minimum(last[:-half], last[half:]), last[-half:]])
+    table = np.stack(levels)
+
+    def least(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        level = np.frexp(last - first + 1)[1] - 1
+        return np.minimum(table[level, first], table[level, last + 1 - (1 << level)])
+
+    return least
+
+
+def copied_after(right: np.ndarray, rank: np.ndarray, least: Callable, back: np.ndarray, lengths: Sequence[int], steps: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """What copied() tells of all groups at once, from copies behind a member in the order of suffixes: member, least and
+    greatest distance, and which of the lengths; and the members that have to look further than `steps`.
+
+    A member and one that has `far` bytes in common with it to the right and `near` to the left have the same string at
+    the distances from length - far to near. The further the other is, the less is `far`, so it only tells more if
+    `near` is more than before; when no other can have that, the member is done.
+    """
+    i = np.arange(len(right))
+    j, far, best, out = i, np.full(len(i), np.iinfo(np.int64).max), np.full((len(lengths), len(i)), -1), [np.empty((4, 0), np.int64)]
+    for step in range(steps + 1):
+        inside = j + 1 < len(right)
+        i, j = i[inside], j[inside] + 1
+        far = np.minimum(far[inside], right[j])
+        on = np.zeros(len(i), bool)
+        for known, length in zip(best, lengths, strict=True):
+            on |= (far + back[i] >= length) & (known[i] < back[i])
+        on &= far >= 0
+        i, j, far = i[on], j[on], far[on]
+        if not len(i) or step == steps:
+            break
+        a, b = rank[i], rank[j]
+        near = least(np.minimum(a, b) + 1, np.maximum(a, b))
+        for kind, length in enumerate(lengths):
+            new = (far + near >= length) & (near > best[kind, i])
+            best[kind, i[new]] = near[new]
+            out.append(np.stack([i[new], np.maximum(length - far[new], 0), near[new], np.full(int(new.sum()), kind)]))
+    return out, i
+
+
+def copied_in_groups(group: np.ndarray, right: np.ndarray, size: np.ndarray, lefts: Sequence[bytes], several: np.ndarray, lengths: Sequence[int], steps: int = STEPS) -> np.ndarray:
+    """copied() of groups that follow each other, for each of the lengths: member, least and greatest distance, and which
+    length. `right` is the prefix in common with the member before, -1 for a group's first."""
+    order, left = by_left(lefts, group)
+    back, n = np.array([len(x) for x in lefts], np.int64), len(group)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    starts = np.flatnonzero(K.run_starts(group))
+    ends = np.r_[starts[1:], n]
+    least = least_in_ranges(left, int((ends - starts).max()))
+    out, far = copied_after(right, rank, least, back, lengths, steps)
+    out_before, far_before = copied_after(np.r_[-1, right[:0:-1]], rank[::-1], least, back[::-1], lengths, steps)
+    for who, lo, hi, kind in out_before:
+        out.append(np.stack([n - 1 - who, lo, hi, kind]))
+    for kind, length in enumerate(lengths):
+        low = np.maximum(length - size, 0)
+        who = np.flatnonzero(several & (low <= back))
+        out.append(np.stack([who, low[who], back[who], np.full(len(who), kind)]))
+    # Members that many others are like to the right and not to the left: their groups are gone through by distances.
+    for s in np.unique(starts[np.searchsorted(starts, np.r_[far, n - 1 - far_before], "right") - 1]).tolist():
+        e = int(ends[np.searchsorted(starts, s)])
+        for kind, length in enumerate(lengths):
+            who, lo, hi = copied(right[s + 1 : e], order[s:e] - s, left[s + 1 : e], several[s:e], np.maximum(length - size[s:e], 0), back[s:e], length)
+            out.append(np.stack([who + s, lo, hi, np.full(len(who), kind)]))
+    return np.concatenate(out, axis=1)
+
+
 RUN = "part int, block long, shared binary, size binary, rest binary, before binary, before_size binary, times binary, places binary"
 
 
@@ -220,44 +262,55 @@ def suffix_runs(block: Block, keys: np.ndarray, total: np.ndarray, short: int, l
     return pa.table({k: pa.array(v, {"part": pa.int32(), "block": pa.int64()}.get(k, pa.binary())) for k, v in rows.items()})
 
 
-def merge_part(table: pa.Table, lengths: Sequence[int]) -> pa.Table:
+def joined(spans: np.ndarray) -> np.ndarray:
+    """Spans (block, start, end, kind) in order of blocks, those that overlap in a block as one of their kind."""
+    block, start, end, kind = spans = spans[:, np.lexsort((spans[1], spans[3], spans[0]))]
+    if not len(block):
+        return spans
+    new = K.run_starts(block, kind)
+    # Positions in a block are below 1 << 32, so the reach of one block and kind ends before the next one's starts.
+    base = np.cumsum(new) << 32
+    reach = np.maximum.accumulate(base + end)
+    new[1:] |= (base + start)[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    last = np.r_[at[1:], len(new)] - 1
+    return np.stack([block[at], start[at], (reach - base)[last], kind[at]])
+
+
+def merge_part(table: pa.Table, lengths: Sequence[int], bits: int) -> pa.Table:
     """Merges the runs of a part; for each block the starts and ends of bytes in copied strings of each of the lengths,
-    and which of them it is."""
-    runs = []
+    and which of them it is. Some megabytes of suffixes, of whole groups, are merged at once."""
+    runs, lefts, block, times, places, held = [], [], [], [], [], 0
     for k in range(table.num_rows):
         row = {name: table.column(name)[k].as_py() for name in table.column_names}
         get = lambda name, t=np.int32, row=row: np.frombuffer(row[name], t)
-        before, times = np.r_[0, np.cumsum(get("before_size"))].tolist(), np.r_[0, np.cumsum(get("times"))].tolist()
-        runs.append(Run(get("shared"), get("size"), row["rest"], (row["block"], row["before"], before, get("places", np.int64), times)))
-    found: dict[int, list[np.ndarray]] = {}
-
-    def close(members: list[tuple[int, int, object, int]]) -> None:
-        owners = [(o, i) for _, _, o, i in members]
-        several = np.array([o[4][i + 1] - o[4][i] > 1 for o, i in owners])
-        if len(members) == 1 and not several[0]:
-            return
-        lefts = [o[1][o[2][i] : o[2][i + 1]] for o, i in owners]
-        size = np.array([n - 8 for n, *_ in members], np.int64)
-        right = np.array([h - 8 for _, h, *_ in members[1:]], np.int64)
-        order, left = by_left(lefts)
-        back = np.array([len(x) for x in lefts], np.int64)
-        for kind, length in enumerate(lengths):
-            for m, lo, hi in zip(*(x.tolist() for x in copied(right, order, left, several, np.maximum(length - size, 0), back, length)), strict=True):
-                o, i = owners[m]
-                at = o[3][o[4][i] : o[4][i + 1]]
-                found.setdefault(o[0], []).append(np.stack([at - hi, at - lo + length, np.full(len(at), kind)]))
-
-    group: list[tuple[int, int, object, int]] = []
-    for suffix, h, run, i in merged(runs):
-        if group and h < 8:
-            close(group)
-            group = []
-        group.append((len(suffix), h, run.owner, i))
-    if group:
-        close(group)
-    spans = {b: np.concatenate(x, axis=1) for b, x in found.items()}
-    e = [pa.array([coded(x[k].astype(t)) for x in spans.values()], pa.binary()) for k, t in enumerate(("u8", "i8", "u1"))]
-    return pa.table({"block": pa.array(list(spans), pa.int64()), "e0": e[0], "e1": e[1], "e2": e[2]})
+        cut = np.r_[0, np.cumsum(get("before_size"))].tolist()
+        mine = [row["before"][s:e] for s, e in zip(cut[:-1], cut[1:], strict=True)]
+        runs.append(Run(get("shared"), get("size"), row["rest"], len(lefts), mine))
+        lefts += mine
+        block.append(np.full(len(mine), row["block"]))
+        times.append(get("times").astype(np.int64))
+        places.append(get("places", np.int64))
+        held += int(get("shared").sum() + get("size").sum())
+    block, times, places = (np.concatenate(x) for x in (block, times, places))
+    first, low, cuts = np.cumsum(times) - times, int(table.column("part")[0].as_py()) << (64 - bits), held // MERGED_BYTES + 1
+    found: list[np.ndarray] = []
+    for c in range(1, cuts + 1):
+        end = (low + (c << (64 - bits)) // cuts).to_bytes(8, "big") if c < cuts else None
+        members = [(len(suffix) - 8, h - 8, run.owner + i) for suffix, h, run, i in merged(runs, end)]
+        if not members:
+            continue
+        size, right, member = np.array(members, np.int64).T
+        right[0] = -1
+        who, lo, hi, kind = copied_in_groups(np.cumsum(right < 0), np.maximum(right, -1), size, [lefts[m] for m in member.tolist()], times[member] > 1, lengths)
+        which, k = K.spread(times[member[who]])
+        at = places[first[member[who]][which] + k]
+        found.append(np.stack([block[member[who]][which], at - hi[which], at - lo[which] + np.array(lengths)[kind][which], kind[which]]))
+    spans = joined(np.concatenate([np.empty((4, 0), np.int64), *found], axis=1))
+    starts = np.flatnonzero(K.run_starts(spans[0]))
+    ends = np.r_[starts[1:], spans.shape[1]][: len(starts)]
+    e = [pa.array([coded(spans[k + 1, s:e].astype(t)) for s, e in zip(starts, ends, strict=True)], pa.binary()) for k, t in enumerate(("u8", "i8", "u1"))]
+    return pa.table({"block": pa.array(spans[0, starts], pa.int64()), "e0": e[0], "e1": e[1], "e2": e[2]})
 
 
 def covered(block: Block, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
@@ -286,7 +339,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     Every string has an anchor, its 32-byte gram of the least hash (of its first bytes, if it is the longer of the two
     lengths), so equal strings are equal around equal anchors. Blocks first learn which of their anchors occur more
     than once. They sort the suffixes at those, with a group's hash in front, and send the runs front-coded in parts
-    of the hash range. A part merges its runs with a loser tree that never compares a known common prefix again;
+    of the hash range. A part merges its runs, some megabytes at once;
     neighbours' common prefixes and those of what stands before the anchors tell, to the byte, which strings have
     copies. Suffixes are as long as the strings at an anchor reach. A group is an anchor; one of more than `most`
     occurrences is dealt to many groups by the bytes around it, which are sorted and merged like others.
@@ -299,7 +352,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     bits, short, lengths = part_bits(docs), min(passage, length), (passage, length)
     hits = materialize(met(emitted(blocks, "l", bits, lambda b: anchor_counts(b, short)), "l", repeated, "l"), "anchors")
     runs = answered(blocks, hits, "l", lambda b, keys, total: suffix_runs(b, keys, total, short, max(lengths), bits, most), RUN)
-    spans = runs.groupBy("part").applyInArrow(lambda t: merge_part(t, lengths), "block long, e0 binary, e1 binary, e2 binary")
+    spans = runs.groupBy("part").applyInArrow(lambda t: merge_part(t, lengths, bits), "block long, e0 binary, e1 binary, e2 binary")
 
     def finish(block: Block, start: np.ndarray, end: np.ndarray, kind: np.ndarray) -> pa.Table:
         gone, removed = covered(block, start[kind == 1], end[kind == 1])

@@ -6,10 +6,13 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -238,6 +241,99 @@ def test_merge_gives_sorted_suffixes_and_prefixes():
     assert all(h == kernels.common(a, b) for (a, _), (b, h) in zip(got, got[1:], strict=False))
 
 
+def merged_parts(texts: list[bytes], lengths: tuple[int, int], bits: int, per_block: int = 40) -> tuple[dict, list]:
+    """Each text's removed bytes for each of the lengths, of blocks made and merged without Spark; and the parts' runs."""
+    made = []
+    for k in range(0, len(texts), per_block):
+        raw = b"".join(texts[k : k + per_block])
+        offsets = np.cumsum([0, *map(len, texts[k : k + per_block])])
+        made.append(SimpleNamespace(number=len(made), offsets=offsets, raw=raw, data=np.frombuffer(raw, np.uint8), ids=np.arange(k, k + len(offsets) - 1)))
+    total = Counter()
+    for b in made:
+        for key, n in zip(*suffix_dedup.anchor_counts(b, min(lengths)), strict=True):
+            total[int(key)] += int(n)
+    keys = np.array(sorted(k for k, n in total.items() if n > 1), np.uint64)
+    counts = np.array([total[int(k)] for k in keys], np.int64)
+    runs = pa.concat_tables(suffix_dedup.suffix_runs(b, keys, counts, min(lengths), max(lengths), bits, suffix_dedup.SORTED) for b in made)
+    part = runs.column("part").to_numpy()
+    parts = [runs.filter(pa.array(part == p)) for p in np.unique(part)]
+    spans = [(row, suffix_dedup.merge_part(t, lengths, bits)) for row, t in enumerate(parts)]
+    gone = {}
+    for b in made:
+        mine = [[blocks.decoded(t.column(f"e{k}")[i].as_py(), w) for k, w in enumerate(("u8", "i8", "u1"))] for _, t in spans for i in range(t.num_rows) if t.column("block")[i].as_py() == b.number]
+        start, end, kind = (np.concatenate(x) for x in zip(*mine, strict=True)) if mine else np.empty((3, 0), np.int64)
+        for q, length in enumerate(lengths):
+            on, _ = suffix_dedup.covered(b, start[kind == q].astype(np.int64), end[kind == q])
+            gone |= {(int(i), length): on[s:e] for i, s, e in zip(b.ids, b.offsets[:-1], b.offsets[1:], strict=True)}
+    return gone, parts
+
+
+@pytest.mark.parametrize(("bits", "held"), [(0, suffix_dedup.MERGED_BYTES), (3, 2000)])
+def test_suffix_parts_merged_some_bytes_at_once(monkeypatch, bits, held):
+    """Texts of few letters, zero bytes among them, with passages copied whole and in part."""
+    monkeypatch.setattr(suffix_dedup, "MERGED_BYTES", held)
+    rng = random.Random(11)
+    some = lambda n: bytes(rng.choice(b"\0\0\1a") for _ in range(n))
+    passages = [some(rng.randint(30, 160)) for _ in range(9)]
+    texts = [b"".join(rng.choice([some(rng.randint(0, 60)), rng.choice(passages), rng.choice(passages)[rng.randint(0, 20) :]]) for _ in range(rng.randint(0, 6))) for _ in range(150)]
+    gone, _ = merged_parts(texts, (40, 64), bits)
+    for length in (40, 64):
+        want = bytes_removed(dict(enumerate(texts)), length)
+        assert want and all((gone[i, length] == g).all() for i, g in want.items())
+
+
+def test_suffix_merge_does_not_work_group_by_group():
+    """Three hundred passages, each in two texts: merging their groups takes few calls a suffix and not hundreds a group."""
+    rng = random.Random(12)
+    passages = [bytes(rng.choice(b"abcdefgh") for _ in range(450)) for _ in range(300)]
+    gone, parts = merged_parts([*passages, *passages], (250, 400), 0)
+    assert all(g.all() for g in gone.values())
+    calls = [0]
+
+    def count(frame: object, event: str, arg: object) -> None:
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        suffix_dedup.merge_part(parts[0], (250, 400), 0)
+    finally:
+        sys.setprofile(None)
+    suffixes = sum(len(x.as_py()) // 4 for x in parts[0].column("size"))
+    assert suffixes > 1000 and calls[0] < 40 * suffixes
+
+
+@pytest.mark.parametrize("steps", [0, 2, suffix_dedup.STEPS])
+def test_copies_of_many_groups_at_once(steps):
+    """Against each pair of members of a group; members that look further than `steps` are told by distances."""
+    rng = random.Random(13)
+    members = []
+    for g in range(60):
+        words = sorted((b"".join(rng.choice([b"a", b"ab"]) for _ in range(9))[: rng.randint(0, 9)], b"".join(rng.choice([b"a", b"ba"]) for _ in range(7))[: rng.randint(0, 7)]) for _ in range(rng.randint(1, 25)))
+        members += [(g, *x, rng.random() < 0.1) for x in words]
+    group, rights, lefts, several = (list(x) for x in zip(*members, strict=True))
+    right = [-1] + [kernels.common(a, b) if g == h else -1 for g, h, a, b in zip(group, group[1:], rights, rights[1:], strict=False)]
+    lengths = (8, 10)
+    found = suffix_dedup.copied_in_groups(np.array(group), np.array(right), np.array([len(x) for x in rights]), lefts, np.array(several), lengths, steps)
+    got, want = set(), set()
+    for who, lo, hi, kind in found.T.tolist():
+        got |= {(who, d, kind) for d in range(lo, hi + 1)}
+    for i, (g, r, x, alone) in enumerate(members):
+        for kind, length in enumerate(lengths):
+            for d in range(max(0, length - len(r)), len(x) + 1):
+                string = lambda m, d=d, length=length: (m[2][:d], m[1][: length - d]) if len(m[2]) >= d and len(m[1]) >= length - d else None
+                if alone or any(j != i and m[0] == g and string(m) == string(members[i]) for j, m in enumerate(members)):
+                    want.add((i, d, kind))
+    assert got == want and want
+
+
+def test_commons_of_neighbours():
+    rng = random.Random(14)
+    strings = [bytes(rng.choice(b"\0\0\0a") for _ in range(rng.randint(0, 12))) for _ in range(500)]
+    want = [kernels.common(a, b) for a, b in zip(strings, strings[1:], strict=False)]
+    assert kernels.commons(strings).tolist() == kernels.commons(strings, 7).tolist() == want
+    assert kernels.commons([b"", b""]).tolist() == [0] and not len(kernels.commons([b"a"])) and not len(kernels.commons([]))
+
+
 # --- 4 -----------------------------------------------------------------------------------------------------------
 
 
