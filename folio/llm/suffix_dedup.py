@@ -20,7 +20,7 @@ GRAM = 32
 #: Suffixes of one anchor that are sorted together; those of a more frequent one are dealt by what is around it.
 SORTED = 200_000
 #: Suffixes that a member is compared with in each direction before its group is gone through by distances.
-STEPS = 256
+STEPS = 32
 #: Bytes of suffixes that are merged at once.
 MERGED_BYTES = 16 << 20
 #: Low bits of a value that hold a position, so that of equal grams the leftmost is the anchor.
@@ -164,13 +164,13 @@ def least_in_ranges(x: np.ndarray, most: int) -> Callable[[np.ndarray, np.ndarra
     return least
 
 
-def copied_after(right: np.ndarray, rank: np.ndarray, least: Callable, back: np.ndarray, lengths: Sequence[int], steps: int) -> tuple[list[np.ndarray], np.ndarray]:
+def copied_after(right: np.ndarray, rank: np.ndarray, least: Callable, reach: np.ndarray, lengths: Sequence[int], steps: int) -> tuple[list[np.ndarray], np.ndarray]:
     """What copied() tells of all groups at once, from copies behind a member in the order of suffixes: member, least and
     greatest distance, and which of the lengths; and the members that have to look further than `steps`.
 
     A member and one that has `far` bytes in common with it to the right and `near` to the left have the same string at
     the distances from length - far to near. The further the other is, the less is `far`, so it only tells more if
-    `near` is more than before; when no other can have that, the member is done.
+    `near` is more than before; when no other can have that, as `reach` is the most that any has, the member is done.
     """
     i = np.arange(len(right))
     j, far, best, out = i, np.full(len(i), np.iinfo(np.int64).max), np.full((len(lengths), len(i)), -1), [np.empty((4, 0), np.int64)]
@@ -180,7 +180,7 @@ def copied_after(right: np.ndarray, rank: np.ndarray, least: Callable, back: np.
         far = np.minimum(far[inside], right[j])
         on = np.zeros(len(i), bool)
         for known, length in zip(best, lengths, strict=True):
-            on |= (far + back[i] >= length) & (known[i] < back[i])
+            on |= (far + reach[i] >= length) & (known[i] < reach[i])
         on &= far >= 0
         i, j, far = i[on], j[on], far[on]
         if not len(i) or step == steps:
@@ -201,11 +201,12 @@ def copied_in_groups(group: np.ndarray, right: np.ndarray, size: np.ndarray, lef
     back, n = np.array([len(x) for x in lefts], np.int64), len(group)
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
+    reach = np.maximum(left, np.r_[left[1:], -1])[rank]
     starts = np.flatnonzero(K.run_starts(group))
     ends = np.r_[starts[1:], n]
     least = least_in_ranges(left, int((ends - starts).max()))
-    out, far = copied_after(right, rank, least, back, lengths, steps)
-    out_before, far_before = copied_after(np.r_[-1, right[:0:-1]], rank[::-1], least, back[::-1], lengths, steps)
+    out, far = copied_after(right, rank, least, reach, lengths, steps)
+    out_before, far_before = copied_after(np.r_[-1, right[:0:-1]], rank[::-1], least, reach[::-1], lengths, steps)
     for who, lo, hi, kind in out_before:
         out.append(np.stack([n - 1 - who, lo, hi, kind]))
     for kind, length in enumerate(lengths):
